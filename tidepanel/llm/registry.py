@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .common import table
 from .mixing import OP4_SQL, op4_mixing
+from .pii import op8_pii
+from .quality_rules import op6_quality_rules
 from .sharding import op1_sharding
 
 
@@ -11,6 +13,8 @@ def queries() -> dict:
     return {
         "op1_sharding": lambda spark, d: op1_sharding(table(spark, d, "documents")),
         "op4_mixing": lambda spark, d: op4_mixing(table(spark, d, "documents")),
+        "op6_quality_rules": lambda spark, d: op6_quality_rules(table(spark, d, "documents")),
+        "op8_pii": lambda spark, d: op8_pii(table(spark, d, "documents")),
     }
 
 
