@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from .classifier import op3_quality_classifier
 from .common import table
 from .mixing import OP4_SQL, op4_mixing
+from .packing import op5_packing
 from .pii import op8_pii
 from .quality_rules import op6_quality_rules
 from .sharding import op1_sharding
+from .warc import op7_warc
 
 
 def queries() -> dict:
     return {
         "op1_sharding": lambda spark, d: op1_sharding(table(spark, d, "documents")),
         "op4_mixing": lambda spark, d: op4_mixing(table(spark, d, "documents")),
+        "op3_quality_classifier": lambda spark, d: op3_quality_classifier(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op5_packing": lambda spark, d: op5_packing(table(spark, d, "documents")),
         "op6_quality_rules": lambda spark, d: op6_quality_rules(table(spark, d, "documents")),
+        "op7_warc": lambda spark, d: op7_warc(table(spark, d, "pages")),
         "op8_pii": lambda spark, d: op8_pii(table(spark, d, "documents")),
     }
 
