@@ -5,6 +5,7 @@ from __future__ import annotations
 from .classifier import op3_quality_classifier
 from .common import table
 from .mixing import OP4_SQL, op4_mixing
+from .near_dedup import op9_near_dedup
 from .packing import op5_packing
 from .pii import op8_pii
 from .quality_rules import op6_quality_rules
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op6_quality_rules": lambda spark, d: op6_quality_rules(table(spark, d, "documents")),
         "op7_warc": lambda spark, d: op7_warc(table(spark, d, "pages")),
         "op8_pii": lambda spark, d: op8_pii(table(spark, d, "documents")),
+        "op9_near_dedup": lambda spark, d: op9_near_dedup(table(spark, d, "documents")),
     }
 
 
