@@ -79,7 +79,7 @@ def plan_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 def first_words(text: Column, n: Column) -> Column:
     """``text`` up to the end of its ``n``-th word."""
-    cut = F.concat(F.lit(r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), n.cast("string"), F.lit("}"))
+    cut = F.concat(F.lit(r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), n.cast("string"), F.lit("}+"))  # possessive: no stack
     return F.rtrim(F.regexp_substr(text, cut))
 
 

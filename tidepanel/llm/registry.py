@@ -10,6 +10,7 @@ from .packing import op5_packing
 from .pii import op8_pii
 from .quality_rules import op6_quality_rules
 from .sharding import op1_sharding
+from .substrings import op2_substring_dedup
 from .warc import op7_warc
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
     return {
         "op1_sharding": lambda spark, d: op1_sharding(table(spark, d, "documents")),
         "op4_mixing": lambda spark, d: op4_mixing(table(spark, d, "documents")),
+        "op2_substring_dedup": lambda spark, d: op2_substring_dedup(table(spark, d, "documents")),
         "op3_quality_classifier": lambda spark, d: op3_quality_classifier(table(spark, d, "documents"), table(spark, d, "labels")),
         "op5_packing": lambda spark, d: op5_packing(table(spark, d, "documents")),
         "op6_quality_rules": lambda spark, d: op6_quality_rules(table(spark, d, "documents")),
