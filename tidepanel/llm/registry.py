@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .classifier import op3_quality_classifier
 from .common import table
+from .embeddings import op10_embedding_dedup
 from .mixing import OP4_SQL, op4_mixing
 from .near_dedup import op9_near_dedup
 from .packing import op5_packing
@@ -25,6 +26,7 @@ def queries() -> dict:
         "op7_warc": lambda spark, d: op7_warc(table(spark, d, "pages")),
         "op8_pii": lambda spark, d: op8_pii(table(spark, d, "documents")),
         "op9_near_dedup": lambda spark, d: op9_near_dedup(table(spark, d, "documents")),
+        "op10_embedding_dedup": lambda spark, d: op10_embedding_dedup(table(spark, d, "embeddings")),
     }
 
 
