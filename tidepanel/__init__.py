@@ -1 +1,10 @@
-"""Panel analytics on Spark DataFrames: operators, sources, functions, plans and streaming."""
+"""Panel analytics on Spark DataFrames: operators, sources, functions, plans and streaming.
+
+Functions sent to Python workers are pickled by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
