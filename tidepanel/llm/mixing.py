@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, without
+from .common import WORD
 
 WEIGHTS = (5, 2, 1)
 
@@ -85,14 +85,20 @@ def first_words(text: Column, n: Column) -> Column:
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document as often as it is taken, cut at the budget."""
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    plan = plan_mix(without(docs, "__size", "__epochs", "__rest"), **options)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    plan = plan_mix(docs.select("doc_id", "text", "source", F.struct(*rest).alias("__row")), **options)
     copies = F.col("__epochs") + F.when(F.col("__rest") > 0, 1).otherwise(0)
-    out = plan.where(copies > 0).select(*cols, "__size", "__rest", "__epochs", F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("__copy"))
+    taken = plan.where(copies > 0).select("__row", "text", "__size", "__rest", "__epochs", F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("__copy"))
     cut = (F.col("__copy") > F.col("__epochs")) & (F.col("__rest") < F.col("__size"))
-    out = out.select(*cols, F.when(cut, first_words(F.col("text"), F.col("__rest"))).otherwise(F.col("text")).alias("__text"), cut.alias("__cut"))
-    keep = [F.col("__text").alias("text") if c == "text" else F.when(F.col("__cut"), F.length("__text")).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*keep)
+    taken = taken.select("__row", F.when(cut, first_words(F.col("text"), F.col("__rest"))).otherwise(F.col("text")).alias("text"), cut.alias("__cut"))
+
+    def out(c: str) -> Column:
+        old = F.col("__row")[c]
+        if c == "text":
+            return F.col("text")
+        return F.when(F.col("__cut"), F.length("text")).otherwise(old).cast("long").alias(c) if c == "n_chars" else old.alias(c)
+
+    return taken.select(*[out(c) for c in docs.columns])
 
 
 def op4_mixing(docs: DataFrame) -> DataFrame:

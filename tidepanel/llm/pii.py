@@ -149,10 +149,17 @@ def all_spans() -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents, same columns, with personal data masked in ``text`` (and n_chars of the new text)."""
-    found = find_pii(docs)
-    found = found.select("*", all_spans().alias("__spans"))
-    clean = found.select(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.size("__spans").alias("__hits"), mask(F.col("text"), F.col("__spans")).alias("text"))
-    return clean.select(*[F.when(F.col("__hits") > 0, F.length("text")).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    found = find_pii(docs.select("doc_id", "text", F.struct(*rest).alias("__row")))
+    found = found.select("__row", "text", all_spans().alias("__spans")).select("__row", F.size("__spans").alias("__hits"), mask(F.col("text"), F.col("__spans")).alias("text"))
+
+    def out(c: str) -> Column:
+        old = F.col("__row")[c]
+        if c == "text":
+            return F.col("text")
+        return F.when(F.col("__hits") > 0, F.length("text")).otherwise(old).cast("long").alias(c) if c == "n_chars" else old.alias(c)
+
+    return found.select(*[out(c) for c in docs.columns])
 
 
 def op8_pii(docs: DataFrame) -> DataFrame:
