@@ -173,7 +173,7 @@ def test_nearest_and_folds(spark):
     near = geo.nearest(fixtures.provinces(spark), 3)
     assert near.count() == 102 and near.where("province_id = other").count() == 0
     f = events.make_folds(spark.createDataFrame([(dt.date(2022, 8, 20),)], "date date"), "2022-01-01").orderBy("fold").collect()
-    assert [tuple(r) for r in f][0] == (0, dt.date(2021, 8, 4), dt.date(2021, 8, 19), dt.date(2021, 12, 16), dt.date(2022, 1, 1), dt.date(2022, 3, 31)) and f[-1].test_end == dt.date(2022, 8, 20)
+    assert [tuple(r) for r in f][0] == (0, dt.date(2021, 8, 5), dt.date(2021, 8, 20), dt.date(2021, 12, 17), dt.date(2022, 1, 1), dt.date(2022, 3, 31)) and f[-1].test_end == dt.date(2022, 8, 20)
 
 
 def test_upsert_keeps_old_and_prefers_fresh(spark):

@@ -376,3 +376,21 @@ def rain_climatology(spark, d):
 def rain_anomaly(spark, d):
     names = [f"rain_{w}_anom" for w in (7, 30, 90)]
     return rounded(weather.anomalies(fx.rainfall(spark, d), "1995-01-01", "1998-12-31"), *names, n=5)
+
+
+@query("rain_lagged", with_("SELECT province_id, (date + 30)::DATE AS date, round(roll_30, 7) AS roll_30_lag30 FROM (SELECT province_id, date, CASE WHEN count(mm) OVER w >= 24 THEN sum(mm) OVER w END AS roll_30 FROM raind WINDOW w AS (PARTITION BY province_id ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))",
+    raind="SELECT g.province_id, g.date, last_value(precip_mm IGNORE NULLS) OVER (PARTITION BY g.province_id ORDER BY g.date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS mm FROM (SELECT p.province_id, t.date FROM (SELECT DISTINCT province_id FROM rain) p CROSS JOIN (SELECT unnest(generate_series((SELECT min(date) FROM rain), (SELECT max(date) FROM rain), INTERVAL 1 DAY))::DATE AS date) t) g LEFT JOIN rain r ON r.province_id = g.province_id AND r.date = g.date"))
+def rain_lagged(spark, d):
+    return rounded(weather.lagged(weather.rolling_rain(fx.rainfall(spark, d), (30,)), "roll_30", 30), "roll_30_lag30", n=7)
+
+
+@query("data_dictionary", with_("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{t}' AS type, round(avg(({c} IS NULL)::INT), 8) AS null_share FROM marked" for c, t in (("commodity_id", "string"), ("province_id", "int"), ("date", "date"), ("r14", "double"), ("spike", "int"), ("onset", "int"), ("y", "int"))) + ")"))
+def data_dictionary(spark, d):
+    from .export import data_dictionary as dictionary
+    return rounded(dictionary(panel_labels(spark, d).drop("eligible")), "null_share", n=8)
+
+
+@query("history_docs")
+def history_docs(spark, d):
+    from .export import history_docs as docs
+    return docs(clean_panel(spark, d))
