@@ -12,13 +12,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, materialize, small_batches
 
 REGISTERS, BANDS = 128, 32
 PER_BAND = REGISTERS // BANDS
 BASE, RATE, LIMIT = 1.001, 20.0, 65534  # registers 0 to LIMIT + 1 fit 16 bits
 MARGIN = 0.16  # 4.5 standard deviations of an estimate from 128 registers at a similarity of 0.8
-BLOCK = 4096
+BLOCK = 2048
 _MULTIPLIERS = np.random.default_rng(20240101).integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -120,13 +120,8 @@ def sketch(docs: DataFrame, words: int = 4) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("doc_id", text).alias("rid"), text.alias("text")).mapInPandas(sketched, f"doc_id {kind}, rid long, n long, node long, bands array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, least: float, words: int) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose full shingle sets are ``least`` similar.
-
-    The texts of the classes that occur in pairs are read once more, their sets written to the shared folder
-    and joined to both ends.
-    """
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(node, hashes) of the classes in ``nodes``: their texts are read once more, the sets go to the shared folder."""
     wanted = classes.join(nodes, "node").select("node", "rid")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.xxhash64("doc_id", text).alias("rid"), text.alias("text")).join(wanted, "rid").dropDuplicates(["node"])
@@ -137,7 +132,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, least: floa
                 part = b.iloc[a : a + 500]
                 yield pd.DataFrame({"node": part["node"], "hashes": [s.tobytes() for s in shingle_sets(part["text"].tolist(), words)]})
 
-    sets = materialize(texts.select("node", "text").mapInPandas(as_sets, "node long, hashes binary"))
+    return materialize(texts.select("node", "text").mapInPandas(as_sets, "node long, hashes binary"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those (a, b) of ``pairs`` whose full shingle sets are ``least`` similar."""
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -152,21 +151,153 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, least: floa
     return joined.where(alike("ha", "hb")).select("a", "b")
 
 
-def _rest_in_bucket(least: float):
-    """Pairs in a bucket that aren't in one component yet and may be similar, block against block."""
+def _whole_groups(keys: list[str], work):
+    """Runs ``work`` on frames of whole groups, many small ones or one large one, of rows that come in order of ``keys``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            k = b[keys].to_numpy()
+            other = np.flatnonzero((k != k[-1]).any(axis=1)) if len(k) else []
+            cut = other[-1] + 1 if len(other) else 0
+            if cut:
+                yield work(b.iloc[:cut].reset_index(drop=True))
+            held = b.iloc[cut:].reset_index(drop=True)
+        if held is not None and len(held):
+            yield work(held)
+
+    return run
+
+
+def _groups(pdf: pd.DataFrame, keys: list[str]) -> Iterator[tuple[int, int]]:
+    k = pdf[keys].to_numpy()
+    starts = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1, [len(k)]])
+    return zip(starts[:-1].tolist(), starts[1:].tolist())
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        regs, n, node, comp, block = _unpacked(pdf["bands"]), pdf["n"].to_numpy(), pdf["node"].to_numpy(), pdf["comp"].to_numpy(), pdf["block"].to_numpy()
-        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-        left, right, found = np.flatnonzero(block == lo), np.flatnonzero(block == hi), []
-        for i in left:
-            other = right[(comp[right] != comp[i]) & ((node[right] > node[i]) | (lo != hi))]
-            if len(other):
-                ok = other[_plausible(np.repeat(regs[i][None], len(other), axis=0), regs[other], np.full(len(other), n[i]), n[other], least)]
-                found += [(min(node[i], node[k]), max(node[i], node[k])) for k in ok]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return compare
+GROUP = ["bucket", "lo", "hi"]
+
+
+def _open_in_bucket(least: float):
+    """Classes in a bucket that may be similar to one of another component, block against block: (node), not pairs.
+
+    Pairs of small groups are judged together, many groups at a time; in a large group a row's likeliest
+    partners come first, which decide most rows.
+    """
+
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        regs, n, comp, block = _unpacked(pdf["bands"]), pdf["n"].to_numpy(), pdf["comp"].to_numpy(), pdf["block"].to_numpy()
+        lo, hi = pdf["lo"].to_numpy(), pdf["hi"].to_numpy()
+        out, floor = np.zeros(len(pdf), bool), (least - MARGIN - 0.04) * REGISTERS
+        left, right, waiting = [], [], 0
+
+        def together() -> None:
+            nonlocal waiting
+            if left:
+                x, y = np.concatenate(left), np.concatenate(right)
+                ok = (comp[x] != comp[y]) & ((lo[x] == hi[x]) | (block[x] != block[y]))
+                x, y = x[ok], y[ok]
+                likely = (regs[x] == regs[y]).sum(axis=1) >= floor
+                x, y = x[likely], y[likely]
+                ok = _plausible(regs[x], regs[y], n[x], n[y], least) if len(x) else np.zeros(0, bool)
+                out[x[ok]] = out[y[ok]] = True
+            left.clear(), right.clear()
+            waiting = 0
+
+        for a, e in _groups(pdf, GROUP):
+            if e - a <= 48:
+                x, y = np.triu_indices(e - a, 1)
+                left.append(x + a), right.append(y + a)
+                waiting += len(x)
+                if waiting > 20_000:
+                    together()
+                continue
+            for i in range(a, e):
+                other = a + np.flatnonzero((comp[a:e] != comp[i]) & ((lo[i] == hi[i]) | (block[a:e] != block[i])) & (np.minimum(n[a:e], n[i]) >= least * np.maximum(n[a:e], n[i]) - 1e-9))
+                equal = (regs[other] == regs[i]).sum(axis=1)
+                # registers are equal about as often as the sets are similar: below this no estimate comes near
+                other, equal = other[equal >= floor], equal[equal >= floor]
+                other = other[np.argsort(-equal, kind="stable")]
+                for part in (other[:16], other[16:]):
+                    if len(part) and _plausible(np.repeat(regs[i][None], len(part), axis=0), regs[part], np.full(len(part), n[i]), n[part], least).any():
+                        out[i] = True
+                        break
+        together()
+        return pdf.loc[out, [*GROUP, "node", "comp", "block"]]
+
+    return _whole_groups(GROUP, judge)
+
+
+def _components_of(comp: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(component, smallest component linked to it) for links between rows x and y of ``comp``."""
+    names, at = np.unique(comp, return_inverse=True)
+    x, y, label = at[x], at[y], np.arange(len(names))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, x, label[y])
+        np.minimum.at(new, y, label[x])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    k = np.flatnonzero(label != np.arange(len(names)))
+    return names[k], names[label[k]]
+
+
+def _joined_in_bucket(least: float):
+    """Components that full sets in a bucket link, as (a, b): a component and the smallest it is linked to.
+
+    In a large group intersections of all pairs are a product of the classes' membership matrices over the
+    shingles that at least two of them have.
+    """
+
+    def large(sets: list[np.ndarray], n: np.ndarray, comp: np.ndarray, top: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row, flat = np.repeat(np.arange(len(sets)), n), np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        flat, row = flat[order], row[order]
+        group = np.cumsum(np.concatenate([[True], flat[1:] != flat[:-1]])) - 1
+        shared = np.bincount(group) > 1
+        pick = shared[group]
+        col, row = (np.cumsum(shared) - 1)[group[pick]], row[pick]
+        both = np.zeros((len(top), len(left)), np.float32)
+        for a in range(0, int(shared.sum()), 4096):
+            k = slice(*np.searchsorted(col, [a, a + 4096]))
+            has = np.zeros((len(sets), min(4096, int(shared.sum()) - a)), np.float32)
+            has[row[k], col[k] - a] = 1
+            both += has[top] @ has[left].T
+        near = 100 * both >= round(100 * least) * (n[top][:, None] + n[left][None, :] - both)
+        near &= comp[top][:, None] != comp[left][None, :]
+        x, y = np.nonzero(near)
+        return top[x], left[y]
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        every, comps, blocks = [np.frombuffer(h, np.uint64) for h in pdf["hashes"]], pdf["comp"].to_numpy(), pdf["block"].to_numpy()
+        los, his, found, seen = pdf["lo"].to_numpy(), pdf["hi"].to_numpy(), [], {}
+        nodes = pdf["node"].to_numpy()
+        for a, e in _groups(pdf, GROUP):
+            sets, comp, block, lo, hi = every[a:e], comps[a:e], blocks[a:e], los[a], his[a]
+            n = np.array([len(x) for x in sets])
+            if e - a <= 12:
+                links = []
+                for i in range(e - a):
+                    for k in range(i + 1, e - a):
+                        if comp[i] != comp[k] and (lo == hi or block[i] != block[k]):
+                            pair = (nodes[a + i], nodes[a + k])
+                            if pair not in seen:  # other bands bring the same pairs
+                                both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                                seen[pair] = 100 * both >= round(100 * least) * (n[i] + n[k] - both)
+                            if seen[pair]:
+                                links.append((i, k))
+                x, y = np.array(links, int).reshape(-1, 2).T
+            else:
+                x, y = large(sets, n, comp, np.flatnonzero(block == lo), np.flatnonzero(block == hi))
+            if len(x):
+                p, q = _components_of(comp, x, y)
+                found.append(pd.DataFrame({"a": p, "b": q}))
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+
+    return _whole_groups(GROUP, join)
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, words: int = 4) -> DataFrame:
@@ -174,14 +305,16 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, words: int = 4) -> Data
 
     Documents with one shingle set are one class from the start.  Classes that share a band of four registers
     meet; at a similarity of 0.8 two miss each other in all 32 bands once in 20 million.  First each class in
-    a bucket is compared with the bucket's first class: a star, not all pairs.  Components of those links
-    leave, in any bucket, only pairs of classes from different components; each of these is judged by
-    likelihood, block against block, and then on full sets, so no link between components is lost.  Links
-    inside a component change nothing and aren't looked for.
+    a bucket is compared with the bucket's first class: a star, not all pairs.  Of the components of those
+    links, only pairs of classes from different ones, in one bucket, can still change anything.  A class that
+    by likelihood may be similar to another component's stays, and those that stay in a bucket are compared on
+    full sets, block against block, where rows name components and not pairs.  So no link between components
+    is lost; links inside a component change nothing and aren't looked for.
 
     component_id is the smallest doc_id of the component, nulls aside (null if all are null).  Empty texts
     are linked with nothing: their component is their own id.  Repeated rows are equal texts.
     """
+    small_batches(docs.sparkSession)
     rows = materialize(sketch(docs, words))
     classes = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "rid")).alias("m"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = materialize(classes.select("node", "m.rid", "n", "bands"))
@@ -196,7 +329,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, words: int = 4) -> Data
 
     side = [classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bands").alias(f"bands_{c}")) for c in "ab"]
     maybe = star.join(side[0], "a").join(side[1], "b").where(plausible("bands_a", "bands_b", "na", "nb")).select("a", "b")
-    links = materialize(_verified(materialize(maybe), docs, classes, least, words))
+    maybe = materialize(maybe)
+    in_pairs = maybe.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    links = materialize(_verified(maybe, _sets(in_pairs, docs, classes, words), least))
     comp = components(links)
 
     placed = members.join(comp, "node", "left").select("bucket", "node", "size", F.coalesce("comp", "node").alias("comp"))
@@ -204,10 +339,11 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, words: int = 4) -> Data
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     rest = placed.join(split, "bucket").join(classes.select("node", "n", "bands"), "node").select("*", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("block"))
     rest = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p")).select("bucket", "node", "comp", "n", "bands", "block", F.least("block", "p").alias("lo"), F.greatest("block", "p").alias("hi"))
-    more = materialize(rest.groupBy("bucket", "lo", "hi").applyInPandas(_rest_in_bucket(least), "a long, b long").distinct())
-    if more.limit(1).count():
-        links = materialize(links.unionByName(_verified(more, docs, classes, least, words)))
-        comp = components(links)
+    unsure = materialize(rest.repartition(*GROUP).sortWithinPartitions(*GROUP, "node").mapInPandas(_open_in_bucket(least), "bucket long, lo int, hi int, node long, comp long, block int"))
+    if unsure.limit(1).count():
+        full = unsure.join(_sets(unsure.select("node").distinct(), docs, classes, words), "node")
+        more = materialize(full.repartition(*GROUP).sortWithinPartitions(*GROUP, "node").mapInPandas(_joined_in_bucket(least), "a long, b long").distinct())
+        comp = components(links.unionByName(more))
 
     named = classes.select("node").join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
     ids = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")).join(named, "node")
