@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SHAPES, WORDS, NUMBERS, META = 128, 512, 4, 96
 CONTENT = SHAPES + WORDS + NUMBERS
 ROWS_AT_ONCE = 1000
@@ -172,6 +174,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **bound
     """
     outs = ("content_score", "meta_score", "score", "kept")
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in outs])
+    small_batches(docs.sparkSession)
     model = train(docs, labels, **bounds)
     if model is None:
         return docs.select("*", *[F.lit(None).cast("double").alias(c) for c in outs[:3]], F.lit(True).alias("kept"))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import materialize, shared_dir, small_batches
 
 FILE_MB = 16
 DATE = "2024-01-01T00:00:00Z"
@@ -133,6 +133,7 @@ def restored(records: DataFrame) -> DataFrame:
 
 def deduplicate_pages(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     """Write ``pages`` (page_id, url, html) to WARC files under ``path``, repeated payloads as revisits."""
+    small_batches(pages.sparkSession)
     rows = page_headers(pages)
     heads = materialize(rows.select("page_id", "payload_bytes", "payload_digest"))
     size = heads.agg(F.sum("payload_bytes")).first()[0] or 0
