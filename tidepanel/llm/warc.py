@@ -51,12 +51,13 @@ def resolve_revisits(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
     return joined.select(*headers.columns, F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("__first")).alias("refers_to"))
 
 
-def write_archive(records: DataFrame, path: str) -> None:
+def write_archive(records: DataFrame, path: str, per_file: int = 5000) -> None:
     """Write (page_id, url, payload_bytes, payload_digest, payload, record_type, refers_to) as WARC/1.1, gzipped.
 
     Every record gets a fresh header.  A revisit has its original's digest and record id and an empty block.
     A record is one row of Spark's text writer: the last line feed of the record is the row's line end, so the
     files are plain WARC and the writer's commit protocol covers lost executors.  Record ids name the page.
+    A file gets at most ``per_file`` records; payloads aren't shuffled for the sake of file sizes.
     """
     def field(name: str, value) -> F.Column:
         return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -71,7 +72,7 @@ def write_archive(records: DataFrame, path: str) -> None:
         F.when(revisit, F.concat(field("WARC-Profile", F.lit(PROFILE)), field("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))))).otherwise(F.lit("")),
         field("Content-Type", F.lit("text/html")), field("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"),
     )
-    records.select(F.concat(head, block, F.lit("\r\n\r")).alias("value")).write.option("compression", "gzip").option("lineSep", "\n").text(path)
+    records.select(F.concat(head, block, F.lit("\r\n\r")).alias("value")).write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -136,12 +137,13 @@ def deduplicate_pages(pages: DataFrame, path: str, least_bytes: int = 0) -> None
     small_batches(pages.sparkSession)
     rows = page_headers(pages)
     heads = materialize(rows.select("page_id", "payload_bytes", "payload_digest"))
-    size = heads.agg(F.sum("payload_bytes")).first()[0] or 0
+    n, size = heads.agg(F.count(F.lit(1)), F.sum("payload_bytes")).first()
+    per_file = max(1, (FILE_MB << 20) * n // max(size or 0, 1))  # records that make FILE_MB on average
     verdict = resolve_revisits(heads, least_bytes).groupBy("page_id", "payload_digest").agg(F.first("record_type").alias("record_type"), F.first("refers_to").alias("refers_to"))
     keyed = verdict.where("record_type = 'revisit'").select(F.coalesce("page_id", F.lit(-1)).alias("__id"), F.col("page_id").isNull().alias("__none"), "payload_digest", "record_type", "refers_to")
     full = rows.select("*", F.coalesce("page_id", F.lit(-1)).alias("__id"), F.col("page_id").isNull().alias("__none")).join(keyed, ["__id", "__none", "payload_digest"], "left")
     full = full.select("page_id", "url", "payload_bytes", "payload_digest", F.when(F.col("record_type").isNull(), F.col("payload")).otherwise("").alias("payload"), F.coalesce("record_type", F.lit("response")).alias("record_type"), "refers_to")
-    write_archive(full.repartition(max(1, -(-size // (FILE_MB << 20)))), path)
+    write_archive(full, path, min(per_file, 1_000_000))
 
 
 def op7_warc(pages: DataFrame) -> DataFrame:
