@@ -36,3 +36,12 @@ def test_pipeline_runs_and_stages_hold(spark, tmp_path):
         got[r.doc_id] += r.n_words
     assert {k: v for k, v in got.items() if v} == {k: v for k, v in words.items() if v}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed)
+
+
+def test_near_duplicates_of_the_pipeline_share_five_word_shingles(spark):
+    words = [f"w{i}" for i in range(43)]
+    other = [*words[:20], "other", *words[21:]]  # 36 of 44 four-word shingles, but 34 of 44 five-word ones
+    near = [*words, *(f"x{i}" for i in range(40))]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(near)), (4, " ".join([*near[:30], "other", *near[31:]])), (5, None), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [1, 2, 3, 5, 6]

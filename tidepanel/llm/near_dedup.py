@@ -351,9 +351,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, words: int = 4) -> Data
     return rows.select("doc_id", "rid", F.col("n").alias("n_shingles"), "node").join(ids, "node", "left").select("doc_id", "rid", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, least: float = 0.8) -> DataFrame:
+def deduplicate(docs: DataFrame, least: float = 0.8, words: int = 5) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that of the smallest doc_id, ties by row hash."""
-    found = materialize(near_duplicates(docs, least))
+    found = materialize(near_duplicates(docs, least, words))
     chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("rid").alias("__rid"), F.count(F.lit(1)).alias("__n"))
     chosen = materialize(chosen)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
