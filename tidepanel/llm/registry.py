@@ -11,6 +11,7 @@ from .packing import op5_packing
 from .pii import op8_pii
 from .quality_rules import op6_quality_rules
 from .sharding import op1_sharding
+from .sql import OP7_SQL, OP9_SQL, OP10_SQL
 from .substrings import op2_substring_dedup
 from .warc import op7_warc
 
@@ -31,4 +32,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_mixing": OP4_SQL}
+    return {"op4_mixing": OP4_SQL, "op7_warc": OP7_SQL, "op9_near_dedup": OP9_SQL, "op10_embedding_dedup": OP10_SQL}
