@@ -153,6 +153,39 @@ def test_co_training_teaches_the_other_view():
     assert ((m.score(a[~few], b[~few])[2] >= 0.5) == (y[~few] == 1)).mean() > 0.97
 
 
+def test_co_training_hears_every_sure_row_of_the_pool(spark):
+    rng = np.random.default_rng(4)
+    y = (rng.random(3000) < 0.5).astype(float)
+    a, b = (np.float32(y[:, None] * 6 + rng.normal(size=(3000, 2))) for _ in range(2))
+    held = np.arange(400) % 4 == 0
+    asked = []
+
+    def added(*task):
+        out = classifier.pool_sums((a[400:], b[400:]), *task)
+        asked.append((task, out))
+        return out
+
+    m = classifier.co_train_by_sums(a[:400], b[:400], y[:400], held, added)
+    counts = [out for (_, w, *_), out in asked if w is None]
+    assert len(counts) == 3 and counts[0].reshape(2, 2).min() > 600  # far beyond 200 of a class and round
+    pool = spark.createDataFrame([(p.tobytes(), q.tobytes()) for p, q in zip(a[400:], b[400:])], "xc binary, xm binary").repartition(5)
+    added = classifier._added_on_executors(pool)
+    for task, out in asked:
+        assert np.allclose(added(*task), out, rtol=1e-4, atol=1e-3)
+    assert np.allclose(classifier.co_train_by_sums(a[:400], b[:400], y[:400], held, added).content, m.content, atol=1e-5)
+
+
+def test_classifier_pool_is_the_whole_corpus(spark, monkeypatch):
+    rs = labelled(2400) + [(None, "no id here", None, None, None)]
+    df = spark.createDataFrame(rs, "doc_id long, text string, lang string, source string, n_chars long")
+    lab = spark.createDataFrame([(r[0], int(r[0] < 2400), 0) for r in rs[:-1] if r[0] % 20 == 0], "doc_id long, quality int, toxic int")
+    sizes = []
+    real = classifier._added_on_executors
+    monkeypatch.setattr(classifier, "_added_on_executors", lambda pool: sizes.append(pool.count()) or real(pool))
+    assert classifier.train(df, lab, rounds=1) is not None
+    assert sizes == [len(rs) - 240]
+
+
 def test_mixing_targets_and_budgets(docs, nothing):
     out = mixing.op4_mixing(docs).collect()
     src = {r[0]: r[3] for r in rows()}

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import materialize, small_batches
 
 SHAPES, WORDS, NUMBERS, META = 128, 512, 4, 96
 CONTENT = SHAPES + WORDS + NUMBERS
 ROWS_AT_ONCE = 1000
+SLICES = 16
 
 
 def _hashed(values: pa.Array, n: int) -> np.ndarray:
@@ -108,62 +110,159 @@ class Model:
         return _p(c), _p(m), _p(_logit(np.stack([c, m], axis=1), self.combine))
 
 
-def co_train(xc: np.ndarray, xm: np.ndarray, y: np.ndarray, held: np.ndarray, pool_c: np.ndarray, pool_m: np.ndarray, rounds: int = 3, sure: float = 0.97, most: int = 200) -> Model:
+def _labels_given(x: tuple[np.ndarray, np.ndarray], history: list, sure: float) -> list[np.ndarray]:
+    """For each view the labels that the other one gives (nan: none): those of the first round in which it is sure."""
+    out = []
+    for v in range(2):
+        got = np.full(len(x[v]), np.nan)
+        for ws in history:
+            p = _p(_logit(x[1 - v], ws[1 - v]))
+            free = np.isnan(got)
+            got[free & (p >= sure)], got[free & (p <= 1 - sure)] = 1.0, 0.0
+        out.append(got)
+    return out
+
+
+def _loss_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Weighted log loss, its gradient and its Hessian (products in single precision: they only steer the steps), flat."""
+    z = np.clip(x.astype(np.float64) @ w[:-1] + w[-1], -30, 30)
+    p, weight = _p(z), share[y.astype(int)]
+    loss = (weight * (np.logaddexp(0, z) - y * z)).sum()
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    h = (x * (weight * p * (1 - p) + 1e-9).astype(x.dtype)[:, None]).T @ x
+    return np.concatenate([[loss], x.astype(np.float64).T @ (weight * (p - y)), h.astype(np.float64).ravel()])
+
+
+def pool_sums(x: tuple[np.ndarray, np.ndarray], history: list, w: list | None, shares: np.ndarray | None, sure: float) -> np.ndarray:
+    """What some unlabelled rows add to the training of both views, as one flat array that can be added up.
+
+    Without ``w`` the number of pseudo-labels 0 and 1 for each view, else the ``_loss_sums`` of each view whose weights are given.
+    """
+    labels = _labels_given(x, history, sure)
+    if w is None:
+        return np.array([float((y == c).sum()) for y in labels for c in (0, 1)])
+    out = []
+    for v in range(2):
+        if w[v] is not None:
+            known = ~np.isnan(labels[v])
+            out.append(_loss_sums(x[v][known], labels[v][known], w[v], shares[v]))
+    return np.concatenate(out)
+
+
+def co_train(xc: np.ndarray, xm: np.ndarray, y: np.ndarray, held: np.ndarray, pool_c: np.ndarray, pool_m: np.ndarray, rounds: int = 3, sure: float = 0.97) -> Model:
+    """``co_train_by_sums`` over a pool of unlabelled rows in memory."""
+    return co_train_by_sums(xc, xm, y, held, lambda *task: pool_sums((pool_c, pool_m), *task), rounds, sure)
+
+
+def co_train_by_sums(xc: np.ndarray, xm: np.ndarray, y: np.ndarray, held: np.ndarray, added: Callable[..., np.ndarray], rounds: int = 3, sure: float = 0.97, ridge: float = 1.0, steps: int = 12) -> Model:
     """Train both views on the rows that aren't ``held``; calibrate and combine on those that are.
 
-    In each round a view labels the pool rows that it is surest of (probability ``sure`` or more either way,
-    ``most`` of a class) for the other view's next training.  A pool row is given to a view once.
+    In each round a view labels all pool rows that it is sure of (probability ``sure`` or more either way) for
+    the other view's next training; a row keeps the first label that it was given.  ``added(history, w, shares,
+    sure)`` is the sum of ``pool_sums`` over the whole pool, of any size.  Pseudo-labels together weigh no more than
+    the labelled rows, so that these aren't drowned in a large pool; classes weigh alike.
     """
     fit = ~held
-    given: tuple[dict[int, float], dict[int, float]] = ({}, {})  # to the content view, to the metadata view
-    w = [None, None]
-    for k in range(rounds + 1):
-        for v, (x, pool) in enumerate(((xc, pool_c), (xm, pool_m))):
-            rows = sorted(given[v])
-            w[v] = fit_logistic(np.vstack([x[fit], pool[rows]]), np.concatenate([y[fit], [given[v][i] for i in rows]]))
-        if k == rounds:
-            break
-        for v, pool in enumerate((pool_c, pool_m)):
-            p = _p(_logit(pool, w[v]))
-            for label, surest in ((1.0, np.argsort(-p, kind="stable")), (0.0, np.argsort(p, kind="stable"))):
-                ok = [i for i in surest.tolist() if (p[i] >= sure if label else p[i] <= 1 - sure) and i not in given[1 - v]][:most]
-                given[1 - v].update(dict.fromkeys(ok, label))
+    x, y_fit, history = (xc[fit], xm[fit]), y[fit], []
+    w = [fit_logistic(part, y_fit, ridge) for part in x]
+    for _ in range(rounds):
+        history = [*history, tuple(w)]
+        given = added(history, None, None, sure).reshape(2, 2)
+        trust = [min(1.0, len(y_fit) / max(n, 1.0)) for n in given.sum(axis=1)]
+        sizes = np.stack([np.array([(y_fit == c).sum() for c in (0, 1)]) + t * g for t, g in zip(trust, given)])
+        shares = 0.5 * sizes.sum(axis=1, keepdims=True) / sizes
+        trial, step, best, open_ = list(w), [None, None], [np.inf, np.inf], [0, 1]
+        for _ in range(steps):
+            ask = [trial[v] if v in open_ else None for v in range(2)]
+            total, at = added(history, ask, shares * np.array(trust)[:, None], sure), 0
+            for v in list(open_):
+                n = len(w[v])
+                sums = total[at : at + 1 + n + n * n] + _loss_sums(x[v], y_fit, trial[v], shares[v])
+                at += 1 + n + n * n
+                penalty = np.full(n, ridge)
+                penalty[-1] = 1e-6
+                loss = sums[0] + 0.5 * (penalty * trial[v] ** 2).sum()
+                if loss > best[v] * (1 + 1e-12):  # too far
+                    step[v] = step[v] / 2
+                else:
+                    w[v], best[v] = trial[v], loss
+                    step[v] = np.linalg.solve(sums[1 + n :].reshape(n, n) + np.diag(penalty), sums[1 : 1 + n] + penalty * trial[v])
+                trial[v] = w[v] - step[v]
+                if np.abs(step[v]).max() < 1e-4:  # steps shrink quadratically
+                    w[v] = trial[v]
+                    open_.remove(v)
+            if not open_:
+                break
     c, m = _logit(xc[held], w[0]), _logit(xm[held], w[1])
     kc, km = (fit_logistic(z[:, None], y[held], ridge=0.1) for z in (c, m))
     both = np.stack([_logit(c[:, None], kc), _logit(m[:, None], km)], axis=1)
     return Model(w[0], w[1], (kc, km), fit_logistic(both, y[held], ridge=0.1))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_pool: int = 4000, target: str = "quality") -> Model | None:
-    """Fit on at most ``max_labelled`` labelled documents and ``max_pool`` others, those of least id hash.
+def _unpacked(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.frombuffer(b"".join(map(bytes, batch[c])), np.float32).reshape(len(batch), -1) for c in ("xc", "xm"))
+
+
+def _added_on_executors(pool: DataFrame) -> Callable[..., np.ndarray]:
+    """``added`` of ``co_train_by_sums``: one pass over ``pool`` (xc, xm), summed in slices; the driver gets one sum."""
+
+    def added(history: list, w: list | None, shares: np.ndarray | None, sure: float) -> np.ndarray:
+        size = 4 if w is None else sum(1 + len(x) + len(x) ** 2 for x in w if x is not None)
+
+        def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(size)
+            for b in batches:
+                if len(b):
+                    total += pool_sums(_unpacked(b), history, w, shares, sure)
+            pieces = [x.tobytes() for x in np.array_split(total, SLICES)]
+            yield pd.DataFrame({"i": range(SLICES), "part": TaskContext.get().partitionId(), "sums": pieces})
+
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            # in order of the parts, so that equal layouts give equal sums
+            total = sum(np.frombuffer(b, np.float64) for b in pdf.sort_values("part")["sums"])
+            return pd.DataFrame({"i": pdf["i"].iloc[:1], "sums": [total.tobytes()]})
+
+        got = {r.i: r.sums for r in pool.mapInPandas(some, "i int, part int, sums binary").groupBy("i").applyInPandas(add, "i int, sums binary").collect()}
+        return np.frombuffer(b"".join(bytes(got[i]) for i in range(SLICES)), np.float64) if got else np.zeros(size)
+
+    return added
+
+
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, target: str = "quality", rounds: int = 3, sure: float = 0.97) -> Model | None:
+    """Fit on at most ``max_labelled`` labelled documents, those of least id hash, and on all other documents.
 
-    These two bounds are the only sampling here; they hold the training set (about 30 MB) on the driver.
+    That bound is the only sampling here; it holds the labelled rows (about 20 MB) on the driver.  All other
+    documents, those without an id or with a label beyond the bound included, are unlabelled: their features are
+    written to the shared folder once, and each round adds up what the sure ones contribute on the executors.
     Labels of one document are averaged, 0.5 or more counting as 1; null labels don't count.  A quarter of the
     labelled rows, by hash, is held for calibration.  None if either part lacks one of the classes.
     """
     want = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(target) >= 0.5).cast("double").alias("y"))
-    # bounded by the two limits, so the ids can be broadcast
-    ids = docs.select("doc_id").where("doc_id is not null").join(want, "doc_id", "left").select("doc_id", "y", F.xxhash64(F.lit(3), "doc_id").alias("h")).distinct()
-    some = ids.where("y is not null").orderBy("h").limit(max_labelled).unionByName(ids.where("y is null").orderBy("h").limit(max_pool))
+    # bounded by the limit, so the ids can be broadcast
+    ids = docs.select("doc_id").where("doc_id is not null").join(want, "doc_id").select("doc_id", "y", F.xxhash64(F.lit(3), "doc_id").alias("h")).distinct()
+    some = materialize(ids.orderBy("h").limit(max_labelled))
     names = {c.lower() for c in docs.columns}
     meta = [F.col(c).cast("string").alias(c) if c in names else F.lit(None).cast("string").alias(c) for c in ("lang", "source")] + [F.col("n_chars").cast("long").alias("n_chars") if "n_chars" in names else F.length("text").cast("long").alias("n_chars")]
-    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text"), *meta).join(F.broadcast(some), "doc_id")
+    whole = docs.select("doc_id", F.col("text").cast("string").alias("text"), *meta)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             xc, xm = content_features(b["text"].tolist()), meta_features(b["lang"].tolist(), b["source"].tolist(), b["n_chars"].tolist())
             yield pd.DataFrame({"h": b["h"], "y": b["y"], "xc": [r.tobytes() for r in xc], "xm": [r.tobytes() for r in xm]})
 
-    got = chosen.mapInPandas(features, "h long, y double, xc binary, xm binary").toPandas().sort_values(["h", "y"], kind="stable").drop_duplicates("h")
+    schema = "h long, y double, xc binary, xm binary"
+    got = whole.join(F.broadcast(some), "doc_id").mapInPandas(features, schema).toPandas().sort_values(["h", "y"], kind="stable").drop_duplicates("h")
     if got.empty:
         return None
-    xc, xm = (np.frombuffer(b"".join(map(bytes, got[c])), np.float32).reshape(len(got), -1) for c in ("xc", "xm"))
-    known, y = got["y"].notna().to_numpy(), got["y"].to_numpy()
+    xc, xm = _unpacked(got)
+    y = got["y"].to_numpy()
     held = (got["h"].to_numpy() >> 7) % 4 == 0
-    parts = [y[known & held], y[known & ~held]]
+    parts = [y[held], y[~held]]
     if any(len(set(p.tolist())) < 2 for p in parts):
         return None
-    return co_train(xc[known], xm[known], y[known], held[known], xc[~known], xm[~known])
+    others = whole.join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti").select("*", F.lit(None).cast("long").alias("h"), F.lit(None).cast("double").alias("y"))
+    pool = materialize(others.mapInPandas(features, schema).select("xc", "xm"), compression="zstd")
+    return co_train_by_sums(xc, xm, y, held, _added_on_executors(pool), rounds, sure)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **bounds) -> DataFrame:
