@@ -354,6 +354,19 @@ def test_near_dedup_against_brute_force(docs, nothing):
     assert kept.columns == docs.columns and kept.count() == len({(w[2] if s else ("own", i, rows()[i][1])) for i, (w, s) in enumerate(zip(want, sets))} | set())
 
 
+def test_deduplicate_keeps_unlike_texts_of_null_and_repeated_ids(spark):
+    t = [prose(80, 900 + i) for i in range(6)]
+    near = t[0] + " tail"
+    rs = [(None, t[0]), (None, near), (None, t[1]), (None, t[2]), (None, ""), (None, " "), (None, None), (4, t[3]), (4, t[4]), (4, t[4]), (4, ""), (9, t[4]), (5, ""), (None, t[5]), (8, t[5])]
+    kept = sorted(map(str, near_dedup.deduplicate(spark.createDataFrame(rs, "doc_id long, text string").repartition(3)).collect()))
+    names = [(r, str(spark.createDataFrame([r], "doc_id long, text string").first())) for r in rs]
+    got = [r for r, name in names for k in kept if k == name]
+    for must in [(None, t[1]), (None, t[2]), (None, " "), (4, t[3]), (4, t[4]), (4, ""), (5, ""), (8, t[5])]:
+        assert must in got
+    assert len(kept) == 10 and sum(k in (names[0][1], names[1][1]) for k in kept) == 1
+    assert (9, t[4]) not in got and (None, t[5]) not in got
+
+
 def test_near_dedup_residual_links_two_stars(spark, monkeypatch):
     base = prose(200, 30).split()
     rs = []

@@ -301,7 +301,7 @@ def _joined_in_bucket(least: float):
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, words: int = 4) -> DataFrame:
-    """(doc_id, rid, n_shingles, component_id) of every row: components of documents at least ``least`` similar.
+    """(doc_id, rid, n_shingles, component, component_id) of every row: components of documents at least ``least`` similar.
 
     Documents with one shingle set are one class from the start.  Classes that share a band of four registers
     meet; at a similarity of 0.8 two miss each other in all 32 bands once in 20 million.  First each class in
@@ -312,7 +312,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, words: int = 4) -> Data
     is lost; links inside a component change nothing and aren't looked for.
 
     component_id is the smallest doc_id of the component, nulls aside (null if all are null).  Empty texts
-    are linked with nothing: their component is their own id.  Repeated rows are equal texts.
+    are linked with nothing: their component is their own id.  Repeated rows are equal texts.  Ids may be null or
+    repeated, so component_id names no component; component does (among empty texts, the row: its rid).
     """
     small_batches(docs.sparkSession)
     rows = materialize(sketch(docs, words))
@@ -347,15 +348,16 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, words: int = 4) -> Data
 
     named = classes.select("node").join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
     ids = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")).join(named, "node")
-    ids = ids.join(ids.groupBy("comp").agg(F.min("first").alias("component_id")), "comp").select("node", "component_id")
-    return rows.select("doc_id", "rid", F.col("n").alias("n_shingles"), "node").join(ids, "node", "left").select("doc_id", "rid", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    ids = ids.join(ids.groupBy("comp").agg(F.min("first").alias("component_id")), "comp").select("node", "comp", "component_id")
+    own = F.col("node").isNull()
+    return rows.select("doc_id", "rid", F.col("n").alias("n_shingles"), "node").join(ids, "node", "left").select("doc_id", "rid", "n_shingles", F.when(own, F.col("rid")).otherwise(F.col("comp")).alias("component"), F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, least: float = 0.8, words: int = 5) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: that of the smallest doc_id, ties by row hash."""
-    found = materialize(near_duplicates(docs, least, words))
-    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("rid").alias("__rid"), F.count(F.lit(1)).alias("__n"))
-    chosen = materialize(chosen)
+    """``docs`` with one row of each group of near duplicates: that of the smallest doc_id, nulls last, ties by row hash."""
+    found = near_duplicates(docs, least, words).groupBy((F.col("n_shingles") > 0).alias("full"), "component", "doc_id", "rid").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "n")).alias("m")
+    chosen = materialize(found.groupBy("full", "component").agg(first).select(F.col("m.rid").alias("__rid"), F.col("m.n").alias("__n")))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     out = docs.select("*", F.xxhash64("doc_id", text).alias("__rid")).join(chosen.select("__rid"), "__rid", "left_semi")
     if chosen.where("__n > 1").limit(1).count():  # some row is there more than once
