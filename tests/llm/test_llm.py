@@ -332,6 +332,18 @@ def test_pii_contexts_find_unseen_identifiers(spark):
     assert got[100] == "context:22:38" and got[101] == ""
 
 
+def test_pii_contexts_find_short_spaced_and_at_sign_identifiers(spark):
+    texts = [f"write to member mail: user{i}@site{i}.example.com for more" for i in range(80)]
+    texts += [f"by 2 mail: user{i}@site{i}.example.com for more" for i in range(80)] + [f"mail: user{i}@site{i}.example.com for more" for i in range(80)]
+    new = {"write to member mail: AB-1234 x": "AB-1234", "write to member mail: user@intranet x": "user@intranet", "write to member mail: 555 123 4567 x": "555 123 4567",
+           "by 7 mail: 1234567 x": "1234567", "mail: 4412-77 x": "4412-77", "the year 1234567 was 12 fine": None, "write to member mail: @ x": None}
+    docs = spark.createDataFrame(list(enumerate([*texts, *new])), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.op8_pii(docs).collect()}
+    for i, (text, part) in enumerate(new.items()):
+        at = text.find(part) if part else 0
+        assert got[len(texts) + i] == (f"context:{at}:{at + len(part)}" if part else "")
+
+
 def test_near_dedup_against_brute_force(docs, nothing):
     got = near_dedup.op9_near_dedup(docs).collect()
     sets = []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, without
+from .common import SPACE, materialize, without
 
 # Possessive forms of the contract's patterns: the same leftmost matches in linear time and constant stack.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -14,22 +14,29 @@ CARD = r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 KINDS = ("email", "ip", "card", "phone")
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*+"
+NUMBER = r"[^\x20\x09-\x0D\p{L}@0-9]*+[0-9][^\x20\x09-\x0D\p{L}@]*+(?![^\x20\x09-\x0D])"
+TOKEN = rf"(?<![^\x20\x09-\x0D])(?:{NUMBER}(?:\x20{NUMBER})*+|[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*+)"
 SPAN = "array<struct<s:int,k:int,e:int>>"
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, m, gap>> of the leftmost non-overlapping matches; gap is the text since the last one."""
+def _matches(text: Column, pattern: str, tails: bool = False) -> Column:
+    """array<struct<s, e, m, tail>> of the leftmost non-overlapping matches; tail is what stands before one (if asked for).
+
+    A tail ends with the last 160 characters before the match, blanks at its end aside, earlier matches included.
+    """
     parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     cut = F.arrays_zip(parts.alias("gap"), found.alias("m"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string,gap:string>>").alias("out"))
+    none = F.array().cast("array<struct<s:int,e:int,m:string,tail:string>>")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out"))
 
     def step(a: Column, z: Column) -> Column:
         s = a["at"] + F.length(z["gap"])
         e = s + F.length(z["m"])
-        return F.when(z["m"].isNull(), a).otherwise(F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"), z["m"].alias("m"), z["gap"].alias("gap")))).alias("out")))
+        tail = F.substring(F.rtrim(F.concat(a["tail"], z["gap"]), F.lit(SPACE)), -160, 160) if tails else F.lit("")
+        after = F.substring(F.concat(tail, F.lit(" "), z["m"]), -160, 160) if tails else F.lit("")
+        return F.when(z["m"].isNull(), a).otherwise(F.struct(e.alias("at"), after.alias("tail"), F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"), z["m"].alias("m"), tail.alias("tail")))).alias("out")))
 
-    return F.when(text.rlike(pattern), F.aggregate(cut, start, step)["out"]).otherwise(F.array().cast("array<struct<s:int,e:int,m:string,gap:string>>"))
+    return F.when(text.rlike(pattern), F.aggregate(cut, start, step)["out"]).otherwise(none)
 
 
 def _luhn(digits: Column) -> Column:
@@ -73,23 +80,25 @@ def _joined(spans: Column) -> Column:
 
 
 def context_instances(docs: DataFrame) -> DataFrame:
-    """(rid, s, e, pattern, shape, seed) of each token with a digit or an at sign and two words before it.
+    """(rid, s, e, pattern, shape, seed) of each token with a digit or an at sign; a lone at sign is none.
 
-    The pattern is the two words before the token, lower-cased; the shape is the token with letters as a and
-    digits as 9, runs as one.  A token that touches a base span is a seed.
+    Number tokens (a digit, no letter or at sign) with one blank between them are one instance.  The pattern is
+    the two words before it in the text, lower-cased, digit runs as 9, with ^ for a word that the text's start
+    leaves out; the shape is the token with letters as a and digits as 9, runs as one.  An instance that touches
+    a base span is a seed.
     """
     base = F.array_sort(F.concat(*[F.col(k) for k in KINDS]))
-    rows = docs.select("rid", base.alias("base"), F.explode(_matches(F.col("t"), TOKEN)).alias("x"))
-    tail = F.lower(F.substring(F.col("x.gap"), -80, 80))
-    pattern = F.regexp_extract(tail, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
-    second = F.regexp_extract(tail, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
+    rows = docs.select("rid", base.alias("base"), F.explode(_matches(F.col("t"), TOKEN, tails=True)).alias("x"))
+    tail = F.regexp_replace(F.lower("x.tail"), "[0-9]+", "9")
+    first = F.regexp_extract(tail, r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++[^\x20\x09-\x0D]++$", 1)
+    second = F.regexp_extract(tail, r"[^\x20\x09-\x0D]++$", 0)
+    pattern = F.concat_ws(" ", *[F.when(w == "", "^").otherwise(w) for w in (first, second)])
     lead = F.length(F.regexp_extract("x.m", r"^[^0-9A-Za-z@]*", 0))
-    core = F.regexp_extract("x.m", r"[0-9A-Za-z@](?:[^\x20\x09-\x0D]*[0-9A-Za-z])?", 0)
-    rows = rows.select("rid", "base", (F.col("x.s") + lead).alias("s"), (F.col("x.s") + lead + F.length(core)).alias("e"), core.alias("core"), pattern.alias("p1"), second.alias("p2")).where("p1 <> '' and p2 <> ''")
+    core = F.regexp_extract("x.m", r"(?s)[0-9A-Za-z@](?:.*[0-9A-Za-z])?", 0)
+    rows = rows.select("rid", "base", (F.col("x.s") + lead).alias("s"), (F.col("x.s") + lead + F.length(core)).alias("e"), core.alias("core"), pattern.alias("pattern")).where("core <> '@'")
     seed = F.exists("base", lambda b: (b["s"] < F.col("e")) & (b["e"] > F.col("s")))
     shape = F.regexp_replace(F.regexp_replace("core", "[A-Za-z]+", "a"), "[0-9]+", "9")
-    digits = F.length(F.regexp_replace("core", "[^0-9]+", ""))
-    return rows.select("rid", "s", "e", F.concat_ws(" ", "p1", "p2").alias("pattern"), F.substring(shape, 1, 64).alias("shape"), seed.alias("seed"), (digits >= 6).alias("long"))
+    return rows.select("rid", "s", "e", "pattern", F.substring(shape, 1, 64).alias("shape"), seed.alias("seed"))
 
 
 def bootstrap(instances: DataFrame, rounds: int = 3, accept: float = 0.8, support: int = 3) -> DataFrame:
@@ -125,7 +134,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     based = keyed.select("*", *base_spans(F.col("__text")))
     seen = materialize(context_instances(based.select("rid", F.col("__text").alias("t"), *KINDS)).distinct())
     trusted = bootstrap(seen)
-    new = seen.where(F.col("long") & ~F.col("seed")).join(trusted, "pattern")
+    new = seen.where(~F.col("seed")).join(trusted, "pattern")
     new = new.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("s", F.lit(len(KINDS)).alias("k"), "e"))).alias("context"))
     return based.join(new, "rid", "left").select(*[F.col(f"`{c}`") for c in docs.columns], *KINDS, F.coalesce("context", F.array().cast(SPAN)).alias("context"))
 
