@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,11 +15,14 @@ from pyspark.sql import functions as F
 from .common import components, materialize
 
 LEAST = 0.93
-MISS = 1e-7  # chance that a pair at LEAST shares no filter, for vectors with the expected number of filters
-FEWEST = 16  # filters that every vector gets: its best ones where fewer exceed the cap
-BUCKET = 128  # vectors that a filter should hold
+MISS = 1e-4  # nominal chance that a pair at LEAST shares no filter
+MEASURED = 5e-4  # share of simulated pairs at LEAST that may share none, or the plan gets more filters
+PAIRS = 4000  # simulated pairs
+BUCKET = 256  # vectors that a filter should hold
 PART = 8192  # rows of a group that one task compares with each other
 ROWS = 1024
+LEAN = 0.3  # length of a label's mean from which its vectors are decoded relative to that mean
+NEAREST = 0.55  # unless one of them is nearer to the mean than this
 
 
 def _tail(t: float) -> float:
@@ -32,62 +37,118 @@ def _shared(t: float, rho: float) -> float:
     return float((weight * over).sum() / weight.sum())
 
 
+def _bisect(low: float, high: float, over) -> float:
+    for _ in range(40):
+        mid = (low + high) / 2
+        low, high = (mid, high) if over(mid) else (low, mid)
+    return low
+
+
+@lru_cache(maxsize=64)
+def _table(dim: int, size: int, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random rotation and the code of each half, scaled so that scores of a unit vector spread by 1; alike wherever made."""
+    rng = np.random.default_rng([dim, number])
+    turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
+    half = max(1, dim // 2)
+    codes = [c / np.linalg.norm(c, axis=1, keepdims=True) * math.sqrt(dim / 2) for c in (rng.standard_normal((size, half)), rng.standard_normal((size, max(1, dim - half))))]
+    return turn, *codes
+
+
 @dataclass(frozen=True)
 class Code:
-    """Two blocks of ``size`` code vectors each; a filter is a pair of them, its cap begins at ``cap`` / sqrt(dim)."""
+    """``tables`` product codes, each of a rotation and two blocks of ``size`` code vectors.
 
+    A filter is a pair of code vectors of one table; its cap begins at ``cap`` / sqrt(dim).
+    """
+
+    dim: int
+    tables: int
     size: int
     cap: float
 
     @classmethod
-    def plan(cls, n: int, rho: float = LEAST) -> "Code":
-        """For the largest label's ``n`` distinct vectors: filters enough that each holds about BUCKET of them."""
-        size, need = 24, 32.0
-        for _ in range(8):
-            low, high = 0.0, 8.0
-            for _ in range(40):
-                t = (low + high) / 2
-                low, high = (t, high) if size * size * _tail(t) > need else (low, t)
-            need = max(24.0, 1.5 * math.log(MISS) / math.log(1 - _shared(low, rho)))
-            size = max(24, math.ceil(math.sqrt(n * need / BUCKET)))
-        return cls(size, low)
-
-    def vectors(self, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A random rotation and the code of each half, the same wherever they are made."""
-        rng = np.random.default_rng(dim)
-        turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-        half = max(1, dim // 2)
-        codes = [c / np.linalg.norm(c, axis=1, keepdims=True) for c in (rng.standard_normal((self.size, half)), rng.standard_normal((self.size, max(1, dim - half))))]
-        return turn, *codes
-
-    def decode(self, unit: np.ndarray) -> list[np.ndarray]:
-        """For each unit vector the sorted numbers of all filters whose direction it exceeds the cap of.
-
-        Block by block: only first codes that can still reach the cap with the best second code are followed.
+    def plan(cls, dim: int, n: int, rho: float = LEAST) -> "Code":
+        """For the largest label's ``n`` distinct vectors of ``dim``: filters that hold about BUCKET of them each.
+
+        How many filters a vector needs is first reckoned as if they were independent and scores normal; they
+        aren't, least of all in few dimensions, so the cap is set by simulated vectors and the chance of a miss is
+        measured on PAIRS simulated pairs at cosine ``rho``.  While it is over MEASURED the plan gets more tables,
+        then wider filters.  Rotations are random, so a pair of any data fares like a simulated one.
         """
-        dim = unit.shape[1]
-        turn, c1, c2 = self.vectors(dim)
+        rng = np.random.default_rng(7)
+        x = rng.standard_normal((PAIRS, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        e = rng.standard_normal((PAIRS, dim))
+        e -= (e * x).sum(axis=1, keepdims=True) * x
+        y = rho * x + math.sqrt(1 - rho * rho) * e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-12)
+        share, more = min(0.25, BUCKET / max(n, 1)), 1.0
+        while True:
+            t = _bisect(-4.0, 8.0, lambda v: _tail(v) > share)
+            need = more * max(4.0, math.log(MISS) / math.log(max(1 - _shared(t, rho), 1e-9)))
+            tables = max(4, min(24, round(need / 3)))
+            size = max(4, math.ceil(math.sqrt(need / tables / share)))
+            few = x[:256]
+            scores = [cls(dim, 1, size, 0.0)._scores(few, 0)]
+            cap = _bisect(-8.0, 4 * math.sqrt(dim), lambda v: sum(_over(a, b, v)[1].sum() for a, b in scores) > len(few) * need / tables)
+            code = cls(dim, tables, size, cap)
+            if dim == 1 or code.misses(x, y) <= MEASURED:
+                return code
+            if more < 3:
+                more *= 1.4
+            else:
+                share, more = min(1.0, 3 * share), 1.5
+
+    def misses(self, x: np.ndarray, y: np.ndarray) -> float:
+        """Share of the pairs (x[i], y[i]) that meet in no filter."""
+        keys = []
+        for v in (x, y):
+            row, found = self.decode(v)
+            keys.append(row * (self.tables * self.size**2) + found)
+        met = np.unique(keys[0][np.isin(keys[0], keys[1])] // (self.tables * self.size**2))
+        return 1 - len(met) / len(x)
+
+    def _scores(self, unit: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+        turn, c1, c2 = _table(self.dim, self.size, table)
         x = unit @ turn
-        s1 = x[:, : c1.shape[1]] @ c1.T
-        s2 = x[:, dim - c2.shape[1] :] @ c2.T
-        scale, out = math.sqrt(2 * dim) / 2 * math.sqrt(2), []
-        s1, s2 = s1 * scale / math.sqrt(2), s2 * scale / math.sqrt(2)
-        fewest = min(FEWEST, self.size * self.size)
-        for a, b in zip(s1, s2):
-            order = np.argsort(-b, kind="stable")
-            falling, cap = -b[order], self.cap
-            while True:
-                first = np.flatnonzero(a + b[order[0]] >= cap)
-                counts = np.searchsorted(falling, a[first] - cap, side="right")
-                if counts.sum() >= fewest:
-                    break
-                cap -= 0.25
-            found = np.concatenate([f * self.size + order[:n] for f, n in zip(first, counts)])
-            if cap < self.cap and len(found) > fewest:
-                score = a[found // self.size] + b[found % self.size]
-                found = found[np.argsort(-score, kind="stable")[:fewest]]
-            out.append(np.sort(found).astype(np.int64))
-        return out
+        return x[:, : c1.shape[1]] @ c1.T, x[:, self.dim - c2.shape[1] :] @ c2.T
+
+    def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, filter) of every filter that a row of ``unit`` exceeds the cap of, in order of row and filter.
+
+        Block by block: only first codes that can still reach the cap with the row's best second code are followed,
+        and of their second codes, in falling order, those up to the cap.  A row over no cap of a table gets the
+        filter of its two best codes there.
+        """
+        rows, found = [], []
+        for at in range(0, len(unit), 512):
+            for table in range(self.tables):
+                a, b = self._scores(unit[at : at + 512], table)
+                (i, f), counts, order = _over(a, b, self.cap)
+                lonely = np.setdiff1d(np.arange(len(a)), i)
+                row = np.concatenate([np.repeat(i, counts), lonely])
+                place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                second = np.concatenate([order[np.repeat(i, counts), place], b[lonely].argmax(axis=1)])
+                first = np.concatenate([np.repeat(f, counts), a[lonely].argmax(axis=1)])
+                rows.append(row + at)
+                found.append((table * self.size + first) * self.size + second)
+        if not rows:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        rows, found = np.concatenate(rows), np.concatenate(found)
+        by = np.lexsort((found, rows))
+        return rows[by].astype(np.int64), found[by].astype(np.int64)
+
+
+def _over(a: np.ndarray, b: np.ndarray, cap: float) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """(row, first code) with some score a + b of ``cap`` or more, how many second codes each has, and these in falling order."""
+    order = np.argsort(-b, axis=1, kind="stable")
+    rising = -np.take_along_axis(b, order, axis=1)
+    i, f = np.nonzero(a - rising[:, :1] >= cap)
+    # one search in all rows at once: each row is shifted beyond the last
+    span = 4 * (np.abs(a).max(initial=0) + np.abs(b).max(initial=0) + abs(cap)) + 1
+    shifted = (rising + span * np.arange(len(b))[:, None]).ravel()
+    counts = np.searchsorted(shifted, a[i, f] - cap + span * i, side="right") - i * b.shape[1]
+    keep = counts > 0
+    return (i[keep], f[keep]), counts[keep], order
 
 
 def _unit(rows: pd.Series, dtype) -> np.ndarray:
@@ -96,7 +157,7 @@ def _unit(rows: pd.Series, dtype) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def _compare(code: Code, dtype, least: float):
+def _compare(dtype, least: float):
     """Of one group (label, dimension, first code, two parts): links of each vector and its component in each filter.
 
     A pair of vectors meets in every filter that both exceed; it is counted in the smallest of these, which a
@@ -105,10 +166,11 @@ def _compare(code: Code, dtype, least: float):
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         unit, node, times = _unit(pdf["vec"], dtype), pdf["node"].to_numpy(), pdf["times"].to_numpy(np.float64)
-        lists = [np.frombuffer(f, np.int64) for f in pdf["filters"]]
+        lists = [np.frombuffer(f, np.int32) for f in pdf["filters"]]
         part, lo, hi, first = pdf["part"].to_numpy(), pdf["lo"].iloc[0], pdf["hi"].iloc[0], pdf["first"].iloc[0]
+        size = pdf["size"].iloc[0]
         flat, row = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        here = flat // code.size == first
+        here = flat // size == first
         by = pd.Series(row[here]).groupby(flat[here], sort=True)
         links, edges = np.zeros(len(pdf)), []
         for f, members in by:
@@ -161,45 +223,106 @@ def _compare(code: Code, dtype, least: float):
     return compare
 
 
+def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(label, dim, n, sum) of the unit vectors of each batch."""
+    for b in batches:
+        for (label, dim), part in b.groupby(["label", b["v"].map(len)]):
+            yield pd.DataFrame({"label": [label], "dim": [dim], "n": [len(part)], "total": [_units(part["v"]).sum(axis=0).tobytes()]})
+
+
+def _mean(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A label's mean direction, drawn towards 0 where vectors are few, in steps of 2^-20 so that no order of addition shows."""
+    mu = sum(np.frombuffer(t, np.float64) for t in pdf["total"]) / (pdf["n"].sum() + 256)
+    mu = np.round(mu * 2**20) / 2**20
+    return pd.DataFrame({"label": pdf["label"].iloc[:1], "dim": pdf["dim"].iloc[:1], "n": [pdf["n"].sum()], "mu": [mu.tobytes() if mu @ mu >= LEAN**2 else None]})
+
+
+def _radii(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(label, dim, radius): the least distance of a unit vector from its label's mean in each batch."""
+    for b in batches:
+        for (label, dim), part in b.groupby(["label", b["v"].map(len)]):
+            x = _units(part["v"]) - np.frombuffer(part["mu"].iloc[0], np.float64)
+            yield pd.DataFrame({"label": [label], "dim": [dim], "radius": [math.sqrt((x * x).sum(axis=1).min())]})
+
+
+def _units(rows: pd.Series) -> np.ndarray:
+    return _unit(pd.Series([np.asarray(v, np.float64).tobytes() for v in rows]), np.float64)
+
+
+def _centres(classes: DataFrame, least: float) -> DataFrame:
+    """(label, dim, n, mu, rho) of each label and length: rho is the cosine that linked vectors have at least, seen from mu.
+
+    Where vectors lean one way (a mean longer than LEAN), most would exceed the caps of the same few filters;
+    seen from the mean they don't.  Unit vectors with cosine ``least`` are d apart, d * d = 2 (1 - least), so if none
+    is nearer to the mean than r their cosine from there is 1 - d * d / (2 r * r) or more.  With a vector nearer
+    than NEAREST (or as near as linked ones may be to each other) the label keeps mu null: the origin.
+    """
+    means = classes.select("label", "v").mapInPandas(_sums, "label string, dim int, n long, total binary").groupBy("label", "dim").applyInPandas(_mean, "label string, dim int, n long, mu binary")
+    means = materialize(means)
+    lean = means.where("mu is not null")
+    if not lean.limit(1).count():
+        return means.select("*", F.lit(least).alias("rho"))
+    near = classes.select("label", "v", F.size("v").alias("dim")).join(lean, ["label", "dim"]).select("label", "v", "mu")
+    near = near.mapInPandas(_radii, "label string, dim int, radius double").groupBy("label", "dim").agg(F.min("radius").alias("radius"))
+    floor = max(NEAREST, math.sqrt(2 * (1 - least)) * 1.05)
+    step = F.when(F.col("radius") >= 0.8, 0.8).when(F.col("radius") >= floor, floor)
+    placed = means.join(near, ["label", "dim"], "left").select("*", step.alias("r"))
+    rho = F.coalesce(1 - (1 - least) / (F.col("r") * F.col("r")), F.lit(least))
+    return materialize(placed.select("label", "dim", "n", F.when(F.col("r").isNotNull(), F.col("mu")).alias("mu"), rho.alias("rho")))
+
+
 def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = LEAST) -> DataFrame:
     """(id, n_links, component_id) of every row: links join rows of one label with cosine ``least`` or more.
 
-    Equal vectors of a label are one class with a count.  Each class is list-decoded to all filters of a product
-    code whose spherical cap it lies in (at least its FEWEST best), and classes of a label meet in filters;
-    cosines there are taken in double precision.  Filters with one first code form a group, so a vector is
-    sent once for each of its first codes; groups over PART rows are compared part against part in several
-    tasks.  The code grows with the largest label, so that filters stay small.
+    Equal vectors of a label are one class with a count.  Each class is list-decoded to all filters of some
+    product codes whose spherical cap it lies in (:class:`Code`; its best filter in a code that has none), and classes
+    of a label meet in filters; cosines there are taken in double precision.  Where a label's vectors lean one way they
+    are decoded as seen from their mean (:func:`_centres`).  Filters with one first code form a group, so a vector
+    is sent once for each of its first codes; groups over PART rows are compared part against part in several tasks.
+    The codes grow with the largest label, so that filters stay small.  A pair at exactly ``least`` is missed with a
+    measured chance below MEASURED, more alike ones less often.
 
     A null label, and a vector that is null, zero or holds null or non-finite components, links with nothing;
-    so do vectors of unlike length.  component_id is the smallest id of a component (nulls aside).
+    so do vectors of unlike length.  Ids may be null or repeated.  component_id is the smallest id of a component (nulls
+    aside).  Other columns, whatever their names, aren't read.  An empty table gives no rows.
     """
     kind = vectors.schema[vector_col].dataType.simpleString()
     dtype = np.float32 if kind == "array<float>" else np.float64
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>" if dtype is np.float32 else "array<double>").alias("v"), F.col(label_col).alias("label"))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>" if dtype is np.float32 else "array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
     limit = F.lit(float("inf"))
     good = F.col("v").isNotNull() & F.col("label").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < limit)) & F.exists("v", lambda x: x != 0)
     rows = rows.select("id", "label", "v", F.when(good, F.xxhash64("label", "v")).alias("node"))
     classes = rows.where("node is not null").groupBy("node", "label", "v").agg(F.count(F.lit(1)).alias("times"))
     classes = materialize(classes)
-    most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    code = Code.plan(most, least)
+    centres = _centres(classes, least)
+    # one row for each length of vector and each of at most three cosines
+    codes = {(r.dim, r.rho): Code.plan(r.dim, 1 << max(0, (r.n - 1).bit_length()), r.rho) for r in centres.groupBy("dim", "rho").agg(F.max("n").alias("n")).collect()}
 
     def decoded(batches):
         for b in batches:
-            for (dim,), part in b.groupby([b["v"].map(len)]):
+            for (dim, rho), part in b.groupby([b["v"].map(len), "rho"]):
+                code = codes[dim, rho]
                 for at in range(0, len(part), 2048):
-                    p = part.iloc[at : at + 2048]
+                    p = part.iloc[at : at + 2048].reset_index(drop=True)
                     raw = [np.asarray(v, dtype).tobytes() for v in p["v"]]
-                    found = code.decode(_unit(pd.Series(raw), dtype))
-                    made = pd.DataFrame({"label": p["label"].astype(str).to_numpy(), "dim": dim, "node": p["node"].to_numpy(), "times": p["times"].to_numpy(), "vec": raw, "filters": [f.tobytes() for f in found], "first": [np.unique(f // code.size) for f in found]})
+                    x = _unit(pd.Series(raw), dtype)
+                    seen = p["mu"].notna().to_numpy()
+                    if seen.any():
+                        x[seen] -= np.stack([np.frombuffer(m, np.float64) for m in p["mu"][seen]])
+                        x[seen] /= np.sqrt((x[seen] ** 2).sum(axis=1, keepdims=True))
+                    row, found = code.decode(x)
+                    ends = np.searchsorted(row, np.arange(len(p) + 1))
+                    lists = [found[a:e].astype(np.int32) for a, e in zip(ends[:-1], ends[1:])]
+                    made = pd.DataFrame({"label": p["label"], "dim": dim, "size": code.size, "node": p["node"], "times": p["times"], "vec": raw, "filters": [f.tobytes() for f in lists], "first": [np.unique(f // code.size) for f in lists]})
                     yield made.explode("first", ignore_index=True).astype({"first": np.int64})
 
-    met = materialize(classes.select("label", "node", "times", "v").mapInPandas(decoded, "label string, dim int, node long, times long, vec binary, filters binary, first long"))
-    sizes = met.groupBy("label", "dim", "first").agg(F.count(F.lit(1)).alias("size"))
-    parts = F.ceil(F.col("size") / PART).cast("int")
-    dealt = met.join(sizes.where("size > 1"), ["label", "dim", "first"]).select("*", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select("label", "dim", "first", "node", "times", "vec", "filters", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-    found = materialize(dealt.groupBy("label", "dim", "first", "lo", "hi").applyInPandas(_compare(code, dtype, least), "a long, b long, links long"))
+    placed = classes.select("label", F.size("v").alias("dim"), "node", "times", "v").join(centres.select("label", "dim", "mu", "rho"), ["label", "dim"])
+    met = materialize(placed.select("label", "node", "times", "v", "mu", "rho").mapInPandas(decoded, "label string, dim int, size int, node long, times long, vec binary, filters binary, first long"))
+    sizes = met.groupBy("label", "dim", "first").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    dealt = met.join(sizes.where("n > 1"), ["label", "dim", "first"]).select("*", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select("label", "dim", "first", "size", "node", "times", "vec", "filters", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    found = materialize(dealt.groupBy("label", "dim", "first", "lo", "hi").applyInPandas(_compare(dtype, least), "a long, b long, links long"))
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     comp = components(found.where("a <> b").select("a", "b"))
     info = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("times")).join(links, "node", "left").join(comp, "node", "left")
