@@ -1,4 +1,4 @@
-"""Removing long byte strings that occur more than once, by bucketed suffix sorting with cover-sample ranks."""
+"""Removing long byte strings that occur more than once, by suffix sorting bucket by bucket with difference-cover ranks."""
 
 from __future__ import annotations
 
@@ -14,9 +14,11 @@ from .common import materialize, small_batches
 
 DEPTH = 400  # bytes that two suffixes must share
 ANCHOR = 100  # bytes that name a bucket
-PERIOD = 20  # cover samples stand at multiples of this from the anchor
+MODULUS, COVER = 7, (0, 1, 3)  # every residue mod 7 is a difference of two of these
+DOUBLED = 224  # bytes that one set of cover ranks stands for: MODULUS times a power of 2, over half of DEPTH less MODULUS
 SLICE = 1 << 22  # bytes of a text looked at together
-HOT = 4096  # distinct segments of a bucket above which its suffixes are sorted by the cluster, not in a task
+BLOCK = 2 << 20  # bytes of segments that a task sorts together, the last bucket aside
+HOT = 2048  # distinct segments of a bucket above which its suffixes are grouped by the cluster, not sorted in a task
 _RNG = np.random.default_rng(400)
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = 0x9E3779B97F4A7C15
@@ -38,15 +40,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Prints:
-    """Fingerprints of any substrings of a byte string: a polynomial hash mod 2^64 by prefix sums, then mixed."""
+    """Names for the windows of a byte string: a polynomial hash mod 2^64 by prefix sums, then mixed."""
 
     def __init__(self, data: np.ndarray):
         self.p, self.q = _powers(len(data))
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * self.p[: len(data)], dtype=np.uint64)])
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * self.q[start] + (end - start).astype(np.uint64))
-
     def windows(self, size: int) -> np.ndarray:
         return _mix((self.sums[size:] - self.sums[:-size]) * self.q[: len(self.sums) - size] + np.uint64(size))
 
@@ -79,29 +78,107 @@ def slices(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
         yield at, a[at : at + SLICE + DEPTH - 1]
 
 
-def suffix_keys(segs: list[bytes], offs: list[int], names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, segment) of every suffix in ``segs`` (bucket by bucket), equal for suffixes sharing bucket and DEPTH bytes.
+#: SHIFT[a, b]: the least step that takes residues a and b both into the cover.
+SHIFT = np.array([[min(k for k in range(MODULUS) if (a + k) % MODULUS in COVER and (b + k) % MODULUS in COVER) for b in range(MODULUS)] for a in range(MODULUS)])
+
+
+def _dense(keys: np.ndarray) -> np.ndarray:
+    """Ranks from 1 of ``keys``, equal for equal ones."""
+    order = np.argsort(keys, kind="stable")
+    s = keys[order]
+    out = np.empty(len(keys), np.int32)
+    out[order] = np.cumsum(np.concatenate([np.ones(min(1, len(s)), np.int32), (s[1:] != s[:-1]).astype(np.int32)]), dtype=np.int32)
+    return out
+
 
-    Cover samples stand at multiples of PERIOD bytes from the anchor.  Their ranks by the DEPTH - PERIOD bytes
-    after them are made first, one for each PERIOD suffixes; a suffix is then known by the rank of the next
-    sample and the fewer than 2 * PERIOD bytes around it, so however long a tie is, no more is looked at.
+def _cover_ranks(head: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of the cover samples by their first DOUBLED bytes and by twice as many, 0 at other positions.
+
+    ``head`` orders positions by MODULUS bytes, ``end`` is where a position's segment ends.  A step of a multiple
+    of MODULUS leads from sample to sample, so ranks by h bytes and those h further on give ranks by 2 h.
+    """
+    n = len(head)
+    at = np.flatnonzero(np.isin(np.arange(n) % MODULUS, COVER))
+    rank = np.zeros(n + 1, np.int32)
+    rank[at] = _dense(head[at])
+    short, h = rank, MODULUS
+    while h <= DOUBLED:
+        on = at + h
+        behind = np.where(on < end[at], rank[np.minimum(on, n)], 0)
+        longer = np.zeros(n + 1, np.int32)
+        longer[at] = _dense(rank[at].astype(np.int64) * (len(at) + 1) + behind)
+        short, rank, h = rank, longer, 2 * h
+    return short, rank
+
+
+def _order_ties(group: np.ndarray, place: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """How many members of its group come before each suffix; members share their first MODULUS bytes.
+
+    Two suffixes are compared by the ranks of the samples that the same step leads to from both.  In a group of up
+    to 8 all pairs are; in a larger one each finds its place among those of every residue by binary search.
+    ``group`` is in rising order.
+    """
+    before, n = np.zeros(len(group), np.int64), len(group)
+    residue, sizes = place % MODULUS, np.bincount(group)
+    small = sizes[group] <= 8
+    for d in range(1, 8):
+        x = np.flatnonzero(small[: n - d] & (group[: n - d] == group[d:])) if n > d else np.zeros(0, int)
+        y = x + d
+        step = SHIFT[residue[x], residue[y]]
+        p, q = rank[place[x] + step], rank[place[y] + step]
+        before[y] += p < q  # x and y each occur once in a round
+        before[x] += q < p
+    large, many = np.flatnonzero(~small), int(rank.max()) + 1
+    for a in range(MODULUS) if len(large) else ():
+        others = large[residue[large] == a]
+        for step in np.unique(SHIFT[a]):
+            mine = large[np.isin(residue[large], np.flatnonzero(SHIFT[a] == step))]
+            keys = np.sort(group[others] * many + rank[place[others] + step])
+            before[mine] += np.searchsorted(keys, group[mine] * many + rank[place[mine] + step]) - np.searchsorted(keys, group[mine] * many)
+    return before
+
+
+def repeated_suffixes(segs: list[bytes], offs: list[int], names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(repeated, segment) of every suffix in ``segs`` (bucket by bucket): whether another one has its first DEPTH bytes.
+
+    The suffixes are sorted by bucket, distance to the anchor and content, and neighbours are compared.  Sorting
+    looks at MODULUS bytes; longer ties are resolved by the cover ranks (:func:`_cover_ranks`), made once for a
+    block, so however long a tie is no more bytes are looked at.  Whether neighbours agree in DEPTH bytes follows from
+    ranks by DOUBLED bytes at the first and the last sample and the bytes at both ends: exactly, without hashes.
     """
     data = np.frombuffer(b"".join(segs), np.uint8)
     sizes = np.array([len(s) for s in segs])
     base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    end = np.repeat(base + sizes, sizes)
+    head, padded = np.zeros(len(data), np.uint64), np.concatenate([data, np.zeros(MODULUS, np.uint8)])
+    left = np.minimum(end - np.arange(len(data)), MODULUS)
+    for k in range(MODULUS):  # big end first; a byte behind the segment's end is 0, and the length tells it from a true 0
+        head = (head << np.uint64(8)) | np.where(k < left, padded[k : k + len(data)], 0).astype(np.uint64)
+    head = (head << np.uint64(8)) | left.astype(np.uint64)
+
     count = sizes - DEPTH + 1
     seg = np.repeat(np.arange(len(segs)), count)
     at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    prints, depth = Prints(data), DEPTH - PERIOD
-    ahead = (np.asarray(offs)[seg] - at) % PERIOD  # to the next sample; anchors are samples
-    i = base[seg] + at
-    sample = i + ahead
-    is_sample = np.unique(sample)
-    rank = np.unique(prints.of(is_sample, is_sample + depth), return_inverse=True)[1]
-    r = rank[np.searchsorted(is_sample, sample)].astype(np.uint64)
-    head, tail = prints.of(i, sample), prints.of(sample + depth, i + DEPTH)
-    key = _mix(_mix(_mix(names[seg] + head) + r) + tail) + (np.asarray(offs)[seg] - at).astype(np.uint64)
-    return _mix(key), seg
+    place = base[seg] + at
+    bucket = np.unique(names, return_inverse=True)[1].astype(np.int64)
+    where = bucket[seg] * (DEPTH + 1) + (np.asarray(offs)[seg] - at)
+    order = np.lexsort((head[place], where))
+    same = (where[order[1:]] == where[order[:-1]]) & (head[place[order[1:]]] == head[place[order[:-1]]])
+    tied = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    repeated = np.zeros(len(seg), bool)
+    if not tied.any():
+        return repeated, seg
+    group = np.cumsum(np.concatenate([[True], ~same]))[tied]
+    group, order = np.unique(group, return_inverse=True)[1].astype(np.int64), order[tied]
+    short, rank = _cover_ranks(head, end)
+    by = np.lexsort((_order_ties(group, place[order], rank), group))
+    order = order[by]
+    x, y = place[order[:-1]], place[order[1:]]
+    step = SHIFT[x % MODULUS, y % MODULUS]
+    last = step + (DEPTH - DOUBLED - step) // MODULUS * MODULUS
+    equal = (group[1:] == group[:-1]) & (short[x + step] == short[y + step]) & (short[x + last] == short[y + last]) & (head[x + DEPTH - MODULUS] == head[y + DEPTH - MODULUS])
+    repeated[order[1:][equal]] = repeated[order[:-1][equal]] = True
+    return repeated, seg
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -173,13 +250,7 @@ def _sort_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held, size = [], 0
 
     def sorted_block(rows: pd.DataFrame) -> pd.DataFrame:
-        key, seg = suffix_keys([bytes(s) for s in rows["seg"]], rows["off"].astype(int).tolist(), rows["name"].to_numpy(np.int64).view(np.uint64))
-        order = np.argsort(key, kind="stable")
-        s = key[order]
-        tie = np.concatenate([[False], s[1:] == s[:-1]])
-        tie[:-1] |= tie[1:]
-        hit = np.zeros(len(key), bool)
-        hit[order] = tie
+        hit, seg = repeated_suffixes([bytes(s) for s in rows["seg"]], rows["off"].astype(int).tolist(), rows["name"].to_numpy(np.int64))
         out, ends = [], np.searchsorted(seg, np.arange(len(rows) + 1))
         for k, (name, sh) in enumerate(zip(rows["name"], rows["sh"])):
             if (flags := hit[ends[k] : ends[k + 1]]).any():
@@ -190,7 +261,7 @@ def _sort_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         while len(b):
             held.append(b)
             size += sum(map(len, b["seg"]))
-            if size < 4 << 20:
+            if size < BLOCK:
                 break
             rows = pd.concat(held, ignore_index=True)
             last = rows["name"].iloc[-1]
@@ -205,12 +276,11 @@ def _sort_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _hot_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(name, sh, at, key): every suffix of some segments with a 128-bit digest of its first DEPTH bytes."""
     for b in batches:
-        for a in range(0, len(b), 500):
-            rows = b.iloc[a : a + 500].reset_index(drop=True)
-            key, seg = suffix_keys([bytes(s) for s in rows["seg"]], rows["off"].astype(int).tolist(), rows["name"].to_numpy(np.int64).view(np.uint64))
-            first = np.searchsorted(seg, seg)
-            yield pd.DataFrame({"name": rows["name"].to_numpy()[seg], "sh": rows["sh"].to_numpy()[seg], "at": np.arange(len(seg)) - first, "key": key.view(np.int64)})
+        for name, sh, seg in zip(b["name"], b["sh"], b["seg"]):
+            n = len(seg) - DEPTH + 1
+            yield pd.DataFrame({"name": name, "sh": sh, "at": range(n), "key": [hashlib.blake2b(seg[k : k + DEPTH], digest_size=16).digest() for k in range(n)]})
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,14 +307,16 @@ def repeated_bytes(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     1. Anchors are counted; those that occur once hold no repeated suffix.
     2. Texts with other anchors give the segments of suffixes around these; equal texts and equal segments are
        one, by aggregation before the shuffle, and all of them are repeated.
-    3. Distinct segments go to their buckets.  A task sorts one block of buckets after another: cover samples
-       are ranked first, then suffixes by the rank of their next sample (:func:`suffix_keys`).  Suffixes equal
-       to a neighbour's first DEPTH bytes are repeated.  Buckets of over HOT segments are sorted by the
-       cluster: a row for each suffix, grouped by its key.
+    3. Distinct segments go to their buckets.  A task sorts one block of buckets after another
+       (:func:`repeated_suffixes`): suffixes by their first bytes, longer ties by ranks of the samples of a difference
+       cover, which are made beforehand.  A suffix that has a neighbour's first DEPTH bytes is repeated.
+       Buckets of over HOT segments are left to the cluster: a row for each suffix, grouped by a digest.
     4. Runs of repeated suffixes go back to their texts.
 
     Null text is empty.  Texts under DEPTH bytes hold nothing repeated.  Rows with equal texts have equal
-    results.  ``kept`` is the rest of the bytes; it may not be UTF-8 any more.
+    results; ids may be null or repeated.  Texts are looked at in slices of SLICE bytes that overlap, so one of any
+    length needs some ten times SLICE bytes of memory beside itself.  Columns other than doc_id and text aren't read,
+    whatever their names.  An empty table gives no rows.  ``kept`` is the rest of the bytes; it may not be UTF-8 any more.
     """
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -265,10 +337,10 @@ def repeated_bytes(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     shared = kinds.select("name", "sh", "off", "seg").join(sizes, "name")
     hot = materialize(sizes.where(F.col("kinds") > HOT)).limit(1).count() > 0
     usual = shared.where(F.col("kinds") <= HOT) if hot else shared
-    found = usual.select("name", "sh", "off", "seg").repartition("name").sortWithinPartitions("name").mapInPandas(_sort_buckets, "name long, sh long, at long, len long")
+    found = usual.select("name", "sh", "off", "seg").repartition("name").sortWithinPartitions("name", "sh").mapInPandas(_sort_buckets, "name long, sh long, at long, len long")
     found = found.unionByName(whole)
     if hot:
-        keys = shared.where(F.col("kinds") > HOT).select("name", "sh", "off", "seg").mapInPandas(_hot_keys, "name long, sh long, at long, key long")
+        keys = shared.where(F.col("kinds") > HOT).select("name", "sh", "seg").mapInPandas(_hot_keys, "name long, sh long, at long, key binary")
         keys = materialize(keys)
         tied = keys.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
         found = found.unionByName(keys.join(tied, "key").select("name", "sh", "at", F.lit(1).cast("long").alias("len")))
