@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -14,20 +15,58 @@ SPACE = " \t\n\x0b\f\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  Only where none is set (tests) a local one is made."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    Where it is unset a local master (tests) gets a temporary one; on a cluster that would lie on one machine only,
+    so there it is an error.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidepanel-"))
-        found = spark.sparkContext.getCheckpointDir()
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidepanel-"))
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+def scratch(spark: SparkSession, kind: str = "state") -> str:
+    """A new path in the shared folder; what lies there goes with :func:`release`, or when Python ends."""
+    path = f"{shared_dir(spark)}/tidepanel-{kind}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
+    return path
+
+
 def materialize(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends, and lost executors lose nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidepanel-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(*frames: DataFrame | str) -> None:
+    """Delete what :func:`materialize` wrote for ``frames``, which nothing may read any more."""
+    for frame in frames:
+        path = frame if isinstance(frame, str) else frame.scratch_path
+        spark = _WRITTEN.pop(path, None)
+        if spark is not None:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _release_all() -> None:
+    for path in list(_WRITTEN):
+        try:
+            release(path)
+        except Exception:  # the session is gone; nothing can be deleted through it
+            return
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -46,13 +85,43 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def folded(df: DataFrame, often: int = 4096) -> DataFrame:
+    """(row, times): rows of ``df`` as structs; those equal in all columns and there more than ``often`` times are one.
+
+    Row hashes are counted first, equal ones in the map stage; only the few that occur more than ``often`` times are
+    looked up again, and these are aggregated before a shuffle too.  Other rows aren't shuffled (where the
+    list of the former is small enough that Spark broadcasts it by itself).  Hashes are 128 bits.  Columns of map type
+    can't be hashed and aren't supported.
+    """
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    keyed = df.select(F.struct(*cols).alias("row"), F.xxhash64(*cols).alias("h1"), F.xxhash64(F.lit(1), *cols).alias("h2"))
+    many = materialize(keyed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > often).select("h1", "h2"))
+    if not many.limit(1).count():
+        release(many)
+        return keyed.select("row", F.lit(1).cast("long").alias("times"))
+    few = keyed.join(many, ["h1", "h2"], "left_anti").select("row", F.lit(1).cast("long").alias("times"))
+    return few.unionByName(keyed.join(many, ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("row").alias("row"), F.count(F.lit(1)).alias("times")).select("row", "times"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an edge list: (node, comp), comp the smallest node reachable.
 
     Min-label hooking with pointer jumping; every round is two equi-joins whose state is written to the
     shared folder, so neither edges nor labels reach the driver (one number per round does).  A label
     reached by many nodes is aggregated before the shuffle.  Self-loops and repeated edges do no harm;
-    an empty edge list gives an empty result.  Null ends are not allowed.
+    an empty edge list gives an empty result.  Null ends are not allowed.  One component with a third of all nodes is
+    one key of the jump's join, whose many side AQE splits; its other side is one row.
     """
     both = materialize(
         edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
@@ -67,7 +136,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         up = label.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
         new = materialize(hooked.join(up, "comp", "left").select("node", "old", F.least("comp", F.coalesce("top", "comp")).alias("comp")))
         moved = new.where("old <> comp").limit(1).count()
+        release(label)
         label = new.select("node", "comp")
+        label.scratch_path = new.scratch_path
         if not moved:
+            release(both)
             return label
     raise RuntimeError("components did not settle")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, without
+from .common import materialize, release, without
 
 # Possessive forms of the contract's patterns: the same leftmost matches in linear time and constant stack.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -16,25 +16,34 @@ BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 KINDS = ("email", "ip", "card", "phone")
 NUMBER = r"[^\x20\x09-\x0D\p{L}@0-9]*+[0-9][^\x20\x09-\x0D\p{L}@]*+(?![^\x20\x09-\x0D])"
 TOKEN = rf"(?<![^\x20\x09-\x0D])(?:{NUMBER}(?:\x20{NUMBER})*+|[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*+)"
+SOLID, BLANK = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
 SPAN = "array<struct<s:int,k:int,e:int>>"
 
 
-def _matches(text: Column, pattern: str, tails: bool = False) -> Column:
-    """array<struct<s, e, m, tail>> of the leftmost non-overlapping matches; tail is what stands before one (if asked for).
+def _matches(text: Column, pattern: str, words: bool = False) -> Column:
+    """array<struct<s, e, m, a, b>> of the leftmost non-overlapping matches; a and b (if asked for) are the two words before one.
 
-    A tail ends with the last 160 characters before the match, blanks at its end aside, earlier matches included.
+    Words of earlier matches count, however far back; a word that the text's start leaves out is empty.
     """
     parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     cut = F.arrays_zip(parts.alias("gap"), found.alias("m"))
-    none = F.array().cast("array<struct<s:int,e:int,m:string,tail:string>>")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out"))
-
-    def step(a: Column, z: Column) -> Column:
-        s = a["at"] + F.length(z["gap"])
-        e = s + F.length(z["m"])
-        tail = F.substring(F.rtrim(F.concat(a["tail"], z["gap"]), F.lit(SPACE)), -160, 160) if tails else F.lit("")
-        after = F.substring(F.concat(tail, F.lit(" "), z["m"]), -160, 160) if tails else F.lit("")
-        return F.when(z["m"].isNull(), a).otherwise(F.struct(e.alias("at"), after.alias("tail"), F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"), z["m"].alias("m"), tail.alias("tail")))).alias("out")))
+    none = F.array().cast("array<struct<s:int,e:int,m:string,a:string,b:string>>")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("a"), F.lit("").alias("b"), none.alias("out"))
+
+    def last(a: Column, b: Column, more: Column) -> tuple[Column, Column]:
+        """The last two words of a, b and the words of ``more``, which is read from its end."""
+        back = F.reverse(more)
+        y = F.reverse(F.regexp_extract(back, rf"^{BLANK}*+({SOLID}++)", 1))
+        x = F.reverse(F.regexp_extract(back, rf"^{BLANK}*+{SOLID}++{BLANK}++({SOLID}++)", 1))
+        return F.when(y == "", a).when(x == "", b).otherwise(x), F.when(y == "", b).otherwise(y)
+
+    def step(z: Column, x: Column) -> Column:
+        s = z["at"] + F.length(x["gap"])
+        e = s + F.length(x["m"])
+        a, b = last(z["a"], z["b"], x["gap"]) if words else (F.lit(""), F.lit(""))
+        c, d = last(a, b, x["m"]) if words else (a, b)
+        fresh = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), a.alias("a"), b.alias("b"))
+        return F.when(x["m"].isNull(), z).otherwise(F.struct(e.alias("at"), c.alias("a"), d.alias("b"), F.concat(z["out"], F.array(fresh)).alias("out")))
 
     return F.when(text.rlike(pattern), F.aggregate(cut, start, step)["out"]).otherwise(none)
 
@@ -88,17 +97,15 @@ def context_instances(docs: DataFrame) -> DataFrame:
     a base span is a seed.
     """
     base = F.array_sort(F.concat(*[F.col(k) for k in KINDS]))
-    rows = docs.select("rid", base.alias("base"), F.explode(_matches(F.col("t"), TOKEN, tails=True)).alias("x"))
-    tail = F.regexp_replace(F.lower("x.tail"), "[0-9]+", "9")
-    first = F.regexp_extract(tail, r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++[^\x20\x09-\x0D]++$", 1)
-    second = F.regexp_extract(tail, r"[^\x20\x09-\x0D]++$", 0)
-    pattern = F.concat_ws(" ", *[F.when(w == "", "^").otherwise(w) for w in (first, second)])
+    rows = docs.select("rid", base.alias("base"), F.explode(_matches(F.col("t"), TOKEN, words=True)).alias("x"))
+    before = [F.regexp_replace(F.lower(w), "[0-9]+", "9") for w in (F.col("x.a"), F.col("x.b"))]
+    pattern = F.concat_ws(" ", *[F.when(w == "", "^").otherwise(w) for w in before])
     lead = F.length(F.regexp_extract("x.m", r"^[^0-9A-Za-z@]*", 0))
     core = F.regexp_extract("x.m", r"(?s)[0-9A-Za-z@](?:.*[0-9A-Za-z])?", 0)
     rows = rows.select("rid", "base", (F.col("x.s") + lead).alias("s"), (F.col("x.s") + lead + F.length(core)).alias("e"), core.alias("core"), pattern.alias("pattern")).where("core <> '@'")
     seed = F.exists("base", lambda b: (b["s"] < F.col("e")) & (b["e"] > F.col("s")))
     shape = F.regexp_replace(F.regexp_replace("core", "[A-Za-z]+", "a"), "[0-9]+", "9")
-    return rows.select("rid", "s", "e", "pattern", F.substring(shape, 1, 64).alias("shape"), seed.alias("seed"))
+    return rows.select("rid", "s", "e", "pattern", shape.alias("shape"), seed.alias("seed"))
 
 
 def bootstrap(instances: DataFrame, rounds: int = 3, accept: float = 0.8, support: int = 3) -> DataFrame:
@@ -119,24 +126,29 @@ def bootstrap(instances: DataFrame, rounds: int = 3, accept: float = 0.8, suppor
             patterns = materialize(patterns)
             mean = edges.join(patterns.select("pattern", "p"), "pattern").groupBy("shape").agg(F.floor(F.sum(F.col("n") * F.col("p")) / (F.sum("n") + 1)).cast("long").alias("mean"))
             shapes = materialize(shapes.join(mean, "shape").select("shape", "start", F.greatest("start", "mean").alias("score")))
-    return materialize(patterns.where((F.col("p") >= accept * 1_000_000) & (F.col("seeds") >= support)).select("pattern"))
+    trusted = materialize(patterns.where((F.col("p") >= accept * 1_000_000) & (F.col("seeds") >= support)).select("pattern"))
+    release(edges)
+    return trusted
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with email, ip, card, phone (base spans of each kind) and context (spans that trusted patterns add).
 
     Spans are struct(s, k, e): start, kind's number, end, in code points.  Null text has no spans; rows equal in
-    id and text have the same.  Columns of these names are replaced.
+    id and text have the same, and ids may be null or repeated.  Columns of these names are replaced, all others pass
+    through, whatever their names.  Whole texts are read; one is a row in a task, and its time grows with the square of
+    its matches beyond some ten thousand.  An empty table gives no rows.
     """
-    docs = without(docs, *KINDS, "context", "rid", "__text")
+    docs = without(docs, *KINDS, "context")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select("*", F.xxhash64(F.col(id_col), text).alias("rid"), text.alias("__text"))
-    based = keyed.select("*", *base_spans(F.col("__text")))
-    seen = materialize(context_instances(based.select("rid", F.col("__text").alias("t"), *KINDS)).distinct())
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.col(id_col), text).alias("rid"), text.alias("t"))
+    based = keyed.select("*", *base_spans(F.col("t")))
+    seen = materialize(context_instances(based.select("rid", "t", *KINDS)).distinct())
     trusted = bootstrap(seen)
     new = seen.where(~F.col("seed")).join(trusted, "pattern")
-    new = new.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("s", F.lit(len(KINDS)).alias("k"), "e"))).alias("context"))
-    return based.join(new, "rid", "left").select(*[F.col(f"`{c}`") for c in docs.columns], *KINDS, F.coalesce("context", F.array().cast(SPAN)).alias("context"))
+    new = materialize(new.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("s", F.lit(len(KINDS)).alias("k"), "e"))).alias("context")))
+    release(seen, trusted)
+    return based.join(new, "rid", "left").select("row.*", *KINDS, F.coalesce("context", F.array().cast(SPAN)).alias("context"))
 
 
 def mask(text: Column, spans: Column) -> Column:
@@ -157,16 +169,19 @@ def all_spans() -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents, same columns, with personal data masked in ``text`` (and n_chars of the new text)."""
+    """The documents, same columns, with personal data masked in ``text`` (and n_chars of the new text).
+
+    Edge cases as in :func:`find_pii`; a null text stays null.
+    """
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    found = find_pii(docs.select("doc_id", "text", F.struct(*rest).alias("__row")))
-    found = found.select("__row", "text", all_spans().alias("__spans")).select("__row", F.size("__spans").alias("__hits"), mask(F.col("text"), F.col("__spans")).alias("text"))
+    found = find_pii(docs.select("doc_id", "text", F.struct(*rest).alias("row")))
+    found = found.select("row", "text", all_spans().alias("spans")).select("row", F.size("spans").alias("hits"), mask(F.col("text"), F.col("spans")).alias("text"))
 
     def out(c: str) -> Column:
-        old = F.col("__row")[c]
+        old = F.col("row")[c]
         if c == "text":
             return F.col("text")
-        return F.when(F.col("__hits") > 0, F.length("text")).otherwise(old).cast("long").alias(c) if c == "n_chars" else old.alias(c)
+        return F.when(F.col("hits") > 0, F.length("text")).otherwise(old).cast("long").alias(c) if c == "n_chars" else old.alias(c)
 
     return found.select(*[out(c) for c in docs.columns])
 
