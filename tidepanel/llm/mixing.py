@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, folded, materialize
 
 WEIGHTS = (5, 2, 1)
 
@@ -17,7 +17,7 @@ def n_words(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2) -> DataFrame:
-    """(skey, source_size) -> + target.  ``sizes`` has a row per source, so it is small and one task orders it.
+    """(skey, source_size) -> + target.  ``sizes`` has a narrow row per source; one task orders them, hosts as sources too.
 
     Sources in code-point order, null last, get the weights in turn.  All want ``share`` of the whole; none
     gets over ``cap`` times its size, and what is over goes to the others by weight.  The result of that
@@ -43,38 +43,47 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return s.select("skey", "source_size", F.when(F.col("capped"), F.col("most").cast("double")).otherwise(open_level * F.col("w")).alias("target"))
 
 
-def plan_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, seed: int = 17, size: Column | None = None) -> DataFrame:
-    """Every row of ``df`` with __size, __source_size, __target, __epochs and __rest: what the mix takes of it.
+def plan_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, seed: int = 17, size: str | None = None, often: int = 4096) -> DataFrame:
+    """(row, size, source_size, target, epochs, rest): what the mix takes of every row of ``df``, which is a struct here.
 
     Rows get a hash-random key from their id; within a source they are range-sorted by it.  Sums by
     (source, key range) and prefix sums over those ranges give every range its offset, and a running sum in
-    the range gives the words before each row.  Every source is taken whole __epochs times, then once more
-    up to its exact budget; the row at the cut gives its first __rest words.  A hot source is many ranges.
+    the range gives the words before each row.  Every source is taken whole ``epochs`` times, then once more
+    up to its exact budget; the row at the cut gives its first ``rest`` words.  A hot source is many ranges; an
+    id (or none) that more than ``often`` rows have gets ranges of its own by text, and a row repeated
+    more than ``often`` times is placed as one and dealt out again.  ``size`` names a column of sizes, else words are counted.
 
     Null text: size 0.  Null source: a source of its own, last in order.  Null and repeated ids share a key
-    and are ordered by text.  Empty table: empty result.
+    and are ordered by text.  Other columns pass through in ``row``, whatever their names.  A text of any length is one
+    row.  Empty table: empty result.
     """
     n = df.count()
     digits = max(2, min(5, math.ceil(math.log(max(n, 1) / 2**20, 16)) + 2)) if n else 2
-    ident = F.col(id_col).cast("string")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident, F.lit(""))).cast("binary"))
-    rows = df.select(
-        "*", (n_words(F.col(text_col)) if size is None else size).alias("__size"),
-        F.coalesce(F.concat(F.lit("a"), F.col(source_col).cast("string")), F.lit("n")).alias("skey"), key.alias("__key"),
-    ).select("*", F.substring("__key", 1, digits).alias("__range"))
-    ranges = rows.groupBy("skey", "__range").agg(F.sum("__size").alias("__sum"))
-    before = Window.partitionBy("skey").orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = ranges.select("skey", "__range", (F.sum("__sum").over(before) - F.col("__sum")).alias("__offset"))
-    targets = source_targets(ranges.groupBy("skey").agg(F.sum("__sum").alias("source_size")), weights, share, cap)
-    w = Window.partitionBy("skey", "__range").orderBy("__key", F.col(id_col), F.col(text_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.select("*", (F.sum("__size").over(w) - F.col("__size")).alias("__before"))
-    facts = offsets.join(targets.select("skey", F.col("source_size").alias("__source_size"), F.col("target").alias("__target")), "skey")
-    placed = placed.join(facts, ["skey", "__range"])
-    epochs = F.when(F.col("__source_size") > 0, F.floor(F.col("__target") / F.col("__source_size"))).otherwise(F.lit(0)).cast("long")
-    placed = placed.select("*", epochs.alias("__epochs"))
-    budget = F.floor(F.col("__target") - F.col("__epochs") * F.col("__source_size")).cast("long")
-    rest = F.greatest(F.lit(0).cast("long"), F.least(F.col("__size"), budget - F.col("__offset") - F.col("__before")))
-    return placed.select("*", rest.alias("__rest")).drop("skey", "__range", "__key", "__before", "__offset")
+    rows = folded(df, often)
+    name, text, source = (F.col("row")[c] for c in (id_col, text_col, source_col))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(name.cast("string"), F.lit(""))).cast("binary"))
+    words = n_words(text) if size is None else F.col("row")[size]
+    rows = rows.select("row", "times", words.alias("size"), F.coalesce(F.concat(F.lit("a"), source.cast("string")), F.lit("n")).alias("skey"), key.alias("key"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")).alias("by_text"))
+    busy = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > often).select("key", F.lit(True).alias("busy")))
+    if busy.limit(1).count():
+        # behind the other rows of the range that the key lies in: "~" is over all digits
+        own = F.concat(F.substring("key", 1, digits), F.lit("~"), "key", F.substring("by_text", 1, digits))
+        rows = rows.join(busy, "key", "left").withColumn("range", F.when(F.col("busy"), own).otherwise(F.substring("key", 1, digits))).drop("busy")
+    else:
+        rows = rows.withColumn("range", F.substring("key", 1, digits))
+    ranges = rows.groupBy("skey", "range").agg(F.sum(F.col("size") * F.col("times")).alias("sum"))
+    before = Window.partitionBy("skey").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = ranges.select("skey", "range", (F.sum("sum").over(before) - F.col("sum")).alias("offset"))
+    targets = source_targets(ranges.groupBy("skey").agg(F.sum("sum").alias("source_size")), weights, share, cap)
+    w = Window.partitionBy("skey", "range").orderBy("key", name, "by_text", F.xxhash64("row")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = F.col("size") * F.col("times")
+    placed = rows.select("row", "times", "size", "skey", "range", (F.sum(whole).over(w) - whole).alias("before"))
+    placed = placed.join(offsets.join(targets, "skey"), ["skey", "range"])
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    placed = placed.select("*", epochs.alias("epochs"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("copy"))
+    budget = F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
+    rest = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), budget - F.col("offset") - F.col("before") - F.col("copy") * F.col("size")))
+    return placed.select("row", "size", "source_size", "target", "epochs", rest.alias("rest"))
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -84,19 +93,17 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: each document as often as it is taken, cut at the budget."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    plan = plan_mix(docs.select("doc_id", "text", "source", F.struct(*rest).alias("__row")), **options)
-    copies = F.col("__epochs") + F.when(F.col("__rest") > 0, 1).otherwise(0)
-    taken = plan.where(copies > 0).select("__row", "text", "__size", "__rest", "__epochs", F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("__copy"))
-    cut = (F.col("__copy") > F.col("__epochs")) & (F.col("__rest") < F.col("__size"))
-    taken = taken.select("__row", F.when(cut, first_words(F.col("text"), F.col("__rest"))).otherwise(F.col("text")).alias("text"), cut.alias("__cut"))
+    """The mix itself, with the columns of ``docs``: each document as often as it is taken, cut at the budget (:func:`plan_mix`)."""
+    copies = F.col("epochs") + F.when(F.col("rest") > 0, 1).otherwise(0)
+    taken = plan_mix(docs, **options).where(copies > 0).select("row", "size", "rest", "epochs", F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("copy"))
+    cut = (F.col("copy") > F.col("epochs")) & (F.col("rest") < F.col("size"))
+    taken = taken.select("row", F.when(cut, first_words(F.col("row.text"), F.col("rest"))).otherwise(F.col("row.text")).alias("text"), cut.alias("cut"))
 
     def out(c: str) -> Column:
-        old = F.col("__row")[c]
+        old = F.col("row")[c]
         if c == "text":
             return F.col("text")
-        return F.when(F.col("__cut"), F.length("text")).otherwise(old).cast("long").alias(c) if c == "n_chars" else old.alias(c)
+        return F.when(F.col("cut"), F.length("text")).otherwise(old).cast("long").alias(c) if c == "n_chars" else old.alias(c)
 
     return taken.select(*[out(c) for c in docs.columns])
 
@@ -104,8 +111,8 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 def op4_mixing(docs: DataFrame) -> DataFrame:
     """Digest of :func:`plan_mix` over documents."""
     narrow = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "source", n_words(F.col("text")).alias("size"), F.crc32(F.col("text").cast("binary")).alias("text"))
-    p = plan_mix(narrow, size=F.col("size"))
-    return p.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__epochs") * F.col("size") + F.col("__rest")).alias("taken"))
+    p = plan_mix(narrow, size="size")
+    return p.select("row.doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("rest")).alias("taken"))
 
 
 OP4_SQL = r"""
