@@ -11,25 +11,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD
+from .common import WORD, folded
 
 CAPACITY = 2048
 GROUP_ROWS, GROUP_BYTES = 4096, 16 << 20
 
 
-def best_fit(items: Iterable[tuple[int, int, int]], capacity: int, per_source: int = 2) -> list[tuple[int, int]]:
-    """(bin, offset) of each (size, source, cluster), in the order given; sizes are 1 to ``capacity``.
+def best_fit(items: Iterable[tuple[int, ...]], capacity: int, per_source: int = 2) -> list[tuple[int, int]]:
+    """(bin, offset) of each (size, source, cluster or clusters), in the order given; sizes are 1 to ``capacity``.
 
     Open bins stand in order of (room left, number).  An item goes to the first bin from its size upwards that
-    is compatible: its bitmap of duplicate clusters lacks the item's, and its bitmap of sources that have
+    is compatible: its bitmap of duplicate clusters lacks all the item's, and its bitmap of sources that have
     reached ``per_source`` documents lacks the item's.  The successor search goes on until such a bin is found,
     over all bins if need be; without one a new bin opens.
     """
     order: list[tuple[int, int]] = []
     clusters, sources, counts, used, out = [], [], [], [], []
-    for size, source, cluster in items:
+    for size, source, *own in items:
         k = bisect_left(order, (size, -1))
-        s, c = 1 << source, 1 << cluster
+        s, c = 1 << source, sum(1 << x for x in own)
         while k < len(order) and (clusters[b := order[k][1]] & c or sources[b] & s):
             k += 1
         if k < len(order):
@@ -65,26 +65,24 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, per_source: int =
     """Every document's words in bins of ``capacity`` words: doc_id, piece, n_words, bin_id, slot, offset (, text).
 
     Longer documents are cut into pieces of ``capacity`` words and a rest; joined by piece they are the text.
-    A bin has no two pieces of one duplicate cluster (nor of one document) and at most ``per_source`` of a
-    source.  Rows are dealt by a hash of the row over packing groups of about 4096 rows or 16 MB, so a hot
-    source or cluster is spread evenly and a group is packed in one task's memory; inside a group pieces go
-    largest first (ties by id, text hash and piece), so reruns agree.  bin_id is "group-bin", slot the place in
-    the bin from 0, offset its first word.  Repeated rows are packed each for itself.
+    A bin has no two pieces of one duplicate cluster (``cluster``, by default texts equal but for case and white space;
+    near copies are told by a cluster column of theirs) nor of one doc_id, and at most ``per_source`` of a source.  Rows
+    are dealt by a hash of id and text over packing groups of about 4096 rows or 16 MB, so a hot source or
+    cluster is spread evenly and a group is packed in one task's memory; in a group pieces go largest first
+    (ties by id, text hash and piece), so reruns agree.  A row repeated over 4096 times is counted and its copies dealt 64 to
+    a group; they don't share bins.  bin_id is "group-bin", slot the place in the bin from 0, offset its first word.
 
     Documents without words (null or empty text) take no room: bin_id, slot and offset are null.  Null
-    sources are one source.  An empty table gives no rows.
+    sources are one source; null ids are no conflict.  Other columns aren't read, whatever their names.  A text of
+    any length is one row of one group.  An empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("int").alias("n"), (dup_cluster(text) if cluster is None else cluster).alias("cluster"), text.alias("text"))
-    n, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    raw = docs.select("doc_id", F.col("source").cast("string").alias("source"), text.alias("text"), *([] if cluster is None else [cluster.alias("cluster")]))
+    n, size = raw.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     groups = max(1, -(-n // GROUP_ROWS), -(-(size or 0) // GROUP_BYTES))
-    deal = F.pmod(F.xxhash64("doc_id", "text", "salt"), F.lit(groups)).alias("g")
-    # Rows equal in id and text are alike in all that counts, so they may be spread by where they happen to lie.
-    rows = rows.select("*", F.when(F.col("doc_id").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1024))).otherwise(0).alias("salt"))
-    if not with_text:
-        rows = rows.select("doc_id", "source", "n", "cluster", F.xxhash64("text").alias("th"), deal)
-    else:
-        rows = rows.select("doc_id", "source", "n", "cluster", F.xxhash64("text").alias("th"), "text", deal)
+    rows = folded(raw).select("row.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("copy"))
+    deal = F.pmod(F.xxhash64("doc_id", "text", F.floor(F.col("copy") / 64)), F.lit(groups)).alias("g")
+    rows = rows.select("doc_id", "source", F.regexp_count("text", F.lit(WORD)).cast("int").alias("n"), (dup_cluster(F.col("text")) if cluster is None else F.col("cluster")).alias("cluster"), F.xxhash64("text").alias("th"), *(["text"] if with_text else []), deal)
 
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("piece", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("bin_id", T.StringType()), T.StructField("slot", T.IntegerType()), T.StructField("offset", T.IntegerType())]
     if with_text:
@@ -93,16 +91,20 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, per_source: int =
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "th"], kind="stable", na_position="first", ignore_index=True)
         sources, clusters = pdf["source"].factorize(use_na_sentinel=False)[0].tolist(), pdf["cluster"].factorize(use_na_sentinel=False)[0].tolist()
-        parts = []  # (-size, row, piece, source, cluster)
+        # a document's bit is beyond those of all clusters; without an id there is none
+        ids = pdf["doc_id"].factorize()[0].tolist()
+        above = max(clusters, default=0) + 1
+        own = [[c] if d < 0 else [c, above + d] for c, d in zip(clusters, ids)]
+        parts = []  # (-size, row, piece)
         for row, words in enumerate(pdf["n"].tolist()):
             k = 0
             while words > 0:
-                parts.append((-min(words, capacity), row, k, sources[row], clusters[row]))
+                parts.append((-min(words, capacity), row, k))
                 words, k = words - capacity, k + 1
         parts.sort()
-        where = best_fit(((-p[0], p[3], p[4]) for p in parts), capacity, per_source)
+        where = best_fit(((-size, sources[row], *own[row]) for size, row, _ in parts), capacity, per_source)
         g, slots, out = pdf["g"].iloc[0] if len(pdf) else 0, {}, []
-        for (size, row, k, _, _), (b, at) in zip(parts, where):
+        for (size, row, k), (b, at) in zip(parts, where):
             slots[b] = slot = slots.get(b, -1) + 1
             out.append((row, k, -size, f"{g}-{b}", slot, at))
         out += [(row, 0, 0, None, None, None) for row in pdf.index[pdf["n"] == 0]]
