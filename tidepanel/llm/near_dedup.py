@@ -12,13 +12,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, small_batches
+from .common import components, materialize, release, small_batches
 
 REGISTERS, BANDS = 128, 32
 PER_BAND = REGISTERS // BANDS
 BASE, RATE, LIMIT = 1.001, 20.0, 65534  # registers 0 to LIMIT + 1 fit 16 bits
 MARGIN = 0.16  # 4.5 standard deviations of an estimate from 128 registers at a similarity of 0.8
-BLOCK = 2048
+BLOCK = 512
 _MULTIPLIERS = np.random.default_rng(20240101).integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -311,9 +311,14 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, words: int = 4) -> Data
     full sets, block against block, where rows name components and not pairs.  So no link between components
     is lost; links inside a component change nothing and aren't looked for.
 
+    Buckets of over BLOCK classes are compared block against block in tasks of their own, so a band that very many
+    classes share costs time by the square of their number, on all executors, and no link.
+
     component_id is the smallest doc_id of the component, nulls aside (null if all are null).  Empty texts
     are linked with nothing: their component is their own id.  Repeated rows are equal texts.  Ids may be null or
-    repeated, so component_id names no component; component does (among empty texts, the row: its rid).
+    repeated, so component_id names no component; component does (among empty texts, the row: its rid).  Columns other
+    than doc_id and text aren't read, whatever their names.  A text of any length is one row; its shingles take some
+    16 bytes a word.  An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     rows = materialize(sketch(docs, words))
@@ -332,7 +337,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, words: int = 4) -> Data
     maybe = star.join(side[0], "a").join(side[1], "b").where(plausible("bands_a", "bands_b", "na", "nb")).select("a", "b")
     maybe = materialize(maybe)
     in_pairs = maybe.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    links = materialize(_verified(maybe, _sets(in_pairs, docs, classes, words), least))
+    sets = _sets(in_pairs, docs, classes, words)
+    links = materialize(_verified(maybe, sets, least))
+    release(sets, maybe)
     comp = components(links)
 
     placed = members.join(comp, "node", "left").select("bucket", "node", "size", F.coalesce("comp", "node").alias("comp"))
@@ -342,9 +349,12 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, words: int = 4) -> Data
     rest = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p")).select("bucket", "node", "comp", "n", "bands", "block", F.least("block", "p").alias("lo"), F.greatest("block", "p").alias("hi"))
     unsure = materialize(rest.repartition(*GROUP).sortWithinPartitions(*GROUP, "node").mapInPandas(_open_in_bucket(least), "bucket long, lo int, hi int, node long, comp long, block int"))
     if unsure.limit(1).count():
-        full = unsure.join(_sets(unsure.select("node").distinct(), docs, classes, words), "node")
+        sets = _sets(unsure.select("node").distinct(), docs, classes, words)
+        full = unsure.join(sets, "node")
         more = materialize(full.repartition(*GROUP).sortWithinPartitions(*GROUP, "node").mapInPandas(_joined_in_bucket(least), "a long, b long").distinct())
+        release(sets, comp)
         comp = components(links.unionByName(more))
+    release(unsure, members, buckets)
 
     named = classes.select("node").join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
     ids = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")).join(named, "node")
@@ -354,15 +364,20 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, words: int = 4) -> Data
 
 
 def deduplicate(docs: DataFrame, least: float = 0.8, words: int = 5) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: that of the smallest doc_id, nulls last, ties by row hash."""
+    """``docs`` with one row of each group of near duplicates: that of the smallest doc_id, nulls last, ties by row hash.
+
+    Groups are components of :func:`near_duplicates`, never rows that merely share an id, null or not.  Texts without
+    words are like nothing, though rows equal in id and text are one.  All columns pass through, whatever their names.
+    """
     found = near_duplicates(docs, least, words).groupBy((F.col("n_shingles") > 0).alias("full"), "component", "doc_id", "rid").agg(F.count(F.lit(1)).alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "n")).alias("m")
-    chosen = materialize(found.groupBy("full", "component").agg(first).select(F.col("m.rid").alias("__rid"), F.col("m.n").alias("__n")))
+    chosen = materialize(found.groupBy("full", "component").agg(first).select("m.rid", "m.n"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.select("*", F.xxhash64("doc_id", text).alias("__rid")).join(chosen.select("__rid"), "__rid", "left_semi")
-    if chosen.where("__n > 1").limit(1).count():  # some row is there more than once
-        out = out.dropDuplicates(["__rid"])
-    return out.drop("__rid")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", text).alias("rid"))
+    out = keyed.join(chosen.select("rid"), "rid", "left_semi")
+    if chosen.where("n > 1").limit(1).count():  # some row is there more than once
+        out = out.dropDuplicates(["rid"])
+    return out.select("row.*")
 
 
 def op9_near_dedup(docs: DataFrame) -> DataFrame:
