@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, without
+from .common import fresh, materialize, without
 
 ROUNDS = 4
 
@@ -61,8 +61,8 @@ def assign_shards(df: DataFrame, n_shards: int = 16, seed: int = 7, rows_a_bucke
     repeated without end is one row with a count until its numbers are dealt out in chunks.  The same rows
     give the same result on every run, in any physical order.
 
-    Nulls are values like any other.  Columns named shard or slot are replaced.  An empty table gives none.
-    Columns of map type can't be grouped and aren't supported.
+    Nulls are values like any other, and texts of any length are hashed whole.  Columns named shard or slot are replaced,
+    all others pass through, whatever their names.  An empty table gives none.  Columns of map type can't be grouped and aren't supported.
     """
     spark, rows = df.sparkSession, without(df, "shard", "slot")
     cols = [F.col(f"`{c}`") for c in rows.columns]
@@ -71,28 +71,29 @@ def assign_shards(df: DataFrame, n_shards: int = 16, seed: int = 7, rows_a_bucke
     if not n:
         return rows.select("*", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).limit(0)
     buckets = min(65536, max(256, 1 << math.ceil(math.log2(max(1, n / rows_a_bucket)))))
-    keyed = rows.select(*cols, F.xxhash64(*cols).alias("__hash")).select("*", F.pmod("__hash", F.lit(buckets)).alias("__bucket"))
-    counts = materialize(keyed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n")))
-    total, most = counts.agg(F.sum("__n"), F.max("__n")).first()
-    starts = counts.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n")).alias("__start"))
-    grouped = keyed.groupBy("__bucket", "__hash", *cols).agg(F.count(F.lit(1)).alias("__m"))
-    w = Window.partitionBy("__bucket").orderBy("__hash", *cols).rowsBetween(Window.unboundedPreceding, -1)
-    placed = grouped.select("*", F.coalesce(F.sum("__m").over(w), F.lit(0)).alias("__before")).join(F.broadcast(starts), "__bucket")
-    placed = placed.select(*cols, "__m", (F.col("__start") + F.col("__before")).alias("__first"))
+    h, bucket, many, start, first, at, number, place = fresh(rows, "hash", "bucket", "many", "start", "first", "at", "number", "place")
+    keyed = rows.select(*cols, F.xxhash64(*cols).alias(h)).select("*", F.pmod(h, F.lit(buckets)).alias(bucket))
+    counts = materialize(keyed.groupBy(bucket).agg(F.count(F.lit(1)).alias(many)))
+    total, most = counts.agg(F.sum(many), F.max(many)).first()
+    starts = counts.select(bucket, (F.sum(many).over(Window.orderBy(bucket)) - F.col(many)).alias(start))
+    grouped = keyed.groupBy(bucket, h, *cols).agg(F.count(F.lit(1)).alias(many))
+    w = Window.partitionBy(bucket).orderBy(h, *cols).rowsBetween(Window.unboundedPreceding, -1)
+    placed = grouped.select("*", F.coalesce(F.sum(many).over(w), F.lit(0)).alias(at)).join(F.broadcast(starts), bucket)
+    placed = placed.select(*cols, many, (F.col(start) + F.col(at)).alias(first))
 
     def dealt(part: DataFrame) -> DataFrame:
-        return part.select(*cols, F.explode(F.sequence(F.col("__first"), F.col("__first") + F.col("__m") - 1)).alias("__number"))
+        return part.select(*cols, F.explode(F.sequence(F.col(first), F.col(first) + F.col(many) - 1)).alias(number))
 
     if most <= 4 * total / buckets + rows_a_bucket:
         numbered = dealt(placed)
     else:  # some row is repeated very often: its numbers go out in chunks, over all tasks
-        heavy = placed.where(F.col("__m") > 4096)
-        chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__m") - 1, F.lit(4096).cast("long"))).alias("__at")
-        heavy = heavy.select(*cols, "__m", "__first", chunk).select(*cols, F.least(F.lit(4096).cast("long"), F.col("__m") - F.col("__at")).alias("__m"), (F.col("__first") + F.col("__at")).alias("__first"))
-        numbered = dealt(placed.where(F.col("__m") <= 4096)).unionByName(dealt(heavy.repartition(max(8, int(n // 1_000_000)), "__first")))
+        heavy = placed.where(F.col(many) > 4096)
+        chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col(many) - 1, F.lit(4096).cast("long"))).alias(at)
+        heavy = heavy.select(*cols, many, first, chunk).select(*cols, F.least(F.lit(4096).cast("long"), F.col(many) - F.col(at)).alias(many), (F.col(first) + F.col(at)).alias(first))
+        numbered = dealt(placed.where(F.col(many) <= 4096)).unionByName(dealt(heavy.repartition(max(8, int(n // 1_000_000)), first)))
     steps = walk_length(spark, total, seed)
-    at = numbered.select(*cols, permute(F.col("__number"), total, steps, seed).alias("__place"))
-    return at.select(*cols, (F.col("__place") % n_shards).cast("int").alias("shard"), F.floor(F.col("__place") / n_shards).cast("long").alias("slot"))
+    moved = numbered.select(*cols, permute(F.col(number), total, steps, seed).alias(place))
+    return moved.select(*cols, (F.col(place) % n_shards).cast("int").alias("shard"), F.floor(F.col(place) / n_shards).cast("long").alias("slot"))
 
 
 def op1_sharding(docs: DataFrame, n_shards: int = 16) -> DataFrame:
