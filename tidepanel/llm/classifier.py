@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import fresh, materialize, release, small_batches
 
 SHAPES, WORDS, NUMBERS, META = 128, 512, 4, 96
 CONTENT = SHAPES + WORDS + NUMBERS
@@ -234,6 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, target:
     That bound is the only sampling here; it holds the labelled rows (about 20 MB) on the driver.  All other
     documents, those without an id or with a label beyond the bound included, are unlabelled: their features are
     written to the shared folder once, and each round adds up what the sure ones contribute on the executors.
+    Of rows that share a labelled id the one of least text hash trains, and the others aren't used, so reruns agree.
     Labels of one document are averaged, 0.5 or more counting as 1; null labels don't count.  A quarter of the
     labelled rows, by hash, is held for calibration.  None if either part lacks one of the classes.
     """
@@ -251,7 +252,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, target:
             yield pd.DataFrame({"h": b["h"], "y": b["y"], "xc": [r.tobytes() for r in xc], "xm": [r.tobytes() for r in xm]})
 
     schema = "h long, y double, xc binary, xm binary"
-    got = whole.join(F.broadcast(some), "doc_id").mapInPandas(features, schema).toPandas().sort_values(["h", "y"], kind="stable").drop_duplicates("h")
+    one = whole.join(F.broadcast(some), "doc_id").groupBy("h", "y").agg(F.min(F.struct(F.xxhash64("text").alias("th"), "text", "lang", "source", "n_chars")).alias("m"))
+    got = one.select("h", "y", "m.*").mapInPandas(features, schema).toPandas().sort_values("h", kind="stable", ignore_index=True)
     if got.empty:
         return None
     xc, xm = _unpacked(got)
@@ -262,14 +264,17 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, target:
         return None
     others = whole.join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti").select("*", F.lit(None).cast("long").alias("h"), F.lit(None).cast("double").alias("y"))
     pool = materialize(others.mapInPandas(features, schema).select("xc", "xm"), compression="zstd")
-    return co_train_by_sums(xc, xm, y, held, _added_on_executors(pool), rounds, sure)
+    model = co_train_by_sums(xc, xm, y, held, _added_on_executors(pool), rounds, sure)
+    release(pool, some)
+    return model
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **bounds) -> DataFrame:
     """``docs`` with content_score, meta_score, score and kept (score >= ``threshold``); all whole documents are scored.
 
-    Null text, language, source and length are features like any other.  With too few labels to train on, the
-    scores are null and everything is kept.  Columns of these names are replaced; others pass through.
+    Null text, language, source and length are features like any other; ids may be null or repeated.  With too few
+    labels to train on, the scores are null and everything is kept.  Columns of these names are replaced; others pass
+    through, whatever their names.  A text of any length is one row.  An empty table gives no rows.
     """
     outs = ("content_score", "meta_score", "score", "kept")
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in outs])
@@ -286,8 +291,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **bound
     names = {c.lower() for c in docs.columns}
     text = F.col("text").cast("string")
     args = [text, *[F.col(c).cast("string") if c in names else F.lit(None).cast("string") for c in ("lang", "source")], F.col("n_chars").cast("long") if "n_chars" in names else F.length(text).cast("long")]
-    scored = docs.select("*", scores(*args).alias("__s"))
-    return scored.select(*[F.col(f"`{c}`") for c in docs.columns], "__s.content_score", "__s.meta_score", "__s.score", (F.col("__s.score") >= threshold).alias("kept"))
+    (s,) = fresh(docs, "scored")
+    scored = docs.select("*", scores(*args).alias(s))
+    return scored.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(s)[c].alias(c) for c in outs[:3]], (F.col(s)["score"] >= threshold).alias("kept"))
 
 
 def op3_quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
