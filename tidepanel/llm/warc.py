@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
+import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, small_batches
+from .common import materialize, release, scratch, small_batches
 
 FILE_MB = 16
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEADER = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+MOST_BITS = 1 << 28  # of a Bloom filter: 32 MB
+FEW = 100_000  # headers that may be broadcast: 6 MB
+EMPTY = zlib.compress(b"", wbits=31)
 
 
 def digest(payload: bytes) -> str:
@@ -25,16 +30,44 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def page_headers(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload_bytes, payload_digest, payload) of every page; null html is an empty payload."""
+def page_headers(pages: DataFrame, revisits: Broadcast | None = None) -> DataFrame:
+    """(page_id, url, payload_bytes, payload_digest, key, maybe, payload) of every page; null html is an empty payload.
+
+    key is a 64-bit name of page_id and payload; maybe tells whether the Bloom filter ``revisits`` may hold it.
+    """
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             raw = [(x or "").encode() for x in b["payload"]]
-            yield b.assign(payload_bytes=[len(x) for x in raw], payload_digest=[digest(x) for x in raw])[["page_id", "url", "payload_bytes", "payload_digest", "payload"]]
+            sums = [hashlib.sha1(x).digest() for x in raw]
+            ids = b["page_id"].fillna(-1).to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            key = (np.frombuffer(b"".join(x[:8] for x in sums), np.uint64) ^ (ids >> np.uint64(7)) ^ ids).view(np.int64)
+            maybe = _may_hold(revisits.value, key) if revisits is not None else False
+            b = b.assign(payload_bytes=[len(x) for x in raw], payload_digest=[base64.b32encode(x).decode() for x in sums], key=key, maybe=maybe)
+            yield b[["page_id", "url", "payload_bytes", "payload_digest", "key", "maybe", "payload"]]
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
-    return rows.mapInPandas(hashed, "page_id long, url string, payload_bytes long, payload_digest string, payload string")
+    return rows.mapInPandas(hashed, "page_id long, url string, payload_bytes long, payload_digest string, key long, maybe boolean, payload string")
+
+
+def _may_hold(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which keys a Bloom filter (64-bit words) of two bits a key may hold."""
+    k, ok = key.view(np.uint64), np.ones(len(key), bool)
+    for at in (k, k >> np.uint64(32)):
+        at = at & np.uint64(64 * len(bits) - 1)
+        ok &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return ok
+
+
+def _bloom(keys: DataFrame, n: int) -> Broadcast:
+    """Bloom filter of ``n`` keys, 32 bits for each but at most MOST_BITS: words are put together by Spark, the driver gets these."""
+    size = min(MOST_BITS, max(1 << 16, 1 << (32 * n).bit_length()))
+    at = F.explode(F.array(F.col("key"), F.shiftrightunsigned("key", 32))).alias("at")
+    at = keys.select(at).select(F.col("at").bitwiseAND(F.lit(size - 1)).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
+    bits = np.zeros(size // 64, np.uint64)
+    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(bits)
 
 
 def resolve_revisits(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -42,7 +75,7 @@ def resolve_revisits(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     Of the records with one digest and at least ``least_bytes`` the one with the largest page_id is the response
     and the others revisit it; smaller ones are all responses.  Headers alone are shuffled, by digest: the
-    largest page_id of each digest that occurs twice comes back by a join, whose hot side AQE can split.  A
+    largest page_id of each digest that occurs twice comes back by a join, whose hot side AQE can split.  Payloads stay where they are.  A
     null page_id counts as smallest; records that tie for the largest are all responses.
     """
     original = headers.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1 and __first is not null")
@@ -52,27 +85,42 @@ def resolve_revisits(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def write_archive(records: DataFrame, path: str, per_file: int = 5000) -> None:
-    """Write (page_id, url, payload_bytes, payload_digest, payload, record_type, refers_to) as WARC/1.1, gzipped.
+    """Write (page_id, url, payload_digest, payload, record_type, refers_to) as WARC/1.1, each record a gzip member of its own.
 
     Every record gets a fresh header.  A revisit has its original's digest and record id and an empty block.
-    A record is one row of Spark's text writer: the last line feed of the record is the row's line end, so the
-    files are plain WARC and the writer's commit protocol covers lost executors.  Record ids name the page.
-    A file gets at most ``per_file`` records; payloads aren't shuffled for the sake of file sizes.
+    Record ids name the page.  A member is one row of Spark's text writer, whose commit protocol covers lost executors:
+    the member's last byte, the highest of its size, is 0 and is written as the row's end; a record of 16 MB or
+    more is followed by an empty member, which ends so.  A file gets at most ``per_file`` records; payloads aren't
+    shuffled for the sake of file sizes.
     """
-    def field(name: str, value) -> F.Column:
-        return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-
-    page = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
-    revisit = F.col("record_type") == "revisit"
-    block = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
-    head = F.concat(
-        F.lit("WARC/1.1\r\n"), field("WARC-Type", F.col("record_type")), field("WARC-Record-ID", F.concat(F.lit("<urn:page:"), page, F.lit(">"))), field("WARC-Date", F.lit(DATE)),
-        F.when(F.col("url").isNotNull(), field("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]+", "%0A"))).otherwise(F.lit("")),
-        field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        F.when(revisit, F.concat(field("WARC-Profile", F.lit(PROFILE)), field("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))))).otherwise(F.lit("")),
-        field("Content-Type", F.lit("text/html")), field("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"),
-    )
-    records.select(F.concat(head, block, F.lit("\r\n\r")).alias("value")).write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", per_file).text(path)
+
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for page, url, said, payload, kind, to in zip(b["page_id"].astype("Int64"), b["url"], b["payload_digest"], b["payload"], b["record_type"], b["refers_to"].astype("Int64")):
+                block = b"" if kind == "revisit" else (payload or "").encode()
+                fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{'none' if pd.isna(page) else page}>"), ("WARC-Date", DATE)]
+                if url is not None:
+                    fields.append(("WARC-Target-URI", re.sub(r"[\r\n]+", "%0A", url)))
+                fields.append(("WARC-Payload-Digest", f"sha1:{said}"))
+                if kind == "revisit":
+                    fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{to}>")]
+                fields += [("Content-Type", "text/html"), ("Content-Length", len(block))]
+                head = "".join(f"{k}: {v}\r\n" for k, v in fields)
+                member = zlib.compress(f"WARC/1.1\r\n{head}\r\n".encode() + block + b"\r\n\r\n", wbits=31)
+                out.append((member if member[-1] == 0 else member + EMPTY)[:-1])
+            yield pd.DataFrame({"value": out})
+
+    made = records.select("page_id", "url", "payload_digest", "payload", "record_type", "refers_to").mapInPandas(members, "value binary")
+    made.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(path)
+
+
+def unzip(data: bytes) -> Iterator[bytes]:
+    """The content of each gzip member."""
+    while data:
+        one = zlib.decompressobj(31)
+        yield one.decompress(data)
+        data = one.unused_data
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -101,7 +149,7 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = False) ->
         for b in batches:
             for content in b["content"]:
                 out = []
-                for f, block in parse(zlib.decompress(bytes(content), 47) if content else b""):
+                for f, block in (r for member in unzip(bytes(content)) for r in parse(member)):
                     page, kind = f["warc-record-id"][len("<urn:page:") : -1], f["warc-type"]
                     said = f["warc-payload-digest"].removeprefix("sha1:")
                     if kind == "response" and digest(block) != said:
@@ -133,24 +181,48 @@ def restored(records: DataFrame) -> DataFrame:
 
 
 def deduplicate_pages(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Write ``pages`` (page_id, url, html) to WARC files under ``path``, repeated payloads as revisits."""
+    """Write ``pages`` (page_id, url, html) to WARC files under ``path``, repeated payloads as revisits.
+
+    Only headers are shuffled.  Revisits need no payload and are written from their headers.  Responses are written where
+    their pages lie: a Bloom filter of all revisits tells most pages that they are responses, and the few that it
+    holds wrongly are known by name from the headers (broadcast up to FEW of them, else these pages alone are joined).
+    """
     small_batches(pages.sparkSession)
-    rows = page_headers(pages)
-    heads = materialize(rows.select("page_id", "payload_bytes", "payload_digest"))
+    heads = materialize(page_headers(pages).drop("maybe", "payload"))
     n, size = heads.agg(F.count(F.lit(1)), F.sum("payload_bytes")).first()
-    per_file = max(1, (FILE_MB << 20) * n // max(size or 0, 1))  # records that make FILE_MB on average
-    verdict = resolve_revisits(heads, least_bytes).groupBy("page_id", "payload_digest").agg(F.first("record_type").alias("record_type"), F.first("refers_to").alias("refers_to"))
-    keyed = verdict.where("record_type = 'revisit'").select(F.coalesce("page_id", F.lit(-1)).alias("__id"), F.col("page_id").isNull().alias("__none"), "payload_digest", "record_type", "refers_to")
-    full = rows.select("*", F.coalesce("page_id", F.lit(-1)).alias("__id"), F.col("page_id").isNull().alias("__none")).join(keyed, ["__id", "__none", "payload_digest"], "left")
-    full = full.select("page_id", "url", "payload_bytes", "payload_digest", F.when(F.col("record_type").isNull(), F.col("payload")).otherwise("").alias("payload"), F.coalesce("record_type", F.lit("response")).alias("record_type"), "refers_to")
-    write_archive(full, path, min(per_file, 1_000_000))
+    per_file = min(1_000_000, max(1, (FILE_MB << 20) * n // max(size or 0, 1)))  # records that make FILE_MB on average
+    revisits = materialize(resolve_revisits(heads, least_bytes).where("record_type = 'revisit'"))
+    again = revisits.count()
+    if not again:
+        write_archive(page_headers(pages).select("*", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")), path, per_file)
+        release(heads, revisits)
+        return
+    bits = _bloom(revisits.select("key"), again)
+
+    @F.pandas_udf("boolean")
+    def held(key: pd.Series) -> pd.Series:
+        return pd.Series(_may_hold(bits.value, key.to_numpy(np.int64)))
+
+    name = [F.coalesce("page_id", F.lit(-1)).alias("id"), F.col("page_id").isNull().alias("none"), "payload_digest"]
+    by = ["id", "none", "payload_digest"]
+    wrong = materialize(heads.where(held("key")).select(*name).join(revisits.select(*name), by, "left_anti").distinct())
+    rows = page_headers(pages, bits).select("*", *name[:2])
+    if wrong.count() <= FEW:
+        wrong = F.broadcast(wrong.select(*by, F.lit(True).alias("response")))
+        responses = rows.join(wrong, by, "left").where(~F.col("maybe") | F.col("response"))
+    else:
+        responses = rows.where(~F.col("maybe")).unionByName(rows.where("maybe").join(wrong, by, "left_semi").select(*rows.columns))
+    responses = responses.select("page_id", "url", "payload_digest", "payload", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    write_archive(responses.unionByName(revisits.select("page_id", "url", "payload_digest", F.lit("").alias("payload"), "record_type", "refers_to")), path, per_file)
+    release(heads, revisits)
 
 
 def op7_warc(pages: DataFrame) -> DataFrame:
     """Archive of ``pages``, read back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Null html is an empty payload.  No pages: no records.  Rows equal in page_id and html share a verdict.
+    Null html is an empty payload, a null page_id counts as smallest.  Rows equal in page_id and html share a verdict.
+    Other columns aren't read, whatever their names.  A page of any length is one row.  No pages: no records.
     """
-    path = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    path = scratch(pages.sparkSession, "warc")
     deduplicate_pages(pages, path)
     return restored(read_archive(pages.sparkSession, path))
