@@ -269,13 +269,45 @@ def test_quality_rules_statistics_and_outliers(spark, docs, nothing):
     assert all(kept[i] for i in range(200)) and not any(kept[900 + i] for i in range(20))
 
 
-def test_mcd_is_not_moved_by_outliers(spark):
+def brute_mcd(x):
+    """Reweighted MCD with exact half subsets from many starts, for comparison."""
+    x, best = x.astype(float), None
+    rng, h = np.random.default_rng(1), (len(x) + 1) // 2
+    for _ in range(60):
+        at = rng.choice(len(x), 8, replace=False)
+        m, c = x[at].mean(0), np.cov(x[at].T) + np.diag(np.square(quality_rules.FLOORS))
+        for _ in range(12):
+            near = np.argsort((np.linalg.solve(c, (x - m).T).T * (x - m)).sum(1), kind="stable")[:h]
+            m, c = x[near].mean(0), quality_rules.INNER * np.cov(x[near].T, bias=True) + np.diag(np.square(quality_rules.FLOORS))
+        if best is None or np.linalg.slogdet(c)[1] < best[0]:
+            best = (np.linalg.slogdet(c)[1], m, c)
+    _, m, c = best
+    near = (np.linalg.solve(c, (x - m).T).T * (x - m)).sum(1) <= quality_rules.WITHIN
+    m, c = x[near].mean(0), quality_rules.REWEIGHTED * np.cov(x[near].T, bias=True) + np.diag(np.square(quality_rules.FLOORS))
+    return (np.linalg.solve(c, (x - m).T).T * (x - m)).sum(1)
+
+
+def test_mcd_against_many_random_starts(spark):
     rng = np.random.default_rng(7)
     x = rng.multivariate_normal([3000] * 5, np.eye(5) * 200**2 + 100**2, 1500).round().astype(int)
-    x[:300] += 5000
-    df = spark.createDataFrame([("g", i, *map(int, r)) for i, r in enumerate(x)], "g string, i int, x0 long, x1 long, x2 long, x3 long, x4 long")
+    x[:600] += rng.integers(4000, 6000, (600, 1))  # two fifths are outliers on a line
+    df = spark.createDataFrame([("g", "w", i, *map(int, r)) for i, r in enumerate(x)], "pair string, wide string, i int, x0 long, x1 long, x2 long, x3 long, x4 long")
     d = {r.i: r.d2 for r in quality_rules.mcd_distances(df).collect()}
-    assert min(d[i] for i in range(300)) > 200 and np.median([d[i] for i in range(300, 1500)]) < 8
+    want = brute_mcd(x)
+    assert ((want > quality_rules.CUTOFF) == np.array([d[i] > quality_rules.CUTOFF for i in range(1500)])).all()
+    assert np.corrcoef(want[600:], [d[i] for i in range(600, 1500)])[0, 1] > 0.99 and min(d[i] for i in range(600)) > 200
+
+
+def test_quality_verdicts_do_not_hear_other_languages(spark):
+    few = [(i, prose(60, i), "de", "small") for i in range(10)]
+    plain = [(1000 + i, " ".join(w.upper() for w in prose(60, 700 + i).split()), "fr", f"s{i % 20}") for i in range(100)]
+    schema = "doc_id long, text string, lang string, source string"
+    both = {r.doc_id: r.kept for r in quality_rules.op6_quality_rules(spark.createDataFrame(few + plain, schema)).collect()}
+    alone = {r.doc_id: r.kept for r in quality_rules.op6_quality_rules(spark.createDataFrame(few, schema)).collect()}
+    assert all(both.values()) and all(alone.values())
+    for n in (2, 49, 50):  # nothing changes at any count
+        rows = [(i, prose(60, i), "de", "small") for i in range(n)]
+        assert all(r.kept for r in quality_rules.op6_quality_rules(spark.createDataFrame(rows + plain, schema)).collect())
 
 
 def test_warc_round_trip(spark):

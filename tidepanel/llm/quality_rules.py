@@ -5,26 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 GRID = 1000  # statistics are kept as whole thousandths, so that sums are exact in any order
 DIMS = ("x0", "x1", "x2", "x3", "x4")
+P = len(DIMS)
+CELLS = [(i, j) for i in range(P) for j in range(i + 1)]
 #: Least spread of each statistic, in thousandths: differences below it mean nothing.
 FLOORS = (50, 40, 100, 100, 40)
-H = 0.75
-#: Covariance of the inner 75 % of a 5-dimensional normal distribution times this is that of the whole.
-CONSISTENCY = 1.41
-CUTOFF = 60.0
-MIN_GROUP = 50
-INDEX_BITS = 24
+STARTS = ("median", "tanh", "sign", "mean")
+H = 0.5
+#: Of a normal distribution in 5 dimensions: what the covariance of its inner 50 % and 97.5 % is to be multiplied by, and
+#: the squared distance that 97.5 % lie within.
+INNER, REWEIGHTED, WITHIN = 1.912, 1.056, 12.83
+#: The squared distance that a share of 1 - 1e-9 of a normal distribution in 5 dimensions lies within.
+CUTOFF = 50.7
+PRIOR = 50  # documents that the language's estimate counts for in each of its sources
 
 
 def text_statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
     """Word statistics of every whole text, in the row (nothing is exploded or shuffled).
 
-    Null text counts as empty.  Repeated 5-word windows are found by sorting the text's own window hashes:
-    the upper bits of a hash with the window's index form one long, equal hashes become neighbours, and the
-    full hashes of neighbours are compared.  An index has 24 bits, enough for 16 million words.
+    Null text counts as empty.  Repeated 5-word windows are found by sorting the text's own window hashes with
+    their indices: equal hashes become neighbours.  A text of any length is one row; its windows take some 60 bytes a word.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(*keep, text.alias("t"), F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words"))
@@ -34,20 +37,14 @@ def text_statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ..
         (F.length("t") - F.length(F.regexp_replace("t", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.length("t") - F.length(F.regexp_replace("t", r"\p{Lu}+", ""))).cast("long").alias("n_upper"), lines.alias("lines"),
     )
-    mask = (1 << INDEX_BITS) - 1
-    windows = F.when(F.size("words") >= 5, F.transform(F.sequence(F.lit(1), F.size("words") - 4), lambda i: F.xxhash64(F.slice("words", i, 5)))).otherwise(F.array().cast("array<bigint>"))
-    d = d.select(*keep, "n_words", "word_chars", "n_symbols", "n_upper", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), windows.alias("h"))
-    d = d.select("*", F.sort_array(F.transform("h", lambda x, i: x.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long")))).alias("s"))
-
-    def index(x: Column) -> Column:
-        return x.bitwiseAND(F.lit(mask)).cast("int")
+    windows = F.when(F.size("words") >= 5, F.transform(F.sequence(F.lit(1), F.size("words") - 4), lambda i: F.struct(F.xxhash64(F.slice("words", i, 5)).alias("h"), i.alias("i")))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+    d = d.select(*keep, "n_words", "word_chars", "n_symbols", "n_upper", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.sort_array(windows).alias("s"))
 
     def same(x: Column, y: Column) -> Column:
-        return F.coalesce((x.bitwiseAND(F.lit(~mask)) == y.bitwiseAND(F.lit(~mask))) & (F.get("h", index(x)) == F.get("h", index(y))), F.lit(False))
+        return F.coalesce(x["h"] == y["h"], F.lit(False))
 
     found = F.filter("s", lambda x, k: same(x, F.get("s", k + 1)) | same(x, F.get("s", k - 1)))
-    d = d.select("*", found.alias("f"))
-    d = d.select("*", F.sort_array(F.transform("f", index)).alias("at"))
+    d = d.select("*", F.sort_array(F.transform(found, lambda x: x["i"])).alias("at"))
     reached = F.transform("at", lambda i, k: F.least(F.lit(5), F.coalesce(F.get("at", k + 1) - i, F.lit(5))))
     return d.select(*keep, "n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", F.aggregate(reached, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeat_words"))
 
@@ -83,62 +80,148 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.select("*", sum((F.col(f"z_{i}") ** 2 for i in range(1, len(DIMS))), F.col("z_0") ** 2).alias("d2"))
 
 
-def mcd_distances(rows: DataFrame, group: str = "g", steps: int = 4, fit: Column | None = None) -> DataFrame:
-    """``rows`` with d2: squared distance from the minimum-covariance-determinant estimate of the row's group.
+def _sums(weights: list[tuple[str, Column]]) -> list[Column]:
+    """Count, sums and sums of products of named whole-number columns."""
+    by = [c for _, c in weights]
+    return [F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{i}") for i, c in enumerate(by)], *[F.sum(by[i] * by[j]).alias(f"s_{i}_{j}") for i, j in CELLS]]
+
+
+def _cov(i: int, j: int) -> Column:
+    return F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"s_{i}") / F.col("n") * F.col(f"s_{j}") / F.col("n")
+
+
+def _floored(scale: float) -> list[Column]:
+    """Means and covariances times ``scale``, of ``_sums``; the floors keep the matrix regular from the first row on."""
+    return [*[(F.col(f"s_{i}") / F.col("n")).alias(f"m_{i}") for i in range(P)], *[(scale * _cov(i, j) + (float(FLOORS[i] ** 2) if i == j else 0.0)).alias(f"c_{i}_{j}") for i, j in CELLS]]
+
+
+M = [f"m_{i}" for i in range(P)]
+C = [f"c_{i}_{j}" for i, j in CELLS]
+L = [f"l_{i}_{j}" for i, j in CELLS]
+
+
+def _factored(params: DataFrame) -> DataFrame:
+    """``params`` with the Cholesky factor of its covariances and the logarithm of their determinant."""
+    for name, c in _cholesky(P):
+        params = params.select("*", c.alias(name))
+    return params.select("*", (2 * sum((F.log(f"l_{i}_{i}") for i in range(1, P)), F.log("l_0_0"))).alias("logdet"))
+
+
+def _starts(use: DataFrame) -> DataFrame:
+    """(g, start, m_i, c_i_j): four first estimates of each group.
 
-    ``rows`` have DIMS as whole numbers.  The start is the coordinate-wise median and quartile range; each
-    concentration step keeps the nearest 75 % of a group and takes their mean and covariance.  A step is one
-    aggregation by (group, bin of distance) with exact integer sums: bins up to the 75 % mark are added up, so no
-    sort, no sample and no row order comes in.  Rows for which ``fit`` is false get a distance but
-    don't take part in the estimate.  Groups are joined back by broadcast while there are at most 10,000.
+    median: medians and quartile spreads.  tanh, sign: the same with the correlations of squashed standardised
+    statistics, or of their directions.  mean: plain mean and covariance.
+    """
+    quart = [F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{i}") for i, x in enumerate(DIMS)]
+    box = use.groupBy("g").agg(*quart)
+    box = materialize(box.select("g", *[F.get(f"q_{i}", F.lit(1)).alias(f"m_{i}") for i in range(P)], *[F.greatest((F.get(f"q_{i}", F.lit(2)) - F.get(f"q_{i}", F.lit(0))) / 1.349, F.lit(float(FLOORS[i]))).alias(f"d_{i}") for i in range(P)]))
+    z = use.join(box, "g").select("g", *DIMS, *[((F.col(x) - F.col(f"m_{i}")) / F.col(f"d_{i}")).alias(f"z_{i}") for i, x in enumerate(DIMS)])
+    length = F.sqrt(sum((F.col(f"z_{i}") ** 2 for i in range(1, P)), F.col("z_0") ** 2))
+    z = z.select("*", length.alias("length"))
+    kinds = {
+        "tanh": [F.tanh(f"z_{i}") for i in range(P)],
+        "sign": [F.when(F.col("length") > 0, F.col(f"z_{i}") / F.col("length")).otherwise(0.0) for i in range(P)],
+        "mean": [F.col(x) for x in DIMS],
+    }
+    wide = z.groupBy("g").agg(*[F.struct(*_sums([(str(i), (F.round(c * GRID) if kind != "mean" else c).cast("long")) for i, c in enumerate(cols)])).alias(kind) for kind, cols in kinds.items()])
+    wide = materialize(wide)
+    parts = [box.select("g", F.lit("median").alias("start"), *M, *[(F.col(f"d_{i}") ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i, j in CELLS])]
+    for kind in ("tanh", "sign"):
+        one = wide.select("g", f"{kind}.*").join(box, "g")
+        # correlations drawn towards 0 a little, so that the matrix is regular
+        r = {(i, j): 0.98 * _cov(i, j) / F.sqrt((_cov(i, i) + 1) * (_cov(j, j) + 1)) for i, j in CELLS}
+        parts.append(one.select("g", F.lit(kind).alias("start"), *M, *[(F.col(f"d_{i}") * F.col(f"d_{j}") * (F.lit(1.0) if i == j else r[i, j])).alias(f"c_{i}_{j}") for i, j in CELLS]))
+    parts.append(wide.select("g", "mean.*").select("g", F.lit("mean").alias("start"), *_floored(1.0)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _concentrated(use: DataFrame, params: DataFrame) -> DataFrame:
+    """One concentration step: mean and covariance of the nearest half of each group, for each start.
+
+    One aggregation by (group, start, bin of distance) with exact whole-number sums; bins up to the half are added
+    up, so no sort, no sample and no row order comes in.
+    """
+    keys = ["g", "start"]
+    near = _distance(use.join(params.select(*keys, *M, *L), "g"))
+    binned = near.groupBy(*keys, F.floor(F.log1p("d2") * 64).alias("bin")).agg(*_sums([(x, F.col(x)) for x in DIMS]))
+    w = Window.partitionBy(*keys)
+    upto = w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    inner = binned.select("*", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"), F.sum("n").over(w).alias("all")).where(F.col("before") < F.col("all") * H)
+    total = inner.groupBy(*keys).agg(*[F.sum(c).cast("double").alias(c) for c in ["n", *[f"s_{i}" for i in range(P)], *[f"s_{i}_{j}" for i, j in CELLS]]])
+    return _factored(total.select(*keys, *_floored(INNER)))
+
+
+def mcd_estimates(use: DataFrame, most_steps: int = 10) -> DataFrame:
+    """(g, n, m_i, c_i_j): reweighted minimum-covariance-determinant estimates of the DIMS of each group ``g``.
+
+    Four starts (:func:`_starts`) go through two concentration steps; each group goes on with the one of the least
+    determinant until no determinant falls any more, or ``most_steps``.  Rows within the 97.5 % distance of the
+    result give the final mean and covariance, n is their count.
+    """
+    params = materialize(_factored(_starts(use)))
+    for _ in range(2):
+        params, old = materialize(_concentrated(use, params)), params
+        release(old)
+    best = params.groupBy("g").agg(F.min(F.struct("logdet", "start")).alias("best")).select("g", F.col("best.start").alias("start"))
+    params = materialize(params.join(best, ["g", "start"]))
+    for _ in range(most_steps):
+        new = materialize(_concentrated(use, params))
+        fell = params.join(new.select("g", F.col("logdet").alias("new")), "g").where(F.col("new") < F.col("logdet") - 1e-3).limit(1).count()
+        release(params)
+        params = new
+        if not fell:
+            break
+    near = _distance(use.join(params.select("g", *M, *L), "g")).where(F.col("d2") <= WITHIN)
+    final = near.groupBy("g").agg(*_sums([(x, F.col(x)) for x in DIMS]))
+    return materialize(final.select("g", "n", *_floored(REWEIGHTED)))
+
+
+def mcd_distances(rows: DataFrame, group: str = "pair", wider: str = "wide", fit: Column | None = None) -> DataFrame:
+    """``rows`` (group, wider, DIMS and others) with d2, the squared Mahalanobis distance by the estimate of the row's group.
+
+    A group's estimate is pooled with that of the wider group that it lies in, which counts for PRIOR rows (its own
+    share of these rows is not taken out): mean, covariance, and the distance between both means as covariance.  So
+    an estimate is there from the first row on and changes smoothly with the count.  Rows for which ``fit`` is false get a distance
+    but don't take part.  A group none of whose rows takes part has that of the wider one; if there is none
+    either, d2 is null.
     """
-    p, keys = len(DIMS), F.col(group)
     use = rows if fit is None else rows.where(fit)
+    both = use.select(F.explode(F.array(F.concat(F.lit("g"), group), F.concat(F.lit("w"), wider))).alias("g"), *DIMS)
+    found = mcd_estimates(both)
+    own = found.where(F.col("g").startswith("g")).select(F.substring("g", 2, 1 << 30).alias(group), F.col("n").alias("own"), *[F.col(c).alias(f"g{c}") for c in M + C])
+    wide = found.where(F.col("g").startswith("w")).select(F.substring("g", 2, 1 << 30).alias(wider), *[F.col(c).alias(f"w{c}") for c in M + C])
+    pairs = rows.select(group, wider).distinct().join(wide, wider).join(own, group, "left")
+    n, k = F.coalesce("own", F.lit(0)), float(PRIOR)
 
-    def joined(left: DataFrame, params: DataFrame) -> DataFrame:
-        return left.join(F.broadcast(params) if n_groups <= 10_000 else params, group)
+    def pooled(c: str) -> Column:
+        return (n * F.coalesce(f"g{c}", F.lit(0.0)) + k * F.col(f"w{c}")) / (n + k)
 
-    quart = [F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{i}") for i, x in enumerate(DIMS)]
-    params = use.groupBy(keys).agg(*quart)
-    zero = {f"l_{i}_{j}": F.lit(0.0) for i in range(p) for j in range(i)}
-    diag = {f"l_{i}_{i}": F.greatest((F.get(f"q_{i}", F.lit(2)) - F.get(f"q_{i}", F.lit(0))) / 1.349, F.lit(float(FLOORS[i]))) for i in range(p)}
-    params = params.select(keys, *[F.get(f"q_{i}", F.lit(1)).alias(f"m_{i}") for i in range(p)], *[c.alias(n) for n, c in (zero | diag).items()])
-    params = materialize(params)
-    n_groups = params.count()
-    pairs = [(i, j) for i in range(p) for j in range(i + 1)]
-    for _ in range(steps):
-        near = _distance(joined(use.select(keys, *DIMS), params))
-        binned = near.groupBy(keys, F.floor(F.log1p("d2") * 64).alias("bin")).agg(
-            F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s_{i}") for i, x in enumerate(DIMS)], *[F.sum(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"s_{i}_{j}") for i, j in pairs],
-        )
-        w = Window.partitionBy(group)
-        upto = w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        inner = binned.select("*", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"), F.sum("n").over(w).alias("total")).where(F.col("before") < F.col("total") * H)
-        total = inner.groupBy(keys).agg(*[F.sum(c).cast("double").alias(c) for c in ["n", *[f"s_{i}" for i in range(p)], *[f"s_{i}_{j}" for i, j in pairs]]])
-        cov = {f"c_{i}_{j}": CONSISTENCY * (F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"s_{i}") / F.col("n") * F.col(f"s_{j}") / F.col("n")) + (float(FLOORS[i] ** 2) if i == j else 0.0) for i, j in pairs}
-        params = total.select(keys, *[(F.col(f"s_{i}") / F.col("n")).alias(f"m_{i}") for i in range(p)], *[c.alias(n) for n, c in cov.items()])
-        for name, c in _cholesky(p):
-            params = params.select("*", c.alias(name))
-        params = materialize(params.select(keys, *[f"m_{i}" for i in range(p)], *[f"l_{i}_{j}" for i, j in pairs]))
-    out = rows.join(F.broadcast(params) if n_groups <= 10_000 else params, group, "left")
-    return _distance(out).select(*rows.columns, "d2")
+    def apart(i: int) -> Column:
+        return F.coalesce(F.col(f"gm_{i}") - F.col(f"wm_{i}"), F.lit(0.0))
+
+    spread = {(i, j): pooled(f"c_{i}_{j}") + n * k / ((n + k) * (n + k)) * apart(i) * apart(j) for i, j in CELLS}
+    params = pairs.select(group, *[pooled(m).alias(m) for m in M], *[c.alias(f"c_{i}_{j}") for (i, j), c in spread.items()])
+    params = materialize(_factored(params).select(group, *M, *L))
+    return _distance(rows.join(params, group, "left")).select(*rows.columns, "d2")
 
 
 def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """doc_id, base statistics, base_failed, d2 and kept of every document.
 
-    A group is a (language, source) pair; pairs with fewer than 50 documents that pass the base share one
-    estimate.  Null language, source or text are values of their own (text: empty, which fails the base).  A
-    group without any estimate (no document passes the base) has null d2 and what the base says.
+    A group is a (language, source) pair, its wider group the language.  Null language, source or text are values of
+    their own (text: empty, which fails the base).  Where no document of a language passes the base, d2 is
+    null and the base decides.  Ids may be null or repeated, equal rows have equal results, other columns aren't
+    read, and an empty table gives no rows.
     """
     s = text_statistics(docs)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    pair = F.concat_ws("\x01", *[F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in ("lang", "source")])
-    s = materialize(s.select("doc_id", pair.alias("pair"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *_vector()))
-    counts = s.where(~F.col("base_failed")).groupBy("pair").count()
-    large = materialize(counts.where(F.col("count") >= MIN_GROUP).select("pair", F.col("pair").alias("g")))
-    s = s.join(F.broadcast(large) if large.count() <= 10_000 else large, "pair", "left").select("*", F.coalesce("g", F.lit("*")).alias("group_key")).drop("g", "pair")
-    d = mcd_distances(s.withColumnRenamed("group_key", "g"), "g", fit=~F.col("base_failed"))
+    wide, narrow = (F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in ("lang", "source"))
+    s = materialize(s.select("doc_id", wide.alias("wide"), F.concat_ws("\x01", wide, narrow).alias("pair"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *_vector()))
+    d = mcd_distances(s, fit=~F.col("base_failed"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", kept.alias("kept"))
 
