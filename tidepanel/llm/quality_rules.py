@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,41 +60,34 @@ def _vector() -> list[Column]:
     return [F.round(x * GRID).cast("long").alias(n) for x, n in zip(xs, DIMS)]
 
 
-def _cholesky(p: int) -> list[tuple[str, Column]]:
-    """Columns l_i_j of the Cholesky factor of columns c_i_j, in an order in which each needs only earlier ones."""
+def _cholesky() -> list[str]:
+    """SQL of the Cholesky factor l_i_j of columns c_i_j, in an order in which each needs only earlier ones."""
     out = []
-    for j in range(p):
-        for i in range(j, p):
-            s = F.col(f"c_{i}_{j}")
-            for k in range(j):
-                s = s - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            out.append((f"l_{i}_{j}", F.sqrt(F.greatest(s, F.lit(1e-9))) if i == j else s / F.col(f"l_{j}_{j}")))
+    for j in range(P):
+        for i in range(j, P):
+            s = " - ".join([f"c_{i}_{j}", *[f"l_{i}_{k} * l_{j}_{k}" for k in range(j)]])
+            out.append((f"sqrt(greatest({s}, 1e-9D))" if i == j else f"({s}) / l_{j}_{j}") + f" AS l_{i}_{j}")
     return out
 
 
 def _distance(rows: DataFrame) -> DataFrame:
-    """Squared Mahalanobis distance d2 of the DIMS from m_i with Cholesky factor l_i_j, by forward substitution."""
-    for i, x in enumerate(DIMS):
-        s = F.col(x) - F.col(f"m_{i}")
-        for k in range(i):
-            s = s - F.col(f"l_{i}_{k}") * F.col(f"z_{k}")
-        rows = rows.select("*", (s / F.col(f"l_{i}_{i}")).alias(f"z_{i}"))
-    return rows.select("*", sum((F.col(f"z_{i}") ** 2 for i in range(1, len(DIMS))), F.col("z_0") ** 2).alias("d2"))
+    """``rows`` with z_i and d2, the squared Mahalanobis distance of the DIMS from m_i with Cholesky factor l_i_j."""
+    zs = [f"({' - '.join([f'{x} - m_{i}', *[f'l_{i}_{k} * z_{k}' for k in range(i)]])}) / l_{i}_{i} AS z_{i}" for i, x in enumerate(DIMS)]
+    return rows.selectExpr("*", *zs, " + ".join(f"z_{i} * z_{i}" for i in range(P)) + " AS d2")
 
 
-def _sums(weights: list[tuple[str, Column]]) -> list[Column]:
-    """Count, sums and sums of products of named whole-number columns."""
-    by = [c for _, c in weights]
-    return [F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{i}") for i, c in enumerate(by)], *[F.sum(by[i] * by[j]).alias(f"s_{i}_{j}") for i, j in CELLS]]
+def _sums(by: list[str]) -> list[Column]:
+    """Count, sums and sums of products of whole-number columns given in SQL."""
+    return [F.expr(x) for x in ["count(1) AS n", *[f"sum({c}) AS s_{i}" for i, c in enumerate(by)], *[f"sum({by[i]} * {by[j]}) AS s_{i}_{j}" for i, j in CELLS]]]
 
 
-def _cov(i: int, j: int) -> Column:
-    return F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"s_{i}") / F.col("n") * F.col(f"s_{j}") / F.col("n")
+def _cov(i: int, j: int) -> str:
+    return f"(s_{i}_{j} / n - s_{i} / n * (s_{j} / n))"
 
 
-def _floored(scale: float) -> list[Column]:
-    """Means and covariances times ``scale``, of ``_sums``; the floors keep the matrix regular from the first row on."""
-    return [*[(F.col(f"s_{i}") / F.col("n")).alias(f"m_{i}") for i in range(P)], *[(scale * _cov(i, j) + (float(FLOORS[i] ** 2) if i == j else 0.0)).alias(f"c_{i}_{j}") for i, j in CELLS]]
+def _floored(scale: float) -> list[str]:
+    """SQL of the means and of the covariances times ``scale``, of ``_sums``; the floors keep the matrix regular from the first row on."""
+    return [*[f"s_{i} / n AS m_{i}" for i in range(P)], *[f"{scale}D * {_cov(i, j)}" + (f" + {FLOORS[i] ** 2}D" if i == j else "") + f" AS c_{i}_{j}" for i, j in CELLS]]
 
 
 M = [f"m_{i}" for i in range(P)]
@@ -102,9 +97,7 @@ L = [f"l_{i}_{j}" for i, j in CELLS]
 
 def _factored(params: DataFrame) -> DataFrame:
     """``params`` with the Cholesky factor of its covariances and the logarithm of their determinant."""
-    for name, c in _cholesky(P):
-        params = params.select("*", c.alias(name))
-    return params.select("*", (2 * sum((F.log(f"l_{i}_{i}") for i in range(1, P)), F.log("l_0_0"))).alias("logdet"))
+    return params.selectExpr("*", *_cholesky(), "2 * (" + " + ".join(f"ln(l_{i}_{i})" for i in range(P)) + ") AS logdet")
 
 
 def _starts(use: DataFrame) -> DataFrame:
@@ -113,30 +106,21 @@ def _starts(use: DataFrame) -> DataFrame:
     median: medians and quartile spreads.  tanh, sign: the same with the correlations of squashed standardised
     statistics, or of their directions.  mean: plain mean and covariance.
     """
-    quart = [F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{i}") for i, x in enumerate(DIMS)]
-    box = use.groupBy("g").agg(*quart)
-    box = materialize(box.select("g", *[F.get(f"q_{i}", F.lit(1)).alias(f"m_{i}") for i in range(P)], *[F.greatest((F.get(f"q_{i}", F.lit(2)) - F.get(f"q_{i}", F.lit(0))) / 1.349, F.lit(float(FLOORS[i]))).alias(f"d_{i}") for i in range(P)]))
-    z = use.join(box, "g").select("g", *DIMS, *[((F.col(x) - F.col(f"m_{i}")) / F.col(f"d_{i}")).alias(f"z_{i}") for i, x in enumerate(DIMS)])
-    length = F.sqrt(sum((F.col(f"z_{i}") ** 2 for i in range(1, P)), F.col("z_0") ** 2))
-    z = z.select("*", length.alias("length"))
-    kinds = {
-        "tanh": [F.tanh(f"z_{i}") for i in range(P)],
-        "sign": [F.when(F.col("length") > 0, F.col(f"z_{i}") / F.col("length")).otherwise(0.0) for i in range(P)],
-        "mean": [F.col(x) for x in DIMS],
-    }
-    wide = z.groupBy("g").agg(*[F.struct(*_sums([(str(i), (F.round(c * GRID) if kind != "mean" else c).cast("long")) for i, c in enumerate(cols)])).alias(kind) for kind, cols in kinds.items()])
-    wide = materialize(wide)
-    parts = [box.select("g", F.lit("median").alias("start"), *M, *[(F.col(f"d_{i}") ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i, j in CELLS])]
+    box = use.groupBy("g").agg(*[F.expr(f"percentile({x}, array(0.25D, 0.5D, 0.75D)) AS q_{i}") for i, x in enumerate(DIMS)])
+    box = materialize(box.selectExpr("g", *[f"q_{i}[1] AS m_{i}" for i in range(P)], *[f"greatest((q_{i}[2] - q_{i}[0]) / 1.349D, {FLOORS[i]}D) AS d_{i}" for i in range(P)]))
+    z = use.join(box, "g").selectExpr("g", *DIMS, *[f"({x} - m_{i}) / d_{i} AS z_{i}" for i, x in enumerate(DIMS)])
+    z = z.selectExpr("*", "sqrt(" + " + ".join(f"z_{i} * z_{i}" for i in range(P)) + ") AS length")
+    z = z.selectExpr("g", *DIMS, *[f"cast(round(tanh(z_{i}) * {GRID}) AS long) AS t_{i}" for i in range(P)], *[f"cast(round(CASE WHEN length > 0 THEN z_{i} / length ELSE 0D END * {GRID}) AS long) AS u_{i}" for i in range(P)])
+    kinds = {"tanh": [f"t_{i}" for i in range(P)], "sign": [f"u_{i}" for i in range(P)], "mean": list(DIMS)}
+    wide = materialize(z.groupBy("g").agg(*[F.struct(*_sums(cols)).alias(kind) for kind, cols in kinds.items()]))
+    parts = [box.selectExpr("g", "'median' AS start", *M, *[(f"d_{i} * d_{i}" if i == j else "0D") + f" AS c_{i}_{j}" for i, j in CELLS])]
     for kind in ("tanh", "sign"):
         one = wide.select("g", f"{kind}.*").join(box, "g")
         # correlations drawn towards 0 a little, so that the matrix is regular
-        r = {(i, j): 0.98 * _cov(i, j) / F.sqrt((_cov(i, i) + 1) * (_cov(j, j) + 1)) for i, j in CELLS}
-        parts.append(one.select("g", F.lit(kind).alias("start"), *M, *[(F.col(f"d_{i}") * F.col(f"d_{j}") * (F.lit(1.0) if i == j else r[i, j])).alias(f"c_{i}_{j}") for i, j in CELLS]))
-    parts.append(wide.select("g", "mean.*").select("g", F.lit("mean").alias("start"), *_floored(1.0)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        r = {(i, j): "1D" if i == j else f"0.98D * {_cov(i, j)} / sqrt(({_cov(i, i)} + 1D) * ({_cov(j, j)} + 1D))" for i, j in CELLS}
+        parts.append(one.selectExpr("g", f"'{kind}' AS start", *M, *[f"d_{i} * d_{j} * {r[i, j]} AS c_{i}_{j}" for i, j in CELLS]))
+    parts.append(wide.select("g", "mean.*").selectExpr("g", "'mean' AS start", *_floored(1.0)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _concentrated(use: DataFrame, params: DataFrame) -> DataFrame:
@@ -147,12 +131,12 @@ def _concentrated(use: DataFrame, params: DataFrame) -> DataFrame:
     """
     keys = ["g", "start"]
     near = _distance(use.join(params.select(*keys, *M, *L), "g"))
-    binned = near.groupBy(*keys, F.floor(F.log1p("d2") * 64).alias("bin")).agg(*_sums([(x, F.col(x)) for x in DIMS]))
+    binned = near.groupBy(*keys, F.expr("floor(ln(1D + d2) * 64) AS bin")).agg(*_sums(list(DIMS)))
     w = Window.partitionBy(*keys)
     upto = w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     inner = binned.select("*", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"), F.sum("n").over(w).alias("all")).where(F.col("before") < F.col("all") * H)
-    total = inner.groupBy(*keys).agg(*[F.sum(c).cast("double").alias(c) for c in ["n", *[f"s_{i}" for i in range(P)], *[f"s_{i}_{j}" for i, j in CELLS]]])
-    return _factored(total.select(*keys, *_floored(INNER)))
+    total = inner.groupBy(*keys).agg(*[F.expr(f"cast(sum({c}) AS double) AS {c}") for c in ["n", *[f"s_{i}" for i in range(P)], *[f"s_{i}_{j}" for i, j in CELLS]]])
+    return _factored(total.selectExpr(*keys, *_floored(INNER)))
 
 
 def mcd_estimates(use: DataFrame, most_steps: int = 10) -> DataFrame:
@@ -176,8 +160,8 @@ def mcd_estimates(use: DataFrame, most_steps: int = 10) -> DataFrame:
         if not fell:
             break
     near = _distance(use.join(params.select("g", *M, *L), "g")).where(F.col("d2") <= WITHIN)
-    final = near.groupBy("g").agg(*_sums([(x, F.col(x)) for x in DIMS]))
-    return materialize(final.select("g", "n", *_floored(REWEIGHTED)))
+    final = near.groupBy("g").agg(*_sums(list(DIMS)))
+    return materialize(final.selectExpr("g", "n", *_floored(REWEIGHTED)))
 
 
 def mcd_distances(rows: DataFrame, group: str = "pair", wider: str = "wide", fit: Column | None = None) -> DataFrame:
@@ -194,17 +178,15 @@ def mcd_distances(rows: DataFrame, group: str = "pair", wider: str = "wide", fit
     found = mcd_estimates(both)
     own = found.where(F.col("g").startswith("g")).select(F.substring("g", 2, 1 << 30).alias(group), F.col("n").alias("own"), *[F.col(c).alias(f"g{c}") for c in M + C])
     wide = found.where(F.col("g").startswith("w")).select(F.substring("g", 2, 1 << 30).alias(wider), *[F.col(c).alias(f"w{c}") for c in M + C])
-    pairs = rows.select(group, wider).distinct().join(wide, wider).join(own, group, "left")
-    n, k = F.coalesce("own", F.lit(0)), float(PRIOR)
+    pairs = rows.select(group, wider).distinct().join(wide, wider).join(own, group, "left").selectExpr("*", "cast(coalesce(own, 0) AS double) AS k", f"{PRIOR}D AS p")
 
-    def pooled(c: str) -> Column:
-        return (n * F.coalesce(f"g{c}", F.lit(0.0)) + k * F.col(f"w{c}")) / (n + k)
+    def pooled(c: str) -> str:
+        return f"(k * coalesce(g{c}, 0D) + p * w{c}) / (k + p)"
 
-    def apart(i: int) -> Column:
-        return F.coalesce(F.col(f"gm_{i}") - F.col(f"wm_{i}"), F.lit(0.0))
+    def apart(i: int) -> str:
+        return f"coalesce(gm_{i} - wm_{i}, 0D)"
 
-    spread = {(i, j): pooled(f"c_{i}_{j}") + n * k / ((n + k) * (n + k)) * apart(i) * apart(j) for i, j in CELLS}
-    params = pairs.select(group, *[pooled(m).alias(m) for m in M], *[c.alias(f"c_{i}_{j}") for (i, j), c in spread.items()])
+    params = pairs.selectExpr(group, *[f"{pooled(m)} AS {m}" for m in M], *[f"{pooled(f'c_{i}_{j}')} + k * p / ((k + p) * (k + p)) * {apart(i)} * {apart(j)} AS c_{i}_{j}" for i, j in CELLS])
     params = materialize(_factored(params).select(group, *M, *L))
     return _distance(rows.join(params, group, "left")).select(*rows.columns, "d2")
 
