@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import materialize, release, small_batches
 
 DEPTH = 400  # bytes that two suffixes must share
 ANCHOR = 100  # bytes that name a bucket
@@ -327,11 +327,12 @@ def repeated_bytes(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     again = names.groupBy("name").agg(F.max("c").alias("c"), F.min("h1").alias("x"), F.max("h1").alias("y")).where("c > 1 or x <> y").select("name")
     marked = names.join(again, "name").groupBy("h1").agg(F.collect_set("name").alias("names"))
     texts = long.groupBy("h1", "h2").agg(F.first("text").alias("text"))
-    texts = materialize(texts.join(marked, "h1"))
-    segs = materialize(texts.select("h1", "text", "names").mapInPandas(_segments, "h1 long, name long, sh long, a long, n long, off int, c int, seg binary"))
+    texts = materialize(texts.join(marked, "h1"), compression="zstd")
+    release(names)
+    segs = materialize(texts.select("h1", "text", "names").mapInPandas(_segments, "h1 long, name long, sh long, a long, n long, off int, c int, seg binary"), compression="zstd")
 
     kinds = segs.where("name is not null").groupBy("name", "sh").agg(F.sum("c").alias("c"), F.first("n").alias("n"), F.first("off").alias("off"), F.first("seg").alias("seg"))
-    kinds = materialize(kinds)
+    kinds = materialize(kinds, compression="zstd")
     whole = kinds.where("c > 1").select("name", "sh", F.lit(0).cast("long").alias("at"), F.col("n").alias("len"))
     sizes = kinds.groupBy("name").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     shared = kinds.select("name", "sh", "off", "seg").join(sizes, "name")
