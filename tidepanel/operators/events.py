@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .panel import SERIES, in_order
@@ -18,8 +18,9 @@ def event_detection(pred: DataFrame, events: DataFrame, horizon: int = 14) -> Da
     begun = pred.groupBy(*SERIES).agg(F.min("date").alias("begun"))
     first = F.date_sub("date", horizon)
     e = events.select("date", *SERIES).join(F.broadcast(span)).where((first >= F.col("t0")) & (F.date_sub("date", 1) <= F.col("t1"))).join(begun, SERIES).where(F.col("begun") <= first)
-    a = pred.where("score >= threshold").select(*SERIES, F.col("date").alias("alarm"))
-    hit = e.join(a, SERIES, "left").groupBy("date", *SERIES).agg(F.min(F.when(F.col("alarm").between(first, F.date_sub("date", 1)), F.col("alarm"))).alias("alarm"))
+    a = pred.where("score >= threshold").select(*SERIES, F.col("date").alias("day"), F.col("date").alias("alarm"))
+    days = e.select("date", *SERIES, F.explode(F.sequence(first, F.date_sub("date", 1))).alias("day"))
+    hit = days.join(a, [*SERIES, "day"], "left").groupBy("date", *SERIES).agg(F.min("alarm").alias("alarm"))
     return hit.select("date", *SERIES, F.col("alarm").isNotNull().alias("detected"), F.datediff("date", "alarm").alias("lead_days"))
 
 
@@ -32,11 +33,12 @@ def alarm_episodes(pred: DataFrame, events: DataFrame, horizon: int = 14, max_ga
     gap = F.datediff("date", F.lag("date", 1).over(in_order()))
     ep = a.select("*", gap.alias("gap")).select(*SERIES, "date", F.sum(F.when(F.coalesce(F.col("gap"), F.lit(max_gap + 1)) > max_gap, 1).otherwise(0)).over(in_order()).alias("ep"))
     ep = ep.groupBy(*SERIES, "ep").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count(F.lit(1)).alias("n_days"))
-    ev = events.select(*SERIES, F.col("date").alias("onset_date"))
-    hit = (F.col("onset_date") > F.col("start")) & (F.col("onset_date") <= F.date_add("end", horizon))
-    # a series has few onsets, so all of them meet each episode and one flag comes back
-    j = ep.join(ev, SERIES, "left").groupBy(*SERIES, "ep", "start", "end", "n_days").agg(F.max(F.coalesce(hit, F.lit(False))).alias("hit"))
-    return j.select(*SERIES, "start", "end", "n_days", (~F.col("hit")).alias("is_false"))
+    # both in one order, from the latest back: an episode has passed all onsets after its start, the nearest one last
+    both = ep.select(*SERIES, F.col("start").alias("t"), F.lit(0).alias("kind"), "start", "end", "n_days").unionByName(
+        events.select(*SERIES, F.col("date").alias("t"), F.lit(1).alias("kind"), *[F.lit(None).cast(t).alias(c) for c, t in (("start", "date"), ("end", "date"), ("n_days", "long"))]))
+    later = Window.partitionBy(*SERIES).orderBy(F.desc("t"), "kind").rowsBetween(Window.unboundedPreceding, -1)
+    both = both.select("*", F.last(F.when(F.col("kind") == 1, F.col("t")), True).over(later).alias("onset"))
+    return both.where("kind = 0").select(*SERIES, "start", "end", "n_days", F.coalesce(F.col("onset") > F.date_add("end", horizon), F.lit(True)).alias("is_false"))
 
 
 def make_folds(dates: DataFrame, first_test: str, block_months: int = 3, val_days: int = 120, purge: int = 14) -> DataFrame:

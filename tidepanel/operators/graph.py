@@ -81,9 +81,10 @@ def bh_fdr(edges: DataFrame, by: str = "commodity_id", p: str = "p_value") -> Da
     ok = F.col(p).isNotNull()
     m = F.sum(ok.cast("long")).over(Window.partitionBy(by))
     rank = F.row_number().over(Window.partitionBy(by, ok).orderBy(p))
-    e = edges.select("*", F.when(ok, F.col(p) * m / rank).alias("__raw"))
-    w = Window.partitionBy(by).orderBy(F.asc_nulls_last(p)).rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    q = F.least(F.lit(1.0), F.min("__raw").over(w))
+    e = edges.select("*", F.when(ok, F.col(p) * m / rank).alias("raw_q"))
+    # the least over all p from this one upwards, as a running minimum from the largest down
+    w = Window.partitionBy(by).orderBy(F.desc_nulls_first(p)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    q = F.least(F.lit(1.0), F.min("raw_q").over(w))
     return e.select(*edges.columns, F.when(ok, q).alias("q_value"))
 
 

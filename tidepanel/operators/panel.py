@@ -18,6 +18,19 @@ def rows(a: int, b: int, keys: list[str] = SERIES) -> WindowSpec:
     return in_order(keys).rowsBetween(a, b)
 
 
+def backwards(keys: list[str] = SERIES) -> WindowSpec:
+    """All later rows, nearest last, for ``F.last``: a frame that only grows, as one that ends in the future does not."""
+    return Window.partitionBy(*keys).orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def by_series(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
+    """``df`` dealt by series over all shuffle partitions, for the windows that follow.
+
+    Windows cost far more by the row than adaptive execution reckons from bytes; left to it, small panels end in one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def guarded(value: Column, x: Column, least: int, over: WindowSpec) -> Column:
     """``value`` over the frame where it has ``least`` non-null ``x``, else null."""
     return F.when(F.count(x).over(over) >= least, value.over(over))
@@ -41,10 +54,10 @@ def observation_grid(obs: DataFrame, price_type: int) -> DataFrame:
 def flag_bad_values(grid: DataFrame, cfg: Cleaning = Cleaning()) -> DataFrame:
     """Adds bad: a one-off blip against both neighbours, or far from the centred median."""
     x = F.ln("price")
-    g = grid.select("*", x.alias("x"))
+    g = by_series(grid).select("*", x.alias("x"))
     far = rows(-(cfg.window // 2), cfg.window // 2)
     g = g.select(
-        "*", F.last("x", True).over(rows(Window.unboundedPreceding, -1)).alias("prev"), F.first("x", True).over(rows(1, Window.unboundedFollowing)).alias("next"),
+        "*", F.last("x", True).over(rows(Window.unboundedPreceding, -1)).alias("prev"), F.last("x", True).over(backwards()).alias("next"),
         guarded(F.percentile("x", F.lit(0.5)), F.col("x"), cfg.min_obs, far).alias("mid"),
     )
     up = (F.col("x") - F.col("prev") > cfg.blip) & (F.col("x") - F.col("next") > cfg.blip)
@@ -67,7 +80,7 @@ def to_calendar(df: DataFrame, span: DataFrame, limit: int = 7, keys: list[str]
     """``df`` on every day of ``span`` (one row: first, last), values carried forward over at most ``limit`` days."""
     days = span.select(F.explode(F.sequence("first", "last")).alias("date"))
     grid = df.select(*keys).distinct().crossJoin(days).join(df.select(*keys, "date", value), [*keys, "date"], "left")
-    return grid.select(*keys, "date", F.last(value, True).over(rows(-limit, 0, keys)).alias(value))
+    return by_series(grid, keys).select(*keys, "date", F.last(value, True).over(rows(-limit, 0, keys)).alias(value))
 
 
 def price_panel(obs: DataFrame, price_type: int = 1, cfg: Cleaning = Cleaning()) -> DataFrame:
@@ -82,7 +95,7 @@ def future_max(x: Column | str, horizon: int) -> Column:
 
 def run_length(flag: str) -> Column:
     """Rows from here on with ``flag`` = 1 without a break; 0 where it isn't 1.  Needs column i, the row's number."""
-    end = F.first(F.when(F.col(flag) == 0, F.col("i")), True).over(rows(0, Window.unboundedFollowing))
+    end = F.last(F.when(F.col(flag) == 0, F.col("i")), True).over(backwards())
     n = F.count(F.lit(1)).over(Window.partitionBy(*SERIES))
     return F.when(F.col(flag) == 0, 0).otherwise(F.coalesce(end, n + 1) - F.col("i")).cast("long")
 

@@ -9,6 +9,7 @@ from ..functions import geo, metrics
 from ..operators import calendar, events, graph, labels, models, panel
 from ..operators.panel import SERIES, lag_of
 from ..sources import fixtures as fx
+from ..storage import materialize
 from .panel_queries import TARGET, categories, clean_panel, labelled, rounded
 from .registry import query
 from .sql import CTE, W, with_
@@ -24,7 +25,7 @@ def haversine_knn(spark, d):
 
 @query("distance_corr_bins", with_(f"""SELECT floor(k.km / 250)::BIGINT AS bin, count(*) AS n, round(avg(c), 6) AS corr FROM (SELECT a.commodity_id, a.province_id AS p, b.province_id AS q, corr(a.ret, b.ret) AS c, count(a.ret + b.ret) AS m
     FROM wk a JOIN wk b ON a.commodity_id = b.commodity_id AND a.date = b.date AND a.province_id < b.province_id GROUP BY 1, 2, 3) x JOIN ({KM_SQL}) k ON k.province_id = p AND k.other = q WHERE m >= 100 GROUP BY 1""",
-    wk="SELECT *, x - lag(x) OVER (PARTITION BY commodity_id, province_id ORDER BY date) AS ret FROM (SELECT commodity_id, province_id, (date + (11 - isodow(date)) % 7 + CASE WHEN isodow(date) > 5 THEN 1 ELSE 1 END * 0)::DATE AS date0, date + (CASE WHEN isodow(date) <= 5 THEN 5 - isodow(date) ELSE 12 - isodow(date) END)::INT AS date, avg(ln(price)) AS x FROM panel GROUP BY ALL)".replace("(date + (11 - isodow(date)) % 7 + CASE WHEN isodow(date) > 5 THEN 1 ELSE 1 END * 0)::DATE AS date0, ", "")))
+    wk="SELECT *, x - lag(x) OVER (PARTITION BY commodity_id, province_id ORDER BY date) AS ret FROM (SELECT commodity_id, province_id, date + (CASE WHEN isodow(date) <= 5 THEN 5 - isodow(date) ELSE 12 - isodow(date) END)::INT AS date, avg(ln(price)) AS x FROM panel GROUP BY ALL)"))
 def distance_corr_bins(spark, d):
     w = panel.weekly(clean_panel(spark, d)).select(*SERIES, "date", "ret")
     b = w.select("commodity_id", "date", F.col("province_id").alias("other"), F.col("ret").alias("ret2"))
@@ -172,10 +173,14 @@ def brier(spark, d):
 # --- alarms and events
 
 
-def predictions(spark, d) -> DataFrame:
-    x = labelled(spark, d)
+def marked(spark, d) -> DataFrame:
+    """Labels of the whole panel, computed once for predictions and events alike."""
+    return materialize(labelled(spark, d))
+
+
+def predictions(x: DataFrame) -> DataFrame:
     x = x.select(*SERIES, "date", "y", "eligible", (F.ln("price") - F.lag(F.ln("price"), 7).over(panel.in_order())).alias("score"))
-    return x.where("date between date'1998-01-01' and date'2000-12-31' and eligible and y is not null").select(*SERIES, "date", "y", "score", F.lit(0.6).alias("threshold"))
+    return x.where("date >= date'1998-01-01' and eligible and y is not null").select(*SERIES, "date", "y", "score", F.lit(0.6).alias("threshold"))
 
 
 DETECT_SQL = """SELECT e.date, e.commodity_id, e.province_id, min(a.date) IS NOT NULL AS detected, (e.date - min(a.date))::INT AS lead_days FROM events_ e
@@ -189,19 +194,22 @@ EPISODE_SQL = f"""SELECT p.commodity_id, p.province_id, p.start, p."end", p.n_da
 
 @query("event_detection", with_(DETECT_SQL))
 def event_detection(spark, d):
-    return events.event_detection(predictions(spark, d), labels.events_table(labelled(spark, d), TARGET))
+    x = marked(spark, d)
+    return events.event_detection(predictions(x), labels.events_table(x, TARGET))
 
 
 @query("alarm_episodes", with_(EPISODE_SQL))
 def alarm_episodes(spark, d):
-    return events.alarm_episodes(predictions(spark, d), labels.events_table(labelled(spark, d), TARGET))
+    x = marked(spark, d)
+    return events.alarm_episodes(predictions(x), labels.events_table(x, TARGET))
 
 
 @query("alarm_summary", with_("""SELECT d.n AS n_events, round(d.rate, 8) AS event_detection_rate, d.mid AS median_lead_days, round(d.mean, 8) AS mean_lead_days, round(d.share, 8) AS share_lead_ge_7, e.n AS n_episodes, round(1 - e.f / e.n, 8) AS episode_precision,
     round(e.f / greatest(s.series * s.span / 365.25, 1e-9), 8) AS false_episodes_per_series_year FROM (SELECT count(*) AS n, avg(detected::INT) AS rate, median(lead_days)::DOUBLE AS mid, avg(lead_days) AS mean, avg(coalesce(lead_days >= 7, false)::INT) AS share FROM det) d,
     (SELECT count(*) AS n, sum(is_false::INT) AS f FROM epi) e, (SELECT count(DISTINCT (commodity_id, province_id)) AS series, max(date) - min(date) AS span FROM pred) s""", det=DETECT_SQL, epi=EPISODE_SQL))
 def alarm_summary(spark, d):
-    p, ev = predictions(spark, d), labels.events_table(labelled(spark, d), TARGET)
+    x = marked(spark, d)
+    p, ev = predictions(x), labels.events_table(x, TARGET)
     det, ep = events.event_detection(p, ev), events.alarm_episodes(p, ev)
     a = det.agg(F.count(F.lit(1)).alias("n_events"), F.avg(F.col("detected").cast("int")).alias("event_detection_rate"), F.percentile("lead_days", F.lit(0.5)).alias("median_lead_days"), F.avg("lead_days").alias("mean_lead_days"), F.avg(F.coalesce(F.col("lead_days") >= 7, F.lit(False)).cast("int")).alias("share_lead_ge_7"))
     b = ep.agg(F.count(F.lit(1)).alias("n_episodes"), F.sum(F.col("is_false").cast("long")).alias("f"))
@@ -234,7 +242,7 @@ def fold_roles(spark, d):
 @query("monthly_pr_auc", with_("SELECT month, round(CASE WHEN min(p_all) > 0 AND min(n_all) > 0 THEN sum(pos / p_all * tp / (tp + fp)) END, 6) AS ap FROM mcurve GROUP BY month",
     mcurve="SELECT *, sum(pos) OVER w AS tp, sum(n - pos) OVER w AS fp, sum(pos) OVER (PARTITION BY month) AS p_all, sum(n - pos) OVER (PARTITION BY month) AS n_all FROM (SELECT month, score, sum(y) AS pos, count(*) AS n FROM (SELECT date_trunc('month', date)::DATE AS month, round(score, 9) AS score, y FROM pred WHERE score IS NOT NULL) GROUP BY 1, 2) WINDOW w AS (PARTITION BY month ORDER BY score DESC ROWS UNBOUNDED PRECEDING)"))
 def monthly_pr_auc(spark, d):
-    p = predictions(spark, d).select(F.trunc("date", "MM").alias("month"), F.round("score", 9).alias("score"), "y")
+    p = predictions(labelled(spark, d)).select(F.trunc("date", "MM").alias("month"), F.round("score", 9).alias("score"), "y")
     return rounded(metrics.average_precision(p, ["month"]), "ap")
 
 
@@ -310,11 +318,6 @@ def hourly_panel(spark, d):
 # --- models (rows only: training has no SQL)
 
 
-@query("feature_table")
-def feature_table(spark, d):
-    return models.feature_table(spark, labelled(spark, d))
-
-
 @query("logreg_scores")
 def logreg_scores(spark, d):
     x = models.feature_table(spark, labelled(spark, d)).where("eligible and y is not null").persist()

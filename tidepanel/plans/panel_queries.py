@@ -13,7 +13,7 @@ from ..operators.panel import SERIES, guarded, in_order, lag_of, rows
 from ..sources import fixtures as fx
 from ..sources import grid_json
 from .registry import query
-from .sql import W, with_
+from .sql import CTE, W, with_
 
 CLEAN = Cleaning(blip=math.log(6))
 TARGET = Target(threshold=1.0, by_commodity={"PROMO": 0.8}, by_category={"size": 1.2})
@@ -118,14 +118,18 @@ def national_grouping_sets(spark, d):
     return rounded(fx.observations(spark, d, True), "price", n=4)
 
 
-@query("wide_pivot", with_("SELECT date, " + ", ".join(f"round(max(CASE WHEN commodity_id = 'PROMO' AND province_id = {p} THEN price END), 4) AS promo__{p}" for p in range(1, 6)) + " FROM obs WHERE price_type_id = 1 AND commodity_id = 'PROMO' GROUP BY date"))
+COMMODITIES = [c for c, _ in CATEGORIES]
+WIDE = [f"{c.lower()}__{p}" for c in COMMODITIES for p in range(1, 6)]
+
+
+@query("wide_pivot", with_("SELECT date, " + ", ".join(f"round(max(CASE WHEN commodity_id = '{n.split('__')[0].upper()}' AND province_id = {n.split('__')[1]} THEN price END), 4) AS {n}" for n in WIDE) + " FROM obs WHERE price_type_id = 1 GROUP BY date"))
 def wide_pivot(spark, d):
-    o = fx.observations(spark, d).where("price_type_id = 1 and commodity_id = 'PROMO'").select("date", F.concat(F.lit("promo__"), F.col("province_id").cast("string")).alias("series"), "price")
-    names = [f"promo__{p}" for p in range(1, 6)]
-    return rounded(o.groupBy("date").pivot("series", names).agg(F.avg("price")), *names, n=4)
+    """The wide panel that lies on disk: a column for each commodity and province."""
+    o = fx.observations(spark, d).where("price_type_id = 1").select("date", F.concat(F.lower("commodity_id"), F.lit("__"), F.col("province_id").cast("string")).alias("series"), "price")
+    return rounded(o.groupBy("date").pivot("series", WIDE).agg(F.avg("price")), *WIDE, n=4)
 
 
-@query("panel_unpivot", with_("SELECT date, 'PROMO' AS commodity_id, province_id, round(price, 4) AS price FROM obs WHERE price_type_id = 1 AND commodity_id = 'PROMO'"))
+@query("panel_unpivot", with_("SELECT date, commodity_id, province_id, round(price, 4) AS price FROM obs WHERE price_type_id = 1"))
 def panel_unpivot(spark, d):
     w = wide_pivot(spark, d)
     u = w.unpivot("date", [c for c in w.columns if c != "date"], "series", "price").where("price is not null")
@@ -270,14 +274,19 @@ def event_summary(spark, d):
     return e.groupBy("cat_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("peak_rise_30d", F.lit(0.5)), 6).alias("mid_peak"), F.round(F.percentile("spike_days", F.lit(0.5)), 2).alias("mid_days"))
 
 
-STUDY = {1997: ("1997-01-10", "1997-02-09", "1997-04-18"), 1998: ("1997-12-31", "1998-01-30", "1998-04-08"), 1999: ("1998-12-20", "1999-01-19", "1999-03-28"), 2000: ("1999-12-09", "2000-01-08", "2000-03-16")}
+#: Start of Ramadan, Eid al-Fitr and Eid al-Adha around the years of the tables.
+STUDY = {
+    1995: ("1995-02-01", "1995-03-03", "1995-05-10"), 1996: ("1996-01-22", "1996-02-20", "1996-04-28"), 1997: ("1997-01-10", "1997-02-09", "1997-04-18"), 1998: ("1997-12-31", "1998-01-30", "1998-04-08"),
+    1999: ("1998-12-20", "1999-01-19", "1999-03-28"), 2000: ("1999-12-09", "2000-01-08", "2000-03-16"), 2001: ("2000-11-27", "2000-12-27", "2001-03-06"), 2002: ("2001-11-17", "2001-12-16", "2002-02-23"),
+}
+YEARS = (min(STUDY), max(STUDY))
 STUDY_SQL = "(VALUES " + ", ".join(f"(DATE '{v[1]}')" for v in STUDY.values()) + ") h(day)"
 
 
 @query("event_study", with_(f"""SELECT rel, round(avg(price / base), 6) AS level FROM (SELECT h.day, commodity_id, province_id, (date - h.day)::INT AS rel, price,
     max(CASE WHEN date - h.day = -60 THEN price END) OVER (PARTITION BY h.day, commodity_id, province_id) AS base FROM panel JOIN {STUDY_SQL} ON date BETWEEN h.day - 60 AND h.day + 30) GROUP BY rel"""))
 def event_study(spark, d):
-    h = fx.holidays(spark, 1997, 2000, STUDY).where("event = 'idulfitri'").select(F.col("date").alias("day"))
+    h = fx.holidays(spark, *YEARS, STUDY).where("event = 'idulfitri'").select(F.col("date").alias("day"))
     x = clean_panel(spark, d).join(F.broadcast(h), F.col("date").between(F.date_sub("day", 60), F.date_add("day", 30)))
     x = x.select("day", *SERIES, F.datediff("date", "day").alias("rel"), "price")
     base = F.max(F.when(F.col("rel") == -60, F.col("price"))).over(Window.partitionBy("day", *SERIES))
@@ -344,15 +353,18 @@ def _capped_sql(x: str) -> str:
     return f"(CASE WHEN {x} IS NOT NULL THEN least(120, {x}) END)"
 
 
-HOLIDAYS_SQL = "(VALUES " + ", ".join([f"(DATE '{x}', '{e}')" for v in STUDY.values() for e, x in zip(fx.MOVING_EVENTS, v)] + [f"(DATE '{y}-{x}', '{e}')" for y in range(1997, 2001) for e, x in fx.FIXED_EVENTS.items()]) + ") h(day, event)"
+HOLIDAYS_SQL = "(VALUES " + ", ".join([f"(DATE '{x}', '{e}')" for v in STUDY.values() for e, x in zip(fx.MOVING_EVENTS, v)] + [f"(DATE '{y}-{x}', '{e}')" for y in range(YEARS[0], YEARS[1] + 1) for e, x in fx.FIXED_EVENTS.items()]) + ") h(day, event)"
+
+
+CTE["cal"] = ("SELECT * EXCLUDE (date), date, coalesce(days_since_awal_ramadan < 30 AND days_to_idulfitri <= 30 AND days_to_idulfitri > 0, false)::INT AS is_ramadan, ((month(date) = 12 AND day(date) >= 15) OR (month(date) = 1 AND day(date) <= 7))::INT AS is_nataru, round(sin(2 * pi() * dayofyear(date) / 365.25), 6) AS doy_sin, round(cos(2 * pi() * dayofyear(date) / 365.25), 6) AS doy_cos, (isodow(date) - 1)::INT AS dow FROM (SELECT date, "
+    + ", ".join(_capped_sql(f"min(CASE WHEN event = '{e}' AND day >= date THEN day - date END)") + f"::INT AS days_to_{e}" for e in calendar.EVENTS) + ", " + ", ".join(_capped_sql(f"min(CASE WHEN event = '{e}' AND day <= date THEN date - day END)") + f"::INT AS days_since_{e}" for e in calendar.EVENTS[:3]) + f" FROM days CROSS JOIN {HOLIDAYS_SQL} GROUP BY date)")
 
 
-@query("calendar_features", with_("SELECT * EXCLUDE (date), date, coalesce(days_since_awal_ramadan < 30 AND days_to_idulfitri <= 30 AND days_to_idulfitri > 0, false)::INT AS is_ramadan, ((month(date) = 12 AND day(date) >= 15) OR (month(date) = 1 AND day(date) <= 7))::INT AS is_nataru, round(sin(2 * pi() * dayofyear(date) / 365.25), 6) AS doy_sin, round(cos(2 * pi() * dayofyear(date) / 365.25), 6) AS doy_cos, (isodow(date) - 1)::INT AS dow FROM (SELECT date, "
-    + ", ".join(_capped_sql(f"min(CASE WHEN event = '{e}' AND day >= date THEN day - date END)") + f"::INT AS days_to_{e}" for e in calendar.EVENTS) + ", " + ", ".join(_capped_sql(f"min(CASE WHEN event = '{e}' AND day <= date THEN date - day END)") + f"::INT AS days_since_{e}" for e in calendar.EVENTS[:3]) + f" FROM days CROSS JOIN {HOLIDAYS_SQL} GROUP BY date)"))
+@query("calendar_features", with_("SELECT * FROM cal"))
 def calendar_features(spark, d):
     o = fx.observations(spark, d).agg(F.min("date").alias("a"), F.max("date").alias("b"))
     days = o.select(F.explode(F.sequence("a", "b")).alias("date"))
-    return rounded(calendar.calendar_features(days, fx.holidays(spark, 1997, 2000, STUDY)), "doy_sin", "doy_cos")
+    return rounded(calendar.calendar_features(days, fx.holidays(spark, *YEARS, STUDY)), "doy_sin", "doy_cos")
 
 
 @query("fourier_terms", with_("SELECT date, " + ", ".join(f"round({f}(2 * pi() * {i} * (date - DATE '2000-01-01') / 365.25), 6) AS {f}{i}" for i in (1, 2) for f in ("sin", "cos")) + " FROM days"))
@@ -361,27 +373,30 @@ def fourier_terms(spark, d):
     return rounded(o.select("date", *calendar.fourier_terms(F.col("date"))), "sin1", "cos1", "sin2", "cos2")
 
 
-@query("rain_climatology", with_("""SELECT province_id, doy, round(avg(x), 5) AS mu, round(stddev_pop(x), 5) AS sd FROM (SELECT province_id, ((((d - 1 + k) % 365) + 365) % 365 + 1)::INT AS doy, x FROM (SELECT province_id, least(dayofyear(date), 365) AS d, roll_30 AS x FROM rolled WHERE date BETWEEN DATE '1995-01-01' AND DATE '1998-12-31') CROSS JOIN (SELECT unnest(generate_series(-15, 15)) AS k)) GROUP BY 1, 2""",
-    rolled="SELECT province_id, date, " + ", ".join(f"CASE WHEN count(mm) OVER (PARTITION BY province_id ORDER BY date ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) >= {int(w * 0.8)} THEN sum(mm) OVER (PARTITION BY province_id ORDER BY date ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) END AS roll_{w}" for w in (7, 30, 90)) + " FROM raind",
-    raind="SELECT g.province_id, g.date, last_value(precip_mm IGNORE NULLS) OVER (PARTITION BY g.province_id ORDER BY g.date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS mm FROM (SELECT p.province_id, t.date FROM (SELECT DISTINCT province_id FROM rain) p CROSS JOIN (SELECT unnest(generate_series((SELECT min(date) FROM rain), (SELECT max(date) FROM rain), INTERVAL 1 DAY))::DATE AS date) t) g LEFT JOIN rain r ON r.province_id = g.province_id AND r.date = g.date"))
+CTE["raind"] = """SELECT g.province_id, g.date, last_value(precip_mm IGNORE NULLS) OVER (PARTITION BY g.province_id ORDER BY g.date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS mm FROM (SELECT p.province_id, t.date FROM (SELECT DISTINCT province_id FROM rain) p
+    CROSS JOIN (SELECT unnest(generate_series((SELECT min(date) FROM rain), (SELECT max(date) FROM rain), INTERVAL 1 DAY))::DATE AS date) t) g LEFT JOIN rain r ON r.province_id = g.province_id AND r.date = g.date"""
+CTE["rolled"] = "SELECT province_id, date, " + ", ".join(f"CASE WHEN count(mm) OVER (PARTITION BY province_id ORDER BY date ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) >= {int(w * 0.8)} THEN sum(mm) OVER (PARTITION BY province_id ORDER BY date ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) END AS roll_{w}" for w in (7, 30, 90)) + " FROM raind"
+for _w in (7, 30, 90):
+    CTE[f"clim{_w}"] = f"""SELECT province_id AS pid, ((((d - 1 + k) % 365) + 365) % 365 + 1)::INT AS doy, avg(x) AS mu, stddev_pop(x) AS sd FROM (SELECT province_id, least(dayofyear(date), 365) AS d, roll_{_w} AS x FROM rolled
+        WHERE date BETWEEN DATE '1995-01-01' AND DATE '1998-12-31') CROSS JOIN (SELECT unnest(generate_series(-15, 15)) AS k) GROUP BY 1, 2"""
+CTE["anom"] = "SELECT province_id, date, " + ", ".join(f"CASE WHEN roll_{w} IS NOT NULL AND clim{w}.mu IS NOT NULL THEN greatest(-5, least(5, (roll_{w} - clim{w}.mu) / greatest(clim{w}.sd, {float(w)}))) END AS rain_{w}_anom" for w in (7, 30, 90)) + " FROM rolled " + " ".join(f"LEFT JOIN clim{w} ON clim{w}.pid = province_id AND clim{w}.doy = least(dayofyear(date), 365)" for w in (7, 30, 90))
+CLIMATE = ("1995-01-01", "1998-12-31")
+
+
+@query("rain_climatology", with_("SELECT pid AS province_id, doy, round(mu, 5) AS mu, round(sd, 5) AS sd FROM clim30"))
 def rain_climatology(spark, d):
-    c = weather.climatology(weather.rolling_rain(fx.rainfall(spark, d)), 30, "1995-01-01", "1998-12-31")
-    return rounded(c, "mu", "sd", n=5)
+    return rounded(weather.climatology(weather.rolling_rain(fx.rainfall(spark, d)), 30, *CLIMATE), "mu", "sd", n=5)
 
 
-@query("rain_anomaly", with_("SELECT province_id, date, " + ", ".join(f"round(CASE WHEN roll_{w} IS NOT NULL AND c{w}.mu IS NOT NULL THEN greatest(-5, least(5, (roll_{w} - c{w}.mu) / greatest(c{w}.sd, {float(w)}))) END, 5) AS rain_{w}_anom" for w in (7, 30, 90)) + " FROM rolled " + " ".join(f"LEFT JOIN c{w} ON c{w}.pid = province_id AND c{w}.doy = least(dayofyear(date), 365)" for w in (7, 30, 90)),
-    rolled="SELECT province_id, date, " + ", ".join(f"CASE WHEN count(mm) OVER (PARTITION BY province_id ORDER BY date ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) >= {int(w * 0.8)} THEN sum(mm) OVER (PARTITION BY province_id ORDER BY date ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) END AS roll_{w}" for w in (7, 30, 90)) + " FROM raind",
-    raind="SELECT g.province_id, g.date, last_value(precip_mm IGNORE NULLS) OVER (PARTITION BY g.province_id ORDER BY g.date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS mm FROM (SELECT p.province_id, t.date FROM (SELECT DISTINCT province_id FROM rain) p CROSS JOIN (SELECT unnest(generate_series((SELECT min(date) FROM rain), (SELECT max(date) FROM rain), INTERVAL 1 DAY))::DATE AS date) t) g LEFT JOIN rain r ON r.province_id = g.province_id AND r.date = g.date",
-    **{f"c{w}": f"SELECT province_id AS pid, ((((d - 1 + k) % 365) + 365) % 365 + 1) AS doy, avg(x) AS mu, stddev_pop(x) AS sd FROM (SELECT province_id, least(dayofyear(date), 365) AS d, roll_{w} AS x FROM rolled WHERE date BETWEEN DATE '1995-01-01' AND DATE '1998-12-31') CROSS JOIN (SELECT unnest(generate_series(-15, 15)) AS k) GROUP BY 1, 2" for w in (7, 30, 90)}))
+@query("rain_anomaly", with_("SELECT province_id, date, " + ", ".join(f"round(rain_{w}_anom, 5) AS rain_{w}_anom" for w in (7, 30, 90)) + " FROM anom"))
 def rain_anomaly(spark, d):
     names = [f"rain_{w}_anom" for w in (7, 30, 90)]
-    return rounded(weather.anomalies(fx.rainfall(spark, d), "1995-01-01", "1998-12-31"), *names, n=5)
+    return rounded(weather.anomalies(fx.rainfall(spark, d), *CLIMATE), *names, n=5)
 
 
-@query("rain_lagged", with_("SELECT province_id, (date + 30)::DATE AS date, round(roll_30, 7) AS roll_30_lag30 FROM (SELECT province_id, date, CASE WHEN count(mm) OVER w >= 24 THEN sum(mm) OVER w END AS roll_30 FROM raind WINDOW w AS (PARTITION BY province_id ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))",
-    raind="SELECT g.province_id, g.date, last_value(precip_mm IGNORE NULLS) OVER (PARTITION BY g.province_id ORDER BY g.date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS mm FROM (SELECT p.province_id, t.date FROM (SELECT DISTINCT province_id FROM rain) p CROSS JOIN (SELECT unnest(generate_series((SELECT min(date) FROM rain), (SELECT max(date) FROM rain), INTERVAL 1 DAY))::DATE AS date) t) g LEFT JOIN rain r ON r.province_id = g.province_id AND r.date = g.date"))
+@query("rain_lagged", with_("SELECT province_id, (date + 30)::DATE AS date, round(rain_30_anom, 5) AS rain_30_anom_lag30 FROM anom"))
 def rain_lagged(spark, d):
-    return rounded(weather.lagged(weather.rolling_rain(fx.rainfall(spark, d), (30,)), "roll_30", 30), "roll_30_lag30", n=7)
+    return rounded(weather.lagged(weather.anomalies(fx.rainfall(spark, d), *CLIMATE), "rain_30_anom", 30), "rain_30_anom_lag30", n=5)
 
 
 @query("data_dictionary", with_("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{t}' AS type, round(avg(({c} IS NULL)::INT), 8) AS null_share FROM marked" for c, t in (("commodity_id", "string"), ("province_id", "int"), ("date", "date"), ("r14", "double"), ("spike", "int"), ("onset", "int"), ("y", "int"))) + ")"))
@@ -390,7 +405,11 @@ def data_dictionary(spark, d):
     return rounded(dictionary(panel_labels(spark, d).drop("eligible")), "null_share", n=8)
 
 
-@query("history_docs")
+HISTORY_SQL = with_("""SELECT commodity_id, '{' || string_agg('"' || province_id || '":[' || points || ']', ',' ORDER BY province_id::VARCHAR) || '}' AS doc FROM (SELECT commodity_id, province_id,
+    string_agg('{"d":"' || strftime(date, '%Y-%m-%d') || '"' || CASE WHEN price IS NULL THEN '' ELSE ',"p":' || round(price)::BIGINT END || '}', ',' ORDER BY date) AS points FROM panel WHERE date > (SELECT max(date) FROM panel) - 180 GROUP BY 1, 2) GROUP BY 1""")
+
+
+@query("history_docs", HISTORY_SQL)
 def history_docs(spark, d):
     from .export import history_docs as docs
     return docs(clean_panel(spark, d))

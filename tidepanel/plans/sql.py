@@ -59,7 +59,7 @@ CTE["events_"] = f"""SELECT date, {SERIES}, r14 AS rise_at_onset, peak / price_b
     SELECT *, lag(price, 14) OVER ({W}) AS price_before, max(price) OVER ({W} ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING) AS peak,
     CASE WHEN s0 = 0 THEN 0 ELSE coalesce(first_value(CASE WHEN s0 = 0 THEN i END IGNORE NULLS) OVER ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), n + 1) - i END AS spike_days
     FROM numbered) WHERE onset = 1"""
-CTE["pred"] = f"SELECT {SERIES}, date, y, ret AS score, 0.6::DOUBLE AS threshold FROM (SELECT *, ln(price) - lag(ln(price), 7) OVER ({W}) AS ret FROM marked) WHERE date BETWEEN DATE '1998-01-01' AND DATE '2000-12-31' AND eligible AND y IS NOT NULL"
+CTE["pred"] = f"SELECT {SERIES}, date, y, ret AS score, 0.6::DOUBLE AS threshold FROM (SELECT *, ln(price) - lag(ln(price), 7) OVER ({W}) AS ret FROM marked) WHERE date >= DATE '1998-01-01' AND eligible AND y IS NOT NULL"
 CTE["pairs"] = "SELECT d.doc_id, l.toxic AS y, l.quality AS g, d.n_chars::DOUBLE AS score FROM documents d JOIN labels l USING (doc_id)"
 CTE["pv"] = """SELECT commodity_id, source, target, p_value, coef_sum FROM (SELECT p_type AS commodity_id, (l_suppkey % 7 + 1)::INT AS source, (l_partkey % 7 + 1)::INT AS target,
     min(((l_partkey * 37 + l_suppkey * 11) % 1000 + 1) / 1001.0::DOUBLE) AS p_value, sum(l_suppkey % 5 - 2)::DOUBLE AS coef_sum FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL) WHERE source <> target"""
