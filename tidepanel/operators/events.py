@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import metrics
 from .panel import SERIES, in_order
 
 
@@ -55,3 +58,25 @@ def fold_roles(rows: DataFrame, folds: DataFrame) -> DataFrame:
     """``rows`` once for each fold and role (fit, val, test) that they have in it: one pass for all folds."""
     role = F.when(F.col("date") <= F.col("fit_end"), "fit").when(F.col("date").between(F.col("val_start"), F.col("val_end")), "val").when(F.col("date").between(F.col("test_start"), F.col("test_end")), "test")
     return rows.crossJoin(F.broadcast(folds)).select(*rows.columns, "fold", role.alias("role")).where("role is not null")
+
+
+def summarize(pred: DataFrame, events: DataFrame, horizon: int = 14, prob: bool = False) -> DataFrame:
+    """One row: quality of (series, date, y, score, threshold) by row, by event and by episode of alarms."""
+    x = pred.select("*", F.lit(1).alias("one"))
+    base = x.groupBy("one").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("y").alias("pos_rate"), F.count_distinct(*SERIES).alias("series"), F.datediff(F.max("date"), F.min("date")).alias("span"), *([F.avg((F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)) - F.col("y")) ** 2).alias("brier")] if prob else []))
+    rates = metrics.confusion(["one"], x).drop("n", "tp", "fp", "fn")
+    det, ep = event_detection(pred, events, horizon), alarm_episodes(pred, events, horizon)
+    a = det.agg(F.lit(1).alias("one"), F.count(F.lit(1)).alias("n_events"), F.avg(F.col("detected").cast("int")).alias("event_detection_rate"), F.percentile("lead_days", F.lit(0.5)).alias("median_lead_days"), F.avg("lead_days").alias("mean_lead_days"), F.avg(F.coalesce(F.col("lead_days") >= 7, F.lit(False)).cast("int")).alias("share_lead_ge_7"))
+    b = ep.agg(F.lit(1).alias("one"), F.sum(F.col("is_false").cast("long")).alias("wrong"), (1 - F.avg(F.col("is_false").cast("int"))).alias("episode_precision"))
+    out = base.join(metrics.average_precision(x, ["one"]).withColumnRenamed("ap", "pr_auc"), "one", "left").join(metrics.roc_auc(x, ["one"]).withColumnRenamed("auc", "roc_auc"), "one", "left").join(rates, "one").join(a, "one").join(b, "one")
+    years = F.greatest(F.col("series") * F.col("span") / 365.25, F.lit(1e-9))
+    return out.select("n_rows", "pos_rate", "pr_auc", "roc_auc", *(["brier"] if prob else []), "precision", "recall", "f1", "far", "alarm_rate", "n_events", "event_detection_rate", "median_lead_days", "mean_lead_days", "share_lead_ge_7", (F.coalesce("wrong", F.lit(0)) / years).alias("false_episodes_per_series_year"), "episode_precision")
+
+
+def compare_models(pred: DataFrame, events: DataFrame, probabilities: tuple[str, ...] = ("logreg", "gbt", "sarima"), horizon: int = 14) -> DataFrame:
+    """A summary for each score_m and thr_m of ``pred``, models being few; brier is null for scores that aren't probabilities."""
+    out = []
+    for m in [c.removeprefix("score_") for c in pred.columns if c.startswith("score_")]:
+        one = summarize(pred.select(*SERIES, "date", "y", F.col(f"score_{m}").alias("score"), F.col(f"thr_{m}").alias("threshold")), events, horizon, m in probabilities)
+        out.append(one.select(F.lit(m).alias("key"), *one.columns))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)

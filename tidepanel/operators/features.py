@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Features
 from . import weather
 from .graph import over_neighbours
-from .panel import SERIES, days_since, guarded, lag_of, numbered, rows
+from .panel import SERIES, by_series, days_since, guarded, lag_of, numbered, rows
 
 TAGS = {"prod": 4, "whole": 3, "modern": 2}  # price types beside the consumer's
 IDENTITY = ["commodity_code", "category_code", "province_code"]
@@ -135,7 +135,7 @@ def build_features(labelled: DataFrame, panels: dict[int, DataFrame], near: Data
     for t in tags:
         x = x.join(panels[TAGS[t]].where("province_id <> 0").select(*SERIES, "date", F.ln("price").alias(f"x_{t}")), [*SERIES, "date"], "left")
     nat = panels[1].where("province_id = 0").select("commodity_id", "date", F.ln("price").alias("nx"))
-    x = x.join(nat, ["commodity_id", "date"], "left")
+    x = by_series(x.join(nat, ["commodity_id", "date"], "left"))
     x = x.select("*", (F.col("x") - lag_of("x", 1)).alias("d1"), *[(F.col("x") - F.col(f"x_{t}")).alias(f"m_{t}") for t in tags], (F.col("x") - F.col("nx")).alias("rel_nat"))
     made = own_price(cfg) | _chain(tags) | {"rel_nat_chg14": F.col("rel_nat") - lag_of("rel_nat", 14)}
     own = x.select(*SERIES, "date", "price", "rel_nat", *[c.alias(n) for n, c in made.items()], "y", F.col("eligible").cast("int").alias("eligible"), F.col("spike").alias("spike_now"), F.col("onset").alias("onset_now"))

@@ -3,31 +3,22 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler, VectorIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .panel import SERIES, days_since, guarded, in_order, lag_of, numbered, rows
-
-FEATURES = ["ret_1", "ret_3", "ret_7", "ret_14", "ret_28", "ret_7_prev", "vol_7", "vol_14", "vol_30", "dist_max_90", "dist_min_90", "r14", "gap_to_threshold", "days_since_spike", "n_onsets_365"]
-
-
-def feature_table(spark: SparkSession, labelled: DataFrame) -> DataFrame:
-    """Own-price features of a labelled dense panel: all windows share one sort."""
-    x = numbered(labelled).select("*", F.ln("price").alias("x"))
-    x = x.select("*", (F.col("x") - lag_of("x", 1)).alias("d1"))
-    cols = [(F.col("x") - lag_of("x", k)).alias(f"ret_{k}") for k in (1, 3, 7, 14, 28)] + [(lag_of("x", 7) - lag_of("x", 14)).alias("ret_7_prev")]
-    cols += [guarded(F.stddev_samp("d1"), F.col("d1"), max(3, w // 2), rows(1 - w, 0)).alias(f"vol_{w}") for w in (7, 14, 30)]
-    cols += [(F.col("x") - guarded(f("x"), F.col("x"), 30, rows(-89, 0))).alias(n) for f, n in ((F.max, "dist_max_90"), (F.min, "dist_min_90"))]
-    cols += [(F.col("thr") - F.col("r14")).alias("gap_to_threshold"), days_since("s0").cast("double").alias("days_since_spike"), F.sum("onset").over(rows(-364, 0)).cast("double").alias("n_onsets_365")]
-    return x.select(*SERIES, "date", "price", "y", "eligible", "r14", *cols).where("price is not null")
-
+from ..functions import metrics
+from ..storage import scratch
+from .events import fold_roles
+from .features import GROUPS, IDENTITY
+from .panel import SERIES, in_order
 
 def naive(x: Column) -> Column:
     return x - F.lag(x, 7).over(in_order())
@@ -47,19 +38,107 @@ def weighted(df: DataFrame, rate: float, seed: int = 7) -> DataFrame:
     return df.where((F.col("y") == 1) | (draw < rate)).select("*", F.when(F.col("y") == 1, 1.0).otherwise(1.0 / rate).alias("weight"))
 
 
-def logistic(features: list[str], c: float = 0.5) -> Pipeline:
+def fit_logistic(rows: DataFrame, features: list[str], rate: float = 0.5, c: float = 0.5, seed: int = 7) -> PipelineModel:
+    """Logistic regression on numbers: infinities are missing, medians fill in, all standardised; L2 by 1 / (c * weights).
+
+    MLlib divides the loss by the sum of weights, so the penalty is divided by it too.
+    """
+    train = weighted(finite(rows, features), rate, seed)
+    total = train.agg(F.sum("weight")).first()[0]
     names = [f"{f}_i" for f in features]
-    return Pipeline(stages=[Imputer(strategy="median", inputCols=features, outputCols=names), VectorAssembler(inputCols=names, outputCol="raw"), StandardScaler(withMean=True, inputCol="raw", outputCol="features"), LogisticRegression(labelCol="y", weightCol="weight", regParam=1e-4 / c, maxIter=50)])
+    stages = [Imputer(strategy="median", inputCols=features, outputCols=names), VectorAssembler(inputCols=names, outputCol="raw"), StandardScaler(withMean=True, inputCol="raw", outputCol="features"), LogisticRegression(labelCol="y", weightCol="weight", regParam=1 / (c * total), maxIter=100)]
+    return Pipeline(stages=stages).fit(train)
 
 
-def boosted(features: list[str], trees: int = 50) -> Pipeline:
-    names = [f"{f}_i" for f in features]
-    gbt = GBTClassifier(labelCol="y", weightCol="weight", maxIter=trees, maxDepth=5, stepSize=0.1, minInstancesPerNode=20, subsamplingRate=0.8, seed=7)
-    return Pipeline(stages=[Imputer(strategy="median", inputCols=features, outputCols=names), VectorAssembler(inputCols=names, outputCol="features"), gbt])
+def finite(rows: DataFrame, features: list[str]) -> DataFrame:
+    """``rows`` with features as doubles, infinite ones null."""
+    cols = {f: F.when(F.abs(F.col(f).cast("double")) < float("inf"), F.col(f).cast("double")) for f in features}
+    return rows.select(*[cols[c].alias(c) if c in cols else F.col(c) for c in rows.columns])
+
+
+def fit_boosted(rows: DataFrame, features: list[str], val: DataFrame | None = None, trees: int = 50, rate: float = 0.5, seed: int = 7) -> PipelineModel:
+    """Boosted trees on numbers and identity codes, these as categories; with ``val`` they stop when its loss stops falling."""
+    codes = [f for f in features if f in IDENTITY]
+    numbers = [f for f in features if f not in IDENTITY]
+    train = weighted(finite(rows, numbers), rate, seed).withColumn("held", F.lit(False))
+    if val is not None:
+        train = train.unionByName(finite(val, numbers).select("*", F.lit(1.0).alias("weight"), F.lit(True).alias("held")))
+    names = [f"{f}_i" for f in numbers]
+    gbt = GBTClassifier(labelCol="y", weightCol="weight", maxIter=trees, maxDepth=5, stepSize=0.1, minInstancesPerNode=20, subsamplingRate=0.8, seed=seed, maxBins=64, **({} if val is None else {"validationIndicatorCol": "held"}))
+    assemble = VectorAssembler(inputCols=[*names, *codes], outputCol="raw", handleInvalid="keep")
+    index = VectorIndexer(inputCol="raw", outputCol="features", maxCategories=40, handleInvalid="keep")
+    return Pipeline(stages=[Imputer(strategy="median", inputCols=numbers, outputCols=names), assemble, index if codes else index.setMaxCategories(2), gbt]).fit(train)
 
 
 def scored(model: PipelineModel, df: DataFrame) -> DataFrame:
-    return model.transform(df).withColumn("score", vector_to_array("probability")[1])
+    """``df`` with score, the probability of a spike; missing numbers are filled as in training."""
+    numbers = model.stages[0].getInputCols()
+    return model.transform(finite(df, numbers)).select(*df.columns, vector_to_array("probability")[1].alias("score"))
+
+
+def walk_forward(data: DataFrame, folds: DataFrame, given: dict[str, Column], trained: dict[str, Callable[[DataFrame, DataFrame], Callable[[DataFrame], DataFrame]]] | None = None, metric: str = "f1", precision_target: float = 0.5) -> DataFrame:
+    """(keys, date, y, fold, score_m, thr_m) of every test row: out-of-sample scores, thresholds from validation rows.
+
+    ``given`` scores are columns; a ``trained`` model is made of each fold's fitting and validation rows, and adds
+    score to rows.  Folds without test rows or without a positive to fit on are left out.  Folds are few (one a quarter), and
+    training goes from one to the next; all else is one pass over all folds.  A fold whose validation rows
+    are missing has an infinite threshold.
+    """
+    roles = fold_roles(data, folds)
+    usable = roles.groupBy("fold").agg(F.sum(F.when(F.col("role") == "fit", F.col("y"))).alias("pos"), F.max((F.col("role") == "test").cast("int")).alias("tested")).where("pos > 0 and tested = 1").select("fold")
+    used = folds.join(F.broadcast(usable), "fold").orderBy("fold")
+    keys = [*SERIES, "date"]
+    x = fold_roles(data, used).where("role <> 'fit'").select(*keys, "y", "fold", "role", *[c.alias(f"score_{m}") for m, c in given.items()])
+    spark = data.sparkSession
+    for m, train in (trained or {}).items():
+        path = scratch(spark, "scores")
+        for f in used.collect():
+            fit = data.where(F.col("date") <= f.fit_end)
+            val, test = (data.where(F.col("date").between(a, b)) for a, b in ((f.val_start, f.val_end), (f.test_start, f.test_end)))
+            predict = train(fit, val)
+            predict(val.unionByName(test)).select(*keys, F.lit(f.fold).alias("fold"), F.col("score").alias(f"score_{m}")).write.mode("append").parquet(path)
+        x = x.join(spark.read.parquet(path), [*keys, "fold"], "left")
+    for m in [*given, *(trained or {})]:
+        thr = metrics.best_threshold(x.where("role = 'val'"), ["fold"], metric, precision_target, score=f"score_{m}")
+        x = x.join(F.broadcast(thr.select("fold", F.col("threshold").alias(f"thr_{m}"))), "fold", "left").fillna(float("inf"), [f"thr_{m}"])  # a row for each fold
+    return x.where("role = 'test'").drop("role")
+
+
+def final_model(data: DataFrame, features: list[str], val_days: int = 120, trees: int = 50) -> tuple[PipelineModel, float]:
+    """(model, threshold): rounds and threshold from the last ``val_days``, then a tenth more rounds on all rows."""
+    last = data.agg(F.max("date")).first()[0]
+    late = F.col("date") > F.date_sub(F.lit(last), val_days)
+    val = data.where(late)
+    first = fit_boosted(data.where(~late), features, val, trees)
+    thr = metrics.best_threshold(scored(first, val).withColumn("all", F.lit(1)), ["all"]).first()
+    rounds = max(int(first.stages[-1].getNumTrees * 1.1), 20)
+    return fit_boosted(data, features, None, rounds), float(thr.threshold) if thr else float("inf")
+
+
+def save_model(model: PipelineModel, threshold: float, path: str) -> None:
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.active()
+    spark.createDataFrame([(threshold,)], "threshold double").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, float]:
+    return PipelineModel.load(f"{path}/model"), spark.read.schema("threshold double").json(f"{path}/meta").first().threshold
+
+
+def predict_latest(model: PipelineModel, threshold: float, features: DataFrame) -> DataFrame:
+    """(keys, date, prob, spike_now, r14_now, ret_7, level) of the newest rows, most likely first within a commodity."""
+    last = features.agg(F.max("date").alias("date"))
+    now = scored(model, features.join(F.broadcast(last), "date"))
+    return now.select(*SERIES, "date", F.col("score").alias("prob"), "spike_now", "r14_now", "ret_7", risk_level(F.col("score"), F.coalesce("spike_now", F.lit(0)), threshold).alias("level"))
+
+
+def importance_by_group(shares: DataFrame) -> DataFrame:
+    """(group, mean_abs, share) of (feature, mean_abs)."""
+    name = F.when(F.lit(False), "")
+    for g, p in GROUPS.items():
+        name = name.when(F.col("feature").rlike(p), g)
+    m = shares.groupBy(name.otherwise("other").alias("group")).agg(F.sum("mean_abs").alias("mean_abs"))
+    return m.select("*", (F.col("mean_abs") / F.sum("mean_abs").over(Window.partitionBy(F.lit(1)))).alias("share"))
 
 
 def contributions(model: PipelineModel, df: DataFrame, features: list[str]) -> DataFrame:
@@ -86,42 +165,51 @@ def importance(contrib: DataFrame) -> DataFrame:
     return m.select("*", (F.col("mean_abs") / F.sum("mean_abs").over(Window.partitionBy(F.lit(1)))).alias("share"))
 
 
-def sarima_scores(weekly: DataFrame, threshold: float, min_weeks: int = 104, k: int = 2) -> DataFrame:
-    """(series, origin, score): chance that the next or second week's log price is over the threshold above today's.
+def sarima_scores(weekly: DataFrame, threshold: float, fit_end: str, score_start: str, score_end: str, min_weeks: int = 104, k: int = 2) -> DataFrame:
+    """(series, date, score): chance that the next or second week's log price is over the threshold above today's.
 
-    ARIMA(1,1,1) with Fourier terms, by conditional least squares over a grid of its two parameters; one task a
-    series, which is a few hundred weeks.
+    ARIMA(1,1,1) with Fourier terms, by conditional least squares over a grid of its two parameters.  Only weeks up to
+    ``fit_end`` are fitted (``min_weeks`` known ones at least); later ones are filtered with what was found, and
+    scored where the date lies in [score_start, score_end].  A missing week carries the last price on, so no
+    later value is ever looked at.  One task a series, which is a few hundred weeks.
     """
+    names = ["commodity_id", "province_id", "date", "score"]
+
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        y = pdf["x"].interpolate().to_numpy(float)
-        names = ["commodity_id", "province_id", "date", "score"]
-        ok = np.isfinite(y)
-        if pdf["x"].notna().sum() < min_weeks:
+        dates = pd.to_datetime(pdf["date"])
+        known = pdf["x"].notna().to_numpy()
+        first = int(np.argmax(known)) if known.any() else len(pdf)
+        pdf, dates, known = pdf.iloc[first:], dates.iloc[first:], known[first:]
+        n_fit = int((dates <= pd.Timestamp(fit_end)).sum())
+        if known[:n_fit].sum() < min_weeks:
             return pd.DataFrame(columns=names)
-        y, dates = y[ok], pd.to_datetime(pdf["date"])[ok]
-        t = (dates - pd.Timestamp("2000-01-01")).dt.days.to_numpy() / 365.25
-        four = np.column_stack([f(2 * np.pi * i * t) for i in range(1, k + 1) for f in (np.sin, np.cos)])
-        dy, dx = np.diff(y), np.diff(four, axis=0)
-        beta = np.linalg.lstsq(dx, dy, rcond=None)[0]
-        e = dy - dx @ beta
-        best = None
-        for phi in np.linspace(-0.9, 0.9, 13):
-            for theta in np.linspace(-0.9, 0.9, 13):
-                a = np.zeros(len(e))
-                for i in range(1, len(e)):
-                    a[i] = e[i] - phi * e[i - 1] - theta * a[i - 1]
-                s = float(a[1:] @ a[1:])
-                if best is None or s < best[0]:
-                    best = (s, phi, theta, a)
-        s, phi, theta, a = best
-        sigma = math.sqrt(max(s / max(len(e) - 1, 1), 1e-12))
-        out = []
-        for i in range(max(min_weeks, 2) - 1, len(y)):
-            e1 = phi * e[i - 1] + theta * a[i - 1]
-            step = [e1, e1 + phi * e1]
-            sd = [sigma, sigma * math.sqrt(1 + (1 + phi + theta) ** 2)]
-            p = max(0.5 * math.erfc((math.log1p(threshold) - m) / v / math.sqrt(2)) for m, v in zip(step, sd))
+        y = pdf["x"].ffill().to_numpy(float)
+        ahead = pd.concat([dates, dates.iloc[-1:] + pd.Timedelta(days=7), dates.iloc[-1:] + pd.Timedelta(days=14)])
+        t = (ahead - pd.Timestamp("2000-01-01")).dt.days.to_numpy() / 365.25
+        dx = np.diff(np.column_stack([f(2 * np.pi * i * t) for i in range(1, k + 1) for f in (np.sin, np.cos)]), axis=0)
+        dy = np.diff(y)
+        beta = np.linalg.lstsq(dx[: n_fit - 1], dy[: n_fit - 1], rcond=None)[0]
+        season, e = dx @ beta, dy - dx[: len(dy)] @ beta
+
+        def innovations(phi: float, theta: float, n: int) -> np.ndarray:
+            a = np.zeros(n)
+            for i in range(1, n):
+                a[i] = e[i] - phi * e[i - 1] - theta * a[i - 1]
+            return a
+
+        grid = [(phi, theta) for phi in np.linspace(-0.9, 0.9, 13) for theta in np.linspace(-0.9, 0.9, 13)]
+        losses = [float(np.square(innovations(phi, theta, n_fit - 1)).sum()) for phi, theta in grid]
+        phi, theta = grid[int(np.argmin(losses))]
+        sigma = math.sqrt(max(min(losses) / max(n_fit - 2, 1), 1e-12))
+        a, out = innovations(phi, theta, len(e)), []
+        for i in np.flatnonzero(known & (dates >= pd.Timestamp(score_start)).to_numpy() & (dates <= pd.Timestamp(score_end)).to_numpy()):
+            if i < 2:
+                continue
+            one = phi * e[i - 1] + theta * a[i - 1]
+            means = [season[i] + one, season[i] + one + season[i + 1] + phi * one]
+            spread = [sigma, sigma * math.sqrt(1 + (1 + phi + theta) ** 2)]
+            p = max(0.5 * math.erfc((math.log1p(threshold) - m) / v / math.sqrt(2)) for m, v in zip(means, spread))
             out.append((pdf["commodity_id"].iloc[0], pdf["province_id"].iloc[0], dates.iloc[i].date(), p))
         return pd.DataFrame(out, columns=names)
 

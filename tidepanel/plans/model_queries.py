@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, metrics
-from ..operators import calendar, events, graph, labels, models, panel
+from ..operators import calendar, events, features, graph, labels, models, panel
 from ..operators.panel import SERIES, lag_of
 from ..sources import fixtures as fx
 from ..storage import materialize
+from .feature_queries import feature_table_of
 from .panel_queries import TARGET, categories, clean_panel, labelled, rounded
 from .registry import query
-from .sql import CTE, W, with_
+from .sql import CTE, SERIES as SERIES_SQL, W, with_
 
 PROVINCES_SQL = "(VALUES " + ", ".join(f"({p[0]}, {p[2]}::DOUBLE, {p[3]}::DOUBLE)" for p in fx.PROVINCES) + ") t(id, lat, lon)"
 KM_SQL = f"SELECT a.id AS province_id, b.id AS other, 2 * 6371.0 * asin(sqrt(sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2)) AS km FROM (SELECT * FROM {PROVINCES_SQL}) a JOIN (SELECT * FROM {PROVINCES_SQL}) b ON a.id <> b.id"
@@ -318,31 +321,100 @@ def hourly_panel(spark, d):
 # --- models (rows only: training has no SQL)
 
 
+WF_SQL = {
+    "wfrows": f"SELECT {SERIES_SQL}, date, y, ret AS score_naive, seas AS score_seasonal FROM (SELECT *, ln(price) - lag(ln(price), 7) OVER ({W}) AS ret, lag(ln(price), 350) OVER ({W}) - lag(ln(price), 364) OVER ({W}) AS seas FROM marked) WHERE eligible AND y IS NOT NULL",
+    "wfroles": "SELECT w.*, fold, CASE WHEN date <= fit_end THEN 'fit' WHEN date BETWEEN val_start AND val_end THEN 'val' WHEN date BETWEEN test_start AND test_end THEN 'test' END AS role FROM wfrows w CROSS JOIN folds_",
+    "folds_": FOLDS_SQL,
+    "wfused": "SELECT fold FROM wfroles GROUP BY 1 HAVING sum(y) FILTER (role = 'fit') > 0 AND count(*) FILTER (role = 'test') > 0",
+} | {
+    f"wf{m}": f"""SELECT fold, arg_max(score, (round(f, 12), -score)) AS thr FROM (SELECT fold, score, coalesce(2.0 * tp / nullif(tp + fp + p_all, 0), 0) AS f FROM (SELECT fold, score, sum(pos) OVER w AS tp, sum(n - pos) OVER w AS fp, sum(pos) OVER (PARTITION BY fold) AS p_all
+        FROM (SELECT fold, score_{m} AS score, sum(y) AS pos, count(*) AS n FROM wfroles WHERE role = 'val' AND score_{m} IS NOT NULL GROUP BY 1, 2) WINDOW w AS (PARTITION BY fold ORDER BY score DESC ROWS UNBOUNDED PRECEDING))) GROUP BY 1""" for m in ("naive", "seasonal")
+} | {"wfpred": f"SELECT r.{SERIES_SQL.replace(', ', ', r.')}, date, y, r.fold, score_naive, a.thr AS thr_naive, score_seasonal, b.thr AS thr_seasonal FROM wfroles r JOIN wfused u ON u.fold = r.fold LEFT JOIN wfnaive a ON a.fold = r.fold LEFT JOIN wfseasonal b ON b.fold = r.fold WHERE role = 'test'"}
+
+
+def forward(spark, d, x: DataFrame) -> DataFrame:
+    rows = x.select(*SERIES, "date", "y", "eligible", F.ln("price").alias("x"))
+    rows = rows.select("*", models.naive(F.col("x")).alias("naive"), models.seasonal_naive(F.col("x")).alias("seasonal")).where("eligible and y is not null")
+    return models.walk_forward(materialize(rows), folds(spark, d), {"naive": F.col("naive"), "seasonal": F.col("seasonal")})
+
+
+@query("walk_forward_naive", with_("SELECT commodity_id, province_id, date, y, fold, " + ", ".join(f"round({c}, 6) + 0 AS {c}" for c in ("score_naive", "thr_naive", "score_seasonal", "thr_seasonal")) + " FROM wfpred", **WF_SQL))
+def walk_forward_naive(spark, d):
+    """Out-of-sample scores of both naive models over all folds, with thresholds from the validation rows."""
+    out = forward(spark, d, marked(spark, d))
+    return out.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) if c.startswith(("score_", "thr_")) else F.col(c) for c in out.columns])
+
+
+def _summary_sql(m: str) -> str:
+    p = f"(SELECT {SERIES_SQL}, date, y, score_{m} AS score, thr_{m} AS threshold FROM wfpred)"
+    det, epi = (re.sub(r"\bpred\b", p + " pred", q).replace(p + " pred a ON", p + " a ON") for q in (DETECT_SQL, EPISODE_SQL))
+    return f"""SELECT '{m}' AS key, q.n_rows, round(pos_rate, 8) AS pos_rate, round(c.ap, 6) AS pr_auc, round(c.auc, 6) AS roc_auc, round(tp / nullif(tp + fp, 0), 8) AS precision, round(tp / nullif(tp + fn, 0), 8) AS recall, round(CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) END, 8) AS f1, round(1 - tp / nullif(tp + fp, 0), 8) AS far, round((tp + fp) / n_rows, 8) AS alarm_rate,
+        d.n AS n_events, round(d.rate, 8) AS event_detection_rate, d.mid AS median_lead_days, round(d.mean, 8) AS mean_lead_days, round(d.share, 8) AS share_lead_ge_7, round(e.f / greatest(q.series * q.span / 365.25, 1e-9), 8) AS false_episodes_per_series_year, round(1 - e.f / e.n, 8) AS episode_precision
+        FROM (SELECT count(*) AS n_rows, avg(y) AS pos_rate, count(DISTINCT (commodity_id, province_id)) AS series, max(date) - min(date) AS span, count(*) FILTER (score >= threshold AND y = 1) AS tp, count(*) FILTER (score >= threshold AND y = 0) AS fp, count(*) FILTER (NOT coalesce(score >= threshold, false) AND y = 1) AS fn FROM {p}) q,
+        (SELECT sum(pos / p_all * tp / (tp + fp)) AS ap, sum(pos * (n_all - fp + (n - pos) / 2.0)) / min(p_all) / min(n_all) AS auc FROM (SELECT *, sum(pos) OVER w AS tp, sum(n - pos) OVER w AS fp, sum(pos) OVER () AS p_all, sum(n - pos) OVER () AS n_all FROM (SELECT score, sum(y) AS pos, count(*) AS n FROM {p} WHERE score IS NOT NULL GROUP BY 1) WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))) c,
+        (SELECT count(*) AS n, avg(detected::INT) AS rate, median(lead_days)::DOUBLE AS mid, avg(lead_days) AS mean, avg(coalesce(lead_days >= 7, false)::INT) AS share FROM ({det})) d, (SELECT count(*) AS n, sum(is_false::INT) AS f FROM ({epi})) e"""
+
+
+@query("compare_models", with_(" UNION ALL ".join(_summary_sql(m) for m in ("naive", "seasonal")), **WF_SQL))
+def compare_models(spark, d):
+    x = marked(spark, d)
+    out = events.compare_models(materialize(forward(spark, d, x)), materialize(labels.events_table(x, TARGET)))
+    out = rounded(out, "pr_auc", "roc_auc")
+    return rounded(out, "pos_rate", "precision", "recall", "f1", "far", "alarm_rate", "event_detection_rate", "mean_lead_days", "share_lead_ge_7", "false_episodes_per_series_year", "episode_precision", n=8)
+
+
+# --- models (rows only: training has no SQL)
+
+SPLIT = "2000-01-01"
+
+
+def _split(spark, d) -> tuple[DataFrame, DataFrame, list[str]]:
+    x = materialize(features.modeling_rows(feature_table_of(spark, d)))
+    before = F.col("date") < SPLIT
+    return x.where(before), x.where(~before), features.feature_columns(x.columns)
+
+
 @query("logreg_scores")
 def logreg_scores(spark, d):
-    x = models.feature_table(spark, labelled(spark, d)).where("eligible and y is not null").persist()
-    m = models.logistic(models.FEATURES).fit(models.weighted(x.where("date < date'2000-01-01'"), 0.5))
-    return models.scored(m, x.where("date >= date'2000-01-01'")).select(*SERIES, "date", "y", "score")
+    fit, test, cols = _split(spark, d)
+    m = models.fit_logistic(fit, [c for c in cols if c not in features.IDENTITY])
+    return models.scored(m, test).select(*SERIES, "date", "y", "score")
 
 
 @query("gbt_scores")
 def gbt_scores(spark, d):
-    x = models.feature_table(spark, labelled(spark, d)).where("eligible and y is not null").persist()
-    m = models.boosted(models.FEATURES, trees=10).fit(models.weighted(x.where("date < date'2000-01-01'"), 0.5))
-    return models.scored(m, x.where("date >= date'2000-01-01'")).select(*SERIES, "date", "y", "score")
+    fit, test, cols = _split(spark, d)
+    late = F.col("date") > F.date_sub(F.lit(SPLIT).cast("date"), 120)
+    return models.scored(models.fit_boosted(fit.where(~late), cols, fit.where(late), trees=20), test).select(*SERIES, "date", "y", "score")
 
 
 @query("top_reasons")
 def top_reasons(spark, d):
-    x = models.feature_table(spark, labelled(spark, d)).where("eligible and y is not null").persist()
-    m = models.logistic(models.FEATURES).fit(models.weighted(x.where("date < date'2000-01-01'"), 0.5))
-    last = x.agg(F.max("date").alias("date"))
-    return models.top_reasons(models.contributions(m, x.join(F.broadcast(last), "date"), models.FEATURES))
+    fit, test, cols = _split(spark, d)
+    cols = [c for c in cols if c not in features.IDENTITY]
+    last = test.agg(F.max("date").alias("date"))
+    return models.top_reasons(models.contributions(models.fit_logistic(fit, cols), models.finite(test.join(F.broadcast(last), "date"), cols), cols))
+
+
+@query("importance_by_group")
+def importance_by_group(spark, d):
+    """Mean absolute contributions of the linear model, by feature group."""
+    fit, test, cols = _split(spark, d)
+    cols = [c for c in cols if c not in features.IDENTITY]
+    return models.importance_by_group(models.importance(models.contributions(models.fit_logistic(fit, cols), models.finite(test, cols), cols)))
+
+
+@query("latest_risk")
+def latest_risk(spark, d):
+    """Final training on all labelled rows, then the newest day's risks."""
+    x = materialize(feature_table_of(spark, d))
+    model, threshold = models.final_model(features.modeling_rows(x), features.feature_columns(x.columns), trees=20)
+    return models.predict_latest(model, threshold, x)
 
 
 @query("sarima_scores")
 def sarima_scores(spark, d):
-    return models.sarima_scores(panel.weekly(clean_panel(spark, d)), threshold=1.0)
+    return models.sarima_scores(panel.weekly(clean_panel(spark, d)), 1.0, "1998-12-31", "1999-01-01", "2001-12-31")
 
 
 @query("seasonal_naive_scores", with_(f"SELECT commodity_id, province_id, date, round(ln(price) - lag(ln(price), 7) OVER ({W}), 6) AS naive, round(lag(ln(price), 350) OVER ({W}) - lag(ln(price), 364) OVER ({W}), 6) AS seasonal FROM panel"))
