@@ -2,75 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialize, release, scratch, shared_dir  # noqa: F401  the operators take them from here
+
 #: Word characters of every word-based contract: all but space and \t\n\v\f\r.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\f\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python workers get at most ``rows`` rows at a time, so that long texts fit beside an executor's heap.
 
-    Where it is unset a local master (tests) gets a temporary one; on a cluster that would lie on one machine only,
-    so there it is an error.
+    Spark bounds the bytes of a batch too (64 MB).  The session keeps the setting, because results are computed later.
     """
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not found:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidepanel-"))
-        found = context.getCheckpointDir()
-    return found.rstrip("/")
-
-
-_WRITTEN: dict[str, SparkSession] = {}
-
-
-def scratch(spark: SparkSession, kind: str = "state") -> str:
-    """A new path in the shared folder; what lies there goes with :func:`release`, or when Python ends."""
-    path = f"{shared_dir(spark)}/tidepanel-{kind}-{uuid.uuid4().hex}"
-    _WRITTEN[path] = spark
-    return path
-
-
-def materialize(df: DataFrame, **options: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = scratch(spark)
-    df.write.options(**options).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def release(*frames: DataFrame | str) -> None:
-    """Delete what :func:`materialize` wrote for ``frames``, which nothing may read any more."""
-    for frame in frames:
-        path = frame if isinstance(frame, str) else frame.scratch_path
-        spark = _WRITTEN.pop(path, None)
-        if spark is not None:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def _release_all() -> None:
-    for path in list(_WRITTEN):
-        try:
-            release(path)
-        except Exception:  # the session is gone; nothing can be deleted through it
-            return
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Python workers get at most ``rows`` rows at a time, so that long texts fit beside an executor's heap."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
