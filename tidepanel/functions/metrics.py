@@ -70,3 +70,24 @@ def psi(df: DataFrame, feature: str, expected: Column, bins: int = 10, least: in
     pa = F.greatest(F.lit(1e-4), F.try_divide(F.coalesce("ca", F.lit(0)), F.col("na")))
     value = F.sum((pa - pe) * F.ln(pa / pe))
     return every.agg(F.when((F.first("ne") >= least) & (F.first("na") >= least), F.when(F.first(F.size("edges")) < 3, 0.0).otherwise(value)).alias("psi"))
+
+
+def psi_band(value: Column) -> Column:
+    """stable up to 0.1, moderate up to 0.25, else drifted; null stays null."""
+    return F.when(value <= 0.1, "stable").when(value <= 0.25, "moderate").when(value.isNotNull(), "drifted")
+
+
+def dependence(df: DataFrame, feature: str, value: str, bins: int = 25) -> DataFrame:
+    """(bin, n, x, mean): mean ``value`` in equal bins of ``feature`` between its 1st and 99th percentile, others clipped into them."""
+    d = df.where(F.col(feature).isNotNull() & F.col(value).isNotNull()).select(F.col(feature).cast("double").alias("x"), F.col(value).cast("double").alias("v"))
+    ends = d.agg(F.percentile("x", F.array(F.lit(0.01), F.lit(0.99))).alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    x = F.greatest("low", F.least("high", "x"))
+    place = F.coalesce(F.least(F.lit(bins - 1), F.floor(F.try_divide(x - F.col("low"), F.col("high") - F.col("low")) * bins)), F.lit(0)).cast("int")
+    return d.crossJoin(F.broadcast(ends)).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("x"), F.avg("v").alias("mean"))
+
+
+def fold_statistics(df: DataFrame, fold: str, model: str, value: str, against: str) -> DataFrame:
+    """(model, mean, sd, least, most, share_won) of a metric over folds; won: above the model ``against`` in the same fold."""
+    other = df.where(F.col(model) == against).select(fold, F.col(value).alias("rival"))
+    won = F.when(F.col("rival").isNotNull() & F.col(value).isNotNull(), (F.col(value) > F.col("rival")).cast("int"))
+    return df.join(other, fold, "left").groupBy(model).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(won).alias("share_won"))

@@ -126,3 +126,35 @@ def over_neighbours(panel: DataFrame, edges: DataFrame, by_commodity: bool = Fal
     key = ["commodity_id"] if by_commodity else []
     e = edges.select(*key, F.col("province_id").alias("to"), F.col("other").alias("province_id"))
     return panel.join(F.broadcast(e), [*key, "province_id"]).groupBy("commodity_id", F.col("to").alias("province_id"), "date").agg(*[a.alias(n) for n, a in aggs.items()])
+
+
+def build_network(weekly: DataFrame, labels: DataFrame | None = None, lags: int = 2, alpha: float = 0.05, window: int = 14, start: str | None = None, end: str | None = None, min_obs: int = 60, national: int = 0) -> DataFrame:
+    """Granger edges of [start, end] with q_value and significant; with ``labels`` their onsets' precedence too.
+
+    Significant: q below ``alpha`` and a positive sum of coefficients.
+    """
+    def cut(df: DataFrame) -> DataFrame:
+        return df.where((F.col("date") >= start if start else F.lit(True)) & (F.col("date") <= end if end else F.lit(True)))
+
+    edges = bh_fdr(granger_edges(cut(weekly), lags, min_obs, national))
+    edges = edges.select("*", (F.coalesce(F.col("q_value") < alpha, F.lit(False)) & (F.col("coef_sum") > 0)).alias("significant"))
+    return edges if labels is None else with_precedence(edges, precedence(cut(labels), window))
+
+
+def with_precedence(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """``edges`` with the onset counts and lift of their pair, null where it has none."""
+    return edges.join(found, ["commodity_id", "source", "target"], "left")
+
+
+def out_of_period(edges: DataFrame, later: DataFrame, least_source: int = 3, least_onsets: int = 20) -> DataFrame:
+    """(commodity_id, lift_significant, lift_others, n_significant, ratio): do edges found earlier still lead in ``later`` labels?
+
+    Pairs whose source has under ``least_source`` onsets, and commodities with under ``least_onsets``, are left out, as
+    are commodities with pairs of one kind only.
+    """
+    enough = later.groupBy("commodity_id").agg(F.sum("onset").alias("n")).where(F.col("n") >= least_onsets).select("commodity_id")
+    pairs = edges.select("commodity_id", "source", "target", "significant").join(precedence(later), ["commodity_id", "source", "target"]).join(enough, "commodity_id")
+    pairs = pairs.where(F.col("lift").isNotNull() & (F.col("n_onset_source") >= least_source))
+    yes, no = (F.avg(F.when(F.col("significant") == k, F.col("lift"))) for k in (True, False))
+    out = pairs.groupBy("commodity_id").agg(yes.alias("lift_significant"), no.alias("lift_others"), F.sum(F.col("significant").cast("long")).alias("n_significant"))
+    return out.where("lift_significant is not null and lift_others is not null").select("*", F.try_divide("lift_significant", "lift_others").alias("ratio"))

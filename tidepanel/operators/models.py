@@ -150,10 +150,14 @@ def contributions(model: PipelineModel, df: DataFrame, features: list[str]) -> D
 
 
 def top_reasons(contrib: DataFrame, k: int = 3) -> DataFrame:
-    """The k largest positive contributions of each row, one for each family of features, as JSON."""
+    """The k largest positive contributions of each row, one for each family of features, as JSON.
+
+    Identity codes, the weekday, the season's sine and cosine and features without a finite value are no reasons.
+    """
     family = F.regexp_replace("feature", r"_\d+", "")
     best = F.row_number().over(Window.partitionBy(*SERIES, "date", "family").orderBy(F.desc("shap"), "feature"))
-    c = contrib.where("shap > 0 and value is not null").select("*", family.alias("family")).select("*", best.alias("b")).where("b = 1")
+    told = ~F.col("feature").isin(*IDENTITY, "dow") & ~F.col("feature").startswith("doy_") & (F.abs("value") < float("inf"))
+    c = contrib.where((F.col("shap") > 0) & told).select("*", family.alias("family")).select("*", best.alias("b")).where("b = 1")
     r = F.row_number().over(Window.partitionBy(*SERIES, "date").orderBy(F.desc("shap"), "feature"))
     c = c.select("*", r.alias("rank")).where(F.col("rank") <= k)
     return c.groupBy(*SERIES, "date").agg(F.to_json(F.sort_array(F.collect_list(F.struct("rank", "feature", F.round("shap", 6).alias("shap"), F.round("value", 6).alias("value"))))).alias("reasons_json"))

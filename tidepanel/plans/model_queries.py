@@ -318,9 +318,6 @@ def hourly_panel(spark, d):
     return e.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.round(F.avg("value"), 6).alias("value"))
 
 
-# --- models (rows only: training has no SQL)
-
-
 WF_SQL = {
     "wfrows": f"SELECT {SERIES_SQL}, date, y, ret AS score_naive, seas AS score_seasonal FROM (SELECT *, ln(price) - lag(ln(price), 7) OVER ({W}) AS ret, lag(ln(price), 350) OVER ({W}) - lag(ln(price), 364) OVER ({W}) AS seas FROM marked) WHERE eligible AND y IS NOT NULL",
     "wfroles": "SELECT w.*, fold, CASE WHEN date <= fit_end THEN 'fit' WHEN date BETWEEN val_start AND val_end THEN 'val' WHEN date BETWEEN test_start AND test_end THEN 'test' END AS role FROM wfrows w CROSS JOIN folds_",
@@ -363,6 +360,69 @@ def compare_models(spark, d):
     return rounded(out, "pos_rate", "precision", "recall", "f1", "far", "alarm_rate", "event_detection_rate", "mean_lead_days", "share_lead_ge_7", "false_episodes_per_series_year", "episode_precision", n=8)
 
 
+CTE["fut"] = f"SELECT commodity_id, province_id, date, onset, coalesce(max(onset) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND 14 FOLLOWING), 0) AS f FROM (SELECT * FROM marked)"
+CTE["futlate"] = f"SELECT commodity_id, province_id, date, onset, coalesce(max(onset) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND 14 FOLLOWING), 0) AS f FROM (SELECT * FROM marked WHERE date >= DATE '1999-01-01')"
+
+
+def _precedence_sql(fut: str) -> str:
+    per = f"(SELECT commodity_id, province_id, sum(onset)::BIGINT AS n, avg(f) AS base FROM {fut} GROUP BY 1, 2)"
+    return f"""SELECT a.commodity_id, a.province_id AS source, b.province_id AS target, a.n AS n_onset_source, b.n AS n_onset_target, coalesce(c.k, 0)::BIGINT AS n_followed, coalesce(c.k, 0) / nullif(a.n, 0) / nullif(b.base, 0) AS lift
+        FROM {per} a JOIN {per} b ON a.commodity_id = b.commodity_id AND a.province_id <> b.province_id LEFT JOIN (SELECT x.commodity_id, x.province_id AS p, z.province_id AS q, sum(x.onset * z.f) AS k FROM {fut} x JOIN {fut} z ON x.commodity_id = z.commodity_id AND x.date = z.date GROUP BY 1, 2, 3) c ON c.commodity_id = a.commodity_id AND c.p = a.province_id AND c.q = b.province_id"""
+
+
+@query("network_with_precedence", with_(f"SELECT commodity_id, source, target, q_value < 0.02 AND coef_sum > 0 AS significant, n_onset_source, n_onset_target, n_followed, round(lift, 6) AS lift FROM bh LEFT JOIN ({_precedence_sql('fut')}) p USING (commodity_id, source, target)"))
+def network_with_precedence(spark, d):
+    out = graph.with_precedence(_significant(spark, d), graph.precedence(marked(spark, d)))
+    return rounded(out.select("commodity_id", "source", "target", "significant", "n_onset_source", "n_onset_target", "n_followed", "lift"), "lift")
+
+
+@query("network_out_of_period", with_(f"""SELECT *, round(lift_significant / nullif(lift_others, 0), 5) AS ratio FROM (SELECT commodity_id, round(avg(lift) FILTER (s), 6) AS lift_significant, round(avg(lift) FILTER (NOT s), 6) AS lift_others, count(*) FILTER (s) AS n_significant
+    FROM (SELECT *, q_value < 0.02 AND coef_sum > 0 AS s FROM bh) JOIN ({_precedence_sql('futlate')}) p USING (commodity_id, source, target) WHERE lift IS NOT NULL AND n_onset_source >= 3 AND commodity_id IN (SELECT commodity_id FROM futlate GROUP BY 1 HAVING sum(onset) >= 20) GROUP BY 1)
+    WHERE lift_significant IS NOT NULL AND lift_others IS NOT NULL"""))
+def network_out_of_period(spark, d):
+    out = rounded(graph.out_of_period(_significant(spark, d), marked(spark, d).where("date >= date'1999-01-01'")), "lift_significant", "lift_others")
+    return out.select("commodity_id", "lift_significant", "lift_others", "n_significant", F.round(F.try_divide("lift_significant", "lift_others"), 5).alias("ratio"))
+
+
+@query("psi_bands", with_("SELECT feature, psi, CASE WHEN psi <= 0.1 THEN 'stable' WHEN psi <= 0.25 THEN 'moderate' ELSE 'drifted' END AS band FROM (" + " UNION ALL ".join(f"""SELECT '{n}' AS feature, round(sum((pa - pe) * ln(pa / pe)), 6) AS psi FROM (SELECT greatest(1e-4, count(*) FILTER (e) / (SELECT count(*) FILTER (e) FROM {t})) AS pe, greatest(1e-4, count(*) FILTER (NOT e) / (SELECT count(*) FILTER (NOT e) FROM {t})) AS pa
+    FROM (SELECT e, least(len(edges) - 2, len(list_filter(edges, lambda v: v <= least(greatest(x, edges[1]), edges[-1]))) - 1) AS bin FROM {t}, {t}e) GROUP BY bin)""" for n, t in (("x", "bx"), ("r14", "br"))) + ")",
+    bx="SELECT ln(price) AS x, date < DATE '1999-01-01' AS e FROM marked WHERE price IS NOT NULL", br="SELECT r14 AS x, date < DATE '1999-01-01' AS e FROM marked WHERE r14 IS NOT NULL",
+    **{f"{t}e": f"SELECT list_sort(list_distinct(quantile_cont(x, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS edges FROM {t} WHERE e" for t in ("bx", "br")}))
+def psi_bands(spark, d):
+    x = marked(spark, d).select("date", F.ln("price").alias("x"), "r14")
+    out = [metrics.psi(x, f, F.col("date") < F.to_date(F.lit("1999-01-01"))).select(F.lit(f).alias("feature"), F.round("psi", 6).alias("psi")) for f in ("x", "r14")]
+    return out[0].unionByName(out[1]).select("*", metrics.psi_band(F.col("psi")).alias("band"))
+
+
+@query("dependence_bins", with_("""SELECT coalesce(least(24, floor((z - low) / nullif(high - low, 0) * 25)), 0)::INT AS bin, count(*) AS n, round(avg(z), 6) AS x, round(avg(y), 6) AS mean FROM (SELECT greatest(low, least(high, r14)) AS z, y, low, high FROM (SELECT r14, y FROM marked WHERE r14 IS NOT NULL AND y IS NOT NULL),
+    (SELECT quantile_cont(r14, 0.01) AS low, quantile_cont(r14, 0.99) AS high FROM marked WHERE r14 IS NOT NULL AND y IS NOT NULL)) GROUP BY 1"""))
+def dependence_bins(spark, d):
+    return rounded(metrics.dependence(marked(spark, d), "r14", "y"), "x", "mean")
+
+
+@query("fold_statistics", with_("""SELECT model, round(avg(ap), 6) AS mean, round(stddev_samp(ap), 6) AS sd, round(min(ap), 6) AS least, round(max(ap), 6) AS most, round(avg(won), 6) AS share_won FROM (SELECT a.model, a.ap, CASE WHEN a.ap IS NOT NULL AND b.ap IS NOT NULL THEN (a.ap > b.ap)::INT END AS won FROM faps a LEFT JOIN (SELECT * FROM faps WHERE model = 'seasonal') b USING (fold)) GROUP BY 1""",
+    faps=" UNION ALL ".join(f"""SELECT fold, '{m}' AS model, round(CASE WHEN min(p_all) > 0 AND min(n_all) > 0 THEN sum(pos / p_all * tp / (tp + fp)) END, 8) AS ap FROM (SELECT *, sum(pos) OVER w AS tp, sum(n - pos) OVER w AS fp, sum(pos) OVER (PARTITION BY fold) AS p_all, sum(n - pos) OVER (PARTITION BY fold) AS n_all FROM (
+        SELECT fold, round(score_{m}, 9) AS score, sum(y) AS pos, count(*) AS n FROM wfpred WHERE score_{m} IS NOT NULL GROUP BY 1, 2) WINDOW w AS (PARTITION BY fold ORDER BY score DESC ROWS UNBOUNDED PRECEDING)) GROUP BY fold""" for m in ("naive", "seasonal")), **WF_SQL))
+def fold_statistics(spark, d):
+    p = materialize(forward(spark, d, marked(spark, d)))
+    x = p.select("fold", "y", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.round(f"score_{m}", 9).alias("score")) for m in ("naive", "seasonal")])).alias("e")).select("fold", "y", "e.*")
+    ap = rounded(metrics.average_precision(x, ["fold", "model"]), "ap", n=8)
+    return rounded(metrics.fold_statistics(ap, "fold", "model", "ap", "seasonal"), "mean", "sd", "least", "most", "share_won")
+
+
+@query("future_returns", with_(f"SELECT commodity_id, province_id, date, " + ", ".join(f"round(lead(ln(price), {k}) OVER ({W}) - ln(price), 6) + 0 AS fwd_{k}" for k in (7, 14)) + " FROM panel"))
+def future_returns(spark, d):
+    x = clean_panel(spark, d).select(*SERIES, "date", F.ln("price").alias("x"))
+    return x.select(*SERIES, "date", *[(F.round(F.lead("x", k).over(panel.in_order()) - F.col("x"), 6) + F.lit(0.0)).alias(f"fwd_{k}") for k in (7, 14)])
+
+
+@query("seeded_sample", with_("SELECT commodity_id, province_id, date, y FROM marked WHERE y IS NOT NULL AND md5('7:' || commodity_id || ':' || province_id || ':' || date) < '1999'"))
+def seeded_sample(spark, d):
+    """A tenth of the labelled rows, drawn by a hash of their keys, so that it is the same in any order of rows."""
+    name = F.concat_ws(":", F.lit("7"), "commodity_id", F.col("province_id").cast("string"), F.col("date").cast("string"))
+    return labelled(spark, d).where("y is not null").where(F.md5(name.cast("binary")) < "1999").select(*SERIES, "date", "y")
+
+
 # --- models (rows only: training has no SQL)
 
 SPLIT = "2000-01-01"
