@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import os
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +26,34 @@ def network_docs(edges: DataFrame, k: int = 30) -> DataFrame:
     return e.groupBy("commodity_id").agg(F.to_json(F.slice(F.sort_array(F.collect_list("e"), asc=False), 1, k)).alias("doc"))
 
 
+def risk_docs(risk: DataFrame, last_price: DataFrame) -> DataFrame:
+    """(commodity_id, doc): the newest risks of a commodity with its last price, by province.
+
+    ``risk`` is (series, prob, level, r14_now), ``last_price`` (series, price).  Numbers have four decimals, null if not finite.
+    """
+    def number(c: str):
+        return finite(F.col(c)).cast("decimal(18,4)")
+
+    x = risk.join(last_price, ["commodity_id", "province_id"], "left")
+    row = F.struct(F.col("province_id").alias("p"), number("prob").alias("prob"), "level", number("r14_now").alias("r14"), F.round(finite(F.col("price"))).cast("long").alias("price"))
+    return x.groupBy("commodity_id").agg(F.to_json(F.sort_array(F.collect_list(row))).alias("doc"))
+
+
+def site_meta(asof: DataFrame, commodities: DataFrame, places: DataFrame, threshold: float, horizon: int = 14) -> DataFrame:
+    """One row (doc): the day, the warning window, the alarm threshold, commodities with thresholds and places.
+
+    ``asof`` has one row (date), ``commodities`` (id, cat_id, threshold) and ``places`` (province_id, lat, lon) are dimensions.
+    """
+    def day(c):
+        return F.date_format(c, "yyyy-MM-dd")
+
+    coms = commodities.groupBy().agg(F.sort_array(F.collect_list(F.struct("id", "cat_id", F.col("threshold").cast("decimal(18,4)").alias("threshold")))).alias("commodities"))
+    at = places.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.col("province_id").alias("p"), F.col("lat").cast("decimal(18,4)").alias("lat"), F.col("lon").cast("decimal(18,4)").alias("lon")))).alias("centroids"))
+    window = F.struct(day(F.date_add("date", 1)).alias("start"), day(F.date_add("date", horizon)).alias("end"))
+    doc = F.struct(day("date").alias("asof"), window.alias("window"), F.lit(horizon).alias("horizon_days"), F.lit(threshold).cast("decimal(18,4)").alias("alarm_threshold"), "commodities", "centroids")
+    return asof.crossJoin(coms).crossJoin(at).select(F.to_json(doc).alias("doc"))
+
+
 def write_tables(tables: dict[str, DataFrame], root: str, kind: str = "parquet") -> None:
     """Each table to ``root``/name, overwriting; small reports as CSV come as one file."""
     for name, df in tables.items():
@@ -38,13 +63,6 @@ def write_tables(tables: dict[str, DataFrame], root: str, kind: str = "parquet")
             df.write.mode("overwrite").format(kind).save(f"{root}/{name}")
 
 
-def write_doc(path: str, doc: dict | list) -> None:
-    """One JSON document, put in place whole."""
-    with open(f"{path}.tmp", "w") as f:
-        json.dump(doc, f, ensure_ascii=False)
-    os.replace(f"{path}.tmp", path)
-
-
 def data_dictionary(df: DataFrame) -> DataFrame:
     """(column, type, null_share) of every column, in one pass."""
     shares = df.agg(*[F.avg(F.col(f"`{c}`").isNull().cast("int")).alias(f"c{i}") for i, c in enumerate(df.columns)])

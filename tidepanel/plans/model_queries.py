@@ -13,7 +13,7 @@ from ..operators.panel import SERIES, lag_of
 from ..sources import fixtures as fx
 from ..storage import materialize
 from .feature_queries import feature_table_of
-from .panel_queries import TARGET, categories, clean_panel, labelled, rounded
+from .panel_queries import CAT_SQL, TARGET, categories, clean_panel, labelled, rounded
 from .registry import query
 from .sql import CTE, SERIES as SERIES_SQL, W, with_
 
@@ -291,6 +291,26 @@ def top_k_risk(spark, d):
     return risk(spark, d).select(*SERIES, "prob", r).where("rank <= 2")
 
 
+@query("risk_docs", with_(f"""SELECT commodity_id, '[' || string_agg('{{"p":' || r.province_id || ',"prob":' || prob::DECIMAL(18, 4) || ',"level":"' || level || '"' || ',"r14":' || r14::DECIMAL(18, 4) || ',"price":' || round(price)::BIGINT || '}}', ',' ORDER BY r.province_id) || ']' AS doc
+    FROM ({RISK_SQL}) r JOIN (SELECT commodity_id, province_id, r14, price FROM marked WHERE r14 IS NOT NULL AND date = (SELECT max(date) FROM marked WHERE r14 IS NOT NULL)) m USING (commodity_id, province_id) GROUP BY 1"""))
+def risk_docs(spark, d):
+    """The dashboard's risks of the newest day, one document for each commodity."""
+    from .export import risk_docs as docs
+    x = marked(spark, d).where("r14 is not null")
+    now = x.join(F.broadcast(x.agg(F.max("date").alias("date"))), "date")
+    p = 1 / (1 + F.exp(-F.col("r14"))) - 0.3
+    return docs(now.select(*SERIES, F.round(p, 6).alias("prob"), models.risk_level(p, F.col("s0"), 0.5).alias("level"), F.col("r14").alias("r14_now")), now.select(*SERIES, "price"))
+
+
+@query("site_meta", with_(f"""SELECT '{{"asof":"' || strftime(last, '%Y-%m-%d') || '","window":{{"start":"' || strftime(last + 1, '%Y-%m-%d') || '","end":"' || strftime(last + 14, '%Y-%m-%d') || '"}},"horizon_days":14,"alarm_threshold":0.5000,"commodities":[' || coms || '],"centroids":[' || spots || ']}}' AS doc FROM (SELECT max(date) AS last FROM obs),
+    (SELECT string_agg('{{"id":"' || commodity_id || '","cat_id":"' || {CAT_SQL} || '","threshold":' || thr::DECIMAL(18, 4) || '}}', ',' ORDER BY commodity_id) AS coms FROM (SELECT DISTINCT commodity_id, thr FROM rise)), (SELECT string_agg('{{"p":' || id || ',"lat":' || lat::DECIMAL(18, 4) || ',"lon":' || lon::DECIMAL(18, 4) || '}}', ',' ORDER BY id) AS spots FROM {PROVINCES_SQL})"""))
+def site_meta(spark, d):
+    from .export import site_meta as docs
+    o = fx.observations(spark, d)
+    coms = labels.thresholds(o.where("price_type_id = 1"), categories(spark), TARGET).join(F.broadcast(categories(spark)), "commodity_id").select(F.col("commodity_id").alias("id"), "cat_id", F.col("thr").alias("threshold")).distinct()
+    return docs(o.agg(F.max("date").alias("date")), coms, fx.provinces(spark).select(F.col("province_id"), "lat", "lon"), 0.5)
+
+
 @query("latest_price_asof", with_("SELECT commodity_id, province_id, arg_max(round(price, 4), date) AS price, max(date) AS date FROM obs WHERE price_type_id = 1 AND date <= DATE '2000-06-30' GROUP BY 1, 2"))
 def latest_price_asof(spark, d):
     o = fx.observations(spark, d).where("price_type_id = 1 and date <= date'2000-06-30' and price is not null")

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.grid_json import keep_last
+from ..storage import exists
 
 
 def upsert_days(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str, partition: str = "date") -> DataStreamWriter:
@@ -22,13 +23,10 @@ def upsert_days(stream: DataFrame, path: str, checkpoint: str, keys: list[str],
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         new = batch.select("*", F.lit(1).alias("__new")).persist()
-        try:
+        both = new
+        if exists(spark, path):
             old = spark.read.schema(batch.schema).parquet(path).join(new.select(partition).distinct(), partition, "left_semi").select(*batch.columns, F.lit(0).alias("__new"))
             both = old.unionByName(new)
-        except Exception as e:  # no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            both = new
         ranked = both.select("*", F.struct("__new", order).alias("__order"))
         done = keep_last(ranked, keys, "__order").select(*batch.columns).persist()
         done.count()  # read before its partitions are replaced
