@@ -43,3 +43,10 @@ def test_grid_files_to_long_observations(spark, tmp_path):
     first = got[1, dt.date(2026, 9, 16)]
     assert (first.price_type, first.commodity, first.category, first.province) == ("Pasar Modern", "Beras Bawah", "Beras", "Aceh")
     assert [(r.name, r.n_cells) for r in grid_json.unknown_regions(cells, places).collect()] == [("Dum", 1)]
+
+
+def test_estimated_holidays_are_near_the_official_ones():
+    for year, days in fixtures.MOVING_HOLIDAYS.items():
+        for a, b in zip(days, fixtures.estimated_holidays(year)):
+            assert abs((dt.date.fromisoformat(a) - dt.date.fromisoformat(b)).days) <= 2
+    assert all(fixtures.estimated_holidays(y) is None or all(d.startswith(str(y)) for d in fixtures.estimated_holidays(y)) for y in range(1990, 2060))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,11 +44,31 @@ def provinces(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PROVINCES, schemas.PROVINCES)
 
 
+def _islamic(year: int, month: int, day: int) -> date:
+    """Day of the tabular Islamic calendar: months of 30 and 29 days in turn, 11 leap days in 30 years."""
+    return date.fromordinal(227014 + day + (59 * (month - 1) + 1) // 2 + (year - 1) * 354 + (3 + 11 * year) // 30)
+
+
+def estimated_holidays(year: int) -> tuple[str, str, str] | None:
+    """The moving holidays of a year by the tabular calendar, a day or two off at most; None if one doesn't fall in it.
+
+    Of two in one year the later one counts.
+    """
+    near = round((year - 622) * 33 / 32)
+    found = []
+    for month, day in ((9, 1), (10, 1), (12, 10)):
+        hits = [d for y in range(near - 2, near + 3) if (d := _islamic(y, month, day)).year == year]
+        found.append(max(hits).isoformat() if hits else None)
+    return tuple(found) if all(found) else None
+
+
 def holidays(spark: SparkSession, first: int = 2017, last: int = 2026, moving: dict | None = None) -> DataFrame:
-    """(date, event, source): fixed holidays of every year, moving ones of the years in the table."""
+    """(date, event, source): fixed holidays of every year, moving ones of the years in the table, else estimated."""
     moving = MOVING_HOLIDAYS if moving is None else moving
-    rows = [(d, e, "resmi") for y in range(first, last + 1) if y in moving for e, d in zip(MOVING_EVENTS, moving[y])]
-    rows += [(f"{y}-{d}", e, "tetap") for y in range(first, last + 1) for e, d in FIXED_EVENTS.items()]
+    years = range(first, last + 1)
+    rows = [(d, e, "resmi") for y in years if y in moving for e, d in zip(MOVING_EVENTS, moving[y])]
+    rows += [(d, e, "estimasi-hijri") for y in years if y not in moving for e, d in zip(MOVING_EVENTS, estimated_holidays(y) or ())]
+    rows += [(f"{y}-{d}", e, "tetap") for y in years for e, d in FIXED_EVENTS.items()]
     return spark.createDataFrame(rows, "date string, event string, source string").select(F.to_date("date").alias("date"), "event", "source")
 
 
