@@ -225,4 +225,5 @@ def op7_warc(pages: DataFrame) -> DataFrame:
     """
     path = scratch(pages.sparkSession, "warc")
     deduplicate_pages(pages, path)
-    return restored(read_archive(pages.sparkSession, path))
+    # read once: sizes and records are two views of the same headers
+    return restored(materialize(read_archive(pages.sparkSession, path)))
