@@ -10,6 +10,7 @@ from ..operators import calendar, features, labels, panel, weather
 from ..operators.panel import SERIES
 from ..sources import fixtures as fx
 from ..storage import materialize
+from .export import data_dictionary
 from .panel_queries import CAT_SQL, CATEGORIES, CLEAN, CLIMATE, NEIGHBOURS, NEIGHBOURS_SQL, STUDY, TARGET, YEARS, _z_sql, categories, rounded
 from .registry import query
 from .sql import CTE, W, with_
@@ -94,3 +95,16 @@ def shown(table: DataFrame) -> DataFrame:
 @query("feature_table", FEATURE_SQL)
 def feature_table(spark, d):
     return shown(feature_table_of(spark, d))
+
+
+_ALL = list(OWN) + OTHER + DAYS + [n for c in RAIN + LAGS for n in (c, f"{c}_centre")] + features.IDENTITY
+
+
+@query("feature_dictionary", f"WITH ft AS MATERIALIZED ({FEATURE_SQL}) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, '{features.group_of(c)}' AS \"group\", round(avg(({c} IS NULL)::INT), 8) AS null_share FROM ft" for c in _ALL))
+def feature_dictionary(spark, d):
+    """Every feature with its group and the share of rows that lack it."""
+    table = feature_table_of(spark, d)
+    names = features.feature_columns(table.columns)
+    out = data_dictionary(table.select(*names))
+    groups = spark.createDataFrame([(c, features.group_of(c)) for c in names], "column string, group string")
+    return out.join(F.broadcast(groups), "column").select(F.col("column").alias("feature"), "group", F.round("null_share", 8).alias("null_share"))
