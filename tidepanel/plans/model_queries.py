@@ -344,7 +344,7 @@ WF_SQL = {
     "folds_": FOLDS_SQL,
     "wfused": "SELECT fold FROM wfroles GROUP BY 1 HAVING sum(y) FILTER (role = 'fit') > 0 AND count(*) FILTER (role = 'test') > 0",
 } | {
-    f"wf{m}": f"""SELECT fold, arg_max(score, (round(f, 12), -score)) AS thr FROM (SELECT fold, score, coalesce(2.0 * tp / nullif(tp + fp + p_all, 0), 0) AS f FROM (SELECT fold, score, sum(pos) OVER w AS tp, sum(n - pos) OVER w AS fp, sum(pos) OVER (PARTITION BY fold) AS p_all
+    f"wf{m}": f"""SELECT fold, CASE WHEN max(p_all) = 0 THEN max(score) + 1e-9 ELSE arg_max(score, (round(f, 12), -score)) END AS thr FROM (SELECT fold, score, p_all, coalesce(2.0 * tp / nullif(tp + fp + p_all, 0), 0) AS f FROM (SELECT fold, score, sum(pos) OVER w AS tp, sum(n - pos) OVER w AS fp, sum(pos) OVER (PARTITION BY fold) AS p_all
         FROM (SELECT fold, score_{m} AS score, sum(y) AS pos, count(*) AS n FROM wfroles WHERE role = 'val' AND score_{m} IS NOT NULL GROUP BY 1, 2) WINDOW w AS (PARTITION BY fold ORDER BY score DESC ROWS UNBOUNDED PRECEDING))) GROUP BY 1""" for m in ("naive", "seasonal")
 } | {"wfpred": f"SELECT r.{SERIES_SQL.replace(', ', ', r.')}, date, y, r.fold, score_naive, a.thr AS thr_naive, score_seasonal, b.thr AS thr_seasonal FROM wfroles r JOIN wfused u ON u.fold = r.fold LEFT JOIN wfnaive a ON a.fold = r.fold LEFT JOIN wfseasonal b ON b.fold = r.fold WHERE role = 'test'"}
 
