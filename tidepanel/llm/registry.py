@@ -11,8 +11,11 @@ from .packing import op5_packing
 from .pii import op8_pii
 from .quality_rules import op6_quality_rules
 from .sharding import op1_sharding
-from .sql import OP7_SQL, OP9_SQL, OP10_SQL
+from .resampling import op12_importance_resampling
+from .spelling import op13_spelling_variants
+from .sql import OP7_SQL, OP9_SQL, OP10_SQL, OP12_SQL, OP13_SQL
 from .substrings import op2_substring_dedup
+from .url_filter import op11_url_filter
 from .warc import op7_warc
 
 
@@ -28,8 +31,11 @@ def queries() -> dict:
         "op8_pii": lambda spark, d: op8_pii(table(spark, d, "documents")),
         "op9_near_dedup": lambda spark, d: op9_near_dedup(table(spark, d, "documents")),
         "op10_embedding_dedup": lambda spark, d: op10_embedding_dedup(table(spark, d, "embeddings")),
+        "op11_url_filter": lambda spark, d: op11_url_filter(table(spark, d, "pages")),
+        "op12_importance_resampling": lambda spark, d: op12_importance_resampling(table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "op13_spelling_variants": lambda spark, d: op13_spelling_variants(table(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_mixing": OP4_SQL, "op7_warc": OP7_SQL, "op9_near_dedup": OP9_SQL, "op10_embedding_dedup": OP10_SQL}
+    return {"op4_mixing": OP4_SQL, "op7_warc": OP7_SQL, "op9_near_dedup": OP9_SQL, "op10_embedding_dedup": OP10_SQL, "op12_importance_resampling": OP12_SQL, "op13_spelling_variants": OP13_SQL}
