@@ -106,18 +106,20 @@ def sketch(docs: DataFrame, words: int = 4) -> DataFrame:
     are the registers, four to a long.
     """
 
-    def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, node, bands = [], [], []
-            for s in shingle_sets(b["text"].tolist(), words):
+            for s in shingle_sets(b.column("text").to_pylist(), words):
                 n.append(len(s))
                 node.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
                 bands.append(registers(s).view(np.int64) if len(s) else None)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "rid": b["rid"], "n": n, "node": pd.array(node, dtype="Int64"), "bands": bands})
+            made = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            # ids stay in Arrow: pandas makes doubles of whole numbers beside a null
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rid"), *made], ["doc_id", "rid", "n", "node", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("doc_id", F.xxhash64("doc_id", text).alias("rid"), text.alias("text")).mapInPandas(sketched, f"doc_id {kind}, rid long, n long, node long, bands array<long>")
+    return docs.select("doc_id", F.xxhash64("doc_id", text).alias("rid"), text.alias("text")).mapInArrow(sketched, f"doc_id {kind}, rid long, n long, node long, bands array<long>")
 
 
 def _sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:

@@ -6,7 +6,8 @@ import re
 from bisect import bisect_left, insort
 from collections.abc import Iterable
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,6 +62,11 @@ def dup_cluster(text: Column) -> Column:
     return F.xxhash64(F.lower(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")))
 
 
+def _numbered(values: pa.ChunkedArray) -> list[int]:
+    """A number for each different value, null being one."""
+    return values.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_pylist()
+
+
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, per_source: int = 2, with_text: bool = True, cluster: Column | None = None) -> DataFrame:
     """Every document's words in bins of ``capacity`` words: doc_id, piece, n_words, bin_id, slot, offset (, text).
 
@@ -88,37 +94,40 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, per_source: int =
     if with_text:
         fields.append(T.StructField("text", T.StringType()))
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "th"], kind="stable", na_position="first", ignore_index=True)
-        sources, clusters = pdf["source"].factorize(use_na_sentinel=False)[0].tolist(), pdf["cluster"].factorize(use_na_sentinel=False)[0].tolist()
+    def pack(rows: pa.Table) -> pa.Table:
+        # ids stay in Arrow: pandas makes doubles of whole numbers beside a null
+        rows = rows.take(pc.sort_indices(rows, [("doc_id", "ascending"), ("th", "ascending")], null_placement="at_start")).combine_chunks()
+        sources, clusters, ids = (_numbered(rows[c]) for c in ("source", "cluster", "doc_id"))
+        words = rows["n"].to_pylist()
         # a document's bit is beyond those of all clusters; without an id there is none
-        ids = pdf["doc_id"].factorize()[0].tolist()
         above = max(clusters, default=0) + 1
-        own = [[c] if d < 0 else [c, above + d] for c, d in zip(clusters, ids)]
+        nameless = rows["doc_id"].is_null().to_pylist()
+        own = [[c] if none else [c, above + d] for c, d, none in zip(clusters, ids, nameless)]
         parts = []  # (-size, row, piece)
-        for row, words in enumerate(pdf["n"].tolist()):
+        for row, left in enumerate(words):
             k = 0
-            while words > 0:
-                parts.append((-min(words, capacity), row, k))
-                words, k = words - capacity, k + 1
+            while left > 0:
+                parts.append((-min(left, capacity), row, k))
+                left, k = left - capacity, k + 1
         parts.sort()
         where = best_fit(((-size, sources[row], *own[row]) for size, row, _ in parts), capacity, per_source)
-        g, slots, out = pdf["g"].iloc[0] if len(pdf) else 0, {}, []
+        g, slots, out = rows["g"][0].as_py() if len(rows) else 0, {}, []
         for (size, row, k), (b, at) in zip(parts, where):
             slots[b] = slot = slots.get(b, -1) + 1
             out.append((row, k, -size, f"{g}-{b}", slot, at))
-        out += [(row, 0, 0, None, None, None) for row in pdf.index[pdf["n"] == 0]]
-        made = pd.DataFrame(out, columns=["row", "piece", "n_words", "bin_id", "slot", "offset"])
-        made["slot"], made["offset"] = made["slot"].astype("Int32"), made["offset"].astype("Int32")
-        made.insert(0, "doc_id", pdf["doc_id"].to_numpy()[made["row"]])
+        out += [(row, 0, 0, None, None, None) for row, n in enumerate(words) if n == 0]
+        at, piece, *rest = zip(*out) if out else ((), (), (), (), (), ())
+        made = [rows["doc_id"].take(pa.array(at, pa.int64())), pa.array(piece, pa.int32())]
+        made += [pa.array(x, t) for x, t in zip(rest, (pa.int32(), pa.string(), pa.int32(), pa.int32()))]
         if with_text:
-            texts, counts = pdf["text"].tolist(), pdf["n"].tolist()
-            cut = {row: pieces(texts[row], counts[row], capacity) for row in range(len(texts)) if counts[row] > capacity}
-            made["text"] = [cut[r][k] if r in cut else texts[r] for r, k in zip(made["row"], made["piece"])]
-        return made.drop(columns="row")
+            texts = rows["text"].to_pylist()
+            cut = {row: pieces(texts[row], n, capacity) for row, n in enumerate(words) if n > capacity}
+            made.append(pa.array([cut[r][k] if r in cut else texts[r] for r, k in zip(at, piece)], pa.string()))
+        return pa.Table.from_arrays(made, [f.name for f in fields])
 
-    return rows.groupBy("g").applyInPandas(pack, T.StructType(fields))
+    return rows.groupBy("g").applyInArrow(pack, T.StructType(fields))
 
 
 def op5_packing(docs: DataFrame) -> DataFrame:
+    """doc_id, piece, n_words, bin_id, slot and offset of all pieces of ``docs``; edge cases as in :func:`pack_documents`."""
     return pack_documents(docs, with_text=False)

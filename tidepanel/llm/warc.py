@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ FILE_MB = 16
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEADER = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+NAMES = ["page_id", "url", "payload_bytes", "payload_digest", "key", "maybe", "payload"]
 MOST_BITS = 1 << 28  # of a Bloom filter: 32 MB
 FEW = 100_000  # headers that may be broadcast: 6 MB
 EMPTY = zlib.compress(b"", wbits=31)
@@ -36,18 +38,19 @@ def page_headers(pages: DataFrame, revisits: Broadcast | None = None) -> DataFra
     key is a 64-bit name of page_id and payload; maybe tells whether the Bloom filter ``revisits`` may hold it.
     """
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = [(x or "").encode() for x in b["payload"]]
+            raw = [x.encode() for x in b.column("payload").to_pylist()]
             sums = [hashlib.sha1(x).digest() for x in raw]
-            ids = b["page_id"].fillna(-1).to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            ids = b.column("page_id").fill_null(-1).to_numpy(zero_copy_only=False).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             key = (np.frombuffer(b"".join(x[:8] for x in sums), np.uint64) ^ (ids >> np.uint64(7)) ^ ids).view(np.int64)
-            maybe = _may_hold(revisits.value, key) if revisits is not None else False
-            b = b.assign(payload_bytes=[len(x) for x in raw], payload_digest=[base64.b32encode(x).decode() for x in sums], key=key, maybe=maybe)
-            yield b[["page_id", "url", "payload_bytes", "payload_digest", "key", "maybe", "payload"]]
+            maybe = _may_hold(revisits.value, key) if revisits is not None else np.zeros(len(raw), bool)
+            made = [pa.array([len(x) for x in raw], pa.int64()), pa.array([base64.b32encode(x).decode() for x in sums], pa.string()), pa.array(key), pa.array(maybe)]
+            # ids stay in Arrow: pandas makes doubles of whole numbers beside a null
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), *made, b.column("payload")], NAMES)
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
-    return rows.mapInPandas(hashed, "page_id long, url string, payload_bytes long, payload_digest string, key long, maybe boolean, payload string")
+    return rows.mapInArrow(hashed, "page_id long, url string, payload_bytes long, payload_digest string, key long, maybe boolean, payload string")
 
 
 def _may_hold(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -94,12 +97,12 @@ def write_archive(records: DataFrame, path: str, per_file: int = 5000) -> None:
     shuffled for the sake of file sizes.
     """
 
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for page, url, said, payload, kind, to in zip(b["page_id"].astype("Int64"), b["url"], b["payload_digest"], b["payload"], b["record_type"], b["refers_to"].astype("Int64")):
+            for page, url, said, payload, kind, to in zip(*(b.column(i).to_pylist() for i in range(6))):
                 block = b"" if kind == "revisit" else (payload or "").encode()
-                fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{'none' if pd.isna(page) else page}>"), ("WARC-Date", DATE)]
+                fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{'none' if page is None else page}>"), ("WARC-Date", DATE)]
                 if url is not None:
                     fields.append(("WARC-Target-URI", re.sub(r"[\r\n]+", "%0A", url)))
                 fields.append(("WARC-Payload-Digest", f"sha1:{said}"))
@@ -109,9 +112,9 @@ def write_archive(records: DataFrame, path: str, per_file: int = 5000) -> None:
                 head = "".join(f"{k}: {v}\r\n" for k, v in fields)
                 member = zlib.compress(f"WARC/1.1\r\n{head}\r\n".encode() + block + b"\r\n\r\n", wbits=31)
                 out.append((member if member[-1] == 0 else member + EMPTY)[:-1])
-            yield pd.DataFrame({"value": out})
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    made = records.select("page_id", "url", "payload_digest", "payload", "record_type", "refers_to").mapInPandas(members, "value binary")
+    made = records.select("page_id", "url", "payload_digest", "payload", "record_type", "refers_to").mapInArrow(members, "value binary")
     made.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(path)
 
 
@@ -144,33 +147,31 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = False) ->
     a revisit's size is null here.  Files are small (write_archive's caller sees to it), a task holds one.
     """
 
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * with_payload]
-        for b in batches:
-            for content in b["content"]:
-                out = []
-                for f, block in (r for member in unzip(bytes(content)) for r in parse(member)):
-                    page, kind = f["warc-record-id"][len("<urn:page:") : -1], f["warc-type"]
-                    said = f["warc-payload-digest"].removeprefix("sha1:")
-                    if kind == "response" and digest(block) != said:
-                        raise ValueError(f"damaged record {page}")
-                    to = f["warc-refers-to"][len("<urn:page:") : -1] if kind == "revisit" else None
-                    row = (None if page == "none" else int(page), f.get("warc-target-uri"), len(block) if kind == "response" else None, said, kind, to and int(to))
-                    out.append((*row, block.decode()) if with_payload else row)
-                    if len(out) == 2000:
-                        yield frame(out, names)
-                        out = []
-                if out:
-                    yield frame(out, names)
-
-    def frame(rows: list, names: list) -> pd.DataFrame:
-        made = pd.DataFrame(rows, columns=names)
-        for c in ("page_id", "payload_bytes", "refers_to"):
-            made[c] = made[c].astype("Int64")
-        return made
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * with_payload]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.string()] * with_payload]
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for content in (x.as_py() for b in batches for x in b.column("content")):
+            out = []
+            for f, block in (r for member in unzip(content) for r in parse(member)):
+                page, kind = f["warc-record-id"][len("<urn:page:") : -1], f["warc-type"]
+                said = f["warc-payload-digest"].removeprefix("sha1:")
+                if kind == "response" and digest(block) != said:
+                    raise ValueError(f"damaged record {page}")
+                to = int(f["warc-refers-to"][len("<urn:page:") : -1]) if kind == "revisit" else None
+                row = (None if page == "none" else int(page), f.get("warc-target-uri"), len(block) if kind == "response" else None, said, kind, to)
+                out.append((*row, block.decode()) if with_payload else row)
+                if len(out) == 2000:
+                    yield batch(out)
+                    out = []
+            if out:
+                yield batch(out)
+
+    def batch(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInPandas(records, HEADER + ", payload string" * with_payload)
+    return files.mapInArrow(records, HEADER + ", payload string" * with_payload)
 
 
 def restored(records: DataFrame) -> DataFrame:
