@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -97,9 +98,10 @@ class UrlModel:
         """Log odds of "block" from an array of features."""
         if not self.trees:
             return F.lit(self.start)
-        kinds = "array<struct<f:array<int>,t:array<double>,leaf:array<double>>>"
-        told = "[" + ",".join('{"f":%s,"t":%s,"leaf":%s}' % ([f + 1 for f, _ in s], [t for _, t in s], list(leaf)) for s, leaf in self.trees) + "]"
-        trees = F.from_json(F.lit(told), kinds)  # a constant, folded once
+        def numbers(xs: Iterable[float]) -> Column:
+            return F.array(*[F.lit(x) for x in xs])
+
+        trees = F.array(*[F.struct(numbers(f + 1 for f, _ in s).alias("f"), numbers(t for _, t in s).alias("t"), numbers(leaf).alias("leaf")) for s, leaf in self.trees])
 
         def leaf_of(a: Column, t: Column) -> Column:
             bits = F.zip_with(t["f"], t["t"], lambda f, v: (F.element_at(x, f) > v).cast("int"))
