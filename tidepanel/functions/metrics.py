@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 
 def by_score(df: DataFrame, keys: list[str], y: str = "y", score: str = "score") -> DataFrame:
     """One row for each group and distinct score, with tp and fp at a threshold of that score.
@@ -24,6 +26,28 @@ def average_precision(df: DataFrame, keys: list[str], **cols) -> DataFrame:
     return s.groupBy(*keys).agg(F.when((F.first("all_pos") > 0) & (F.first("all_neg") > 0), F.sum(gain)).alias("ap"))
 
 
+def average_precision_of_many(df: DataFrame, keys: list[str], y: str = "y", score: str = "score", parts: int = 32) -> DataFrame:
+    """:func:`average_precision` for groups whose distinct scores are too many for one task; groups themselves are few.
+
+    Approximate quantiles cut each group's scores into ``parts`` ranges.  Sums of whole ranges, a row for each group and range,
+    give every range what lies above it; within ranges the sums run in tasks of their own.  The result is exact, ties included.
+    """
+    s = df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
+    s = materialize(s)
+    cuts = F.percentile_approx(score, F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(1000)).alias("cuts")
+    cut = s.join(F.broadcast(s.groupBy(*keys).agg(cuts)), keys)  # a row for each group
+    cut = cut.select(*keys, score, "pos", "n", F.size(F.filter("cuts", lambda c: c < F.col(score))).alias("part"))
+    whole = cut.groupBy(*keys, "part").agg(F.sum("pos").alias("p"), F.sum("n").alias("q"))
+    above = Window.partitionBy(*keys).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*keys)
+    none = F.lit(0)
+    whole = whole.select(*keys, "part", F.coalesce(F.sum("p").over(above), none).alias("pos_above"), F.coalesce(F.sum("q").over(above), none).alias("n_above"), F.sum("p").over(every).alias("all_pos"), F.sum("q").over(every).alias("all_n"))
+    down = Window.partitionBy(*keys, "part").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    x = cut.join(F.broadcast(whole), [*keys, "part"]).select(*keys, "pos", "all_pos", "all_n", (F.sum("pos").over(down) + F.col("pos_above")).alias("tp"), (F.sum("n").over(down) + F.col("n_above")).alias("alarms"))
+    gain = F.try_divide(F.col("pos"), F.col("all_pos")) * F.col("tp") / F.col("alarms")
+    return x.groupBy(*keys).agg(F.when((F.first("all_pos") > 0) & (F.first("all_n") > F.first("all_pos")), F.sum(gain)).alias("ap"))
+
+
 def roc_auc(df: DataFrame, keys: list[str], **cols) -> DataFrame:
     """Mann-Whitney statistic with ties counting half; null for a group of one class."""
     s = by_score(df, keys, **cols)

@@ -8,17 +8,19 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler, VectorIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics
-from ..storage import scratch
+from ..storage import materialize, scratch, shared_dir
+from . import arima
 from .events import fold_roles
 from .features import GROUPS, IDENTITY
 from .panel import SERIES, in_order
+from .trees import first_trees, inputs, staged_scores, tree_contributions
 
 def naive(x: Column) -> Column:
     return x - F.lag(x, 7).over(in_order())
@@ -56,18 +58,46 @@ def finite(rows: DataFrame, features: list[str]) -> DataFrame:
     return rows.select(*[cols[c].alias(c) if c in cols else F.col(c) for c in rows.columns])
 
 
-def fit_boosted(rows: DataFrame, features: list[str], val: DataFrame | None = None, trees: int = 50, rate: float = 0.5, seed: int = 7) -> PipelineModel:
-    """Boosted trees on numbers and identity codes, these as categories; with ``val`` they stop when its loss stops falling."""
+def fit_boosted(rows: DataFrame, features: list[str], val: DataFrame | None = None, trees: int = 300, rate: float = 0.5, seed: int = 7, patience: int = 100, depth: int = 5, step: float = 0.1) -> PipelineModel:
+    """Boosted trees on numbers and identity codes, these as categories.
+
+    With ``val`` the ensemble is cut at the round that early stopping on the average precision of ``val`` keeps: the first that no
+    later one surpasses within ``patience`` rounds (:func:`round_precision`); rows of one class in ``val`` leave all rounds.
+    Rounds may be hundreds: where a folder is set for it, MLlib cuts the lineage of its errors every 10 rounds.
+    """
     codes = [f for f in features if f in IDENTITY]
     numbers = [f for f in features if f not in IDENTITY]
-    train = weighted(finite(rows, numbers), rate, seed).withColumn("held", F.lit(False))
-    if val is not None:
-        train = train.unionByName(finite(val, numbers).select("*", F.lit(1.0).alias("weight"), F.lit(True).alias("held")))
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(rows.sparkSession))
+    train = weighted(finite(rows, numbers), rate, seed)
     names = [f"{f}_i" for f in numbers]
-    gbt = GBTClassifier(labelCol="y", weightCol="weight", maxIter=trees, maxDepth=5, stepSize=0.1, minInstancesPerNode=20, subsamplingRate=0.8, seed=seed, maxBins=64, **({} if val is None else {"validationIndicatorCol": "held"}))
+    gbt = GBTClassifier(labelCol="y", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=step, minInstancesPerNode=20, subsamplingRate=0.8, seed=seed, maxBins=64)
     assemble = VectorAssembler(inputCols=[*names, *codes], outputCol="raw", handleInvalid="keep")
     index = VectorIndexer(inputCol="raw", outputCol="features", maxCategories=40, handleInvalid="keep")
-    return Pipeline(stages=[Imputer(strategy="median", inputCols=numbers, outputCols=names), assemble, index if codes else index.setMaxCategories(2), gbt]).fit(train)
+    model = Pipeline(stages=[Imputer(strategy="median", inputCols=numbers, outputCols=names), assemble, index if codes else index.setMaxCategories(2), gbt]).fit(train)
+    if val is None:
+        return model
+    best = best_round(round_precision(model, val), patience)
+    return PipelineModel([*model.stages[:-1], first_trees(model.stages[-1], best or len(model.stages[-1].treeWeights))])
+
+
+def round_precision(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """(round, ap): average precision on ``rows`` after each round of boosting, all rounds in one pass over the rows."""
+    numbers = model.stages[0].getInputCols()
+    staged = staged_scores(model, finite(rows, numbers), ["y"]).select("y", F.posexplode("staged").alias("k", "score"))
+    return metrics.average_precision_of_many(staged.select((F.col("k") + 1).alias("round"), "y", "score"), ["round"])
+
+
+def best_round(precision: DataFrame, patience: int = 100) -> int | None:
+    """The round that early stopping keeps; rounds are few, so this reads one number of each.  None where there are no numbers."""
+    best, at = -1.0, None
+    for r in precision.where("ap is not null").orderBy("round").collect():
+        if at is not None and r["round"] - at > patience:
+            break
+        if r.ap > best:
+            best, at = r.ap, r["round"]
+    return at
 
 
 def scored(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -104,7 +134,7 @@ def walk_forward(data: DataFrame, folds: DataFrame, given: dict[str, Column], tr
     return x.where("role = 'test'").drop("role")
 
 
-def final_model(data: DataFrame, features: list[str], val_days: int = 120, trees: int = 50) -> tuple[PipelineModel, float]:
+def final_model(data: DataFrame, features: list[str], val_days: int = 120, trees: int = 300) -> tuple[PipelineModel, float]:
     """(model, threshold): rounds and threshold from the last ``val_days``, then a tenth more rounds on all rows."""
     last = data.agg(F.max("date")).first()[0]
     late = F.col("date") > F.date_sub(F.lit(last), val_days)
@@ -125,11 +155,21 @@ def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, float]:
     return PipelineModel.load(f"{path}/model"), spark.read.schema("threshold double").json(f"{path}/meta").first().threshold
 
 
-def predict_latest(model: PipelineModel, threshold: float, features: DataFrame) -> DataFrame:
-    """(keys, date, prob, spike_now, r14_now, ret_7, level) of the newest rows, most likely first within a commodity."""
+def predict_latest(model: PipelineModel, threshold: float, features: DataFrame, names: dict[str, DataFrame] | None = None, k: int = 3) -> DataFrame:
+    """(keys, date, prob, spike_now, r14_now, ret_7, level, reasons_json and names) of the newest rows.
+
+    Reasons are the ``k`` largest contributions of :func:`top_reasons`, an empty list where nothing raises the risk.  ``names`` maps a key column to a
+    table of it and its attributes, dimensions that are joined where they have the key.
+    """
     last = features.agg(F.max("date").alias("date"))
-    now = scored(model, features.join(F.broadcast(last), "date"))
-    return now.select(*SERIES, "date", F.col("score").alias("prob"), "spike_now", "r14_now", "ret_7", risk_level(F.col("score"), F.coalesce("spike_now", F.lit(0)), threshold).alias("level"))
+    now = materialize(features.join(F.broadcast(last), "date"))
+    order = inputs(model)
+    why = top_reasons(contributions(model, now, order), k)
+    risks = scored(model, now).select(*SERIES, "date", F.col("score").alias("prob"), "spike_now", "r14_now", "ret_7", risk_level(F.col("score"), F.coalesce("spike_now", F.lit(0)), threshold).alias("level"))
+    out = risks.join(why, [*SERIES, "date"], "left").fillna("[]", ["reasons_json"])
+    for key, dim in (names or {}).items():
+        out = out.join(dim, key, "left")
+    return out
 
 
 def importance_by_group(shares: DataFrame) -> DataFrame:
@@ -142,10 +182,24 @@ def importance_by_group(shares: DataFrame) -> DataFrame:
 
 
 def contributions(model: PipelineModel, df: DataFrame, features: list[str]) -> DataFrame:
-    """(series, date, feature, value, shap): exact contributions of a linear model, coefficient times distance from the mean."""
-    coef = model.stages[-1].coefficients.toArray()
-    out = model.transform(df).select(*SERIES, "date", *features, vector_to_array("features").alias("z"))
-    items = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"), (F.col("z")[i] * float(coef[i])).alias("shap")) for i, f in enumerate(features)])).alias("e")
+    """(series, date, feature, value, shap): exact contributions to the log odds of each of ``features``.
+
+    Of a linear model they are coefficient times distance from the mean, of boosted trees path-dependent Shapley values
+    (:func:`trees.tree_contributions`); the model's other features are left out.  Values are those before filling.
+    """
+    last = model.stages[-1]
+    df = finite(df, [f for f in features if f not in IDENTITY])
+    values = [F.col(f).cast("double") for f in features]
+    keep = [*SERIES, "date", *features]
+    if isinstance(last, GBTClassificationModel):
+        order = inputs(model)
+        out, _ = tree_contributions(model, df, keep)
+        shap = [F.col("shap")[order.index(f)] for f in features]
+    else:
+        coef = last.coefficients.toArray()
+        out = model.transform(df).select(*keep, vector_to_array("features").alias("z"))
+        shap = [F.col("z")[i] * float(coef[i]) for i in range(len(features))]
+    items = F.explode(F.arrays_zip(F.array(*[F.lit(f) for f in features]).alias("feature"), F.array(*values).alias("value"), F.array(*shap).alias("shap"))).alias("e")
     return out.select(*SERIES, "date", items).select(*SERIES, "date", "e.*")
 
 
@@ -169,52 +223,51 @@ def importance(contrib: DataFrame) -> DataFrame:
     return m.select("*", (F.col("mean_abs") / F.sum("mean_abs").over(Window.partitionBy(F.lit(1)))).alias("share"))
 
 
-def sarima_scores(weekly: DataFrame, threshold: float, fit_end: str, score_start: str, score_end: str, min_weeks: int = 104, k: int = 2) -> DataFrame:
+def sarima_scores(weekly: DataFrame, thresholds: DataFrame | float, fit_end: str, score_start: str, score_end: str, min_weeks: int = 104, k: int = 2) -> DataFrame:
     """(series, date, score): chance that the next or second week's log price is over the threshold above today's.
 
-    ARIMA(1,1,1) with Fourier terms, by conditional least squares over a grid of its two parameters.  Only weeks up to
-    ``fit_end`` are fitted (``min_weeks`` known ones at least); later ones are filtered with what was found, and
-    scored where the date lies in [score_start, score_end].  A missing week carries the last price on, so no
-    later value is ever looked at.  One task a series, which is a few hundred weeks.
+    ARIMA(1,1,1) with ``k`` pairs of Fourier terms by exact likelihood (:mod:`arima`), fitted on weeks up to ``fit_end`` (``min_weeks``
+    known ones at least) and then filtered over all; known weeks in [score_start, score_end] that have two later weeks in
+    the panel are scored.  Missing weeks are skipped by the filter, and no score looks at what comes later.
+    ``thresholds`` is one number or a table of (series, thr).  One task a series, which is a few hundred weeks.
     """
     names = ["commodity_id", "province_id", "date", "score"]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        dates = pd.to_datetime(pdf["date"])
-        known = pdf["x"].notna().to_numpy()
-        first = int(np.argmax(known)) if known.any() else len(pdf)
-        pdf, dates, known = pdf.iloc[first:], dates.iloc[first:], known[first:]
+        none = pd.DataFrame({"commodity_id": [], "province_id": [], "date": [], "score": []})
+        seen = pdf.loc[pdf["x"].notna()].set_index(pd.to_datetime(pdf.loc[pdf["x"].notna(), "date"]))["x"].sort_index()
+        if seen.empty or pd.isna(pdf["thr"].iloc[0]):
+            return none
+        last = min(pd.to_datetime(pdf["date"]).max(), pd.Timestamp(score_end) + pd.Timedelta(days=21))
+        dates = pd.date_range(seen.index[0], last, freq="7D")
+        y = seen.reindex(dates).to_numpy(float)
         n_fit = int((dates <= pd.Timestamp(fit_end)).sum())
-        if known[:n_fit].sum() < min_weeks:
-            return pd.DataFrame(columns=names)
-        y = pdf["x"].ffill().to_numpy(float)
-        ahead = pd.concat([dates, dates.iloc[-1:] + pd.Timedelta(days=7), dates.iloc[-1:] + pd.Timedelta(days=14)])
-        t = (ahead - pd.Timestamp("2000-01-01")).dt.days.to_numpy() / 365.25
-        dx = np.diff(np.column_stack([f(2 * np.pi * i * t) for i in range(1, k + 1) for f in (np.sin, np.cos)]), axis=0)
-        dy = np.diff(y)
-        beta = np.linalg.lstsq(dx[: n_fit - 1], dy[: n_fit - 1], rcond=None)[0]
-        season, e = dx @ beta, dy - dx[: len(dy)] @ beta
-
-        def innovations(phi: float, theta: float, n: int) -> np.ndarray:
-            a = np.zeros(n)
-            for i in range(1, n):
-                a[i] = e[i] - phi * e[i - 1] - theta * a[i - 1]
-            return a
-
-        grid = [(phi, theta) for phi in np.linspace(-0.9, 0.9, 13) for theta in np.linspace(-0.9, 0.9, 13)]
-        losses = [float(np.square(innovations(phi, theta, n_fit - 1)).sum()) for phi, theta in grid]
-        phi, theta = grid[int(np.argmin(losses))]
-        sigma = math.sqrt(max(min(losses) / max(n_fit - 2, 1), 1e-12))
-        a, out = innovations(phi, theta, len(e)), []
-        for i in np.flatnonzero(known & (dates >= pd.Timestamp(score_start)).to_numpy() & (dates <= pd.Timestamp(score_end)).to_numpy()):
-            if i < 2:
-                continue
-            one = phi * e[i - 1] + theta * a[i - 1]
-            means = [season[i] + one, season[i] + one + season[i + 1] + phi * one]
-            spread = [sigma, sigma * math.sqrt(1 + (1 + phi + theta) ** 2)]
-            p = max(0.5 * math.erfc((math.log1p(threshold) - m) / v / math.sqrt(2)) for m, v in zip(means, spread))
-            out.append((pdf["commodity_id"].iloc[0], pdf["province_id"].iloc[0], dates.iloc[i].date(), p))
-        return pd.DataFrame(out, columns=names)
-
-    return weekly.select(*SERIES, "date", "x").groupBy(*SERIES).applyInPandas(fit, "commodity_id string, province_id int, date date, score double")
+        if np.isfinite(y[:n_fit]).sum() < min_weeks:
+            return none
+        t = (dates - pd.Timestamp("2000-01-01")).days.to_numpy() / 365.25
+        x = np.column_stack([f(2 * np.pi * i * t) for i in range(1, k + 1) for f in (np.sin, np.cos)])
+        model = arima.fit(y[:n_fit], x[:n_fit])
+        mean, spread = arima.forecasts(y[:-2], x, model)
+        at = np.flatnonzero(np.isfinite(y[:-2]) & (dates[:-2] >= pd.Timestamp(score_start)) & (dates[:-2] <= pd.Timestamp(score_end)))
+        far = (math.log1p(pdf["thr"].iloc[0]) - (mean[at] - y[at][:, None])) / np.sqrt(spread[at])
+        p = [max(0.5 * math.erfc(z / math.sqrt(2)) for z in row) for row in far]
+        return pd.DataFrame({"commodity_id": pdf["commodity_id"].iloc[0], "province_id": pdf["province_id"].iloc[0], "date": dates[at].date, "score": p}, columns=names)
+
+    w = weekly.select(*SERIES, "date", "x")
+    w = w.join(thresholds.select(*SERIES, F.col("thr").cast("double")), SERIES, "left") if isinstance(thresholds, DataFrame) else w.select("*", F.lit(float(thresholds)).alias("thr"))
+    return w.groupBy(*SERIES).applyInPandas(fit, "commodity_id string, province_id int, date date, score double")
+
+
+def weekly_comparison(pred: DataFrame, weekly: DataFrame, labels: DataFrame, folds: DataFrame, name: str = "sarima", metric: str = "f1") -> DataFrame:
+    """``pred`` (keys, y, fold, score_m, thr_m) on the rows that a weekly model scores too, with its score_``name`` and thr_``name``.
+
+    ``weekly`` is (series, date, fold, score) at weekly origins, of validation and test days; a score belongs to the label of its own day, which the
+    inner joins find.  Thresholds come from each fold's validation days.  So all models are compared on the same rows.
+    """
+    keys = [*SERIES, "date"]
+    days = fold_roles(labels.select(*keys, "y"), folds).where("role <> 'fit'")
+    rows = days.join(weekly.select(*keys, "fold", F.col("score").alias(f"score_{name}")), [*keys, "fold"])
+    thr = metrics.best_threshold(rows.where("role = 'val'"), ["fold"], metric, score=f"score_{name}")
+    test = rows.where("role = 'test'").select(*keys, "fold", f"score_{name}")
+    test = test.join(F.broadcast(thr.select("fold", F.col("threshold").alias(f"thr_{name}"))), "fold", "left").fillna(float("inf"), [f"thr_{name}"])  # a row for each fold
+    return pred.join(test, [*keys, "fold"])

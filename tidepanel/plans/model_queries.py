@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,11 @@ PROVINCES_SQL = "(VALUES " + ", ".join(f"({p[0]}, {p[2]}::DOUBLE, {p[3]}::DOUBLE
 KM_SQL = f"SELECT a.id AS province_id, b.id AS other, 2 * 6371.0 * asin(sqrt(sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2)) AS km FROM (SELECT * FROM {PROVINCES_SQL}) a JOIN (SELECT * FROM {PROVINCES_SQL}) b ON a.id <> b.id"
 
 
+#: Mean log price of each week that ends on Friday, and its change from the week before.
+WK_SQL = """SELECT *, x - lag(x) OVER (PARTITION BY commodity_id, province_id ORDER BY date) AS ret
+    FROM (SELECT commodity_id, province_id, date + (CASE WHEN isodow(date) <= 5 THEN 5 - isodow(date) ELSE 12 - isodow(date) END)::INT AS date, avg(ln(price)) AS x FROM panel GROUP BY ALL)"""
+
+
 @query("haversine_knn", f"SELECT province_id, other, round(km, 4) AS km, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY province_id ORDER BY km, other) AS rank FROM ({KM_SQL})) WHERE rank <= 3")
 def haversine_knn(spark, d):
     return rounded(geo.nearest(fx.provinces(spark)), "km", n=4)
@@ -28,7 +34,7 @@ def haversine_knn(spark, d):
 
 @query("distance_corr_bins", with_(f"""SELECT floor(k.km / 250)::BIGINT AS bin, count(*) AS n, round(avg(c), 6) AS corr FROM (SELECT a.commodity_id, a.province_id AS p, b.province_id AS q, corr(a.ret, b.ret) AS c, count(a.ret + b.ret) AS m
     FROM wk a JOIN wk b ON a.commodity_id = b.commodity_id AND a.date = b.date AND a.province_id < b.province_id GROUP BY 1, 2, 3) x JOIN ({KM_SQL}) k ON k.province_id = p AND k.other = q WHERE m >= 100 GROUP BY 1""",
-    wk="SELECT *, x - lag(x) OVER (PARTITION BY commodity_id, province_id ORDER BY date) AS ret FROM (SELECT commodity_id, province_id, date + (CASE WHEN isodow(date) <= 5 THEN 5 - isodow(date) ELSE 12 - isodow(date) END)::INT AS date, avg(ln(price)) AS x FROM panel GROUP BY ALL)"))
+    wk=WK_SQL))
 def distance_corr_bins(spark, d):
     w = panel.weekly(clean_panel(spark, d)).select(*SERIES, "date", "ret")
     b = w.select("commodity_id", "date", F.col("province_id").alias("other"), F.col("ret").alias("ret2"))
@@ -362,8 +368,8 @@ def walk_forward_naive(spark, d):
     return out.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) if c.startswith(("score_", "thr_")) else F.col(c) for c in out.columns])
 
 
-def _summary_sql(m: str) -> str:
-    p = f"(SELECT {SERIES_SQL}, date, y, score_{m} AS score, thr_{m} AS threshold FROM wfpred)"
+def _summary_sql(m: str, rows: str = "wfpred") -> str:
+    p = f"(SELECT {SERIES_SQL}, date, y, score_{m} AS score, thr_{m} AS threshold FROM {rows})"
     det, epi = (re.sub(r"\bpred\b", p + " pred", q).replace(p + " pred a ON", p + " a ON") for q in (DETECT_SQL, EPISODE_SQL))
     return f"""SELECT '{m}' AS key, q.n_rows, round(pos_rate, 8) AS pos_rate, round(c.ap, 6) AS pr_auc, round(c.auc, 6) AS roc_auc, round(tp / nullif(tp + fp, 0), 8) AS precision, round(tp / nullif(tp + fn, 0), 8) AS recall, round(CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) END, 8) AS f1, round(1 - tp / nullif(tp + fp, 0), 8) AS far, round((tp + fp) / n_rows, 8) AS alarm_rate,
         d.n AS n_events, round(d.rate, 8) AS event_detection_rate, d.mid AS median_lead_days, round(d.mean, 8) AS mean_lead_days, round(d.share, 8) AS share_lead_ge_7, round(e.f / greatest(q.series * q.span / 365.25, 1e-9), 8) AS false_episodes_per_series_year, round(1 - e.f / e.n, 8) AS episode_precision
@@ -380,6 +386,33 @@ def compare_models(spark, d):
     return rounded(out, "pos_rate", "precision", "recall", "f1", "far", "alarm_rate", "event_detection_rate", "mean_lead_days", "share_lead_ge_7", "false_episodes_per_series_year", "episode_precision", n=8)
 
 
+WEEKLY_SQL = WF_SQL | {
+    "wk": WK_SQL,
+    "wkroles": """SELECT commodity_id, province_id, date, m.y, f.fold, CASE WHEN date BETWEEN val_start AND val_end THEN 'val' WHEN date BETWEEN test_start AND test_end THEN 'test' END AS role, ret AS score_weekly
+        FROM wk JOIN marked m USING (commodity_id, province_id, date) CROSS JOIN folds_ f WHERE ret IS NOT NULL AND m.eligible AND m.y IS NOT NULL""",
+    "wkthr": """SELECT fold, CASE WHEN max(p_all) = 0 THEN max(score) + 1e-9 ELSE arg_max(score, (round(f, 12), -score)) END AS thr
+        FROM (SELECT fold, score, p_all, coalesce(2.0 * tp / nullif(tp + fp + p_all, 0), 0) AS f
+            FROM (SELECT fold, score, sum(pos) OVER w AS tp, sum(n - pos) OVER w AS fp, sum(pos) OVER (PARTITION BY fold) AS p_all
+                FROM (SELECT fold, score_weekly AS score, sum(y) AS pos, count(*) AS n FROM wkroles WHERE role = 'val' GROUP BY 1, 2)
+                WINDOW w AS (PARTITION BY fold ORDER BY score DESC ROWS UNBOUNDED PRECEDING)))
+        GROUP BY 1""",
+    "wkpred": """SELECT p.*, r.score_weekly, t.thr AS thr_weekly FROM wfpred p JOIN (SELECT * FROM wkroles WHERE role = 'test') r USING (commodity_id, province_id, date, fold) LEFT JOIN wkthr t ON t.fold = p.fold""",
+}
+
+
+@query("compare_weekly", with_(" UNION ALL ".join(_summary_sql(m, "wkpred") for m in ("naive", "seasonal", "weekly")), **WEEKLY_SQL))
+def compare_weekly(spark, d):
+    """Naive, seasonal and last week's return as a score on the same rows: the weekly origins that all three score."""
+    x = materialize(marked(spark, d))
+    pred = forward(spark, d, x)
+    ends = materialize(panel.weekly(clean_panel(spark, d)).where("ret is not null").select(*SERIES, "date", F.col("ret").alias("score")))
+    weekly = events.fold_roles(ends, folds(spark, d)).where("role <> 'fit'").drop("role")
+    rows = models.weekly_comparison(pred, weekly, x.where("eligible and y is not null"), folds(spark, d), "weekly")
+    out = events.compare_models(materialize(rows), materialize(labels.events_table(x, TARGET)))
+    out = rounded(out, "pr_auc", "roc_auc")
+    return rounded(out, "pos_rate", "precision", "recall", "f1", "far", "alarm_rate", "event_detection_rate", "mean_lead_days", "share_lead_ge_7", "false_episodes_per_series_year", "episode_precision", n=8)
+
+
 CTE["fut"] = f"SELECT commodity_id, province_id, date, onset, coalesce(max(onset) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND 14 FOLLOWING), 0) AS f FROM (SELECT * FROM marked)"
 CTE["futlate"] = f"SELECT commodity_id, province_id, date, onset, coalesce(max(onset) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND 14 FOLLOWING), 0) AS f FROM (SELECT * FROM marked WHERE date >= DATE '1999-01-01')"
 
@@ -461,11 +494,47 @@ def logreg_scores(spark, d):
     return models.scored(m, test).select(*SERIES, "date", "y", "score")
 
 
+ROUNDS = 60  # of boosting in these queries, of which the validation rows keep the best; the library's default is 300
+
+
+def _boosted(spark, d) -> tuple[PipelineModel, DataFrame, DataFrame, list[str]]:
+    """A model of the rows before SPLIT, cut at its best round; validation and test rows."""
+    fit, test, cols = _split(spark, d)
+    late = F.col("date") > F.date_sub(F.lit(SPLIT).cast("date"), 120)
+    val = fit.where(late)
+    return models.fit_boosted(fit.where(~late), cols, val, trees=ROUNDS), val, test, cols
+
+
 @query("gbt_scores")
 def gbt_scores(spark, d):
-    fit, test, cols = _split(spark, d)
+    """Scores of boosted trees, as many as do best on the validation rows."""
+    model, _, test, _ = _boosted(spark, d)
+    return models.scored(model, test).select(*SERIES, "date", "y", "score")
+
+
+@query("boosting_rounds")
+def boosting_rounds(spark, d):
+    """Average precision on the validation rows after each round of boosting, and whether early stopping keeps the round."""
+    fit, _, cols = _split(spark, d)
     late = F.col("date") > F.date_sub(F.lit(SPLIT).cast("date"), 120)
-    return models.scored(models.fit_boosted(fit.where(~late), cols, fit.where(late), trees=20), test).select(*SERIES, "date", "y", "score")
+    model = models.fit_boosted(fit.where(~late), cols, None, trees=ROUNDS)
+    by_round = materialize(models.round_precision(model, fit.where(late)))
+    return by_round.select("round", "ap", (F.col("round") == F.lit(models.best_round(by_round))).alias("kept"))
+
+
+@query("tree_reasons")
+def tree_reasons(spark, d):
+    """Reasons of the newest risks by Shapley values of the boosted trees."""
+    model, _, test, cols = _boosted(spark, d)
+    last = test.agg(F.max("date").alias("date"))
+    return models.top_reasons(models.contributions(model, test.join(F.broadcast(last), "date"), cols))
+
+
+@query("tree_importance")
+def tree_importance(spark, d):
+    """Mean absolute Shapley values of the boosted trees over all test rows, by feature group."""
+    model, _, test, cols = _boosted(spark, d)
+    return models.importance_by_group(models.importance(models.contributions(model, test, cols)))
 
 
 @query("top_reasons")
@@ -486,10 +555,11 @@ def importance_by_group(spark, d):
 
 @query("latest_risk")
 def latest_risk(spark, d):
-    """Final training on all labelled rows, then the newest day's risks."""
+    """Final training on all labelled rows, then the newest day's risks with reasons, places and categories."""
     x = materialize(feature_table_of(spark, d))
-    model, threshold = models.final_model(features.modeling_rows(x), features.feature_columns(x.columns), trees=20)
-    return models.predict_latest(model, threshold, x)
+    model, threshold = models.final_model(features.modeling_rows(x), features.feature_columns(x.columns), trees=ROUNDS)
+    places = fx.provinces(spark).select("province_id", "province", "lat", "lon")
+    return models.predict_latest(model, threshold, x, {"province_id": F.broadcast(places), "commodity_id": categories(spark)})
 
 
 @query("sarima_scores")
