@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, release, small_batches
+from .common import fresh, in_levels, materialize, release, small_batches
 
 SHAPES, WORDS, NUMBERS, META = 128, 512, 4, 96
 CONTENT = SHAPES + WORDS + NUMBERS
@@ -204,7 +204,8 @@ def _unpacked(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _added_on_executors(pool: DataFrame) -> Callable[..., np.ndarray]:
-    """``added`` of ``co_train_by_sums``: one pass over ``pool`` (xc, xm), summed in slices; the driver gets one sum."""
+    """``added`` of ``co_train_by_sums``: one pass over ``pool`` (xc, xm), summed in slices and levels; the driver gets one sum."""
+    n_parts = max(2, pool.rdd.getNumPartitions())
 
     def added(history: list, w: list | None, shares: np.ndarray | None, sure: float) -> np.ndarray:
         size = 4 if w is None else sum(1 + len(x) + len(x) ** 2 for x in w if x is not None)
@@ -219,10 +220,11 @@ def _added_on_executors(pool: DataFrame) -> Callable[..., np.ndarray]:
 
         def add(pdf: pd.DataFrame) -> pd.DataFrame:
             # in order of the parts, so that equal layouts give equal sums
-            total = sum(np.frombuffer(b, np.float64) for b in pdf.sort_values("part")["sums"])
+            total = sum(np.frombuffer(b, np.float64) for b in pdf["sums"])
             return pd.DataFrame({"i": pdf["i"].iloc[:1], "sums": [total.tobytes()]})
 
-        got = {r.i: r.sums for r in pool.mapInPandas(some, "i int, part int, sums binary").groupBy("i").applyInPandas(add, "i int, sums binary").collect()}
+        parts = pool.mapInPandas(some, "i int, part int, sums binary")
+        got = {r.i: r.sums for r in in_levels(parts, ["i"], n_parts, add).collect()}
         return np.frombuffer(b"".join(bytes(got[i]) for i in range(SLICES)), np.float64) if got else np.zeros(size)
 
     return added
@@ -297,4 +299,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **bound
 
 
 def op3_quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, both views' scores, the joint score and kept of every document; edge cases as in :func:`classify`."""
     return classify(docs, labels).select("doc_id", "content_score", "meta_score", "score", "kept")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +63,24 @@ def folded(df: DataFrame, often: int = 4096) -> DataFrame:
     return few.unionByName(keyed.join(many, ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("row").alias("row"), F.count(F.lit(1)).alias("times")).select("row", "times"))
 
 
+def in_levels(rows: DataFrame, keys: list[str], n_parts: int, add: Callable[[pd.DataFrame], pd.DataFrame], fan: int = 64) -> DataFrame:
+    """``rows`` (``keys``, part and more) with the parts of each key put together by ``add``, ``fan`` at a time.
+
+    ``part`` is a number below ``n_parts``, such as a task's.  ``add`` makes one row of several, with the same columns; its part is replaced.
+    So no group has more than ``fan`` rows, however many tasks there are.
+    """
+    columns, schema = list(rows.columns), rows.schema
+    while n_parts > 1:
+        up = rows.select("*", F.floor(F.col("part") / fan).cast("int").alias("__up"))
+
+        def together(pdf: pd.DataFrame) -> pd.DataFrame:
+            return add(pdf.drop(columns="__up").sort_values("part")).assign(part=pdf["__up"].iloc[0])[columns]
+
+        rows = up.groupBy(*keys, "__up").applyInPandas(together, schema)
+        n_parts = -(-n_parts // fan)
+    return rows
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an edge list: (node, comp), comp the smallest node reachable.
 

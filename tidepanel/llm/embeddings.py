@@ -9,10 +9,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, in_levels, materialize
 
 LEAST = 0.93
 MISS = 1e-4  # nominal chance that a pair at LEAST shares no filter
@@ -224,17 +225,33 @@ def _compare(dtype, least: float):
 
 
 def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(label, dim, n, sum) of the unit vectors of each batch."""
+    """(label, dim, part, n, total): sums of unit vectors by label, put together in a task as long as labels are few."""
+    held: dict[tuple, list] = {}
+
+    def given() -> pd.DataFrame:
+        rows = [(label, dim, TaskContext.get().partitionId(), n, total.tobytes()) for (label, dim), (n, total) in held.items()]
+        held.clear()
+        return pd.DataFrame(rows, columns=["label", "dim", "part", "n", "total"])
+
     for b in batches:
-        for (label, dim), part in b.groupby(["label", b["v"].map(len)]):
-            yield pd.DataFrame({"label": [label], "dim": [dim], "n": [len(part)], "total": [_units(part["v"]).sum(axis=0).tobytes()]})
+        for key, part in b.groupby(["label", b["v"].map(len)]):
+            n, total = held.get(key, (0, 0.0))
+            held[key] = (n + len(part), total + _units(part["v"]).sum(axis=0))
+        if len(held) > 2048:
+            yield given()
+    yield given()
 
 
-def _mean(pdf: pd.DataFrame) -> pd.DataFrame:
+def _added(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(t, np.float64) for t in pdf["total"])
+    return pd.DataFrame({"label": pdf["label"].iloc[:1], "dim": pdf["dim"].iloc[:1], "n": [pdf["n"].sum()], "total": [total.tobytes()]})
+
+
+def _mean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A label's mean direction, drawn towards 0 where vectors are few, in steps of 2^-20 so that no order of addition shows."""
-    mu = sum(np.frombuffer(t, np.float64) for t in pdf["total"]) / (pdf["n"].sum() + 256)
-    mu = np.round(mu * 2**20) / 2**20
-    return pd.DataFrame({"label": pdf["label"].iloc[:1], "dim": pdf["dim"].iloc[:1], "n": [pdf["n"].sum()], "mu": [mu.tobytes() if mu @ mu >= LEAN**2 else None]})
+    for b in batches:
+        mus = [np.round(np.frombuffer(t, np.float64) / (n + 256) * 2**20) / 2**20 for t, n in zip(b["total"], b["n"])]
+        yield pd.DataFrame({"label": b["label"], "dim": b["dim"], "n": b["n"], "mu": [mu.tobytes() if mu @ mu >= LEAN**2 else None for mu in mus]})
 
 
 def _radii(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,8 +274,10 @@ def _centres(classes: DataFrame, least: float) -> DataFrame:
     is nearer to the mean than r their cosine from there is 1 - d * d / (2 r * r) or more.  With a vector nearer
     than NEAREST (or as near as linked ones may be to each other) the label keeps mu null: the origin.
     """
-    means = classes.select("label", "v").mapInPandas(_sums, "label string, dim int, n long, total binary").groupBy("label", "dim").applyInPandas(_mean, "label string, dim int, n long, mu binary")
-    means = materialize(means)
+    vectors = classes.select("label", "v")
+    sums = vectors.mapInPandas(_sums, "label string, dim int, part int, n long, total binary")
+    sums = in_levels(sums, ["label", "dim"], max(2, vectors.rdd.getNumPartitions()), _added)
+    means = materialize(sums.mapInPandas(_mean, "label string, dim int, n long, mu binary"))
     lean = means.where("mu is not null")
     if not lean.limit(1).count():
         return means.select("*", F.lit(least).alias("rho"))
