@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics
-from .panel import SERIES, in_order
+from .panel import SERIES
 
 
 def event_detection(pred: DataFrame, events: DataFrame, horizon: int = 14) -> DataFrame:
@@ -32,16 +32,61 @@ def alarm_episodes(pred: DataFrame, events: DataFrame, horizon: int = 14, max_ga
 
     It is false without an onset in (start, end + horizon].
     """
-    a = pred.where("score >= threshold").select(*SERIES, "date")
-    gap = F.datediff("date", F.lag("date", 1).over(in_order()))
-    ep = a.select("*", gap.alias("gap")).select(*SERIES, "date", F.sum(F.when(F.coalesce(F.col("gap"), F.lit(max_gap + 1)) > max_gap, 1).otherwise(0)).over(in_order()).alias("ep"))
-    ep = ep.groupBy(*SERIES, "ep").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count(F.lit(1)).alias("n_days"))
+    return _episodes(pred.where("score >= threshold").select(*SERIES, "date"), events, SERIES, horizon, max_gap)
+
+
+def _episodes(a: DataFrame, events: DataFrame, keys: list[str], horizon: int, max_gap: int) -> DataFrame:
+    """Episodes of the alarms ``a`` by ``keys``, series and maybe more, which ``events`` have too."""
+    order = Window.partitionBy(*keys).orderBy("date")
+    gap = F.datediff("date", F.lag("date", 1).over(order))
+    ep = a.select("*", gap.alias("gap")).select(*keys, "date", F.sum(F.when(F.coalesce(F.col("gap"), F.lit(max_gap + 1)) > max_gap, 1).otherwise(0)).over(order).alias("ep"))
+    ep = ep.groupBy(*keys, "ep").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count(F.lit(1)).alias("n_days"))
     # both in one order, from the latest back: an episode has passed all onsets after its start, the nearest one last
-    both = ep.select(*SERIES, F.col("start").alias("t"), F.lit(0).alias("kind"), "start", "end", "n_days").unionByName(
-        events.select(*SERIES, F.col("date").alias("t"), F.lit(1).alias("kind"), *[F.lit(None).cast(t).alias(c) for c, t in (("start", "date"), ("end", "date"), ("n_days", "long"))]))
-    later = Window.partitionBy(*SERIES).orderBy(F.desc("t"), "kind").rowsBetween(Window.unboundedPreceding, -1)
+    both = ep.select(*keys, F.col("start").alias("t"), F.lit(0).alias("kind"), "start", "end", "n_days").unionByName(
+        events.select(*keys, F.col("date").alias("t"), F.lit(1).alias("kind"), *[F.lit(None).cast(t).alias(c) for c, t in (("start", "date"), ("end", "date"), ("n_days", "long"))]))
+    later = Window.partitionBy(*keys).orderBy(F.desc("t"), "kind").rowsBetween(Window.unboundedPreceding, -1)
     both = both.select("*", F.last(F.when(F.col("kind") == 1, F.col("t")), True).over(later).alias("onset"))
-    return both.where("kind = 0").select(*SERIES, "start", "end", "n_days", F.coalesce(F.col("onset") > F.date_add("end", horizon), F.lit(True)).alias("is_false"))
+    return both.where("kind = 0").select(*keys, "start", "end", "n_days", F.coalesce(F.col("onset") > F.date_add("end", horizon), F.lit(True)).alias("is_false"))
+
+
+def threshold_sweep(pred: DataFrame, events: DataFrame, thresholds: tuple[float, ...], horizon: int = 14, max_gap: int = 4) -> DataFrame:
+    """(threshold, n_rows, precision, recall, far, alarm_rate, n_events, event_detection_rate, median_lead_days, n_episodes, false_episodes_per_series_year) for each threshold.
+
+    A row's level is the number of thresholds its score reaches, so alarms are nested: counts by level, summed from above, are the row
+    metrics; an event's first day of each level or above gives all its leads in one aggregation; and episodes of all thresholds come from
+    one ordered pass, the threshold being part of the partition.  Rows are read once for each of these, not once for each threshold.
+    """
+    grid = sorted(set(thresholds))
+    level = sum((F.coalesce(F.col("score") >= t, F.lit(False)).cast("int") for t in grid), F.lit(0))
+    x = pred.select(*SERIES, "date", "y", level.alias("level"))
+    table = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(float(t)).alias("threshold")) for i, t in enumerate(grid)])).alias("t")
+
+    counts = x.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("pos"))
+    steps = counts.select("level", "n", "pos", table).select("level", "n", "pos", "t.*")  # levels times thresholds
+    met = F.col("level") >= F.col("i")
+    rows = steps.groupBy("i", "threshold").agg(F.sum(F.when(met, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(met, F.col("n") - F.col("pos")).otherwise(0)).alias("fp"), F.sum("pos").alias("p"), F.sum("n").alias("n_rows"))
+
+    span = pred.agg(F.min("date").alias("t0"), F.max("date").alias("t1"), F.count_distinct(*SERIES).alias("series"))
+    begun = pred.groupBy(*SERIES).agg(F.min("date").alias("begun"))
+    first = F.date_sub("date", horizon)
+    e = events.select("date", *SERIES).join(F.broadcast(span)).where((first >= F.col("t0")) & (F.date_sub("date", 1) <= F.col("t1"))).join(begun, SERIES).where(F.col("begun") <= first)
+    days = e.select("date", *SERIES, F.explode(F.sequence(first, F.date_sub("date", 1))).alias("day"))
+    seen = days.join(x.where("level > 0").select(*SERIES, F.col("date").alias("day"), "level"), [*SERIES, "day"], "left")
+    soonest = seen.groupBy("date", *SERIES).agg(*[F.min(F.when(F.col("level") >= i + 1, F.col("day"))).alias(f"a{i + 1}") for i in range(len(grid))])
+    leads = soonest.select(F.explode(F.array(*[F.struct(F.lit(i + 1).alias("i"), F.datediff("date", f"a{i + 1}").alias("lead")) for i in range(len(grid))])).alias("x")).select("x.*")
+    found = leads.groupBy("i").agg(F.count(F.lit(1)).alias("n_events"), F.avg(F.col("lead").isNotNull().cast("int")).alias("event_detection_rate"), F.percentile("lead", F.lit(0.5)).alias("median_lead_days"))
+
+    alarms = x.where("level > 0").select(*SERIES, "date", F.explode(F.sequence(F.lit(1), F.col("level"))).alias("i"))
+    onsets = events.select(*SERIES, "date", F.explode(F.sequence(F.lit(1), F.lit(len(grid)))).alias("i"))
+    episodes = _episodes(alarms, onsets, [*SERIES, "i"], horizon, max_gap).groupBy("i").agg(F.count(F.lit(1)).alias("n_episodes"), F.sum(F.col("is_false").cast("long")).alias("wrong"))
+
+    out = rows.join(F.broadcast(span)).join(found, "i", "left").join(episodes, "i", "left")
+    years = F.greatest(F.col("series") * F.datediff("t1", "t0") / 365.25, F.lit(1e-9))
+    precision = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))
+    return out.select(
+        "threshold", "n_rows", precision.alias("precision"), F.try_divide(F.col("tp"), F.col("p")).alias("recall"), (1 - precision).alias("far"), ((F.col("tp") + F.col("fp")) / F.col("n_rows")).alias("alarm_rate"),
+        F.coalesce("n_events", F.lit(0)).alias("n_events"), "event_detection_rate", "median_lead_days", F.coalesce("n_episodes", F.lit(0)).alias("n_episodes"), (F.coalesce("wrong", F.lit(0)) / years).alias("false_episodes_per_series_year"),
+    )
 
 
 def make_folds(dates: DataFrame, first_test: str, block_months: int = 3, val_days: int = 120, purge: int = 14) -> DataFrame:

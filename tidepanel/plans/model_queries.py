@@ -386,6 +386,28 @@ def compare_models(spark, d):
     return rounded(out, "pos_rate", "precision", "recall", "f1", "far", "alarm_rate", "event_detection_rate", "mean_lead_days", "share_lead_ge_7", "false_episodes_per_series_year", "episode_precision", n=8)
 
 
+GRID = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6)
+
+
+def _sweep_sql(t: float) -> str:
+    p = f"(SELECT {SERIES_SQL}, date, y, score, {t}::DOUBLE AS threshold FROM pred)"
+    det, epi = (re.sub(r"\bpred\b", "one_", q) for q in (DETECT_SQL, EPISODE_SQL))
+    return f"""SELECT {t}::DOUBLE AS threshold, n_rows, round(tp / nullif(tp + fp, 0), 8) AS precision, round(tp / nullif(p, 0), 8) AS recall, round(1 - tp / nullif(tp + fp, 0), 8) AS far, round((tp + fp) / n_rows, 8) AS alarm_rate,
+        d.n AS n_events, round(d.rate, 8) AS event_detection_rate, d.mid AS median_lead_days, e.n AS n_episodes, round(coalesce(e.f, 0) / greatest(q.series * q.span / 365.25, 1e-9), 8) AS false_episodes_per_series_year
+        FROM (SELECT count(*) AS n_rows, count(DISTINCT (commodity_id, province_id)) AS series, max(date) - min(date) AS span, sum(y) AS p, count(*) FILTER (score >= threshold AND y = 1) AS tp, count(*) FILTER (score >= threshold AND y = 0) AS fp FROM {p}) q,
+        (WITH one_ AS {p} SELECT count(*) AS n, avg(detected::INT) AS rate, median(lead_days)::DOUBLE AS mid FROM ({det})) d,
+        (WITH one_ AS {p} SELECT count(*) AS n, sum(is_false::INT) AS f FROM ({epi})) e"""
+
+
+@query("threshold_sweep_events", with_(" UNION ALL ".join(_sweep_sql(t) for t in GRID)))
+def threshold_sweep_events(spark, d):
+    """Rows, events and episodes of last week's return as a score, at nine thresholds."""
+    x = materialize(marked(spark, d))
+    pred = materialize(predictions(x).select(*SERIES, "date", "y", "score"))
+    out = events.threshold_sweep(pred, materialize(labels.events_table(x, TARGET)), GRID)
+    return rounded(out, "precision", "recall", "far", "alarm_rate", "event_detection_rate", "false_episodes_per_series_year", n=8)
+
+
 WEEKLY_SQL = WF_SQL | {
     "wk": WK_SQL,
     "wkroles": """SELECT commodity_id, province_id, date, m.y, f.fold, CASE WHEN date BETWEEN val_start AND val_end THEN 'val' WHEN date BETWEEN test_start AND test_end THEN 'test' END AS role, ret AS score_weekly
