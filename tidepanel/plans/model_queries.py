@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, metrics
-from ..operators import calendar, events, features, graph, labels, models, panel
+from ..operators import calendar, events, features, graph, grid, labels, models, panel
 from ..operators.panel import SERIES, lag_of
 from ..sources import fixtures as fx
 from ..storage import materialize
@@ -575,6 +575,18 @@ def importance_by_group(spark, d):
     return models.importance_by_group(models.importance(models.contributions(models.fit_logistic(fit, cols), models.finite(test, cols), cols)))
 
 
+@query("ablation_folds")
+def ablation_folds(spark, d):
+    """What feature groups are worth: average precision by fold with all numbers, without a group, and with own prices alone."""
+    x = features.modeling_rows(feature_table_of(spark, d))
+    numbers = [c for c in features.feature_columns(x.columns) if c not in features.IDENTITY]
+    without = {f"without {g}": [c for c in numbers if features.group_of(c) != g] for g in ("rain", "calendar", "neighbours", "supply_chain")}
+    own = [c for c in numbers if features.group_of(c) == "price"]
+    parts = events.make_folds(fx.observations(spark, d), "2000-10-01")
+    out = grid.ablation(x.select(*SERIES, "date", "y", *numbers), parts, {"all": numbers, **without, "price alone": own})
+    return out.select("candidate", "fold", "n", F.round("ap", 4).alias("ap"))
+
+
 @query("latest_risk")
 def latest_risk(spark, d):
     """Final training on all labelled rows, then the newest day's risks with reasons, places and categories."""
