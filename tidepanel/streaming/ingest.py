@@ -2,36 +2,39 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..sources.grid_json import keep_last
-from ..storage import exists
+from ..storage import exists, materialize, release
+
+DAY_MS = 86_400_000
 
 
 def upsert_days(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str, partition: str = "date") -> DataStreamWriter:
     """Writer that merges each micro-batch into a Parquet table, last row of a key first; run again, it changes nothing.
 
-    Only the days in a batch are rewritten: their stored rows are read, merged and put in place by dynamic
-    partition overwrite.
+    Only the days in a batch are rewritten: their stored rows are read, merged, written to the shared folder, and put in place from there by
+    dynamic partition overwrite, so an executor lost meanwhile takes nothing with it.
     """
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        new = batch.select("*", F.lit(1).alias("__new")).persist()
+        new = materialize(batch.select("*", F.lit(1).alias("__new")))
         both = new
         if exists(spark, path):
             old = spark.read.schema(batch.schema).parquet(path).join(new.select(partition).distinct(), partition, "left_semi").select(*batch.columns, F.lit(0).alias("__new"))
             both = old.unionByName(new)
         ranked = both.select("*", F.struct("__new", order).alias("__order"))
-        done = keep_last(ranked, keys, "__order").select(*batch.columns).persist()
-        done.count()  # read before its partitions are replaced
+        done = materialize(keep_last(ranked, keys, "__order").select(*batch.columns))  # read before its partitions are replaced
         done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-        new.unpersist(), done.unpersist()
+        release(new, done)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
@@ -49,25 +52,56 @@ def hourly_means(events: DataFrame, time: str = "ts", kind: str = "event_type",
     return e.groupBy(F.window(time, "1 hour").alias("w"), kind).agg(F.avg(value).alias("value")).select(F.col("w.start").alias("hour"), kind, "value")
 
 
-def onsets(spikes: DataFrame, keys: list[str], cooldown: int = 14) -> DataFrame:
-    """(keys, date) of onsets in a stream of (keys, date, spike): a spike day with none in ``cooldown`` days before.
+class _Onsets(StatefulProcessor):
+    """Spike days of a key wait until the watermark has passed them; then they are settled in order."""
 
-    State is the last spike day of a key; days of a key must come in order, older ones are ignored.
-    """
-    names = ", ".join(f"{k} {spikes.schema[k].dataType.simpleString()}" for k in keys)
+    def __init__(self, keys: list[str], cooldown: int) -> None:
+        self.keys, self.cooldown = keys, cooldown
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "day int")  # the last settled spike day
+        self.waiting = handle.getMapState("waiting", "day int", "spike boolean")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else -(10**6)
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        for b in rows:
+            for day in b.loc[b["spike"] == 1, "day"].unique().tolist():
+                self.waiting.updateValue((int(day),), (True,))
+                self.handle.registerTimer((int(day) + 1) * DAY_MS)
+        yield self._made(key, [])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = expiredTimerInfo.getExpiryTimeInMs() // DAY_MS - 1
+        last = self.last.get()[0] if self.last.exists() else None
         out = []
-        rows = pd.concat(list(batches))
-        for day in sorted(pd.to_datetime(rows.loc[rows["spike"] == 1, "date"]).unique()):
-            n = (pd.Timestamp(day) - pd.Timestamp("1970-01-01")).days
-            if n <= last:
-                continue
-            if n - last > cooldown:
-                out.append((*key, pd.Timestamp(day).date()))
-            last = n
-        state.update((last,))
-        yield pd.DataFrame(out, columns=[*keys, "date"])
-
-    return spikes.groupBy(*keys).applyInPandasWithState(step, f"{names}, date date", "last int", "append", GroupStateTimeout.NoTimeout)
+        for day in sorted(d for (d,) in self.waiting.keys() if d <= passed):
+            if last is None or day - last > self.cooldown:
+                out.append(day)
+            last = day
+            self.waiting.removeKey((day,))
+            self.handle.registerTimer((day + self.cooldown + 1) * DAY_MS)  # when it has no more say
+        if last is not None and passed - last >= self.cooldown:
+            self.last.clear()
+        elif last is not None:
+            self.last.update((last,))
+        yield self._made(key, out)
+
+    def _made(self, key: tuple, days: list[int]) -> pd.DataFrame:
+        return pd.DataFrame([(*key, dt.date(1970, 1, 1) + dt.timedelta(days=d)) for d in days], columns=[*self.keys, "date"])
+
+    def close(self) -> None:
+        pass
+
+
+def onsets(spikes: DataFrame, keys: list[str], cooldown: int = 14, late: str = "7 days") -> DataFrame:
+    """(keys, date) of onsets in a stream of (keys, date, spike): a spike day with none in ``cooldown`` days before.
+
+    Days may come late by ``late``, out of order and repeated: a day is settled when the watermark has passed it, and its onset is
+    given then, so the result is that of a batch over all days that weren't later.  A key's state is its last settled spike day
+    and the spike days that wait; the former goes when it is ``cooldown`` days past, so idle keys leave nothing.
+    """
+    spark = spikes.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = T.StructType([*[spikes.schema[k] for k in keys], T.StructField("date", T.DateType())])
+    timed = spikes.select(*keys, "spike", F.datediff("date", F.lit("1970-01-01").cast("date")).alias("day"), F.col("date").cast("timestamp").alias("__time")).withWatermark("__time", late)
+    return timed.groupBy(*keys).transformWithStateInPandas(_Onsets(keys, cooldown), out, "append", "EventTime")
