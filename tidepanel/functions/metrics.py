@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
+from .quantiles import exact_quantiles
 
 
 def by_score(df: DataFrame, keys: list[str], y: str = "y", score: str = "score") -> DataFrame:
@@ -83,8 +84,8 @@ def psi(df: DataFrame, feature: str, expected: Column, bins: int = 10, least: in
     floored at 1e-4.  Null with fewer than ``least`` values on a side, 0 with fewer than three edges.
     """
     d = df.where(F.col(feature).isNotNull()).select(F.col(feature).alias("x"), expected.alias("e"))
-    q = F.percentile(F.when(F.col("e"), F.col("x")), F.array(*[F.lit(i / bins) for i in range(bins + 1)]))
-    edges = d.agg(F.array_sort(F.array_distinct(q)).alias("edges"), F.sum(F.col("e").cast("long")).alias("ne"), F.sum((~F.col("e")).cast("long")).alias("na"))
+    q = exact_quantiles(d.where("e"), [], "x", tuple(i / bins for i in range(bins + 1))).select(F.array_sort(F.array_distinct("q")).alias("edges"))
+    edges = d.agg(F.sum(F.col("e").cast("long")).alias("ne"), F.sum((~F.col("e")).cast("long")).alias("na")).join(F.broadcast(q), F.lit(True), "left")  # a row each
     last = F.size("edges") - 1
     x = F.greatest(F.element_at("edges", 1), F.least(F.element_at("edges", -1), F.col("x")))
     b = d.crossJoin(F.broadcast(edges)).select("*", F.least(last - 1, F.size(F.filter("edges", lambda v: v <= x)) - 1).alias("bin"))
@@ -104,7 +105,7 @@ def psi_band(value: Column) -> Column:
 def dependence(df: DataFrame, feature: str, value: str, bins: int = 25) -> DataFrame:
     """(bin, n, x, mean): mean ``value`` in equal bins of ``feature`` between its 1st and 99th percentile, others clipped into them."""
     d = df.where(F.col(feature).isNotNull() & F.col(value).isNotNull()).select(F.col(feature).cast("double").alias("x"), F.col(value).cast("double").alias("v"))
-    ends = d.agg(F.percentile("x", F.array(F.lit(0.01), F.lit(0.99))).alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    ends = exact_quantiles(d, [], "x", (0.01, 0.99)).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
     x = F.greatest("low", F.least("high", "x"))
     place = F.coalesce(F.least(F.lit(bins - 1), F.floor(F.try_divide(x - F.col("low"), F.col("high") - F.col("low")) * bins)), F.lit(0)).cast("int")
     return d.crossJoin(F.broadcast(ends)).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("x"), F.avg("v").alias("mean"))

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Cleaning, Target
+from ..functions.quantiles import exact_quantiles
 from ..operators import calendar, graph, labels, panel, weather
 from ..operators.panel import SERIES, guarded, in_order, lag_of, rows
 from ..sources import fixtures as fx
 from ..sources import grid_json
+from ..storage import materialize
 from .registry import query
 from .sql import CTE, W, with_
 
@@ -90,12 +92,15 @@ def collection_report(spark, d):
 @query("describe_by_category", with_(f"SELECT price_type_id, {CAT_SQL} AS cat_id, count(price) AS n, round(avg(price), 4) AS mean, round(min(price), 4) AS low, round(median(price), 4) AS mid, round(max(price), 4) AS high FROM obs GROUP BY ALL"))
 def describe_by_category(spark, d):
     o = fx.observations(spark, d).join(F.broadcast(categories(spark)), "commodity_id")
-    return rounded(o.groupBy("price_type_id", "cat_id").agg(F.count("price").alias("n"), F.avg("price").alias("mean"), F.min("price").alias("low"), F.percentile("price", F.lit(0.5)).alias("mid"), F.max("price").alias("high")), "mean", "low", "mid", "high", n=4)
+    keys = ["price_type_id", "cat_id"]
+    mid = exact_quantiles(o, keys, "price", (0.5,)).select(*keys, F.col("q")[0].alias("mid"))
+    g = o.groupBy(*keys).agg(F.count("price").alias("n"), F.avg("price").alias("mean"), F.min("price").alias("low"), F.max("price").alias("high")).join(mid, keys, "left")
+    return rounded(g.select(*keys, "n", "mean", "low", "mid", "high"), "mean", "low", "mid", "high", n=4)
 
 
 @query("quantiles_by_category", with_(f"SELECT {CAT_SQL} AS cat_id, round(quantile_cont(r14, 0.5), 6) AS p50, round(quantile_cont(r14, 0.9), 6) AS p90, round(quantile_cont(r14, 0.95), 6) AS p95, round(quantile_cont(r14, 0.99), 6) AS p99 FROM rise GROUP BY 1"))
 def quantiles_by_category(spark, d):
-    q = labelled(spark, d).join(F.broadcast(categories(spark)), "commodity_id").groupBy("cat_id").agg(F.percentile("r14", F.array(*[F.lit(x) for x in (0.5, 0.9, 0.95, 0.99)])).alias("q"))
+    q = exact_quantiles(labelled(spark, d).join(F.broadcast(categories(spark)), "commodity_id"), ["cat_id"], "r14", (0.5, 0.9, 0.95, 0.99))
     return q.select("cat_id", *[F.round(F.get("q", F.lit(i)), 6).alias(n) for i, n in enumerate(("p50", "p90", "p95", "p99"))])
 
 
@@ -270,8 +275,10 @@ def events_by_month_pivot(spark, d):
 
 @query("event_summary", with_(f"SELECT {CAT_SQL} AS cat_id, count(*) AS n, round(median(peak_rise_30d), 6) AS mid_peak, round(median(spike_days), 2) AS mid_days FROM events_ GROUP BY 1"))
 def event_summary(spark, d):
-    e = labels.events_table(labelled(spark, d), TARGET).join(F.broadcast(categories(spark)), "commodity_id")
-    return e.groupBy("cat_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("peak_rise_30d", F.lit(0.5)), 6).alias("mid_peak"), F.round(F.percentile("spike_days", F.lit(0.5)), 2).alias("mid_days"))
+    e = materialize(labels.events_table(labelled(spark, d), TARGET).join(F.broadcast(categories(spark)), "commodity_id"))
+    peak, days = (exact_quantiles(e, ["cat_id"], c, (0.5,)).select("cat_id", F.col("q")[0].alias(n)) for c, n in (("peak_rise_30d", "mid_peak"), ("spike_days", "mid_days")))
+    out = e.groupBy("cat_id").agg(F.count(F.lit(1)).alias("n")).join(peak, "cat_id", "left").join(days, "cat_id", "left")
+    return out.select("cat_id", "n", F.round("mid_peak", 6).alias("mid_peak"), F.round("mid_days", 2).alias("mid_days"))
 
 
 #: Start of Ramadan, Eid al-Fitr and Eid al-Adha around the years of the tables.
