@@ -27,9 +27,18 @@ WK_SQL = """SELECT *, x - lag(x) OVER (PARTITION BY commodity_id, province_id OR
     FROM (SELECT commodity_id, province_id, date + (CASE WHEN isodow(date) <= 5 THEN 5 - isodow(date) ELSE 12 - isodow(date) END)::INT AS date, avg(ln(price)) AS x FROM panel GROUP BY ALL)"""
 
 
-@query("haversine_knn", f"SELECT province_id, other, round(km, 4) AS km, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY province_id ORDER BY km, other) AS rank FROM ({KM_SQL})) WHERE rank <= 3")
+SITES_SQL = "SELECT s_nationkey AS id, avg((s_suppkey * 37) % 170 / 10.0 - 8) AS lat, avg((s_suppkey * 53) % 460 / 10.0 + 95) AS lon FROM supplier GROUP BY 1"
+
+
+@query("haversine_knn", f"""WITH sites AS ({SITES_SQL})
+    SELECT province_id, other, round(km, 4) AS km, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY province_id ORDER BY km, other) AS rank
+    FROM (SELECT a.id AS province_id, b.id AS other, 2 * 6371.0 * asin(sqrt(sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2)) AS km
+    FROM sites a JOIN sites b ON a.id <> b.id)) WHERE rank <= 3""")
 def haversine_knn(spark, d):
-    return rounded(geo.nearest(fx.provinces(spark)), "km", n=4)
+    """The three nearest of the nations' centres, which are the means of where their suppliers lie (by key)."""
+    lat, lon = (F.col("s_suppkey") * 37) % 170 / 10.0 - 8, (F.col("s_suppkey") * 53) % 460 / 10.0 + 95
+    sites = materialize(fx.read(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("province_id")).agg(F.avg(lat).alias("lat"), F.avg(lon).alias("lon")))
+    return rounded(geo.nearest(sites), "km", n=4)
 
 
 @query("distance_corr_bins", with_(f"""SELECT floor(k.km / 250)::BIGINT AS bin, count(*) AS n, round(avg(c), 6) AS corr FROM (SELECT a.commodity_id, a.province_id AS p, b.province_id AS q, corr(a.ret, b.ret) AS c, count(a.ret + b.ret) AS m

@@ -64,23 +64,34 @@ def long_scan_dedup(spark, d):
     return grid_json.keep_last(r, keys, "k").select(*keys, F.round(F.col("cents") / 100, 2).alias("price"))
 
 
-GRID = '[{"no":"I","name":"Semua Provinsi","level":"0","15/09/2026":"67,000"},{"no":"1","name":" Aceh ","level":"1","15/09/2026":"-","16/09/2026":"70,500"},{"name":"Dum","level":"1","15/09/2026":"-","oops":"5"}]'
+NAMES_SQL = "(VALUES (0, 'Semua Provinsi'), " + ", ".join("({}, '{}')".format(p[0], p[1].replace("'", "''")) for p in fx.PROVINCES if p[0] != 5) + ", (5, 'Dum')) t(province_id, name)"
+CELLS_SQL = f"""SELECT price_type_id, commodity_id, name, (CASE WHEN province_id = 0 THEN 0 ELSE 1 END)::INT AS level, date, CASE WHEN day(date) <> 13 THEN nullif(floor(price), 0) END AS price
+    FROM obsn JOIN {NAMES_SQL} USING (province_id)"""
 
 
-@query("parse_price_grid", """SELECT * FROM (VALUES ('Semua Provinsi', 0::INT, DATE '2026-09-15', 67000.0::DOUBLE), ('Aceh', 1, DATE '2026-09-15', NULL),
-    ('Aceh', 1, DATE '2026-09-16', 70500.0), ('Dum', 1, DATE '2026-09-15', NULL)) t(name, level, date, price)""")
+def grids(spark, d) -> DataFrame:
+    """The observations as monthly grid documents, with gaps on the 13th and a place that no province has in place of the fifth."""
+    names = fx.provinces(spark).where("province_id <> 5").select("province_id", F.col("province").alias("name"))
+    names = names.unionByName(spark.range(1).select(F.explode(F.array(F.struct(F.lit(0).alias("province_id"), F.lit(grid_json.NATIONAL).alias("name")), F.struct(F.lit(5).alias("province_id"), F.lit("Dum").alias("name")))).alias("x")).select("x.*"))
+    o = fx.observations(spark, d, True).withColumn("price", F.when(F.dayofmonth("date") != 13, F.col("price")))
+    return grid_json.write_grids(o, names)
+
+
+@query("parse_price_grid", with_(CELLS_SQL))
 def parse_price_grid(spark, d):
-    return grid_json.parse_grid(spark.createDataFrame([(GRID,)], "data string"))
+    return grid_json.parse_grid(grids(spark, d).drop("month"))
 
 
-@query("unknown_regions", "SELECT 'Dum' AS name, 1::BIGINT AS n_cells, 0::BIGINT AS n_priced")
+@query("unknown_regions", with_(f"SELECT name, count(*) AS n_cells, count(price) AS n_priced FROM ({CELLS_SQL}) WHERE name = 'Dum' GROUP BY 1"))
 def unknown_regions(spark, d):
     return grid_json.unknown_regions(parse_price_grid(spark, d), fx.provinces(spark).withColumnRenamed("province", "name"))
 
 
-@query("month_chunks", "SELECT greatest(m, DATE '2018-01-15')::DATE AS chunk_start, least(m + INTERVAL 1 MONTH - INTERVAL 1 DAY, DATE '2019-03-10')::DATE AS chunk_end FROM (SELECT unnest(generate_series(DATE '2018-01-01', DATE '2019-03-10', INTERVAL 1 MONTH)) AS m)")
+@query("month_chunks", with_("""SELECT price_type_id, greatest(m, lo)::DATE AS chunk_start, least(m + INTERVAL 1 MONTH - INTERVAL 1 DAY, hi)::DATE AS chunk_end
+    FROM (SELECT price_type_id, lo, hi, unnest(generate_series(date_trunc('month', lo)::TIMESTAMP, hi::TIMESTAMP, INTERVAL 1 MONTH)) AS m FROM (SELECT price_type_id, min(date) AS lo, max(date) AS hi FROM obs GROUP BY 1))"""))
 def month_chunks(spark, d):
-    return grid_json.month_chunks(spark, "2018-01-15", "2019-03-10")
+    """The months that each price type's collection is made of."""
+    return grid_json.chunks_of(fx.observations(spark, d).groupBy("price_type_id").agg(F.min("date").alias("start"), F.max("date").alias("end")))
 
 
 @query("collection_report", with_("SELECT price_type_id, count(*) AS n_rows, count(price) AS n_prices, min(date) AS first, max(date) AS last, count(DISTINCT CASE WHEN province_id > 0 THEN province_id END) AS n_provinces, count(DISTINCT commodity_id) AS n_commodities FROM obsn GROUP BY 1"))

@@ -66,9 +66,26 @@ def unknown_regions(cells: DataFrame, provinces: DataFrame) -> DataFrame:
 
 def month_chunks(spark: SparkSession, start: str, end: str) -> DataFrame:
     """Calendar months that cover [start, end], clipped to it: (chunk_start, chunk_end)."""
-    s, e = F.to_date(F.lit(start)), F.to_date(F.lit(end))
-    m = spark.range(1).select(F.explode(F.sequence(F.trunc(s, "MM"), e, F.expr("interval 1 month"))).alias("m"))
-    return m.select(F.greatest("m", s).alias("chunk_start"), F.least(F.last_day("m"), e).alias("chunk_end"))
+    return chunks_of(spark.range(1).select(F.to_date(F.lit(start)).alias("start"), F.to_date(F.lit(end)).alias("end"))).select("chunk_start", "chunk_end")
+
+
+def chunks_of(spans: DataFrame) -> DataFrame:
+    """``spans`` (start, end and more) as calendar months: its other columns, chunk_start, chunk_end."""
+    keep = [c for c in spans.columns if c not in ("start", "end")]
+    m = spans.select("*", F.explode(F.sequence(F.trunc("start", "MM"), "end", F.expr("interval 1 month"))).alias("m"))
+    return m.select(*keep, F.greatest("m", "start").alias("chunk_start"), F.least(F.last_day("m"), "end").alias("chunk_end"))
+
+
+def write_grids(observations: DataFrame, names: DataFrame) -> DataFrame:
+    """(price_type_id, commodity_id, month, data): observations as grid documents, a row for each place and a key for each date.
+
+    The reverse of :func:`parse_grid` for whole prices; ``names`` is (province_id, name).  A missing price is written as "-".
+    """
+    said = F.coalesce(F.format_number(F.floor("price"), 0), F.lit("-"))
+    cells = observations.join(F.broadcast(names), "province_id").groupBy("price_type_id", "commodity_id", F.trunc("date", "MM").alias("month"), "name", F.when(F.col("province_id") == 0, "0").otherwise("1").alias("level"))
+    days = F.map_from_entries(F.collect_list(F.struct(F.date_format("date", "dd/MM/yyyy"), said)))
+    rows = cells.agg(days.alias("days")).select("*", F.map_concat(F.create_map(F.lit("name"), F.concat(F.lit(" "), "name"), F.lit("level"), "level", F.lit("remark"), F.lit("x")), "days").alias("row"))
+    return rows.groupBy("price_type_id", "commodity_id", "month").agg(F.to_json(F.collect_list("row")).alias("data"))
 
 
 def upsert_recent(cached: DataFrame, fresh: DataFrame, keys: list[str], value: str, refresh_days: int = 45) -> DataFrame:
