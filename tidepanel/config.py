@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import math
-from dataclasses import dataclass, field
+import tomllib
+from dataclasses import dataclass, field, fields
+from pathlib import Path
 
 
 @dataclass(frozen=True)
@@ -53,3 +56,51 @@ class Validation:
     block_months: int = 3
     val_days: int = 120
     purge_days: int = 14
+
+
+@dataclass(frozen=True)
+class Settings:
+    """All sections, and the folders that a project's ``paths`` name, relative ones below the file's folder."""
+
+    cleaning: Cleaning = Cleaning()
+    target: Target = Target()
+    features: Features = Features()
+    network: Network = Network()
+    validation: Validation = Validation()
+    paths: dict[str, Path] = field(default_factory=dict)
+
+
+def find(start: str | Path, name: str) -> Path:
+    """The file ``name`` in ``start`` or the nearest folder above it."""
+    here = Path(start).resolve()
+    for folder in (here, *here.parents):
+        if (folder / name).exists():
+            return folder / name
+    raise FileNotFoundError(f"no {name} in {here} or above")
+
+
+def load(path: str | Path) -> Settings:
+    """Settings from a TOML or JSON file (YAML where its reader is installed); what a file leaves out keeps its default.
+
+    Sections and names that aren't known are errors, since a misspelt setting would be passed over otherwise.  Lists become tuples.
+    """
+    path = Path(path)
+    if path.suffix in (".yaml", ".yml"):
+        import yaml
+
+        raw = yaml.safe_load(path.read_text("utf-8"))
+    else:
+        raw = tomllib.loads(path.read_text("utf-8")) if path.suffix == ".toml" else json.loads(path.read_text("utf-8"))
+    sections = {f.name: type(f.default) for f in fields(Settings) if f.name != "paths"}
+    if unknown := set(raw or {}) - {*sections, "paths"}:
+        raise ValueError(f"unknown sections: {', '.join(sorted(unknown))}")
+    made = {}
+    for name, values in (raw or {}).items():
+        if name == "paths":
+            made[name] = {k: path.resolve().parent / v for k, v in values.items()}
+            continue
+        kind = sections[name]
+        if unknown := set(values or {}) - {f.name for f in fields(kind)}:
+            raise ValueError(f"unknown settings in {name}: {', '.join(sorted(unknown))}")
+        made[name] = kind(**{k: tuple(v) if isinstance(v, list) else v for k, v in (values or {}).items()})
+    return Settings(**made)

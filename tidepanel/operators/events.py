@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics
@@ -125,3 +125,12 @@ def compare_models(pred: DataFrame, events: DataFrame, probabilities: tuple[str,
         one = summarize(pred.select(*SERIES, "date", "y", F.col(f"score_{m}").alias("score"), F.col(f"thr_{m}").alias("threshold")), events, horizon, m in probabilities)
         out.append(one.select(F.lit(m).alias("key"), *one.columns))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
+
+
+def site_summary(table: DataFrame, model: str, against: str = "naive") -> DataFrame:
+    """One row of what a site shows of a comparison: both models' average precision, and the model's events, leads and false alarms."""
+    def of(column: str, key: str) -> Column:
+        return F.max(F.when(F.col("key") == key, F.col(column)))
+
+    shown = ("event_detection_rate", "median_lead_days", "far", "false_episodes_per_series_year")
+    return table.agg(of("pr_auc", model).alias("pr_auc"), of("pr_auc", against).alias(f"pr_auc_{against}"), *[of(c, model).alias(c) for c in shown])

@@ -395,6 +395,12 @@ def compare_models(spark, d):
     return rounded(out, "pos_rate", "precision", "recall", "f1", "far", "alarm_rate", "event_detection_rate", "mean_lead_days", "share_lead_ge_7", "false_episodes_per_series_year", "episode_precision", n=8)
 
 
+@query("site_summary", with_("SELECT max(pr_auc) FILTER (key = 'seasonal') AS pr_auc, max(pr_auc) FILTER (key = 'naive') AS pr_auc_naive, " + ", ".join(
+    f"max({c}) FILTER (key = 'seasonal') AS {c}" for c in ("event_detection_rate", "median_lead_days", "far", "false_episodes_per_series_year")) + " FROM (" + " UNION ALL ".join(_summary_sql(m) for m in ("naive", "seasonal")) + ")", **WF_SQL))
+def site_summary(spark, d):
+    return events.site_summary(compare_models(spark, d), "seasonal")
+
+
 GRID = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6)
 
 
