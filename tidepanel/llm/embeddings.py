@@ -353,5 +353,6 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
 
 
 def op10_embedding_dedup(vectors: DataFrame) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every vector.  Vectors that are null, zero or not finite, and null labels, link with nothing; equal vectors of a label are one class from the start."""
     found = near_duplicate_vectors(vectors)
     return found.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -383,5 +383,6 @@ def deduplicate(docs: DataFrame, least: float = 0.8, words: int = 5) -> DataFram
 
 
 def op9_near_dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document, on four-word shingles; edge cases as in :func:`near_duplicates`."""
     found = near_duplicates(docs)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -209,4 +209,5 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
 
 
 def op6_quality_rules(docs: DataFrame) -> DataFrame:
+    """doc_id, statistics, base_failed and kept of every document.  Null and empty texts have no words and fail the base; a text of any length is one row."""
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

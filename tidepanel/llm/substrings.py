@@ -369,4 +369,5 @@ def repeated_bytes(docs: DataFrame, with_kept: bool = False) -> DataFrame:
 
 
 def op2_substring_dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document.  Null texts are empty, repeated rows repeat each other's strings, and a text of any length is cut into slices."""
     return repeated_bytes(docs)
