@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import metrics
+from ..functions import metrics, texts
 from ..storage import materialize, scratch, shared_dir
 from . import arima
 from .events import fold_roles
@@ -156,7 +156,7 @@ def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, float]:
 
 
 def predict_latest(model: PipelineModel, threshold: float, features: DataFrame, names: dict[str, DataFrame] | None = None, k: int = 3) -> DataFrame:
-    """(keys, date, prob, spike_now, r14_now, ret_7, level, reasons_json and names) of the newest rows.
+    """(keys, date, prob, spike_now, r14_now, ret_7, level, reasons, reasons_json and names) of the newest rows.
 
     Reasons are the ``k`` largest contributions of :func:`top_reasons`, an empty list where nothing raises the risk.  ``names`` maps a key column to a
     table of it and its attributes, dimensions that are joined where they have the key.
@@ -164,9 +164,9 @@ def predict_latest(model: PipelineModel, threshold: float, features: DataFrame,
     last = features.agg(F.max("date").alias("date"))
     now = materialize(features.join(F.broadcast(last), "date"))
     order = inputs(model)
-    why = top_reasons(contributions(model, now, order), k)
+    why = top_reasons(contributions(model, now, order), k, texts.names_of(features.sparkSession, order))
     risks = scored(model, now).select(*SERIES, "date", F.col("score").alias("prob"), "spike_now", "r14_now", "ret_7", risk_level(F.col("score"), F.coalesce("spike_now", F.lit(0)), threshold).alias("level"))
-    out = risks.join(why, [*SERIES, "date"], "left").fillna("[]", ["reasons_json"])
+    out = risks.join(why, [*SERIES, "date"], "left").fillna("[]", ["reasons_json"]).fillna("", ["reasons"])
     for key, dim in (names or {}).items():
         out = out.join(dim, key, "left")
     return out
@@ -203,10 +203,11 @@ def contributions(model: PipelineModel, df: DataFrame, features: list[str]) -> D
     return out.select(*SERIES, "date", items).select(*SERIES, "date", "e.*")
 
 
-def top_reasons(contrib: DataFrame, k: int = 3) -> DataFrame:
+def top_reasons(contrib: DataFrame, k: int = 3, names: DataFrame | None = None) -> DataFrame:
     """The k largest positive contributions of each row, one for each family of features, as JSON.
 
-    Identity codes, the weekday, the season's sine and cosine and features without a finite value are no reasons.
+    Identity codes, the weekday, the season's sine and cosine and features without a finite value are no reasons.  With ``names``, the features there are
+    (feature), each reason has its sentence, and ``reasons`` has the row's sentences in order, with bars between.
     """
     family = F.regexp_replace("feature", r"_\d+", "")
     best = F.row_number().over(Window.partitionBy(*SERIES, "date", "family").orderBy(F.desc("shap"), "feature"))
@@ -214,7 +215,12 @@ def top_reasons(contrib: DataFrame, k: int = 3) -> DataFrame:
     c = contrib.where((F.col("shap") > 0) & told).select("*", family.alias("family")).select("*", best.alias("b")).where("b = 1")
     r = F.row_number().over(Window.partitionBy(*SERIES, "date").orderBy(F.desc("shap"), "feature"))
     c = c.select("*", r.alias("rank")).where(F.col("rank") <= k)
-    return c.groupBy(*SERIES, "date").agg(F.to_json(F.sort_array(F.collect_list(F.struct("rank", "feature", F.round("shap", 6).alias("shap"), F.round("value", 6).alias("value"))))).alias("reasons_json"))
+    told = ["rank", "feature", F.round("shap", 6).alias("shap"), F.round("value", 6).alias("value")]
+    if names is not None:
+        c, told = texts.describe(c, names), [*told, "text"]
+    out = c.groupBy(*SERIES, "date").agg(F.sort_array(F.collect_list(F.struct(*told))).alias("r"))  # at most k
+    said = [] if names is None else [F.array_join(F.col("r.text"), " | ").alias("reasons")]
+    return out.select(*SERIES, "date", *said, F.to_json("r").alias("reasons_json"))
 
 
 def importance(contrib: DataFrame) -> DataFrame:

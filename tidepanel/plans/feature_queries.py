@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Features
+from ..functions import texts
 from ..operators import calendar, features, labels, panel, weather
 from ..operators.panel import SERIES
 from ..sources import fixtures as fx
@@ -100,11 +101,48 @@ def feature_table(spark, d):
 _ALL = list(OWN) + OTHER + DAYS + [n for c in RAIN + LAGS for n in (c, f"{c}_centre")] + features.IDENTITY
 
 
-@query("feature_dictionary", f"WITH ft AS MATERIALIZED ({FEATURE_SQL}) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, '{features.group_of(c)}' AS \"group\", round(avg(({c} IS NULL)::INT), 8) AS null_share FROM ft" for c in _ALL))
+def _values(rules) -> str:
+    def shown(x) -> str:
+        return f"'{x}'::DOUBLE" if isinstance(x, float) else str(x) if isinstance(x, int) else "'" + x.replace("'", "''").replace("$", "\\") + "'" if not x.startswith("^") else f"'{x}'"
+
+    return "(VALUES " + ", ".join("(" + ", ".join(shown(x) for x in r) + ")" for r in rules) + ")"
+
+
+_NAMES = "(VALUES " + ", ".join(f"('{c}', '{features.group_of(c)}')" for c in _ALL) + ") AS names(feature, \"group\")"
+DICTIONARY_SQL = f"""WITH ft AS MATERIALIZED ({FEATURE_SQL}), shares AS (UNPIVOT (SELECT {', '.join(f'avg(({c} IS NULL)::INT) AS {c}' for c in _ALL)} FROM ft) ON {', '.join(_ALL)} INTO NAME feature VALUE s),
+    rules AS (SELECT * FROM {_values((i, *r) for i, r in enumerate(texts.DESCRIPTIONS))} AS t(rank, pattern, body))
+    SELECT feature, "group", round(s, 8) AS null_share, (SELECT regexp_replace(n.feature, pattern, body) FROM rules WHERE regexp_matches(n.feature, pattern) ORDER BY rank LIMIT 1) AS description FROM (SELECT * FROM {_NAMES}) n JOIN shares USING (feature)"""
+
+
+@query("feature_dictionary", DICTIONARY_SQL)
 def feature_dictionary(spark, d):
-    """Every feature with its group and the share of rows that lack it."""
+    """Every feature with its group, its description and the share of rows that lack it."""
     table = feature_table_of(spark, d)
     names = features.feature_columns(table.columns)
-    out = data_dictionary(table.select(*names))
-    groups = spark.createDataFrame([(c, features.group_of(c)) for c in names], "column string, group string")
-    return out.join(F.broadcast(groups), "column").select(F.col("column").alias("feature"), "group", F.round("null_share", 8).alias("null_share"))
+    out = data_dictionary(table.select(*names)).withColumnRenamed("column", "feature")
+    groups = spark.createDataFrame([(c, features.group_of(c)) for c in names], "feature string, group string")
+    told = texts.descriptions(texts.names_of(spark, names))
+    return out.join(F.broadcast(groups), "feature").join(F.broadcast(told), "feature").select("feature", "group", F.round("null_share", 8).alias("null_share"), "description")
+
+
+def _number_sql(kind: str) -> str:
+    of, digits, signed = texts.NUMBERS[kind]
+    return f"replace(format('{{:{'+' if signed else ''}.{digits}f}}', round_even(({of.replace('expm1(value)', '(exp(value) - 1)')}) * 1e{digits}, 0) / 1e{digits}), '.', ',')"
+
+
+_SAID = "replace(t, '{{{0}}}', {1})"
+TEXT_SQL = rf"""WITH ft AS MATERIALIZED ({FEATURE_SQL}), facts AS (FROM (SELECT {', '.join(f'{c}::DOUBLE AS {c}' for c in _ALL)} FROM ft) UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(_ALL)}))),
+    rules AS (SELECT * FROM {_values((i, *r) for i, r in enumerate(texts.SENTENCES))} AS t(rank, pattern, least, below, body)),
+    met AS (SELECT feature, least, below, regexp_replace(feature, pattern, body) AS t FROM {_NAMES} JOIN rules ON regexp_matches(feature, pattern)),
+    filled AS (SELECT feature, least, below, CASE WHEN t LIKE '%{{%+%}}%' THEN regexp_replace(t, '\{{\d+\+\d+\}}', (regexp_extract(t, '\{{(\d+)\+', 1)::INT + regexp_extract(t, '\+(\d+)\}}', 1)::INT)::VARCHAR) ELSE t END AS t FROM met)
+    SELECT feature, text, count(*) AS n FROM (SELECT feature, CASE WHEN value IS NULL THEN feature || '{texts.MISSING}' {' '.join(f"WHEN t LIKE '%{{{k}}}%' THEN {_SAID.format(k, _number_sql(k))}" for k in texts.NUMBERS)} ELSE t END AS text
+    FROM (SELECT f.feature, f.value, r.t FROM facts f LEFT JOIN filled r ON f.feature = r.feature AND f.value >= r.least AND f.value < r.below)) GROUP BY 1, 2"""
+
+
+@query("feature_texts", TEXT_SQL)
+def feature_texts(spark, d):
+    """What is said of every value of every feature, and how often."""
+    table = shown(feature_table_of(spark, d))
+    names = features.feature_columns(table.columns)
+    facts = table.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in names])).alias("f")).select("f.*")
+    return texts.describe(facts, texts.names_of(spark, names)).groupBy("feature", "text").agg(F.count(F.lit(1)).alias("n"))
