@@ -122,10 +122,10 @@ def precedence(labels: DataFrame, window: int = 14) -> DataFrame:
 
 
 def over_neighbours(panel: DataFrame, edges: DataFrame, by_commodity: bool = False, **aggs) -> DataFrame:
-    """Aggregates of other provinces' values along ``edges`` (province_id, other): the small side is broadcast."""
+    """Aggregates of other provinces' values along ``edges`` (province_id, other), which grow with the places; Spark decides how to join them."""
     key = ["commodity_id"] if by_commodity else []
     e = edges.select(*key, F.col("province_id").alias("to"), F.col("other").alias("province_id"))
-    return panel.join(F.broadcast(e), [*key, "province_id"]).groupBy("commodity_id", F.col("to").alias("province_id"), "date").agg(*[a.alias(n) for n, a in aggs.items()])
+    return panel.join(e, [*key, "province_id"]).groupBy("commodity_id", F.col("to").alias("province_id"), "date").agg(*[a.alias(n) for n, a in aggs.items()])
 
 
 def build_network(weekly: DataFrame, labels: DataFrame | None = None, lags: int = 2, alpha: float = 0.05, window: int = 14, start: str | None = None, end: str | None = None, min_obs: int = 60, national: int = 0) -> DataFrame:

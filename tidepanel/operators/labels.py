@@ -27,7 +27,7 @@ def make_labels(panel: DataFrame, cfg: Target = Target(), thr: DataFrame | None
     A missing rise is no spike for onsets and null for spike; a series without a threshold never spikes.  y is
     null where fewer than half of the next ``horizon`` rises are known, and in the panel's last ``horizon`` days.
     """
-    p = panel.join(F.broadcast(thr), SERIES, "left") if thr is not None else panel.select("*", F.lit(cfg.threshold).alias("thr"))
+    p = panel.join(thr, SERIES, "left") if thr is not None else panel.select("*", F.lit(cfg.threshold).alias("thr"))
     base = lag_of("price", cfg.change_days)
     p = p.select("*", F.try_divide("price", base).alias("q")).select("*", (F.col("q") - 1).alias("r14")).drop("q")
     p = p.select("*", F.when(F.col("r14").isNotNull(), F.coalesce((F.col("r14") > F.col("thr")).cast("int"), F.lit(0))).alias("spike"))

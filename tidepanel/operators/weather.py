@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +39,9 @@ def climatology(rolled: DataFrame, window: int, first: str, last: str, half: int
 def anomalies(rain: DataFrame, first: str, last: str, windows: tuple[int, ...] = (7, 30, 90)) -> DataFrame:
     """(province_id, date, rain_w_anom): z-scores, spread floored at 1 mm a day, clipped to 5."""
     rolled = rolling_rain(rain, windows)
-    out = rolled
-    for w in windows:
-        c = climatology(rolled, w, first, last).select("province_id", "doy", F.col("mu").alias(f"mu_{w}"), F.col("sd").alias(f"sd_{w}"))
-        out = out.select("*", day_of_year("date").alias("doy")).join(F.broadcast(c), ["province_id", "doy"], "left").drop("doy")
+    usual = [climatology(rolled, w, first, last).select("province_id", "doy", F.col("mu").alias(f"mu_{w}"), F.col("sd").alias(f"sd_{w}")) for w in windows]
+    usual = reduce(lambda a, b: a.join(b, ["province_id", "doy"], "full"), usual)  # grows with the places: Spark decides whether to broadcast it
+    out = rolled.select("*", day_of_year("date").alias("doy")).join(usual, ["province_id", "doy"], "left")
     z = [F.greatest(F.lit(-5.0), F.least(F.lit(5.0), (F.col(f"roll_{w}") - F.col(f"mu_{w}")) / F.greatest(F.col(f"sd_{w}"), F.lit(float(w))))) for w in windows]
     return out.select("province_id", "date", *[F.when(F.col(f"roll_{w}").isNotNull() & F.col(f"mu_{w}").isNotNull(), x).alias(f"rain_{w}_anom") for w, x in zip(windows, z)])
 
