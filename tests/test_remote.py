@@ -72,3 +72,41 @@ def test_a_collection_is_resumed(spark, tmp_path):
     assert states() == {"2024-01": ("done", 1), "2024-02": ("done", 2), "2024-03": ("done", 1)}
     stored = spark.read.parquet(out)
     assert stored.count() == 3 and grid_json.parse_grid(stored.select("data")).count() == 6
+
+
+def test_weather_by_place_and_year(spark, tmp_path):
+    def put_weather(place, start, end, values, **header):
+        (tmp_path / f"{place}_{start}_{end}.json").write_text(json.dumps({"header": header, "properties": {"parameter": {"PRECTOTCORR": values}}}))
+
+    put_weather(1, "20231230", "20231231", {"20231231": 2.5, "20231230": -999.0})
+    put_weather(1, "20240101", "20240102", {"20240101": 0.0, "20240102": None})
+    put_weather(2, "20231230", "20231231", {"20231230": -5.0}, fill_value=-5.0)
+    put_weather(2, "20240101", "20240102", {})
+    options = {"address": str(tmp_path / "{place}_{start}_{end}.json"), "start": "2023-12-30", "end": "2024-01-02", "retries": "0"}
+    df = remote.read_weather(spark, [(1, -6.2, 106.8), (2, 5.5, 95.3)], **options)
+    assert df.rdd.getNumPartitions() == 4
+    assert [(r.province_id, str(r.date), r.value) for r in df.orderBy("province_id", "date").collect()] == [(1, "2023-12-30", None), (1, "2023-12-31", 2.5), (1, "2024-01-01", 0.0), (1, "2024-01-02", None), (2, "2023-12-30", None)]
+    with pytest.raises(Exception, match="No such file"):
+        remote.read_weather(spark, [(3, 0.0, 0.0)], **options).collect()
+
+
+def test_what_can_not_be_parsed_is_asked_for_again(tmp_path):
+    seen = []
+
+    def parse(text):
+        seen.append(text)
+        return json.loads(text)
+
+    (tmp_path / "x.json").write_text("{")
+    with pytest.raises(ValueError):
+        remote.fetch(str(tmp_path / "x.json"), 2, 0.0, parse)
+    assert len(seen) == 3
+
+
+def test_dimensions_are_trimmed_and_ordered(spark, tmp_path):
+    (tmp_path / "p.json").write_text(json.dumps({"data": [{"id": 3, "name": " Riau "}, {"id": 1, "name": "Aceh"}]}))
+    (tmp_path / "none.json").write_text("{}")
+    assert [tuple(r) for r in remote.read_dimension(spark, str(tmp_path / "p.json"), "provinces").collect()] == [(1, "Aceh"), (3, "Riau")]
+    assert remote.read_dimension(spark, str(tmp_path / "none.json"), "regencies").collect() == []
+    (tmp_path / "c.json").write_text(json.dumps({"data": [{"id": "com_1", "name": "Beras ", "cat_id": "cat_1", "denomination": "kg", "sort": 2}, {"id": "cat_1", "name": "Beras", "cat_id": None, "denomination": None, "sort": 1}]}))
+    assert {r.id: (r.name, r.cat_id) for r in remote.read_dimension(spark, str(tmp_path / "c.json"), "commodities").collect()} == {"com_1": ("Beras", "cat_1"), "cat_1": ("Beras", None)}

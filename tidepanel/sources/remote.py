@@ -1,31 +1,33 @@
-"""Price grids from a remote store as a Spark data source, and a collection of them that can be resumed."""
+"""Remote sources: price grids and daily weather as Spark data sources, dimensions, and a collection that can be resumed."""
 
 from __future__ import annotations
 
 import datetime as dt
 import gzip
+import json
 import time
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..storage import exists, materialize, release
+from .files import DIMENSIONS
 
 SCHEMA = "price_type_id int, commodity_id string, chunk_start date, data string, error string"
 STATUS = "price_type_id int, commodity_id string, chunk_start date, state string, n_bytes long, error string, run long"
 KEYS = ["price_type_id", "commodity_id", "chunk_start"]
 
 
-def fetch(address: str, retries: int = 3, pause: float = 0.5) -> str:
-    """The text at a URL or path, unzipped where it is gzip; tried again after ever longer pauses."""
+def fetch(address: str, retries: int = 3, pause: float = 0.5, parse: Callable = str):
+    """What ``parse`` makes of the text at a URL or path, unzipped where it is gzip; either failing, tried again after ever longer pauses."""
     for k in range(retries + 1):
         try:
             with urllib.request.urlopen(address if "://" in address else f"file://{address}", timeout=60) as answer:
                 raw = answer.read()
-            return (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode()
+            return parse((gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode())
         except Exception:
             if k == retries:
                 raise
@@ -90,6 +92,71 @@ def read_grids(spark: SparkSession, **options: str) -> DataFrame:
     return spark.read.format("price_grid").options(**options).load()
 
 
+class Spell(InputPartition):
+    def __init__(self, place: int, lat: float, lon: float, start: dt.date, end: dt.date) -> None:
+        self.place, self.lat, self.lon, self.start, self.end = place, lat, lon, start, end
+
+
+class WeatherReader(DataSourceReader):
+    """A partition for each place and calendar year that the options ask for."""
+
+    def __init__(self, options: dict) -> None:
+        self.options = options
+        self.places = [tuple(p.split(":")) for p in options["places"].split(",") if p]
+        self.first, self.last = (dt.date.fromisoformat(options[k]) for k in ("start", "end"))
+
+    def partitions(self) -> list[Spell]:
+        years = range(self.first.year, self.last.year + 1)
+        spells = [(max(self.first, dt.date(y, 1, 1)), min(self.last, dt.date(y, 12, 31))) for y in years]
+        return [Spell(int(p), float(lat), float(lon), a, b) for p, lat, lon in self.places for a, b in spells if a <= b]
+
+    def read(self, spell: Spell) -> Iterator[tuple]:
+        name = self.options.get("parameter", "PRECTOTCORR")
+
+        def days(text: str) -> list[tuple]:
+            doc = json.loads(text)
+            fill = doc.get("header", {}).get("fill_value", -999.0)
+            found = doc["properties"]["parameter"][name]
+            return [(dt.datetime.strptime(day, "%Y%m%d").date(), None if v is None or v == fill else float(v)) for day, v in sorted(found.items())]
+
+        where = self.options["address"].format(place=spell.place, lat=spell.lat, lon=spell.lon, start=f"{spell.start:%Y%m%d}", end=f"{spell.end:%Y%m%d}", parameter=name)
+        for day, value in fetch(where, int(self.options.get("retries", 4)), float(self.options.get("pause", 2.0)), days):
+            yield (spell.place, day, value)
+
+
+class WeatherSource(DataSource):
+    """Daily weather of places, sorted by day in each partition.  Options: address (URL or path with the fields {place}, {lat}, {lon}, {start}, {end}, {parameter}), places ("id:lat:lon", comma-joined), start, end (dates), parameter, retries, pause."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "daily_weather"
+
+    def schema(self) -> str:
+        return "province_id int, date date, value double"
+
+    def reader(self, schema) -> WeatherReader:
+        return WeatherReader(dict(self.options))
+
+
+def read_weather(spark: SparkSession, places: list[tuple[int, float, float]], **options: str) -> DataFrame:
+    """(province_id, date, value) from :class:`WeatherSource`; the service's filling value is null, and so is a null."""
+    spark.dataSource.register(WeatherSource)
+    listed = ",".join(f"{p}:{lat}:{lon}" for p, lat, lon in places)
+    return spark.read.format("daily_weather").options(places=listed, **options).load()
+
+
+def read_dimension(spark: SparkSession, address: str, kind: str, retries: int = 3, pause: float = 0.5) -> DataFrame:
+    """A dimension from a document {"data": [...]}: names trimmed, numbered ones by id; without data, empty.
+
+    ``kind`` is one of :data:`files.DIMENSIONS` or regencies.  These are tens to hundreds of rows, so the driver asks for them.
+    """
+    columns = DIMENSIONS.get(kind, "id int, name string")
+    text = fetch(address, retries, pause)
+    rows = spark.createDataFrame([(text,)], "value string").select(F.explode(F.from_json("value", f"data array<struct<{columns}>>", {"mode": "FAILFAST"})["data"]).alias("r")).select("r.*")
+    rows = rows.withColumn("name", F.trim("name")) if "name" in rows.columns else rows
+    return rows.orderBy("id") if rows.columns[0] == "id" and rows.schema["id"].dataType.simpleString() == "int" else rows
+
+
 def statuses(spark: SparkSession, path: str) -> DataFrame:
     """The last status of each chunk; empty before the first run."""
     found = spark.read.schema(STATUS).parquet(path) if exists(spark, path) else spark.createDataFrame([], STATUS)
