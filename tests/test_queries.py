@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SOME = ["parse_price_grid", "collection_report", "quality_report", "panel_labels", "events_table", "weekly_returns", "bh_fdr", "average_precision", "rain_climatology", "walk_forward_folds", "alarm_summary", "session_alarms", "feature_table", "compare_models", "history_docs", "wide_pivot"]
+SOME = ["parse_price_grid", "collection_report", "quality_report", "panel_labels", "events_table", "weekly_returns", "bh_fdr", "average_precision", "rain_climatology", "walk_forward_folds", "alarm_summary", "session_alarms", "feature_table", "compare_models", "history_docs", "wide_pivot", "feature_texts", "success_criteria", "case_study", "network_docs", "named_observations"]
 
 
 def flat(v):

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import labels, reports
 from ..sources import fixtures as fx
+from ..sources import grid_json
 from ..storage import materialize
-from .model_queries import DETECT_SQL, WF_SQL, _summary_sql, compare_models, forward, marked, predictions
-from .panel_queries import CAT_SQL, TARGET, categories, rounded
+from . import export
+from .model_queries import DETECT_SQL, WF_SQL, _significant, _summary_sql, compare_models, forward, marked, predictions
+from .panel_queries import CAT_SQL, CATEGORIES, CELLS_SQL, NAMES_SQL, TARGET, categories, parse_price_grid, rounded
 from .registry import query
 from .sql import with_
 
@@ -84,3 +86,26 @@ def period_deltas(spark, d):
     p = materialize(forward(spark, d, marked(spark, d)))
     p = p.select(F.date_format("date", "yyyy-MM").alias("period"), "y", *[F.round(f"score_{m}", 9).alias(f"score_{m}") for m in _MODELS])
     return rounded(reports.deltas_by_period(p, "seasonal", "period"), "pr_auc", "delta", "mean_delta")
+
+
+@query("network_docs", with_("""SELECT commodity_id, '[' || string_agg('{"strength":' || strength || ',"source":' || source || ',"target":' || target || '}', ',' ORDER BY rank) || ']' AS doc FROM (
+    SELECT *, row_number() OVER (PARTITION BY commodity_id ORDER BY strength DESC, source DESC, target DESC) AS rank FROM (
+    SELECT commodity_id, source, target, round(-log10(greatest(p_value, 1e-300)), 3) AS strength FROM bh WHERE q_value < 0.02 AND coef_sum > 0)) WHERE rank <= 30 GROUP BY 1"""))
+def network_docs(spark, d):
+    """The documents that the site shows of each commodity's network: its 30 strongest edges."""
+    return export.network_docs(_significant(spark, d))
+
+
+NAMED_SQL = f"""SELECT date, price_type_id, CASE price_type_id WHEN 1 THEN 'Traditional' WHEN 4 THEN 'Producer' END AS price_type, 'com_' || lower(commodity_id) AS commodity_id, upper(left(commodity_id, 1)) || lower(substr(commodity_id, 2)) AS commodity,
+    'cat_' || {CAT_SQL} AS cat_id, CASE {CAT_SQL} WHEN 'kind' THEN 'Kinds' END AS category, province_id, CASE WHEN province_id = 0 THEN 'Nasional' ELSE c.name END AS province, price
+    FROM ({CELLS_SQL}) c JOIN {NAMES_SQL} ON t.name = c.name WHERE c.name <> 'Dum'"""
+
+
+@query("named_observations", with_(NAMED_SQL))
+def named_observations(spark, d):
+    """The long table as it is stored: parsed grids with the names of price types, commodities, categories and places; unlisted names are null."""
+    cells = parse_price_grid(spark, d).select("*", F.lit("a").alias("file")).withColumn("commodity_id", F.concat(F.lit("com_"), F.lower("commodity_id")))
+    tree = [("cat_kind", "Kinds", None), *[(f"com_{c.lower()}", c.capitalize(), f"cat_{k}") for c, k in CATEGORIES]]
+    places = fx.provinces(spark).where("province_id <> 5").select(F.col("province_id").alias("id"), F.col("province").alias("name"))
+    kinds = spark.createDataFrame([(1, "Traditional"), (4, "Producer")], "id int, name string")
+    return grid_json.load_long(cells, places, spark.createDataFrame(tree, "id string, name string, cat_id string"), kinds)
