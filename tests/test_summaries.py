@@ -3,6 +3,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidepanel.operators import events, models
 from tidepanel.plans.model_queries import _summary_sql
@@ -50,6 +51,17 @@ def test_summaries_of_odd_predictions_equal_sql(spark, rows):
     assert got == want and len(got) == 1
 
 
+def test_weekly_comparison_without_usable_folds_has_a_row_for_each_model(spark):
+    keys = "commodity_id string, province_id int, date date"
+    labels = spark.createDataFrame([("c", 1, day(n), 0) for n in range(120)], keys + ", y int")
+    folds = spark.createDataFrame([(0, day(20), day(30), day(60), day(75), day(110))], "fold int, fit_end date, val_start date, val_end date, test_start date, test_end date")
+    pred = models.walk_forward(labels.select("*", F.lit(0.1).alias("s")), folds, {"naive": F.col("s")})
+    weekly = spark.createDataFrame([("c", 1, day(n), 0, 0.2) for n in range(35, 110, 7)], keys + ", fold int, score double")
+    both = models.weekly_comparison(pred, weekly, labels, folds, "weekly")
+    got = events.compare_models(both, spark.createDataFrame([], "date date, commodity_id string, province_id int")).collect()
+    assert [(r.key, r.n_rows, r.n_events) for r in got] == [("naive", 0, 0), ("weekly", 0, 0)] and all(math.isnan(r.alarm_rate) and r.pr_auc is None for r in got)
+
+
 def test_a_model_of_one_class_has_no_shares(spark):
     rows = spark.createDataFrame([("c", 1, day(n), 0, float(n % 7), float(n % 5)) for n in range(200)], "commodity_id string, province_id int, date date, y int, ret_7 double, rain_30 double")
     shares = models.importance(models.contributions(models.fit_logistic(rows, ["ret_7", "rain_30"]), rows, ["ret_7", "rain_30"]))
