@@ -5,8 +5,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.operators import events, models
+from tidepanel.operators import events, models, reports
 from tidepanel.plans.model_queries import _summary_sql
+from tidepanel.plans.report_queries import CRITERIA_SQL
 
 START = dt.date(2024, 1, 1)
 PRED = "commodity_id string, province_id int, date date, y int, score_m double, thr_m double"
@@ -62,6 +63,14 @@ def test_weekly_comparison_without_usable_folds_has_a_row_for_each_model(spark):
     assert [(r.key, r.n_rows, r.n_events) for r in got] == [("naive", 0, 0), ("weekly", 0, 0)] and all(math.isnan(r.alarm_rate) and r.pr_auc is None for r in got)
 
 
+@pytest.mark.parametrize("ap,base", [(math.nan, math.nan), (math.nan, 0.2), (0.2, math.nan), (0.3, 0.2), (None, None)])
+def test_criteria_of_nan_equal_sql(spark, ap, base):
+    table = spark.createDataFrame([("m", ap, 0.7, 9.0, 0.2, 0.1), ("naive", base, 0.1, 3.0, 0.5, 1.0)], "key string, pr_auc double, event_detection_rate double, median_lead_days double, far double, false_episodes_per_series_year double")
+    got = [tuple(flat(v) for v in (r.criterion, r.result, r.met)) for r in reports.success_criteria(table, "m").collect()]
+    want = duckdb.connect().execute("WITH one_ AS (SELECT ?::DOUBLE AS ap, ?::DOUBLE AS base, ?::DOUBLE AS best, 0.7 AS rate, 9.0 AS mid, 0.2 AS far, 0.1 AS f) " + CRITERIA_SQL, [ap, base, base]).fetchall()
+    assert sorted(got) == sorted(tuple(flat(v) for v in (c, result, met)) for c, _, result, met in want)
+
+
 def test_a_model_of_one_class_has_no_shares(spark):
     rows = spark.createDataFrame([("c", 1, day(n), 0, float(n % 7), float(n % 5)) for n in range(200)], "commodity_id string, province_id int, date date, y int, ret_7 double, rain_30 double")
     shares = models.importance(models.contributions(models.fit_logistic(rows, ["ret_7", "rain_30"]), rows, ["ret_7", "rain_30"]))
