@@ -123,6 +123,16 @@ def test_substrings_across_slices(spark, monkeypatch, hot):
     assert [got[i] for i in range(len(texts))] == brute_removed(texts)
 
 
+def test_planted_passages_go_from_400_bytes_on(spark):
+    r = random.Random(9)
+    passage = lambda n: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(n))
+    long, short = passage(58), passage(52)  # 405 and 363 bytes, both of over 50 words
+    texts = [f"{prose(300, 2 * i)} A{i}{p}{i}Z {prose(200, 2 * i + 1)}" for i, p in enumerate([long, long, short, short, passage(55)])]
+    got = {d.doc_id: (d.n_bytes, d.n_removed) for d in substrings.op2_substring_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: (len(t.encode()), [405, 405, 0, 0, 0][i]) for i, t in enumerate(texts)}
+    assert [got[i][1] for i in range(5)] == brute_removed(texts)
+
+
 def test_a_text_longer_than_a_slice(spark):
     long = "".join(random.Random(1).choices("abcdefghijklmnop ", k=(1 << 22) + 300_000))
     part = long[(1 << 22) - 500 : (1 << 22) + 500]  # over the border between two slices
