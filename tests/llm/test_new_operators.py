@@ -194,6 +194,18 @@ def test_hot_segments_are_split_without_losing_a_pair(spark, few):
     assert got == sorted(want)
 
 
+def test_rows_of_split_keys_do_not_carry_long_words(spark, monkeypatch):
+    r, kept, materialize = random.Random(5), [], spelling.materialize
+    monkeypatch.setattr(spelling, "materialize", lambda df, *a, **b: kept.append(out := materialize(df, *a, **b)) or out)
+    monkeypatch.setattr(spelling, "release", lambda *frames: None)
+    base = ["".join(r.choices("ab", k=k)) for k in (255, 256, 257, 300, 300, 400)] + ["b" * 300]
+    words = sorted({w for x in base for w in (x, x[:9] + "c" + x[9:], x[:-9] + x[-8:], "z" + x[1:], x[:100] + "y" + x[101:], x[:-1] + "d")})
+    got = sorted(tuple(x) for x in spelling.near_words(spark.createDataFrame([(w,) for w in words], "word string"), 0).collect())
+    assert got == sorted({(a, b) if (len(a), a) < (len(b), b) else (b, a) for a in words for b in words if a != b and one_edit(a, b)})
+    split = [x for x in kept if "rest" in x.columns]
+    assert len(split) > 8 and max(len(v) for x in split for row in x.collect() for v in row if isinstance(v, str)) <= 257
+
+
 def test_chains_of_forms_end_at_the_root(spark):
     counts = {"aaaaa": 1, "aaaab": 2, "aaabb": 4, "aabbb": 8, "abbbb": 16, "bbbbb": 32, "zzzzz": 5}
     got = [tuple(x) for x in spelling.spelling_variants(spark.createDataFrame(list(counts.items()), "word string, n long")).select("word", "form", "root", "n", "n_near", "form_n").collect()]

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,7 @@ RUN = re.compile("[A-Za-zÀ-ÿ]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
 HELD = 100_000  # different words that a task counts before it hands them on
 FEW = 4096  # pairs that a key may give before it is split
+LONG = 256  # code points above which a word's rows carry a name in its place
 
 
 def damaged(name: object, run: str, every: int = 97) -> str:
@@ -74,10 +76,10 @@ def _rest(w: Column, a: Column, skip: Column) -> Column:
 
 
 def _halves(rows: DataFrame) -> DataFrame:
-    """(word, size, probe, a, b): each interval of an indexed word's positions, split in two at its middle."""
+    """(name, size, probe, a, b): each interval of an indexed word's positions, split in two at its middle."""
     m = F.shiftright(F.col("a") + F.col("b"), 1)
     both = F.array(F.struct(F.col("a").alias("a"), m.alias("b")), F.struct(m.alias("a"), F.col("b").alias("b")))
-    return rows.select("word", "size", "probe", F.explode(both).alias("x")).select("word", "size", "probe", "x.a", "x.b").where("a < b")
+    return rows.select("name", "size", "probe", F.explode(both).alias("x")).select("name", "size", "probe", "x.a", "x.b").where("a < b")
 
 
 def near_words(words: DataFrame, few: int = FEW) -> DataFrame:
@@ -88,16 +90,28 @@ def near_words(words: DataFrame, few: int = FEW) -> DataFrame:
     with their own key, words one longer with the rest at shifted positions, which leaves out b - a + 1.  Where
     a key would give over ``few`` pairs, which are many words with a segment in common, both its sides are split again at the
     interval's middle, so that more of the word must agree, down to single positions, where an alphabet bounds the
-    group.  Pairs that share a key are verified by edit distance and met once.  A word of any length is four rows.
+    group.  Pairs that share a key are verified by edit distance and met once.  A word of any length is four rows,
+    which double with each split; so those of a word of over LONG code points carry its name (LONG + 1 code points: its
+    start and its SHA-256) and get the word by a join where it is read.
     """
     size = F.length("word").cast("int")
-    own = words.select("word", size.alias("size"), F.lit(False).alias("probe"))
-    longer = words.where(size > 1).select("word", (size - 1).alias("size"), F.lit(True).alias("probe"))
+    name = F.when(size > LONG, F.concat(F.substring("word", 1, LONG + 1 - 64), F.sha2("word", 256))).otherwise(F.col("word"))
+    own = words.select(name.alias("name"), size.alias("size"), F.lit(False).alias("probe"))
+    longer = words.where(size > 1).select(name.alias("name"), (size - 1).alias("size"), F.lit(True).alias("probe"))
+    longs = materialize(words.where(size > LONG).select(name.alias("name"), "word"))
+    named = longs.limit(1).count() > 0
+
+    def spelt(rows: DataFrame, col: str, word: str) -> DataFrame:
+        """``rows`` and, as ``word``, the words that the names in ``col`` stand for."""
+        if not named:
+            return rows.withColumn(word, F.col(col))
+        return rows.join(longs.select(F.col("name").alias(col), F.col("word").alias("whole")), col, "left").withColumn(word, F.coalesce("whole", col)).drop("whole")
+
     rows = _halves(own.unionByName(longer).select("*", F.lit(0).alias("a"), F.col("size").alias("b")))
-    found, state = [], None
+    found, far, state = [], [], None
     while True:
         rest = _rest(F.col("word"), F.col("a"), F.col("b") + F.col("probe").cast("int"))
-        keyed = rows.select("*", F.sha2(rest, 256).alias("rest"))  # of one width, however long the words
+        keyed = spelt(rows, "name", "word").select(*rows.columns, F.sha2(rest, 256).alias("rest"))  # of one width, however long the words
         key = ["size", "a", "b", "rest"]
         n, m = F.sum((~F.col("probe")).cast("long")), F.sum(F.col("probe").cast("long"))
         keyed = materialize(keyed)
@@ -106,9 +120,12 @@ def near_words(words: DataFrame, few: int = FEW) -> DataFrame:
         kept = materialize(keyed.join(counts, key))
         release(keyed, *[state] * (state is not None))
         cold = kept.where(~F.col("hot"))
-        index = cold.where(~F.col("probe")).select(*key, F.col("word").alias("w"))
-        pairs = index.join(cold.select(*key, F.col("word").alias("v"), "probe"), key).where((F.col("probe") | (F.col("w") < F.col("v"))) & (F.levenshtein("w", "v", 1) == 1))
-        found.append(materialize(pairs.select(F.col("w").alias("a"), F.col("v").alias("b"))))
+        index = cold.where(~F.col("probe")).select(*key, F.col("name").alias("w"))
+        met = index.join(cold.select(*key, F.col("name").alias("v"), "probe"), key).where(F.col("probe") | (F.col("w") < F.col("v")))
+        pairs = met.where((F.length("v") <= LONG) & (F.levenshtein("w", "v", 1) == 1)).select(F.col("w").alias("a"), F.col("v").alias("b"))
+        found.append(materialize(pairs))
+        if named:
+            far.append(materialize(met.where(F.length("v") > LONG).select("w", "v", "probe").distinct()))
         state = kept
         hot = kept.where("hot")
         if not hot.limit(1).count():
@@ -118,8 +135,13 @@ def near_words(words: DataFrame, few: int = FEW) -> DataFrame:
     every = found[0]
     for x in found[1:]:
         every = every.unionByName(x)
+    if named:
+        both = reduce(DataFrame.unionByName, far).distinct()
+        both = spelt(spelt(both, "w", "x"), "v", "y").where(F.levenshtein("x", "y", 1) == 1)
+        # names of one length aren't in the order of their words
+        every = every.unionByName(both.select(F.when(F.col("probe"), F.col("x")).otherwise(F.least("x", "y")).alias("a"), F.when(F.col("probe"), F.col("y")).otherwise(F.greatest("x", "y")).alias("b")))
     out = materialize(every.distinct())
-    release(*found)
+    release(*found, *far, longs)
     return out
 
 
